@@ -6,12 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from candlewick.operators import indicators
+from candlewick.plans import views
+
 FLAGSHIP = "indicators"
 
 
+def indicator_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return indicators.compared(indicators.indicator_frame(views.daily_bars(spark, sf_dir)))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {"indicators": indicator_query}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"indicators": indicators.oracle()}
