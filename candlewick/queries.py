@@ -6,19 +6,55 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from candlewick.operators import indicators
+from candlewick.operators import indicators, signals
 from candlewick.plans import views
 
 FLAGSHIP = "indicators"
+Query = Callable[[SparkSession, str], DataFrame]
+REGISTRY: dict[str, tuple[Query, str | None]] = {}
 
 
-def indicator_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return indicators.compared(indicators.indicator_frame(views.daily_bars(spark, sf_dir)))
+def register(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
+    def add(query: Query) -> Query:
+        REGISTRY[name] = (query, oracle)
+        return query
+
+    return add
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"indicators": indicator_query}
+def queries() -> dict[str, Query]:
+    return {name: query for name, (query, _) in REGISTRY.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"indicators": indicators.oracle()}
+    return {name: sql for name, (_, sql) in REGISTRY.items() if sql}
+
+
+def frame(spark: SparkSession, sf_dir: str, view: str = "flat") -> DataFrame:
+    return indicators.indicator_frame(views.daily_bars(spark, sf_dir, view))
+
+
+@register("indicators", indicators.oracle())
+def indicator_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return indicators.compared(frame(spark, sf_dir))
+
+
+def _strategy(name: str, view: str) -> None:
+    @register(f"signal_{name.lower()}", signals.oracle(indicators.frame_sql(view), name))
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return signals.STRATEGIES[name](frame(spark, sf_dir, view)).drop("details")
+
+
+for _name in ("S1_ST_Flip", "S2_MACD_Zero", "S3_BB_Squeeze", "Confluence", "TTM_Squeeze"):
+    _strategy(_name, "flat")
+
+
+@register("signal_pipeline", signals.pipeline_oracle(indicators.frame_sql("wave"), 25, 1.5))
+def pipeline_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return signals.pipeline(frame(spark, sf_dir, "wave")).drop("details")
+
+
+@register("signal_pipeline_relaxed", signals.pipeline_oracle(indicators.frame_sql("wave"), 10, 0.8))
+def pipeline_relaxed_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weaker thresholds (ADX over 10, relative volume from 0.8), so that more breakouts and retests occur."""
+    return signals.pipeline(frame(spark, sf_dir, "wave"), 10, 0.8).drop("details")
