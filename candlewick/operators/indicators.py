@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from candlewick.operators.recurrence import with_recurrences
 from candlewick.plans.views import SER, daily_bars_sql, rounded
 
-ORDERED = Window.partitionBy(*SER).orderBy("ts")
 #: The 21 stored columns.
 STORED = [
     "atr_10", "supertrend_10_3", "supertrend_dir", "macd_12_26", "macd_signal_9", "macd_hist", "ema_50", "ema_200", "adx_14", "bb_upper", "bb_middle",
@@ -16,9 +15,13 @@ STORED = [
 ]
 
 
+def ordered():
+    return Window.partitionBy(*SER).orderBy("ts")
+
+
 def last_rows(n: int, skip: int = 0):
     """The window of n rows that ends `skip` rows before this one."""
-    return ORDERED.rowsBetween(-(n - 1) - skip, -skip)
+    return ordered().rowsBetween(-(n - 1) - skip, -skip)
 
 
 def rolling(agg, column: str, n: int, skip: int = 0) -> Column:
@@ -28,7 +31,7 @@ def rolling(agg, column: str, n: int, skip: int = 0) -> Column:
 
 
 def lag(column: str, n: int = 1) -> Column:
-    return F.lag(column, n).over(ORDERED)
+    return F.lag(column, n).over(ordered())
 
 
 def true(condition: Column) -> Column:
@@ -88,12 +91,12 @@ def volume_divergence(n: int = 5) -> Column:
 
 
 def with_volume_divergence(bars: DataFrame, n: int = 5) -> DataFrame:
-    return bars.withColumn("_rn", F.row_number().over(ORDERED)).withColumn("volume_divergence", volume_divergence(n)).drop("_rn")
+    return bars.withColumn("_rn", F.row_number().over(ordered())).withColumn("volume_divergence", volume_divergence(n)).drop("_rn")
 
 
 def trailing_stop(df: DataFrame, multiple: float = 2.5) -> DataFrame:
     """Adds trailing_stop, the running maximum of (running high - multiple * ATR)."""
-    so_far = ORDERED.rowsBetween(Window.unboundedPreceding, 0)
+    so_far = ordered().rowsBetween(Window.unboundedPreceding, 0)
     df = df.withColumn("_level", F.max("high").over(so_far) - multiple * F.col("atr_10"))
     return df.withColumn("trailing_stop", F.max("_level").over(so_far)).drop("_level")
 

@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from candlewick.operators.indicators import ORDERED, lag, last_rows, rolling, true, volume_label
+from candlewick.operators.indicators import lag, last_rows, ordered, rolling, true, volume_label
 from candlewick.plans.views import SER, rounded
 
 COMMON = ["entry", "stop_loss", "target_1", "target_2", "risk_pct"]
@@ -31,7 +31,7 @@ def _signals(df: DataFrame, name: str, stop: Column, first: float, second: float
 def numbered(df: DataFrame) -> DataFrame:
     """Adds i (0-based place in the series) and the previous bar's values."""
     before = {f"prev_{c}": lag(c) for c in ("close", "supertrend_dir", "macd_12_26", "bb_upper", "ttm_momentum")}
-    return df.withColumns({"i": F.row_number().over(ORDERED) - 1, **before})
+    return df.withColumns({"i": F.row_number().over(ordered()) - 1, **before})
 
 
 def supertrend_flip(df: DataFrame) -> DataFrame:
@@ -153,7 +153,7 @@ def exit_signal(stop: str = "trailing_stop") -> Column:
 
 def pipeline_steps(df: DataFrame, adx: float = 25.0, rvol: float = 1.5) -> DataFrame:
     """Adds the steps of T1-T7 and setup, the bar at which all hold."""
-    df = df.withColumns({"i": F.row_number().over(ORDERED) - 1, "resistance": resistance(), "trend": trend_ok(adx), "consolidated": consolidating(), "accelerating": accelerating()})
+    df = df.withColumns({"i": F.row_number().over(ordered()) - 1, "resistance": resistance(), "trend": trend_ok(adx), "consolidated": consolidating(), "accelerating": accelerating()})
     df = df.withColumns({"breakout_atr": breakout_strength(), "was_consolidated": F.coalesce(lag("consolidated"), F.lit(False)), "retest": valid_retest()})
     setup = F.col("trend") & F.col("was_consolidated") & breakout() & F.col("accelerating") & true(F.col("rvol_20") >= rvol)
     return df.withColumns({"setup": setup, "mode": entry_mode()})
@@ -165,8 +165,8 @@ def pipeline(df: DataFrame, adx: float = 25.0, rvol: float = 1.5, least: int = 2
     df = pipeline_steps(df, adx, rvol)
     size = F.count("*").over(Window.partitionBy(*SER))
     bar = F.struct("ts", "close", "low_11", "atr_10", "rvol_20")
-    df = df.withColumns({"size": size, "low_11": F.min("low").over(ORDERED.rowsBetween(-window, 0))}).withColumn("bar", bar)
-    ahead = F.min(F.when(F.col("retest"), F.struct("i", "bar"))).over(ORDERED.rowsBetween(1, window - 1))
+    df = df.withColumns({"size": size, "low_11": F.min("low").over(ordered().rowsBetween(-window, 0))}).withColumn("bar", bar)
+    ahead = F.min(F.when(F.col("retest"), F.struct("i", "bar"))).over(ordered().rowsBetween(1, window - 1))
     df = df.withColumn("next_retest", ahead).where(F.col("setup") & (F.col("size") >= least))
     now = F.when(F.col("mode") == "IMMEDIATE", F.col("bar")).when(F.col("mode") == "WAIT_RETEST", F.col("next_retest.bar"))
     df = df.withColumn("at", now).where("at is not null")

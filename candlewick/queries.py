@@ -5,9 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from candlewick.operators import indicators, signals
-from candlewick.plans import views
+from candlewick.functions import calendar
+from candlewick.operators import adjust, bars, evaluate, indicators, ledger, listing, matching, quality, research, signals
+from candlewick.plans import jobs, views
+from candlewick.sources import sinks
 
 FLAGSHIP = "indicators"
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,3 +61,327 @@ def pipeline_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pipeline_relaxed_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weaker thresholds (ADX over 10, relative volume from 0.8), so that more breakouts and retests occur."""
     return signals.pipeline(frame(spark, sf_dir, "wave"), 10, 0.8).drop("details")
+
+
+# Calendar
+
+
+def _calendar(spark: SparkSession) -> DataFrame:
+    return calendar.sessions(spark, "1992-01-01", "2002-12-31")
+
+
+DAYS_SQL = """WITH s AS (SELECT d::DATE AS session_date, row_number() OVER (ORDER BY d)::INT AS session_no FROM range(TIMESTAMP '1992-01-01', TIMESTAMP '2003-01-01', INTERVAL 1 DAY) t(d)
+  WHERE dayofweek(d) NOT IN (0, 6) AND strftime(d, '%m-%d') NOT IN ('01-26','05-01','08-15','10-02','12-25')),
+days AS (SELECT d::DATE AS day, (SELECT max(session_date) FROM s WHERE session_date <= d::DATE) AS session_date, (SELECT max(session_no) FROM s WHERE session_date <= d::DATE) AS session_no
+  FROM range(TIMESTAMP '1992-01-01', TIMESTAMP '2003-02-01', INTERVAL 1 DAY) t(d))"""
+
+
+@register("calendar_days", f"""{DAYS_SQL} SELECT DISTINCT o_orderdate::DATE AS day, session_date, session_no, session_date = o_orderdate::DATE AS is_trading_day,
+  n.session_date AS after_five FROM orders JOIN days ON day = o_orderdate::DATE LEFT JOIN s n2 ON n2.session_no = days.session_no + 5 LEFT JOIN (SELECT session_date, session_no AS no FROM s) n ON n.no = days.session_no + 5""".replace("session_date, session_no, session_date =", "days.session_date, days.session_no, days.session_date ="))
+def calendar_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Session of each order date, and the one five sessions later."""
+    cal = _calendar(spark)
+    days = calendar.days(cal)
+    dates = views.table(spark, sf_dir, "orders").select(F.to_date("o_orderdate").alias("day")).distinct()
+    shifted = calendar.shift_sessions(dates, "day", 5, days, cal, "after_five")
+    return calendar.with_session(shifted, "day", days)
+
+
+@register("calendar_sessions_between", f"""{DAYS_SQL} SELECT o_orderkey, greatest(b.session_no - a.session_no, 0) AS sessions_between FROM orders JOIN days a ON a.day = o_orderdate::DATE
+  JOIN days b ON b.day = o_orderdate::DATE + (o_orderkey % 20)::INT""")
+def sessions_between_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C4."""
+    orders = views.table(spark, sf_dir, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("a"), F.date_add(F.to_date("o_orderdate"), (F.col("o_orderkey") % 20).cast("int")).alias("b"))
+    return calendar.sessions_between(orders, "a", "b", calendar.days(_calendar(spark))).select("o_orderkey", "sessions_between")
+
+
+# Bars
+
+HOURLY_SQL = bars.bars_sql(views.TICKS_SQL, 60)
+FOUR_SQL = f"""SELECT symbol, date_trunc('day', ts) + to_minutes((555 + ((hour(ts)*60+minute(ts)-555)//240)*240)::INT) AS ts, arg_min(open, ts) AS open, max(high) AS high, min(low) AS low,
+  arg_max(close, ts) AS close, sum(volume)::BIGINT AS volume FROM ({HOURLY_SQL}) GROUP BY 1, 2"""
+
+
+@register("bars_hourly", HOURLY_SQL)
+def hourly_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """B4."""
+    return bars.from_ticks(views.ticks(spark, sf_dir))
+
+
+@register("bars_4h", FOUR_SQL)
+def four_hours_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """B3."""
+    return bars.resample(bars.from_ticks(views.ticks(spark, sf_dir)))
+
+
+@register("bars_daily", views.daily_bars_sql())
+def daily_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G1."""
+    return views.daily_bars(spark, sf_dir)
+
+
+@register("bars_watermarks", f"SELECT symbol, max(ts) AS last_ts, (max(ts)::DATE - 2)::DATE AS fetch_from FROM ({HOURLY_SQL}) GROUP BY symbol")
+def watermark_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G2."""
+    return bars.watermarks(bars.from_ticks(views.ticks(spark, sf_dir)))
+
+
+@register("bars_without_forming", f"""WITH h AS ({HOURLY_SQL}), l AS (SELECT *, max(ts) OVER (PARTITION BY symbol) AS last FROM h)
+  SELECT symbol, ts, open, high, low, close, volume FROM l WHERE NOT (ts = last AND least(ts + INTERVAL 1 HOUR, date_trunc('day', ts) + INTERVAL 930 MINUTE) > (SELECT max(ts) + INTERVAL 30 MINUTE FROM h))""")
+def forming_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """B2, half an hour into the last bar."""
+    hourly = bars.from_ticks(views.ticks(spark, sf_dir))
+    now = hourly.agg(F.max("ts") + F.expr("INTERVAL 30 MINUTES")).first()[0]
+    return bars.drop_forming(hourly, F.lit(now).cast("timestamp_ntz"), "1h")
+
+
+# Corporate actions
+
+
+@register("actions_parsed", f"""WITH s AS ({views.SUBJECTS_SQL}), m AS (SELECT *, regexp_extract_all(subject, 'R[se]\\.?\\s*-?\\s*(\\d+(?:\\.\\d+)?)\\s*(?:/-)?\\s*Per\\s*(?:Share|Sh|Unit)', 1, 'i') AS am FROM s)
+  SELECT part_id, CASE part_id % 8 WHEN 0 THEN 'dividend' WHEN 1 THEN 'dividend' WHEN 2 THEN 'split' WHEN 3 THEN 'bonus' WHEN 4 THEN 'rights' WHEN 5 THEN 'demerger' WHEN 6 THEN 'dividend' END AS action_type,
+  CASE WHEN part_id % 8 IN (0, 1) THEN list_sum(am::DOUBLE[]) WHEN part_id % 8 = 6 THEN am[1]::DOUBLE WHEN part_id % 8 = 4 THEN regexp_extract(subject, 'Rs (\\d+\\.\\d+)', 1)::DOUBLE END AS value,
+  CASE part_id % 8 WHEN 2 THEN 0.1 WHEN 3 THEN 1.0/(regexp_extract(subject, '(\\d+):', 1)::DOUBLE + 1) END AS price_factor, CASE WHEN part_id % 8 = 7 THEN NULL ELSE part_id % 8 NOT IN (0, 6) END AS is_extraordinary FROM m""")
+def actions_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A7, A8."""
+    return adjust.parse_subjects(views.action_subjects(spark, sf_dir)).select("part_id", "action_type", "value", "price_factor", "is_extraordinary")
+
+
+def _actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return adjust.parse_subjects(views.action_subjects(spark, sf_dir)).where("action_type is not null and part_id % 40 < 8")
+
+
+ACTIONS_SQL = f"""SELECT symbol_id, ex_date, part_id % 8 AS k, CASE part_id % 8 WHEN 2 THEN 0.1 WHEN 3 THEN 1.0/(regexp_extract(subject, '(\\d+):', 1)::DOUBLE + 1) END AS f
+  FROM ({views.SUBJECTS_SQL}) WHERE part_id % 8 <> 7 AND part_id % 40 < 8"""
+
+
+@register("actions_factor_after", f"""WITH a AS ({ACTIONS_SQL}) SELECT t.trade_id, round_even(coalesce(product(a.f), 1.0)*1e9, 0)/1e9 AS factor FROM ({views.FILLS_SQL}) t
+  LEFT JOIN a ON a.symbol_id = t.symbol_id AND a.ex_date > t.trade_date AND a.f IS NOT NULL GROUP BY t.trade_id""")
+def factor_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A1: the structural factor after each fill."""
+    f = adjust.factor_after(views.fills(spark, sf_dir), _actions(spark, sf_dir), "trade_date")
+    return f.select("trade_id", views.rounded("factor", 9).alias("factor"))
+
+
+@register("actions_volume_factors", f"""WITH a AS ({ACTIONS_SQL}), b AS ({views.daily_bars_sql()}) SELECT b.symbol_id, b.ts, round_even(ln(coalesce(product(1/a.f), 1.0))*1e6, 0)/1e6 AS log_factor FROM b
+  LEFT JOIN a ON a.symbol_id = b.symbol_id AND a.ex_date > b.ts AND a.f IS NOT NULL GROUP BY 1, 2""")
+def volume_factor_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A4."""
+    f = adjust.volume_factors(views.daily_bars(spark, sf_dir), _actions(spark, sf_dir), "unadjusted")
+    return f.select("symbol_id", "ts", views.rounded(F.ln("volume_factor"), 6).alias("log_factor"))
+
+
+@register("actions_total_return", f"""WITH a AS ({ACTIONS_SQL}), b AS ({views.daily_bars_sql()}), m AS ({views.SUBJECTS_SQL}),
+  d AS (SELECT symbol_id, ex_date, CASE WHEN part_id % 8 = 6 THEN regexp_extract(subject, 'Rs (\\d+\\.\\d+)', 1)::DOUBLE WHEN part_id % 8 = 1 THEN 1 + regexp_extract(subject, 'Rs (\\d+)', 1)::DOUBLE
+    ELSE regexp_extract(subject, 'Rs (\\d+)', 1)::DOUBLE END AS v FROM m WHERE part_id % 8 IN (0, 1, 6) AND part_id % 40 < 8),
+  e AS (SELECT d.symbol_id, d.ex_date, d.v, (SELECT arg_max(close, ts) FROM b WHERE b.symbol_id = d.symbol_id AND b.ts < d.ex_date) AS prior,
+    coalesce((SELECT product(f) FROM a WHERE a.symbol_id = d.symbol_id AND a.ex_date > d.ex_date AND f IS NOT NULL), 1.0) AS s FROM d),
+  g AS (SELECT symbol_id, ex_date, 1 - v*s/prior AS f FROM e WHERE prior > 0 AND 1 - v*s/prior > 0)
+  SELECT b.symbol_id, b.ts, round_even(coalesce(product(g.f), 1.0)*1e8, 0)/1e8 AS adjustment FROM b LEFT JOIN g ON g.symbol_id = b.symbol_id AND g.ex_date > b.ts GROUP BY 1, 2""")
+def total_return_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A3, J6, J11."""
+    f = adjust.total_return(views.daily_bars(spark, sf_dir), _actions(spark, sf_dir))
+    return f.select("symbol_id", "ts", views.rounded("adjustment", 8).alias("adjustment"))
+
+
+# Ledger and positions
+
+LEDGER_SQL = f"""WITH RECURSIVE t AS ({views.FILLS_SQL}),
+  s AS (SELECT *, sum(CASE WHEN side = 'BUY' THEN quantity ELSE -quantity END) OVER w AS s FROM t WINDOW w AS (PARTITION BY account_id, symbol_id ORDER BY trade_ts, trade_id)),
+  i AS (SELECT *, s - least(0, min(s) OVER w) AS inv FROM s WINDOW w AS (PARTITION BY account_id, symbol_id ORDER BY trade_ts, trade_id)),
+  e AS (SELECT *, CASE WHEN side = 'SELL' THEN coalesce(lag(inv) OVER w, 0) - inv ELSE quantity END AS amount FROM i WINDOW w AS (PARTITION BY account_id, symbol_id ORDER BY trade_ts, trade_id)),
+  c AS (SELECT *, sum(amount) OVER (PARTITION BY account_id, symbol_id, side ORDER BY trade_ts, trade_id) AS hi FROM e),
+  a AS (SELECT x.account_id, x.symbol_id, x.trade_id AS sell_id, b.trade_id AS position_id, x.trade_date, least(x.hi, b.hi) - greatest(x.hi - x.amount, b.hi - b.amount) AS qty, b.price AS avg_entry_price, x.price AS sell_price
+    FROM c x JOIN c b ON x.side = 'SELL' AND b.side = 'BUY' AND x.account_id = b.account_id AND x.symbol_id = b.symbol_id AND x.hi - x.amount < b.hi AND b.hi - b.amount < x.hi AND x.amount > 0)"""
+
+
+@register("ledger_allocations", f"{LEDGER_SQL} SELECT account_id, symbol_id, sell_id, position_id, trade_date, qty::BIGINT AS qty, round_even((sell_price - avg_entry_price)*qty*100, 0)/100 AS realized_pnl FROM a")
+def allocation_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """L1-L3."""
+    return ledger.allocations(views.fills(spark, sf_dir)).withColumn("realized_pnl", views.rounded("realized_pnl", 2)).drop("avg_entry_price", "sell_price")
+
+
+@register("ledger_positions", f"""{LEDGER_SQL} SELECT b.account_id, b.symbol_id, b.trade_id AS position_id, b.trade_date AS opened_on, b.quantity AS qty_total, (b.quantity - coalesce(sum(a.qty), 0))::BIGINT AS qty_open,
+  CASE WHEN b.quantity = coalesce(sum(a.qty), 0) THEN 'closed' ELSE 'open' END AS status, CASE WHEN b.quantity = coalesce(sum(a.qty), 0) THEN max(a.trade_date) END AS closed_on
+  FROM t b LEFT JOIN a ON a.position_id = b.trade_id WHERE b.side = 'BUY' GROUP BY 1, 2, 3, 4, 5""")
+def position_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """L4."""
+    return ledger.positions(views.fills(spark, sf_dir)).drop("avg_entry_price", "realized_pnl", "pnl_pct")
+
+
+@register("ledger_orphans", f"{LEDGER_SQL} SELECT trade_id, (quantity - amount)::BIGINT AS orphan FROM c WHERE side = 'SELL' AND quantity > amount")
+def orphan_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """L2: what sales could not take from any purchase."""
+    return ledger.inventory(views.fills(spark, sf_dir)).where("orphan > 0").select("trade_id", "orphan")
+
+
+def _near_fills(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Purchases priced around the symbol's level, so that some lie near a signal."""
+    return views.fills(spark, sf_dir).where("side = 'BUY'").withColumn("price", 95.0 + F.col("trade_id") % 11)
+
+
+@register("match_signals")
+def match_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M1, M2, J12."""
+    found = signals.run(frame(spark, sf_dir), ["S1_ST_Flip", "S2_MACD_Zero", "Confluence"])
+    return matching.match(matching.candidates(_near_fills(spark, sf_dir), found, calendar.days(_calendar(spark))))
+
+
+@register("evaluate_positions")
+def evaluate_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E1-E7."""
+    f = frame(spark, sf_dir)
+    fills = _near_fills(spark, sf_dir).where("trade_date < date '1997-01-01'")
+    found = matching.match(matching.candidates(fills, signals.run(f, ["Confluence"]), calendar.days(_calendar(spark))))
+    open_ = matching.apply_matches(ledger.positions(fills), found)
+    held = fills.select("account_id", "symbol_id", F.col("trade_date").alias("as_of"), "quantity")
+    day = F.lit("1997-01-31").cast("date")
+    done = evaluate.evaluate(open_, f, _actions(spark, sf_dir), held, calendar.days(_calendar(spark)), day)
+    return done.select("position_id", "verdict", "reasons", "warnings", views.rounded("pnl_pct", 6).alias("pnl_pct"), "days_held")
+
+
+# Quality
+
+
+@register("quality_invariants", f"""SELECT count(*) AS n_bars, count_if(high < greatest(open, close) - 1e-9) AS high_below_body, count_if(low > least(open, close) + 1e-9) AS low_above_body,
+  count_if(high < low) AS high_below_low, count_if(least(open, high, low, close) <= 0) AS not_positive, count_if(volume < 0) AS negative_volume FROM ({views.daily_bars_sql()})""")
+def invariants_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q11, G3."""
+    return quality.invariants(views.daily_bars(spark, sf_dir))
+
+
+@register("quality_off_calendar", f"""{DAYS_SQL} SELECT ts AS day, count(DISTINCT symbol_id) AS n_symbols, bool_or(s.session_date IS NOT NULL) AS is_session FROM ({views.daily_bars_sql()}) b
+  LEFT JOIN s ON s.session_date = b.ts GROUP BY ts HAVING NOT bool_or(s.session_date IS NOT NULL) OR count(DISTINCT symbol_id) < 50""")
+def off_calendar_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q11, J-sets."""
+    return quality.off_calendar(views.daily_bars(spark, sf_dir), _calendar(spark))
+
+
+FILE_SQL = f"""SELECT symbol, ts::DATE AS day, arg_min(open, ts) AS open, max(high) AS high, min(low) AS low, arg_max(close, ts) AS close, sum(volume)::BIGINT AS volume, count(*) AS n FROM ({HOURLY_SQL}) GROUP BY 1, 2"""
+
+
+@register("quality_hourly_checks", f"""WITH t AS ({FILE_SQL}), f AS (SELECT symbol, day, open + (CASE WHEN day(day) % 5 = 0 THEN 1 ELSE 0 END) AS fo, high AS fh, low AS fl, close + (CASE WHEN day(day) % 3 = 0 THEN 0.2 ELSE 0 END) AS fc,
+  volume + day(day) % 2 AS fv FROM t WHERE day(day) % 7 <> 0),
+  j AS (SELECT t.*, fo, fh, fl, fc, fv, f.symbol IS NOT NULL AS inf FROM t LEFT JOIN f USING (symbol, day)),
+  k AS (SELECT *, NOT coalesce(abs(open-fo) <= 0.05+1e-9, false) AS bo, n <> 7 AS bn, NOT coalesce((volume-fv)*100.0/nullif(fv, 0) BETWEEN -5-1e-9 AND 2+1e-9, false) AS bv FROM j)
+  SELECT symbol, day, CASE WHEN inf AND NOT bo AND NOT bn AND NOT bv THEN 'pass' ELSE 'fail' END AS status,
+  inf AND NOT bo AND NOT bn AND NOT bv AND abs(close-fc) > 0.05+1e-9 AS patched,
+  CASE WHEN NOT inf THEN 'not in bhavcopy' WHEN bo OR bn OR bv THEN concat_ws(', ', CASE WHEN bo THEN 'open' END, CASE WHEN bn THEN 'count' END, CASE WHEN bv THEN 'volume' END)
+  WHEN abs(close-fc) > 0.05+1e-9 THEN 'close patched' END AS note FROM k""")
+def hourly_check_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q2, Q3 against a file that differs here and there."""
+    totals = quality.session_totals(bars.from_ticks(views.ticks(spark, sf_dir)))
+    day = F.dayofmonth("day")
+    file = totals.where(day % 7 != 0).select(
+        "symbol", "day", (F.col("open") + F.when(day % 5 == 0, 1).otherwise(0)).alias("file_open"), F.col("high").alias("file_high"), F.col("low").alias("file_low"),
+        (F.col("close") + F.when(day % 3 == 0, 0.2).otherwise(0)).alias("file_last"), (F.col("volume") + day % 2).alias("file_volume"), F.lit(True).alias("in_file"),
+    )
+    rows = totals.join(file, ["symbol", "day"], "left").withColumn("in_file", F.coalesce("in_file", F.lit(False)))
+    return quality.check_hourly(rows).select("symbol", "day", "status", "patched", "note")
+
+
+# Lists and summaries
+
+
+@register("list_series_range", f"SELECT * FROM (SELECT symbol_id, timeframe, ts, open, high, low, close, volume FROM ({views.daily_bars_sql()}) WHERE symbol_id = 7 AND ts >= DATE '1995-01-01' ORDER BY ts DESC LIMIT 100)")
+def range_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P1, O1, S1."""
+    return listing.series_range(views.daily_bars(spark, sf_dir), 7, "1d", F.lit("1995-01-01").cast("date"), None, 100)
+
+
+@register("list_last_dates", f"WITH b AS ({views.daily_bars_sql()}) SELECT * FROM b WHERE ts IN (SELECT DISTINCT ts FROM b ORDER BY ts DESC LIMIT 5)")
+def last_dates_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P15, G11."""
+    return listing.last_dates(views.daily_bars(spark, sf_dir), 5)
+
+
+@register("list_trades", f"SELECT t.*, s.symbol FROM ({views.FILLS_SQL}) t LEFT JOIN ({views.SYMBOLS_SQL}) s USING (symbol_id) WHERE t.trade_date >= DATE '1996-01-01' AND t.trade_date <= DATE '1996-06-30'")
+def trades_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P6, J2."""
+    return listing.trades(views.fills(spark, sf_dir), views.symbols(spark, sf_dir), F.lit("1996-01-01").cast("date"), F.lit("1996-06-30").cast("date"))
+
+
+@register("list_confluence_by_day", f"SELECT * FROM (WITH x AS ({signals.oracle(indicators.frame_sql(), 'Confluence')}) SELECT ts AS day, count(*) AS n, count(DISTINCT symbol_id) AS n_symbols FROM x GROUP BY ts)")
+def confluence_days_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Signals by day."""
+    found = signals.confluence(frame(spark, sf_dir))
+    return found.groupBy(F.to_date("ts").alias("day")).agg(F.count("*").alias("n"), F.countDistinct("symbol_id").alias("n_symbols"))
+
+
+@register("list_closed_by_account", f"{LEDGER_SQL} SELECT b.account_id, b.symbol_id, sum(b.quantity - coalesce(q, 0))::BIGINT AS qty FROM t b LEFT JOIN (SELECT position_id, sum(qty) AS q FROM a GROUP BY 1) ON position_id = b.trade_id WHERE b.side = 'BUY' GROUP BY 1, 2 HAVING sum(b.quantity - coalesce(q, 0)) > 0")
+def open_quantity_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Open quantity by account and symbol."""
+    return ledger.positions(views.fills(spark, sf_dir)).groupBy("account_id", "symbol_id").agg(F.sum("qty_open").alias("qty")).where("qty > 0")
+
+
+@register("job_row_counts", "SELECT 'bars' AS name, count(*) AS n FROM (" + views.daily_bars_sql() + ") UNION ALL SELECT 'fills', count(*) FROM orders UNION ALL SELECT 'symbols', count(*) FROM supplier")
+def counts_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G23."""
+    return jobs.row_counts({"bars": views.daily_bars(spark, sf_dir), "fills": views.fills(spark, sf_dir), "symbols": views.symbols(spark, sf_dir)})
+
+
+@register("job_cutover_plan", f"""SELECT s.symbol_id, s.symbol, s.industry, s.active, coalesce(d.n, 0) = 1 AND s.symbol_id % 3 <> 0 AS done FROM ({views.SYMBOLS_SQL}) s
+  LEFT JOIN (SELECT symbol_id, 1 AS n FROM ({views.daily_bars_sql()}) GROUP BY 1) d USING (symbol_id)""")
+def cutover_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G6, G7 over daily bars whose source differs for every third symbol."""
+    sourced = views.daily_bars(spark, sf_dir).withColumn("source", F.when(F.col("symbol_id") % 3 == 0, "old").otherwise("new"))
+    return jobs.cutover_plan(sourced, views.symbols(spark, sf_dir), "new", ("1d",))
+
+
+@register("job_resample_gaps", f"WITH f AS ({FOUR_SQL}) SELECT count(*) AS n, count_if(hour(ts) > 12 AND day(ts) % 2 = 0) AS missing, count_if(hour(ts) < 12 AND day(ts) % 2 = 0) AS wrong FROM f")
+def gaps_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J3 against stored bars of which some are missing and some are wrong."""
+    made = bars.resample(bars.from_ticks(views.ticks(spark, sf_dir)))
+    even = F.dayofmonth("ts") % 2 == 0
+    stored = made.where(~(even & (F.hour("ts") > 12))).withColumn("close", F.col("close") + F.when(even, 1).otherwise(0))
+    return jobs.resample_gaps(made, stored)
+
+
+def _panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    daily = views.daily_bars(spark, sf_dir)
+    return daily.select(F.when(F.col("symbol_id") % 2 == 0, "NSE").otherwise("BSE").alias("exchange"), F.col("symbol_id").cast("string").alias("symbol"), F.col("ts").alias("date"), "open", "high", "low", "close", "volume", (F.col("close") * F.col("volume")).alias("turnover"))
+
+
+PANEL_SQL = f"SELECT CASE WHEN symbol_id % 2 = 0 THEN 'NSE' ELSE 'BSE' END AS exchange, symbol_id::VARCHAR AS symbol, ts AS date, open, high, low, close, volume, close*volume AS turnover FROM ({views.daily_bars_sql()})"
+
+
+@register("research_panel")
+def panel_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """I16, I17."""
+    return indicators.compared(research.panel_indicators(_panel(spark, sf_dir)))
+
+
+@register("research_median_turnover", f"""WITH p AS (SELECT *, row_number() OVER (PARTITION BY exchange, symbol ORDER BY date DESC) AS n FROM ({PANEL_SQL}))
+  SELECT exchange, symbol, round_even(quantile_cont(turnover, 0.5)*1e4, 0)/1e4 AS median_turnover FROM p WHERE n <= 60 GROUP BY 1, 2 HAVING count(*) >= 40""")
+def turnover_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G9, W8."""
+    return research.median_turnover(_panel(spark, sf_dir)).withColumn("median_turnover", views.rounded("median_turnover"))
+
+
+@register("research_checks", f"""WITH k AS (SELECT exchange, symbol, date, count(*) AS n, min(least(open, high, low, close)) AS low FROM ({PANEL_SQL}) GROUP BY 1, 2, 3)
+  SELECT exchange, count_if(n > 1) AS duplicated, count(DISTINCT date) AS n_dates, count_if(low <= 0) AS not_positive, bool_and(n = 1) AS sound FROM k GROUP BY 1""")
+def panel_check_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G22."""
+    return research.panel_checks(_panel(spark, sf_dir))
+
+
+@register("sink_upsert", """SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice, o_orderstatus FROM orders""")
+def upsert_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S20."""
+    old = views.table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus")
+    return sinks.upsert(old, old.where("o_orderkey % 5 = 0").withColumn("o_totalprice", F.col("o_totalprice") + 1), ["o_orderkey"])
+
+
+@register("sink_upsert_columns", """SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice, o_orderstatus FROM orders
+  UNION ALL SELECT -o_orderkey, o_totalprice + 1, 'new' FROM orders WHERE o_orderkey % 50 = 0 AND o_orderkey > 0""")
+def upsert_columns_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S21."""
+    old = views.table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus")
+    new = old.where("o_orderkey % 5 = 0").withColumns({"o_totalprice": F.col("o_totalprice") + 1, "o_orderstatus": F.lit("new")})
+    return sinks.upsert_columns(old, new.union(new.where("o_orderkey % 50 = 0 and o_orderkey > 0").withColumn("o_orderkey", -F.col("o_orderkey"))), ["o_orderkey"], ["o_totalprice"])
+
+
+@register("source_json_props", "SELECT event_id, (props->>'$.k')::BIGINT AS k FROM events")
+def props_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S18-style field extraction."""
+    return views.table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
