@@ -54,6 +54,11 @@ def _remove(spark: SparkSession, path: str) -> None:
         return
 
 
+def small(df: DataFrame, most: int) -> DataFrame:
+    """A stored table, marked for broadcast if it has at most `most` rows; beyond that the join shuffles."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def row_key() -> Column:
     """Stands for a document in joins: equal for repeated rows only, whatever doc_id holds."""
     return F.xxhash64("doc_id", "text")

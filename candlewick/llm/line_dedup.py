@@ -22,9 +22,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from candlewick.llm.common import row_key, stored
+from candlewick.llm.common import row_key, small, stored
 
 BLOCK = 256
+FEW = 200_000  # lines of some 100 bytes
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -72,7 +73,7 @@ def near_lines(docs: DataFrame, places: DataFrame, least: int) -> DataFrame:
     met = keys.groupBy("outside").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).where("low < high").select("outside")
     asked = stored(keys.join(met, "outside", "left_semi").groupBy("h1", "h2").agg(F.collect_set("outside").alias("open")), "open-lines")
     # only lines that agree with another but for one block go on, with their text
-    some = long_.join(asked, ["h1", "h2"]).groupBy("h1", "h2").agg(F.first("line").alias("line"), F.first("open").alias("open"), F.min("at").alias("first"))
+    some = long_.join(small(asked, FEW), ["h1", "h2"]).groupBy("h1", "h2").agg(F.first("line").alias("line"), F.first("open").alias("open"), F.min("at").alias("first"))
     some = stored(some, "near-lines")
     rows = blocks_of(some, "first", "open").where(F.array_contains("open", F.col("outside")))
     variants = variants_of(rows)

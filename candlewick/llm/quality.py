@@ -2,8 +2,8 @@
 
 Each line of a text is held against three rules, and failing lines are removed:
 
-* punctuation: the line must end in terminal punctuation, hold at most 3 symbol characters for 10 words, and not have a
-  doubled exclamation mark after every fifth word or more;
+* punctuation: the line must end in terminal punctuation, not hold 3 or more symbol characters at a rate above 3 for 10
+  words, and not have a doubled exclamation mark after every fifth word or more;
 * navigation: separators (``|``, ``»``, ``•``, ``·``) at least twice and for a quarter of the words or more;
 * boilerplate: the line holds a phrase of the list.
 
@@ -37,7 +37,7 @@ def line_fails(line: str) -> bool:
     """Whether a line with a word fails a rule."""
     body = line.strip(BLANKS)
     words = len(body.encode().split())
-    if body[-1] not in TERMINAL or 10 * sum(map(body.count, SYMBOLS)) > 3 * words:
+    if body[-1] not in TERMINAL or (3 <= (marks := sum(map(body.count, SYMBOLS))) and 10 * marks > 3 * words):
         return True
     if (shouts := body.count("!!")) >= 3 and 5 * shouts >= words:
         return True
@@ -122,7 +122,7 @@ l0 AS (SELECT k, unnest(string_split(text, chr(10))) AS l, generate_subscripts(s
 l1 AS (SELECT k, i, l, len(regexp_replace(l, '{blank}+', '', 'g')) AS size, len(regexp_extract_all(l, '{word}')) AS n,
   len(regexp_extract_all(l, '{symbols}')) AS sym, len(regexp_extract_all(l, '!!')) AS shouts, len(regexp_extract_all(l, '{bars}')) AS bars,
   row_number() OVER (PARTITION BY k, l ORDER BY i) AS again FROM l0 WHERE regexp_matches(l, '{word}')),
-l AS (SELECT *, NOT regexp_matches(l, '{ends}') OR 10 * sym > 3 * n OR (shouts >= 3 AND 5 * shouts >= n) OR (bars >= 2 AND 4 * bars >= n)
+l AS (SELECT *, NOT regexp_matches(l, '{ends}') OR (sym >= 3 AND 10 * sym > 3 * n) OR (shouts >= 3 AND 5 * shouts >= n) OR (bars >= 2 AND 4 * bars >= n)
   OR regexp_matches(lower(l), '{phrases}') AS bad FROM l1),
 s AS (SELECT k, count(*) AS n_lines, sum(n) AS n_words, sum(size) AS word_chars, sum((again > 1)::INT) AS n_dup_lines, sum(bad::INT) AS n_bad_lines,
   sum(CASE WHEN bad THEN size ELSE 0 END) AS lost_chars FROM l GROUP BY k),

@@ -23,6 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.types import StringType, StructField, StructType
 
 from candlewick.llm.bytehash import mix, prefix_sums, span_hashes
 from candlewick.llm.common import as_bytes, row_key, slices, texts_of
@@ -241,4 +242,4 @@ def decoded(encodings: DataFrame, model: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "text"])
 
     rest = encodings.drop("text")
-    return rest.mapInArrow(run, rest.schema.add("text", "string"))
+    return rest.mapInArrow(run, StructType([*rest.schema, StructField("text", StringType())]))
