@@ -124,3 +124,52 @@ def indian_digits(amount: Column) -> Column:
 def running_rank(df: DataFrame, keys: list[str], order: Column) -> DataFrame:
     """Adds the row number within the keys."""
     return df.withColumn("nth", F.row_number().over(Window.partitionBy(*keys).orderBy(order)))
+
+
+def action_list(actions: DataFrame, symbols: DataFrame, symbol: str | None = None, kind: str | None = None, limit: int = 500) -> DataFrame:
+    """Actions with their symbol's name (taken as given), the newest ex-date first."""
+    df = actions.join(F.broadcast(symbols.select("symbol_id", "symbol")), "symbol_id")
+    df = df if symbol is None else df.where(F.col("symbol") == symbol)
+    df = df if kind is None else df.where(F.col("action_type") == kind)
+    return df.orderBy(F.col("ex_date").desc(), "symbol", "action_type").limit(min(limit, 500))
+
+
+def symbol_list(symbols: DataFrame, active: bool | None = True) -> DataFrame:
+    """P5."""
+    return (symbols if active is None else symbols.where(F.col("active") == active)).orderBy("symbol")
+
+
+def resolve_symbols(symbols: DataFrame, requested: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(symbols to work on, symbols to create): the requested ones whether active or not, or all active ones."""
+    if requested is None:
+        return symbols.where("active"), symbols.select("symbol").limit(0)
+    asked = requested.select(F.upper("symbol").alias("symbol")).distinct()
+    return symbols.join(asked, "symbol", "left_semi"), asked.join(symbols, "symbol", "left_anti")
+
+
+def evaluation_history(evaluations: DataFrame, position_id: int | None = None, day: Column | None = None) -> DataFrame:
+    """A position's evaluations, newest first, or all of one day."""
+    df = evaluations if position_id is None else evaluations.where(F.col("position_id") == position_id)
+    return (df if day is None else df.where(F.col("as_of") == day)).orderBy(F.col("as_of").desc(), "position_id")
+
+
+def latest_runs(runs: DataFrame, n: int = 20) -> DataFrame:
+    """P9, P11."""
+    return runs.orderBy(F.col("run_id").desc()).limit(n)
+
+
+def fills_of(position_id: int, fills: DataFrame, allocations: DataFrame) -> DataFrame:
+    """The purchase of a position and the sales that took from it."""
+    sold = allocations.where(F.col("position_id") == position_id).select(F.col("sell_id").alias("trade_id"))
+    return fills.where(F.col("trade_id") == position_id).unionByName(fills.join(sold, "trade_id", "left_semi").select(*fills.columns))
+
+
+def rematch_candidates(signals: DataFrame, symbol_id: int, opened_on: Column, back: int = 14) -> DataFrame:
+    """Daily signals of the symbol in the days before the opening."""
+    day = F.to_date("ts")
+    return signals.where((F.col("symbol_id") == symbol_id) & (F.col("timeframe") == "1d") & (day >= F.date_sub(opened_on, back)) & (day <= opened_on))
+
+
+def trade_counts(fills: DataFrame) -> DataFrame:
+    """Fills by side, and how many have no symbol."""
+    return fills.groupBy("side").agg(F.count("*").alias("n"), F.count_if(F.col("symbol_id").isNull()).alias("unmapped"))

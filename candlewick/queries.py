@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from candlewick.functions import calendar
 from candlewick.operators import adjust, bars, evaluate, indicators, ledger, listing, matching, quality, research, signals
 from candlewick.plans import jobs, views
-from candlewick.sources import sinks
+from candlewick.sources import readers, sinks
 
 FLAGSHIP = "indicators"
 Query = Callable[[SparkSession, str], DataFrame]
@@ -385,3 +385,116 @@ def upsert_columns_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def props_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S18-style field extraction."""
     return views.table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
+
+
+@register("list_actions", f"""SELECT s.symbol, a.ex_date, a.part_id FROM ({views.SUBJECTS_SQL}) a JOIN ({views.SYMBOLS_SQL}) s USING (symbol_id) WHERE a.part_id % 8 = 3 ORDER BY ex_date DESC, symbol, part_id LIMIT 500""")
+def action_list_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P4."""
+    actions = adjust.parse_subjects(views.action_subjects(spark, sf_dir)).withColumn("action_type", F.concat("action_type", F.format_string("%09d", "part_id")))
+    return listing.action_list(actions.where("action_type like 'bonus%'"), views.symbols(spark, sf_dir)).select("symbol", "ex_date", "part_id")
+
+
+@register("list_symbols", f"SELECT * FROM ({views.SYMBOLS_SQL}) WHERE active")
+def symbol_list_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P5, J1."""
+    return listing.symbol_list(views.symbols(spark, sf_dir))
+
+
+@register("list_trade_counts", f"SELECT side, count(*) AS n, 0::BIGINT AS unmapped FROM ({views.FILLS_SQL}) GROUP BY side")
+def trade_count_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P17."""
+    return listing.trade_counts(views.fills(spark, sf_dir))
+
+
+@register("list_upcoming_actions", f"""WITH p AS (SELECT DISTINCT symbol_id FROM ({LEDGER_SQL} SELECT b.symbol_id FROM t b LEFT JOIN (SELECT position_id, sum(qty) AS q FROM a GROUP BY 1) ON position_id = b.trade_id
+  WHERE b.side = 'BUY' AND b.quantity > coalesce(q, 0))) SELECT part_id, symbol_id, ex_date FROM ({views.SUBJECTS_SQL}) JOIN p USING (symbol_id)
+  WHERE ex_date > DATE '1996-03-01' AND (SELECT count(*) FROM range(TIMESTAMP '1996-03-02', ex_date::TIMESTAMP + INTERVAL 1 DAY, INTERVAL 1 DAY) r(d) WHERE dayofweek(d) NOT IN (0, 6)) <= 5""")
+def upcoming_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J20, C9."""
+    open_ = ledger.positions(views.fills(spark, sf_dir))
+    return listing.upcoming_actions(views.action_subjects(spark, sf_dir), open_, F.lit("1996-03-01").cast("date")).select("part_id", "symbol_id", "ex_date")
+
+
+@register("list_confluence_badge", f"""WITH e AS (SELECT * FROM ({signals.oracle(indicators.frame_sql(), 'S2_MACD_Zero')})), c AS (SELECT DISTINCT symbol_id, ts FROM ({signals.oracle(indicators.frame_sql(), 'Confluence')}))
+  SELECT e.symbol_id, e.ts, e.strategy, c.ts IS NOT NULL AS confluence FROM e LEFT JOIN c USING (symbol_id, ts)""")
+def badge_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J19."""
+    found = signals.run(frame(spark, sf_dir), ["S2_MACD_Zero", "Confluence"])
+    return listing.confluence_badge(found).select("symbol_id", "ts", "strategy", "confluence")
+
+
+@register("indicator_trailing_stop", f"""{indicators.frame_sql()}, h AS (SELECT *, max(high) OVER o - 2.5*atr_10 AS l FROM f WINDOW o AS (PARTITION BY symbol_id ORDER BY ts))
+  SELECT symbol_id, ts, round_even(max(l) OVER (PARTITION BY symbol_id ORDER BY ts)*1e6, 0)/1e6 AS trailing_stop FROM h""")
+def trailing_stop_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """I14, W7."""
+    return indicators.trailing_stop(frame(spark, sf_dir)).select("symbol_id", "ts", views.rounded("trailing_stop", 6).alias("trailing_stop"))
+
+
+@register("indicator_volume_divergence", f"""WITH b AS ({views.daily_bars_sql()}), n AS (SELECT *, row_number() OVER (PARTITION BY symbol_id ORDER BY ts) AS rn FROM b),
+  r AS (SELECT symbol_id, ts, rn, close, lag(close, 4) OVER o AS c4, 2*volume + lag(volume) OVER o - lag(volume, 3) OVER o - 2*lag(volume, 4) OVER o AS slope FROM n WINDOW o AS (PARTITION BY symbol_id ORDER BY ts))
+  SELECT symbol_id, ts, coalesce(rn > 5 AND close > c4 AND slope < 0, false) AS volume_divergence FROM r""")
+def divergence_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """I13."""
+    return indicators.with_volume_divergence(views.daily_bars(spark, sf_dir)).select("symbol_id", "ts", "volume_divergence")
+
+
+@register("research_on_both", f"""SELECT symbol::INT % 50 AS isin FROM ({PANEL_SQL}) GROUP BY 1 HAVING count(DISTINCT CASE WHEN symbol::INT <= 30 THEN 'NSE' ELSE 'BSE' END) = 2""")
+def both_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Identifiers that stand on two exchanges."""
+    p = _panel(spark, sf_dir).withColumns({"isin": F.col("symbol").cast("int") % 50, "exchange": F.when(F.col("symbol").cast("int") <= 30, "NSE").otherwise("BSE")})
+    return research.on_both(p)
+
+
+@register("research_size_table", f"""SELECT exchange, count_if(s = 'A') AS "A", count_if(s = 'B') AS "B", count_if(s = 'C') AS "C" FROM (SELECT exchange, CASE WHEN volume < 20 THEN 'A' WHEN volume < 40 THEN 'B' ELSE 'C' END AS s FROM ({PANEL_SQL})) GROUP BY 1""")
+def size_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G21."""
+    series = F.when(F.col("volume") < 20, "A").when(F.col("volume") < 40, "B").otherwise("C")
+    return research.size_table(_panel(spark, sf_dir).withColumn("series", series), ["A", "B", "C"])
+
+
+@register("research_describe", f"""SELECT exchange, count(close) AS n, round_even(avg(close)*1e4, 0)/1e4 AS mean, min(close) AS least, round_even(quantile_cont(close, 0.5)*1e6, 0)/1e6 AS median, max(close) AS most FROM ({PANEL_SQL}) GROUP BY 1""")
+def describe_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G21."""
+    return research.describe(_panel(spark, sf_dir), "close").withColumns({"mean": views.rounded("mean"), "median": views.rounded("median", 6)})
+
+
+@register("research_history", f"SELECT exchange, symbol, count(*) AS n FROM ({PANEL_SQL}) GROUP BY 1, 2 HAVING count(*) >= 530")
+def history_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J18."""
+    return research.with_history(_panel(spark, sf_dir), 530).groupBy("exchange", "symbol").agg(F.count("*").alias("n"))
+
+
+@register("research_deduplicated", f"""WITH p AS (SELECT exchange, (symbol::INT % 10)::VARCHAR AS symbol, date, turnover, symbol AS series FROM ({PANEL_SQL}))
+  SELECT exchange, symbol, date, max(turnover) AS turnover FROM p GROUP BY 1, 2, 3""")
+def dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """U3."""
+    p = _panel(spark, sf_dir).withColumns({"series": F.col("symbol"), "symbol": (F.col("symbol").cast("int") % 10).cast("string")})
+    return research.deduplicated(p).select("exchange", "symbol", "date", "turnover")
+
+
+@register("source_chunks", """SELECT o_orderkey, (d + INTERVAL (i*30) DAY)::DATE AS lo, least((d + INTERVAL (i*30 + 29) DAY)::DATE, d + (o_orderkey % 100)::INT) AS hi FROM (SELECT o_orderkey, o_orderdate::DATE AS d, unnest(range(0, (o_orderkey % 100) // 30 + 1)) AS i FROM orders)""")
+def chunk_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S12."""
+    rows = views.table(spark, sf_dir, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("a"), F.date_add(F.to_date("o_orderdate"), (F.col("o_orderkey") % 100).cast("int")).alias("b"))
+    return readers.chunks(rows, "a", "b", 30).select("o_orderkey", "lo", "hi")
+
+
+@register("sink_regenerate", "SELECT o_orderkey, o_orderpriority, o_totalprice FROM orders WHERE o_orderpriority <> (SELECT min(o_orderpriority) FROM orders) UNION ALL SELECT -o_orderkey, o_orderpriority, 0.0 FROM orders WHERE o_orderpriority = (SELECT min(o_orderpriority) FROM orders) AND o_orderkey % 3 = 0")
+def regenerate_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first priority's rows are made anew."""
+    old = views.table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", F.lit(1).alias("symbol_id"), F.lit("1d").alias("timeframe"), F.col("o_orderpriority").alias("strategy"))
+    first = old.agg(F.min("strategy").alias("strategy"))
+    again = old.join(F.broadcast(first), "strategy", "left_semi").where("o_orderkey % 3 = 0").withColumns({"o_orderkey": -F.col("o_orderkey"), "o_totalprice": F.lit(0.0)})
+    done = signals.regenerated(old, again, first.withColumns({"symbol_id": F.lit(1), "timeframe": F.lit("1d")}))
+    return done.select("o_orderkey", F.col("strategy").alias("o_orderpriority"), "o_totalprice")
+
+
+@register("job_ingest_plan", f"""WITH w AS (SELECT symbol, max(ts) AS last_ts FROM ({HOURLY_SQL}) GROUP BY 1), s AS (SELECT unnest(['click', 'view', 'purchase', 'none']) AS symbol)
+  SELECT s.symbol, CASE WHEN last_ts IS NULL THEN 'full' WHEN s.symbol = 'view' THEN 'rebuild' ELSE 'incremental' END AS mode,
+  CASE WHEN last_ts IS NOT NULL AND s.symbol <> 'view' THEN last_ts::DATE - 2 ELSE DATE '2020-01-01' END AS start FROM s LEFT JOIN w USING (symbol)""")
+def ingest_plan_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D4."""
+    symbols = spark.createDataFrame([("click",), ("view",), ("purchase",), ("none",)], "symbol string")
+    marks = bars.watermarks(bars.from_ticks(views.ticks(spark, sf_dir)))
+    plan = jobs.ingest_plan(symbols, marks, F.lit("2020-01-01").cast("date"), symbols.where("symbol = 'view'"))
+    return plan.select("symbol", "mode", "start")
