@@ -3,11 +3,16 @@
 A table hashes a unit vector with `axes` pseudo-rotations, each three rounds of random signs and a fast Hadamard transform;
 a rotation's code is the signed axis nearest to the rotated vector.  Every vector is in one bucket of each table; a query
 looks in several buckets of each, those whose axes are nearest to it.  What the buckets hold is reranked by exact distance.
+
+The query set is stated, and goes over the index in blocks of BLOCK queries: a block with its buckets has a fixed size and is
+sent to all tasks; each task looks up its part of the index and returns only the best of each query, so pairs of queries and
+vectors are never rows.
 """
 
 from __future__ import annotations
 
 import functools
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +22,8 @@ from pyspark.sql import functions as F
 from candlewick.llm.bytehash import mix
 from candlewick.llm.common import stored
 
-BLOCK = 512  # queries that the exact search holds at once
+BLOCK = 512  # queries that are held at once
+ROWS = 512  # index rows that a task compares at once
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -62,41 +68,97 @@ def bucket_keys(vectors: np.ndarray, tables: int, axes: int, probes: int) -> np.
     return np.concatenate(keys, 1)
 
 
-def buckets(vectors: DataFrame, tables: int, axes: int, probes: int) -> DataFrame:
-    """vkey, bucket: a row for each bucket of each vector."""
+def indexed(entries: DataFrame, tables: int, axes: int) -> DataFrame:
+    """The entries (vkey, vec, ids, least) with codes: the bucket of each table."""
 
     def run(batches):
         for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                batch = whole.slice(at, 512)
+            for at in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(at, ROWS)
                 rows = batch.column("vec").to_pylist()
-                for dim in sorted({len(r) for r in rows}):
-                    some = [i for i, r in enumerate(rows) if len(r) == dim]
-                    keys = bucket_keys(np.array([rows[i] for i in some]), tables, axes, probes).view(np.int64)
-                    flat = pa.array(keys.ravel())
-                    names = batch.column("vkey").take(pa.array(np.repeat(some, keys.shape[1])))
-                    yield pa.RecordBatch.from_arrays([names, flat], ["vkey", "bucket"])
-
-    return vectors.select("vkey", "vec").mapInArrow(run, "vkey long, bucket long")
-
-
-def distance(x: str, y: str):
-    """Euclidean distance of two array columns in double precision."""
-    return F.sqrt(F.aggregate(F.zip_with(x, y, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v))
-
+                codes = [None] * len(rows)
+                for some, vectors in by_length(rows):
+                    for i, keys in zip(some, bucket_keys(vectors, tables, axes, 1).view(np.int64), strict=True):
+                        codes[i] = keys
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(codes, pa.list_(pa.int64()))], [*batch.schema.names, "codes"])
+
+    return entries.mapInArrow(run, ", ".join(f"{n} {t}" for n, t in entries.dtypes) + ", codes array<bigint>")
+
+
+def by_length(rows: list[list[float]]) -> list[tuple[list[int], np.ndarray]]:
+    """Places and matrix of the vectors of each length."""
+    places: dict[int, list[int]] = {}
+    for i, r in enumerate(rows):
+        places.setdefault(len(r), []).append(i)
+    return [(some, np.array([rows[i] for i in some], float)) for some in places.values()]
+
+
+def search(index: DataFrame, block: list[tuple[int, list[float]]], k: int, tables: int, axes: int, probes: int | None) -> DataFrame:
+    """qkey, vkey, score, least: of a block of queries (qkey, vector), the best k index rows that each task has among those in a
+    query's buckets; without probes, among all."""
+    asked = []
+    for some, vectors in by_length([v for _, v in block]):
+        keys, owner = np.empty(0, np.uint64), np.empty(0, np.int64)
+        if probes:
+            found = bucket_keys(vectors, tables, axes, probes)
+            order = np.argsort(found.ravel(), kind="stable")
+            keys, owner = found.ravel()[order], np.repeat(np.arange(len(some)), found.shape[1])[order]
+        asked.append((np.array([block[i][0] for i in some]), vectors, keys, owner))
+    shared = index.sparkSession.sparkContext.broadcast({a[1].shape[1]: a for a in asked})
+
+    def met(codes: np.ndarray, keys: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+        """Whether a query (row) shares a bucket with a vector (column)."""
+        hit = np.zeros((n, len(codes)), bool)
+        flat = codes.view(np.uint64).ravel()
+        low, high = np.searchsorted(keys, flat, "left"), np.searchsorted(keys, flat, "right")
+        size = high - low
+        at = np.repeat(low - np.cumsum(size) + size, size) + np.arange(size.sum())
+        hit[owner[at], np.repeat(np.arange(len(flat)) // codes.shape[1], size)] = True
+        return hit
 
-def exact(vectors: DataFrame, asked: DataFrame, k: int) -> DataFrame:
-    """qkey, vkey, score: the k nearest of all vectors (vkey, vec, least) for each asked (qkey, qvec), by brute force.  Blocks of
-    BLOCK queries are sent to the tasks, each of which returns its k best a query."""
-    found = None
-    ids = [r.qkey for r in asked.select("qkey").orderBy("qkey").toLocalIterator()]
-    for at in range(0, len(ids), BLOCK):
-        block = asked.where(F.col("qkey").isin(ids[at : at + BLOCK])).select("qkey", "qvec")
-        pairs = vectors.join(F.broadcast(block), F.size("vec") == F.size("qvec")).withColumn("score", distance("qvec", "vec"))
-        rank = F.row_number().over(Window.partitionBy("qkey").orderBy("score", "least"))
-        best = pairs.select("qkey", "vkey", "least", "score").withColumn("nth", rank).where(F.col("nth") <= k).select("qkey", "vkey", "score")
-        found = best if found is None else found.union(best)
-    return found
+    def run(batches):
+        best: dict[int, tuple] = {}
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(at, ROWS)
+                rows, codes = batch.column("vec").to_pylist(), batch.column("codes").to_pylist()
+                vkeys, least = batch.column("vkey").to_numpy(), batch.column("least").to_numpy()
+                for some, vectors in by_length(rows):
+                    if vectors.shape[1] not in shared.value:
+                        continue
+                    qkeys, queries, keys, owner = shared.value[vectors.shape[1]]
+                    hit = np.ones((len(queries), len(some)), bool) if probes is None else met(np.array([codes[i] for i in some]), keys, owner, len(queries))
+                    for q in np.flatnonzero(hit.any(1)):
+                        own = np.flatnonzero(hit[q])
+                        score = np.sqrt(((vectors[own] - queries[q]) ** 2).sum(1))
+                        here = np.array(some)[own]
+                        new = (score, least[here], vkeys[here])
+                        key = int(qkeys[q])
+                        if key in best:
+                            new = tuple(map(np.concatenate, zip(best[key], new, strict=True)))
+                        top = np.lexsort((new[1], new[0]))[:k]
+                        best[key] = tuple(x[top] for x in new)
+        if best:
+            size = [len(b[0]) for b in best.values()]
+            score, low, vkey = map(np.concatenate, zip(*best.values(), strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(list(best), size)), pa.array(vkey), pa.array(score), pa.array(low)], ["qkey", "vkey", "score", "least"])
+
+    return index.select("vkey", "vec", "least", "codes").mapInArrow(run, "qkey long, vkey long, score double, least long")
+
+
+def searched(index: DataFrame, asked: DataFrame, k: int, tables: int, axes: int, probes: int | None) -> DataFrame:
+    """qkey, vkey, score: the best k rows found for each of asked (qkey, qvec), which pass the driver in blocks."""
+    block, found = [], []
+    for row in asked.orderBy("qkey").toLocalIterator():
+        block.append((row.qkey, row.qvec))
+        if len(block) == BLOCK:
+            found.append(stored(search(index, block, k, tables, axes, probes), "found"))
+            block = []
+    if block or not found:
+        found.append(stored(search(index, block, k, tables, axes, probes), "found"))
+    near = Window.partitionBy("qkey").orderBy("score", "least")
+    every = reduce(DataFrame.union, found).withColumn("nth", F.row_number().over(near))
+    return every.where(F.col("nth") <= k).select("qkey", "vkey", "score")
 
 
 def nearest(rows: DataFrame, k: int = 10, every: int = 100, tables: int = 64, axes: int = 2, probes: int = 64) -> DataFrame:
@@ -107,7 +169,7 @@ def nearest(rows: DataFrame, k: int = 10, every: int = 100, tables: int = 64, ax
     Equal distances go to the smaller vec_id.  Other columns are ignored.
 
     Equal vectors are one entry of the index with their k + 1 smallest ids, the only ones that can be among the nearest of
-    anything.  A query for which the tables hold fewer than k rows is searched by brute force instead.
+    anything.  A query for which the tables hold fewer than k rows is compared with all instead.
     """
     vec = F.transform(F.col("embedding").cast("array<double>"), lambda x: x + F.lit(0.0))  # -0.0 becomes 0.0
     sound = "vec_id is not null and size(vec) > 0 and forall(vec, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(vec, x -> x <> 0)"
@@ -120,18 +182,13 @@ def nearest(rows: DataFrame, k: int = 10, every: int = 100, tables: int = 64, ax
     asking = stored(ids.where(F.col("vec_id") % every == 0).select("vec_id", "vkey", "vec"), "queries")
     queries = asking.groupBy("vkey").agg(F.first("vec").alias("vec"))
 
-    index, looks = buckets(entries, tables, axes, 1), buckets(queries, tables, axes, probes)
-    pairs = index.join(looks.withColumnRenamed("vkey", "qkey"), "bucket").select("qkey", "vkey").distinct()
+    index = stored(indexed(entries, tables, axes), "index")
     asked = queries.select(F.col("vkey").alias("qkey"), F.col("vec").alias("qvec"))
-    met = pairs.join(entries.select("vkey", "vec", "least"), "vkey").join(asked, "qkey").where("size(vec) = size(qvec)")
-    near = Window.partitionBy("qkey").orderBy("score", "least")
-    best = met.select("qkey", "vkey", "least", distance("qvec", "vec").alias("score")).withColumn("nth", F.row_number().over(near)).where(F.col("nth") <= k + 1)
-    found = stored(best.select("qkey", "vkey", "score"), "nearest")
-
+    found = stored(searched(index, asked, k + 1, tables, axes, probes), "nearest")
     full = found.join(entries.select("vkey", F.size("ids").alias("n")), "vkey").groupBy("qkey").agg(F.sum("n").alias("n")).where(F.col("n") > k)
     short = stored(asked.join(full, "qkey", "left_anti"), "short")
     if not short.isEmpty():
-        found = found.join(short, "qkey", "left_anti").union(exact(entries, short, k + 1))
+        found = found.join(short, "qkey", "left_anti").union(searched(index, short, k + 1, tables, axes, None))
     named = found.join(entries.select("vkey", F.explode("ids").alias("vec_id")), "vkey").select("qkey", "vec_id", "score")
     answers = asking.select(F.col("vec_id").alias("query_id"), F.col("vkey").alias("qkey")).join(named, "qkey").where("query_id <> vec_id")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
