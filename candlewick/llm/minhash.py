@@ -4,13 +4,15 @@
    in it (one permutation).  An empty bin takes the value of the first filled bin in an order that is drawn for it once and
    is the same for all texts (optimal densification).
 2. Texts with equal sets are one class from here on; only its smallest doc_id goes on.
-3. Bins are grouped to bands; texts with an equal band share a bucket.  Each bucket links its members to its smallest one (a
-   star: as many candidates as members), and full sets confirm each candidate.  Components follow from confirmed links.
-4. A star can miss a link between two members that both differ from the smallest one.  Such a link matters only if the two
-   are in different components by now, so buckets that still hold several components check the pairs across components
-   that share at least two bands.
-
-Two texts at the threshold 0.85 share none or one of 32 bands of 5 bins with probability 2e-7; closer texts far less.
+3. Bins are grouped to bands; texts with an equal band share a bucket.  Each bucket links its members to one of them (a star: as
+   many candidates as members), the one whose buckets are fullest, as the original of many near copies is; full sets
+   confirm each candidate.  Components follow from confirmed links.
+4. A star can miss a link between two members that both differ from that one.  Such a link matters only if the two
+   are in different components by now, so the texts of buckets that still hold several components are compared by their
+   rarest shingles: two sets of similarity t share one of the rarest |x| - ceil(t |x|) + 1 shingles of each.  That is
+   exact, and texts that share only what is common to many do not meet.
+
+Two texts at the threshold 0.85 have no equal band among 32 bands of 5 bins with probability 7e-9; closer texts far less.
 """
 
 from __future__ import annotations
@@ -20,13 +22,14 @@ import functools
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from candlewick.llm.bytehash import batch_word_hashes, mix
-from candlewick.llm.common import as_bytes, map_slices, stored, texts_of
+from candlewick.llm.common import as_bytes, map_slices, small, stored, texts_of
 from candlewick.llm.components import components
 
+IDS = 1_000_000  # ids of 8 bytes that are broadcast at most
 MULTIPLIERS = np.random.default_rng(5).integers(1, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
 
 
@@ -98,10 +101,13 @@ def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
     return map_slices(as_bytes(docs), "text", step, "doc_id long, shingles array<long>")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, percent: int, size: int) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets reach the threshold.  Only texts that occur in a pair are cut again."""
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    sets = stored(shingle_sets(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi"), size), "sets")
+def sets_of(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
+    """The shingle sets of the documents with these ids (a stored table), stored: only their texts are cut again."""
+    return stored(shingle_sets(docs.select("doc_id", "text").join(small(ids, IDS), "doc_id", "left_semi"), size), "sets")
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full shingle sets reach the threshold."""
     first = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"))
     second = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
@@ -109,6 +115,29 @@ def confirmed(pairs: DataFrame, docs: DataFrame, percent: int, size: int) -> Dat
     return linked.select("a", "b").distinct()
 
 
+def alike(x: str, y: str, percent: int) -> Column:
+    """Whether sizes alone allow the similarity."""
+    return F.expr(f"100 * least({x}, {y}) >= {percent} * greatest({x}, {y})")
+
+
+def across(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of members (rep, component) of different components that can reach the threshold: those that share one of
+    their rarest shingles.  A shingle that one member has matches nothing, so it only shortens what is left to look at."""
+    tokens = sets.join(members, sets.doc_id == members.rep).select("rep", "component", F.size("shingles").alias("n"), F.explode("shingles").alias("token"))
+    common = tokens.groupBy("token").agg(F.count("*").alias("df"), F.min("component").alias("main"), F.max("component").alias("other")).where("df > 1")
+    rows = tokens.join(common, "token")
+    mine = Window.partitionBy("rep")
+    rows = rows.withColumns({"nth": F.row_number().over(mine.orderBy("df", "token")), "shared": F.count("*").over(mine)})
+    look = F.col("n") - F.ceil(F.col("n") * percent / 100.0 - 1e-9) + 1 - (F.col("n") - F.col("shared"))
+    rare = rows.where(F.col("nth") <= look).where("main < other").select("token", "rep", "n", "component", "main", (F.col("n") - F.col("shared") + F.col("nth")).alias("place"))
+    one, two = rare.where("component <> main").alias("x"), rare.alias("y")
+    met = one.join(two, F.col("x.token") == F.col("y.token")).where("x.component <> y.component and (y.component = y.main or x.rep < y.rep)").where(alike("x.n", "y.n", percent))
+    # at the first common shingle, all that can be common is it and what follows in both
+    most = 1 + F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place"))
+    met = met.where((100 + percent) * most >= percent * (F.col("x.n") + F.col("y.n")))
+    return met.select(F.greatest("x.rep", "y.rep").alias("a"), F.least("x.rep", "y.rep").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, percent: int = 85, bands: int = 32, rows: int = 5, size: int = 5) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable over links), kept (doc_id = component_id).
 
@@ -122,25 +151,23 @@ def near_duplicates(docs: DataFrame, percent: int = 85, bands: int = 32, rows: i
     # one row for each distinct set
     sets = named.groupBy("set_hi", "set_lo").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
     members = sets.select("rep", "n", F.explode("bands").alias("bucket"))
-    hubs = members.groupBy("bucket").agg(F.min(F.struct("rep", "n")).alias("hub"), F.max("rep").alias("last")).where("hub.rep < last")
-    shared = stored(members.join(hubs.drop("last"), "bucket").select("bucket", "rep", "n", "hub"), "buckets")
-
-    def alike(x: str, y: str):  # what sizes alone allow
-        return F.expr(f"100 * least({x}, {y}) >= {percent} * greatest({x}, {y})")
-
-    stars = stored(shared.where("rep <> hub.rep").where(alike("n", "hub.n")).select(F.col("rep").alias("a"), F.col("hub.rep").alias("b")).distinct(), "stars")
-    links = stored(confirmed(stars, docs, percent, size), "links")
+    full = members.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1")
+    shared = stored(members.join(full, "bucket"), "buckets")
+    crowd = shared.groupBy("rep").agg(F.sum("m").alias("crowd"))
+    hubs = shared.join(crowd, "rep").groupBy("bucket").agg(F.max_by(F.struct("rep", "n"), F.struct("crowd", -F.col("rep"))).alias("hub"))
+    pairs = shared.join(hubs, "bucket").where("rep <> hub.rep").where(alike("n", "hub.n", percent))
+    stars = stored(pairs.select(F.greatest("rep", "hub.rep").alias("a"), F.least("rep", "hub.rep").alias("b")).distinct(), "stars")
+    ends = stored(stars.select(F.col("a").alias("doc_id")).union(stars.select("b")).distinct(), "ids")
+    links = stored(confirmed(stars, sets_of(docs, ends, size), percent), "links")
     # texts of one document, and what the stars found
     groups = stored(components(links), "groups")
 
-    open_ = shared.join(groups, shared.rep == groups.node, "left").select("bucket", "rep", "n", F.coalesce("component", "rep").alias("component"))
+    open_ = shared.join(groups, shared.rep == groups.node, "left").select("bucket", "rep", F.coalesce("component", "rep").alias("component"))
     several = open_.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket")
-    left = stored(open_.join(several, "bucket", "left_semi"), "open")
-    one, two = left.alias("x"), left.alias("y")
-    across = one.join(two, F.col("x.bucket") == F.col("y.bucket")).where("x.rep < y.rep and x.component <> y.component").where(alike("x.n", "y.n"))
-    rest = across.groupBy(F.col("y.rep").alias("a"), F.col("x.rep").alias("b")).count().where("count >= 2").select("a", "b")
-    rest = stored(rest.join(stars, ["a", "b"], "left_anti"), "rest")
-    more = stored(confirmed(rest, docs, percent, size), "links")
+    left = stored(open_.join(several, "bucket", "left_semi").select("rep", "component").distinct(), "open")
+    rest_sets = sets_of(docs, left.select(F.col("rep").alias("doc_id")), size)
+    rest = stored(across(left, rest_sets, percent).join(stars, ["a", "b"], "left_anti"), "rest")
+    more = stored(confirmed(rest, rest_sets, percent), "links")
     last = components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)) if not more.isEmpty() else groups
     found = sets.select("set_hi", "set_lo", "rep").join(last, F.col("rep") == F.col("node"), "left").select("set_hi", "set_lo", F.coalesce("component", "rep").alias("found"))
     rows_ = drawn.drop("bands").join(found, ["set_hi", "set_lo"], "left")
