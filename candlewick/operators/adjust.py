@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 
 from candlewick.plans.views import rounded
 
-MONEY = r"R[se]\.?\s*-?\s*(\d+(?:\.\d+)?)"
-PER_SHARE = MONEY + r"\s*(?:/-)?\s*Per\s*(?:Share|Sh|Unit)"
-NUMBER = r"(\d+(?:\.\d+)?)"
+# How announcements write amounts, splits and ratios.
+MONEY = r"R(?:s|e)\.?\s*-?\s*(\d+(?:\.\d+)?)"
+PER_SHARE = MONEY + r"\s*/?-?\s*Per\s+(?:Sh(?:are)?s?|Unit)"
+SPLIT = r"From\s+" + MONEY + r"\s*/?-?\s*Per\s+Share\s+To\s+" + MONEY
+RATIO = r"(\d+)\s*:\s*(\d+)"
 STRUCTURAL = ("split", "bonus")
 STORED_BASES = ("fyers_adjusted", "splits_only", "unadjusted")
 
@@ -43,15 +45,14 @@ def parse_subjects(df: DataFrame) -> DataFrame:
     amounts = F.expr(f"transform(regexp_extract_all({s}, r'(?i){PER_SHARE}', 1), x -> cast(x as double))")
     total = F.when(F.upper(s).contains("CONSIST"), F.try_element_at(amounts, F.lit(1))).otherwise(F.aggregate(amounts, F.lit(0.0), lambda a, x: a + x))
     dividend = F.when(F.size(amounts) > 0, total)
-    split_from, split_to = number(rf"From\s+{MONEY}.*?To\s+{MONEY}", 1), number(rf"From\s+{MONEY}.*?To\s+{MONEY}", 2)
-    ratio = rf"{NUMBER}\s*:\s*{NUMBER}"
-    a, b = number(ratio, 1), number(ratio, 2)
+    split_from, split_to = number(SPLIT, 1), number(SPLIT, 2)
+    a, b = number(RATIO, 1), number(RATIO, 2)
     of = lambda **by: F.coalesce(*(F.when(F.col("kind") == k, v) for k, v in by.items()))
     df = df.withColumns({"value": of(dividend=dividend, rights=number(MONEY)), "ratio_from": of(split=split_from, bonus=a, rights=a), "ratio_to": of(split=split_to, bonus=b, rights=b)})
     positive = (F.col("ratio_from") > 0) & (F.col("ratio_to") > 0)
     factor = F.when((F.col("kind") == "split") & positive, F.col("ratio_to") / F.col("ratio_from"))
     factor = factor.when((F.col("kind") == "bonus") & positive, F.col("ratio_to") / (F.col("ratio_from") + F.col("ratio_to")))
-    read = (F.col("kind") == "demerger") | ((F.col("kind") == "dividend") & F.col("value").isNotNull()) | (F.col("kind").isin("split", "bonus", "rights") & positive)
+    read = F.col("kind").isin("demerger", "rights") | ((F.col("kind") == "dividend") & F.col("value").isNotNull()) | (F.col("kind").isin("split", "bonus") & positive)
     df = df.withColumns({"price_factor": factor, "action_type": F.when(read, F.col("kind"))})
     special = F.when(F.col("action_type") == "dividend", F.upper(s).contains("SPECIAL")).when(F.col("action_type").isNotNull(), F.lit(True))
     shares = F.when(F.col("action_type").isNotNull(), F.col("action_type").isin("split", "bonus", "rights"))

@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 from candlewick.operators.indicators import lag, last_rows, ordered, rolling, true, volume_label
 from candlewick.plans.views import SER, rounded
 
-COMMON = ["entry", "stop_loss", "target_1", "target_2", "risk_pct"]
+# Names and texts that stored signals carry.
+TREND, MACD_TEXT, BAND_TEXT, VOLUME_TEXT = "GREEN ✓", ("Bullish ✓", "Bearish X"), ("Upper half ✓", "Lower half X"), ("✓", "X")
+CONVICTION = ("HIGH ⚡", "STRONG", "MODERATE")
 #: Strategies whose signals are events rather than states.
 EVENTS = ("PIPELINE", "S1_ST_Flip", "S2_MACD_Zero", "S3_BB_Squeeze", "TTM_Squeeze")
 
@@ -75,11 +77,11 @@ def confluence(df: DataFrame, least: int = 3) -> DataFrame:
     stop, target = rounded(F.col("supertrend_10_3") * 0.99, 2), rounded(F.col("close") * 1.07, 2)
     more = {
         "rr_ratio": reward_to_risk(target, stop), "score": F.concat(F.col("score").cast("string"), F.lit("/4")),
-        "conviction": F.when(high, "HIGH ⚡").when(F.col("score") == 4, "STRONG").otherwise("MODERATE"), "supertrend": rounded("supertrend_10_3", 2),
+        "conviction": F.when(high, CONVICTION[0]).when(F.col("score") == 4, CONVICTION[1]).otherwise(CONVICTION[2]), "supertrend": rounded("supertrend_10_3", 2),
         "breakdown": F.struct(
-            F.lit("GREEN ✓").alias("supertrend"), F.when(F.col("macd_ok"), "Bullish ✓").otherwise("Bearish X").alias("macd"), high.alias("high_conviction"),
-            F.when(F.col("bb_ok"), "Upper half ✓").otherwise("Lower half X").alias("bb_position"), F.format_string("%.1f%%", F.col("room") * 100).alias("room_to_upper"),
-            F.concat(F.format_string("%.1fx avg ", F.col("volume") / F.col("volume_ma_20")), F.when(F.col("vol_ok"), "✓").otherwise("X")).alias("volume"),
+            F.lit(TREND).alias("supertrend"), F.when(F.col("macd_ok"), MACD_TEXT[0]).otherwise(MACD_TEXT[1]).alias("macd"), high.alias("high_conviction"),
+            F.when(F.col("bb_ok"), BAND_TEXT[0]).otherwise(BAND_TEXT[1]).alias("bb_position"), F.format_string("%.1f%%", F.col("room") * 100).alias("room_to_upper"),
+            F.concat(F.format_string("%.1fx avg ", F.col("volume") / F.col("volume_ma_20")), F.when(F.col("vol_ok"), VOLUME_TEXT[0]).otherwise(VOLUME_TEXT[1])).alias("volume"),
         ),
     }
     hit = (F.col("i") >= 30) & (F.col("supertrend_dir") == 1) & ~near & (F.col("score") >= least)

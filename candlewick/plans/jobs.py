@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from candlewick.functions.calendar import with_session
 
-STEPS = ("ingest", "reconcile", "indicators", "signals", "actions", "trades", "evaluate")
+#: The steps in their order.
+STEPS = ("reap", "ingest", "reconcile", "indicators", "signals", "actions", "broker", "ledger", "evaluate")
 REQUESTS = 13  # that a full history of one symbol takes
 
 

@@ -7,16 +7,17 @@ from pyspark.sql import functions as F
 
 from candlewick import schemas
 
+# Series, column names and symbols that results depend on.
 SERIES = ("EQ", "BE", "BZ")
 #: Series that the panel keeps, by exchange.
-PANEL_SERIES = {"NSE": ("EQ", "BE", "BZ", "SM", "ST"), "BSE": ("A", "B", "T", "X", "XT", "Z", "ZP", "M", "MT")}
+PANEL_SERIES = {"NSE": ("EQ", "BE", "BZ", "SM", "ST"), "BSE": ("A", "B", "T", "M", "MT", "MS", "X", "XT")}
 #: Columns of the daily file under the panel's names.
 PANEL = {
     "TradDt": "date", "ISIN": "isin", "TckrSymb": "symbol", "SctySrs": "series", "FinInstrmNm": "name", "OpnPric": "open", "HghPric": "high", "LwPric": "low", "ClsPric": "close",
     "LastPric": "last", "PrvsClsgPric": "prev_close", "TtlTradgVol": "volume", "TtlTrfVal": "turnover", "TtlNbOfTxsExctd": "trades", "FinInstrmTp": "kind",
 }
 #: The symbols that stand in for the universe list if that is not there.
-FALLBACK = ("RELIANCE", "TCS", "HDFCBANK", "INFY", "ICICIBANK", "HINDUNILVR", "ITC", "SBIN", "BHARTIARTL", "KOTAKBANK", "LT", "AXISBANK")
+FALLBACK = ("RELIANCE", "TCS", "HDFCBANK", "INFY", "ICICIBANK", "HINDUNILVR", "ITC", "SBIN", "BHARTIARTL", "BAJFINANCE", "HINDZINC", "TATASTEEL")
 
 
 def daily_file(spark: SparkSession, path: str) -> DataFrame:
