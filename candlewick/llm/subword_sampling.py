@@ -29,7 +29,7 @@ from candlewick.llm.bytehash import mix, prefix_sums, span_hashes
 from candlewick.llm.common import as_bytes, row_key, slices, texts_of
 from candlewick.llm.lattice import SPACE, Lattices, Vocabulary, decode, lattices, piece_ids, vocabulary
 
-SLICE = 3 << 20
+SLICE = 1 << 20
 
 
 def cut_units(texts: list[bytes]) -> tuple[list[str], np.ndarray, np.ndarray]:
