@@ -1,13 +1,15 @@
 """Language identification (operator 4): kernel ridge regression on blended-spectrum n-gram presence kernels.
 
-The kernel of two texts is the number of character n-grams (lengths 1 to ``longest``) present in both, divided by the
-geometric mean of the numbers present in each.  Letters count in lower case; any run of other characters is one blank.
-N-grams are numbered by a hash in ``WIDTH`` places.  Nyström landmarks, drawn evenly from the languages, turn the kernel
-into features; one ridge regression for each language against the rest gives its score.  Kernel rows of a batch of texts
-are one matrix product with the landmarks.
-
-The sample that is learned from is bounded: ``per_language`` labelled texts for each of at most ``languages`` languages, by
-smallest hash of doc_id.  Only their n-gram numbers reach the driver.
+The kernel of two pieces of text is the number of character n-grams (lengths 1 to ``longest``) present in both, divided by
+the geometric mean of the numbers present in each.  Letters count in lower case; any run of other characters is one blank.
+N-grams are 64-bit hashes kept as sorted sets, so no number of them fills up a table.  A text is cut into equal pieces of at
+most ``PIECE`` characters; its kernel with a landmark is the mean over all its pieces that have a letter, so that a score
+does not depend on length.  Nyström landmarks, drawn evenly from the languages, turn the kernel into features; one ridge
+regression for each language against the rest gives its score.  Kernel rows are sparse: only n-grams of landmarks are looked
+up, each with the list of landmarks that have it.
+
+The sample that is learned from is ``per_language`` labelled texts for each language, by smallest hash of doc_id, and every
+language is learned.  The driver gets the n-grams of the landmarks and, from each task, sums of products of kernel rows.
 """
 
 from __future__ import annotations
@@ -21,12 +23,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from candlewick.llm.common import as_bytes, fold, map_slices, slices, texts_of
+from candlewick.llm.common import as_bytes, fold, map_slices, slices, stored, texts_of
 
-WIDTH = 1 << 14
 UNKNOWN = "und"
-ROWS = 64  # texts in one matrix product
-PIECE = 1 << 20
+PIECE = 4096  # characters at most in one piece of a text
+EACH = 4  # landmarks of each language at least
 
 
 @functools.cache
@@ -35,86 +36,130 @@ def letters() -> np.ndarray:
     return np.array([chr(c).isalpha() for c in range(1 << 16)])
 
 
-def present(text: bytes, longest: int) -> np.ndarray | None:
-    """The numbers of the n-grams of the whole text, as a mask; None if it has no letter."""
+def pieces(text: bytes) -> Iterator[np.ndarray]:
+    """The code points of each piece that has a letter: lower case, a blank for each run of other characters, and at both ends."""
     whole = text.decode("utf-8", "replace").lower()
-    mask = np.zeros(WIDTH, bool)
-    found = False
-    for at in range(0, len(whole), PIECE):
-        points = np.frombuffer((" " + whole[at : at + PIECE + longest] + " ").encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
+    k = -(-len(whole) // PIECE)
+    for i in range(k):
+        points = np.frombuffer((" " + whole[i * len(whole) // k : (i + 1) * len(whole) // k] + " ").encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
         is_letter = letters()[np.minimum(points, 0xFFFF).astype(np.intp)] | (points > 0xFFFF)
-        found = found or bool(is_letter[1:-1].any())
-        before = np.append(True, is_letter[:-1])
-        points = np.where(is_letter, points, np.uint64(32))[is_letter | before]
-        gram = np.zeros(len(points), np.uint64)
-        for n in range(1, longest + 1):
-            gram = gram[: len(points) - n + 1] * np.uint64(0x9E3779B97F4A7C15) + points[n - 1 :] + np.uint64(n)
-            mask[(gram ^ (gram >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(50)] = True
-    return mask if found else None
+        is_letter[[0, -1]] = False
+        if is_letter.any():
+            yield np.where(is_letter, points, np.uint64(32))[is_letter | np.append(True, is_letter[:-1])]
+
+
+def grams(points: np.ndarray, longest: int) -> np.ndarray:
+    """The distinct n-grams of a piece, as sorted hashes."""
+    found, gram = [], np.zeros(len(points), np.uint64)
+    for n in range(1, longest + 1):
+        gram = gram[: max(len(points) - n + 1, 0)] * np.uint64(0x9E3779B97F4A7C15) + points[n - 1 :] + np.uint64(n)
+        found.append((gram ^ (gram >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9))
+    return np.unique(np.concatenate(found))
 
 
 @dataclass
 class Model:
-    """Landmarks as packed bits, and a coefficient for each landmark and language."""
+    """The n-grams of the landmarks, for each the landmarks that have it, and a coefficient for each landmark and language."""
 
     languages: list[str]
-    landmarks: np.ndarray
+    vocabulary: np.ndarray
+    starts: np.ndarray
+    marks: np.ndarray
+    sizes: np.ndarray
     weights: np.ndarray
     bias: np.ndarray
     longest: int
 
-    def kernel_side(self) -> np.ndarray:
-        marks = np.unpackbits(self.landmarks, axis=1).astype(np.float32)
-        return marks / np.sqrt(marks.sum(1, keepdims=True))
-
-    def scores(self, texts: np.ndarray, side: np.ndarray) -> np.ndarray:
-        kernel = (texts @ side.T) / np.sqrt(texts.sum(1, keepdims=True))
+    @classmethod
+    def untrained(cls, languages: list[str], landmarks: list[np.ndarray], longest: int) -> Model:
+        sizes = np.array([len(x) for x in landmarks])
+        flat, of = np.concatenate(landmarks), np.repeat(np.arange(len(landmarks), dtype=np.int32), sizes)
+        order = np.argsort(flat, kind="stable")
+        vocabulary, starts = np.unique(flat[order], return_index=True)
+        return cls(languages, vocabulary, np.append(starts, len(flat)), of[order], sizes, np.zeros((len(landmarks), len(languages))), np.zeros(len(languages)), longest)
+
+    def row(self, found: np.ndarray) -> np.ndarray:
+        """The kernel of one piece, given by its n-grams, with each landmark."""
+        at = np.minimum(np.searchsorted(self.vocabulary, found), len(self.vocabulary) - 1)
+        at = at[self.vocabulary[at] == found]
+        first, many = self.starts[at], self.starts[at + 1] - self.starts[at]
+        place = np.arange(many.sum()) + np.repeat(first - (np.cumsum(many) - many), many)
+        return np.bincount(self.marks[place], minlength=len(self.sizes)) / np.sqrt(len(found) * self.sizes)
+
+    def kernel(self, text: bytes) -> np.ndarray | None:
+        """The mean over the pieces of a text; None if it has no letter."""
+        total, n = 0.0, 0
+        for points in pieces(text):
+            total, n = total + self.row(grams(points, self.longest)), n + 1
+        return total / n if n else None
+
+    def scores(self, kernel: np.ndarray) -> np.ndarray:
         return kernel @ self.weights + self.bias
 
 
-def sample(docs: DataFrame, learn: Column, per_language: int, languages: int, longest: int) -> list[tuple[str, int, np.ndarray]]:
-    """(language, rank, packed n-gram mask) of the bounded sample."""
-    labelled = docs.where(learn).where("lang is not null and text is not null")
-    top = labelled.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(languages).select("lang")
+def sample(docs: DataFrame, learn: Column, per_language: int) -> DataFrame:
+    """lang, rank and text (bytes) of the sample, stored: the first texts with a letter of each language."""
+    labelled = docs.where(learn).where("lang is not null and text is not null").where(F.col("text").rlike(r"\p{L}"))
     by_hash = Window.partitionBy("lang").orderBy("h", "text")
-    few = labelled.join(F.broadcast(top), "lang").select("lang", "doc_id", "text", F.xxhash64("doc_id", F.lit(4)).alias("h"))
     # a plain top-k filter on a window: Spark keeps k rows a language in each task before it shuffles
-    few = few.withColumn("rank", F.row_number().over(by_hash)).where(F.col("rank") <= per_language)
+    few = labelled.select("lang", "doc_id", "text", F.xxhash64("doc_id", F.lit(4)).alias("h")).withColumn("rank", F.row_number().over(by_hash)).where(F.col("rank") <= per_language)
+    return stored(few.select("lang", "rank", F.col("text").cast("binary").alias("text")), "languages")
 
-    def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-        masks = [present(t, longest) for t in texts_of(batch)]
-        packed = [None if m is None else np.packbits(m).tobytes() for m in masks]
-        return pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("rank"), pa.array(packed, pa.binary())], ["lang", "rank", "mask"])
 
-    rows = map_slices(as_bytes(few, "lang", "rank"), "text", step, "lang string, rank int, mask binary").where("mask is not null").collect()
-    return sorted((r.lang, r.rank, np.frombuffer(bytes(r["mask"]), np.uint8)) for r in rows)
+def learned(docs: DataFrame, learn: Column, per_language: int, landmarks: int, ridge: float, longest: int) -> Model | None:
+    """Nyström features from the first landmarks of each language, then ridge regression with targets 1 and -1."""
+    few = sample(docs, learn, per_language)
+    names = sorted(r.lang for r in few.select("lang").distinct().collect())
 
+    def first(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = [next((grams(p, longest).tobytes() for p in pieces(t)), None) for t in texts_of(batch)]
+        return pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("rank"), pa.array(found, pa.binary())], ["lang", "rank", "grams"])
 
-def fit(rows: list[tuple[str, int, np.ndarray]], landmarks: int, ridge: float, longest: int) -> Model | None:
-    """Nyström features from the first landmarks of each language, then ridge regression with targets 1 and -1."""
-    if not rows:
+    chosen = few.orderBy("rank", "lang").limit(max(landmarks, EACH * len(names)))
+    marks = sorted((r["rank"], r.lang, bytes(r.grams)) for r in map_slices(chosen, "text", first, "lang string, rank int, grams binary").where("grams is not null").collect())
+    if not marks:
         return None
-    rows = sorted(rows, key=lambda r: (r[1], r[0]))
-    names = sorted({r[0] for r in rows})
-    marks = np.stack([r[2] for r in rows[:landmarks]])
-    model = Model(names, marks, np.zeros((len(marks), len(names)), np.float32), np.zeros(len(names), np.float32), longest)
-    side = model.kernel_side().astype(np.float64)
-    every = np.unpackbits(np.stack([r[2] for r in rows]), axis=1).astype(np.float64)
-    kernel = (every @ side.T) / np.sqrt(every.sum(1, keepdims=True))
-    values, vectors = np.linalg.eigh(kernel[: len(marks)])
+    model = Model.untrained(names, [np.frombuffer(m[2], np.uint64) for m in marks], longest)
+    shared, place, m = docs.sparkSession.sparkContext.broadcast(model), {name: k for k, name in enumerate(names)}, len(marks)
+
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One row a task: the sums of x x', x y', x and y over its texts, x the kernel row and y the target."""
+        side, total = shared.value, np.zeros((m + 1, m + 1 + len(names)))
+        for batch in slices(batches, "text"):
+            x, y = [], []
+            for lang, text in zip(batch.column("lang").to_pylist(), texts_of(batch), strict=True):
+                if (row := side.kernel(text)) is not None:
+                    x.append(np.append(row, 1.0))
+                    y.append(np.where(np.arange(len(names)) == place[lang], 1.0, -1.0))
+            if x:
+                total += np.stack(x).T @ np.hstack([np.stack(x), np.stack(y)])
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["total"])
+
+    total = np.zeros((m + 1, m + 1 + len(names)))
+    for r in few.select("lang", "text").mapInArrow(products, "total binary").toLocalIterator():
+        total += np.frombuffer(bytes(r.total)).reshape(total.shape)
+    return solved(model, total, ridge)
+
+
+def solved(model: Model, total: np.ndarray, ridge: float) -> Model:
+    m = len(model.sizes)
+    bounds, vocabulary = model.starts, np.arange(len(model.vocabulary))
+    of = np.repeat(vocabulary, np.diff(bounds))
+    order = np.argsort(model.marks, kind="stable")
+    each = np.split(model.vocabulary[of[order]], np.cumsum(model.sizes)[:-1])
+    values, vectors = np.linalg.eigh(np.stack([model.row(x) for x in each]))
     good = values > 1e-9 * values[-1]
     whiten = vectors[:, good] / np.sqrt(values[good])
-    features = kernel @ whiten
-    target = np.where(np.array([r[0] for r in rows])[:, None] == np.array(names), 1.0, -1.0)
-    mean, middle = features.mean(0), target.mean(0)
-    centred = features - mean
-    solved = np.linalg.solve(centred.T @ centred + ridge * np.eye(centred.shape[1]), centred.T @ (target - middle))
-    model.weights = (whiten @ solved).astype(np.float32)
-    model.bias = (middle - mean @ solved).astype(np.float32)
+    n = total[m, m]
+    mean, middle = total[m, :m] / n, total[m, m + 1 :] / n
+    square, cross = total[:m, :m] - n * np.outer(mean, mean), total[:m, m + 1 :] - n * np.outer(mean, middle)
+    inner = whiten.T @ square @ whiten
+    model.weights = whiten @ np.linalg.solve(inner + ridge * np.eye(len(inner)), whiten.T @ cross)
+    model.bias = middle - mean @ model.weights
     return model
 
 
-def identify(docs: DataFrame, learn: Column | None = None, per_language: int = 300, languages: int = 64, landmarks: int = 240, ridge: float = 0.3, longest: int = 3) -> DataFrame:
+def identify(docs: DataFrame, learn: Column | None = None, per_language: int = 300, landmarks: int = 240, ridge: float = 0.3, longest: int = 3) -> DataFrame:
     """doc_id, held_out, lang_pred, score, a row for each row of docs.
 
     Learns from rows where `learn` holds (default: not held out; held out are those with crc32(doc_id) % 5 = 0), lang is
@@ -124,7 +169,7 @@ def identify(docs: DataFrame, learn: Column | None = None, per_language: int = 3
     columns are ignored.
     """
     learn = (~fold(0) & F.col("doc_id").isNotNull()) if learn is None else learn
-    model = fit(sample(docs, learn, per_language, languages, longest), landmarks, ridge, longest)
+    model = learned(docs, learn, per_language, landmarks, ridge, longest)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,25 +180,21 @@ def identify(docs: DataFrame, learn: Column | None = None, per_language: int = 3
 
 
 def _predicted(batches: Iterator[pa.RecordBatch], model: Model | None) -> Iterator[tuple[pa.RecordBatch, list[str], list[float]]]:
-    side = model.kernel_side() if model else None
     for batch in slices(batches, "text"):
         best, score = [UNKNOWN] * batch.num_rows, [0.0] * batch.num_rows
-        texts = [t.encode() if isinstance(t, str) else t for t in texts_of(batch)]
-        for at in range(0, len(texts) if model else 0, ROWS):
-            masks = {i: m for i in range(at, min(at + ROWS, len(texts))) if (m := present(texts[i], model.longest)) is not None}
-            if masks:
-                values = model.scores(np.stack([*masks.values()]).astype(np.float32), side)
-                for i, row in zip(masks, values, strict=True):
-                    k = int(row.argmax())
-                    best[i], score[i] = model.languages[k], float(np.clip((1 + row[k]) / 2, 0, 1))
+        for i, t in enumerate(texts_of(batch) if model else ()):
+            if (kernel := model.kernel(t.encode() if isinstance(t, str) else t)) is not None:
+                row = model.scores(kernel)
+                k = int(row.argmax())
+                best[i], score[i] = model.languages[k], float(np.clip((1 + row[k]) / 2, 0, 1))
         yield batch, best, score
 
 
-def accepted(docs: DataFrame, least: float = 0.3, per_language: int = 300, languages: int = 64, landmarks: int = 240, ridge: float = 0.3, longest: int = 3) -> DataFrame:
+def accepted(docs: DataFrame, least: float = 0.3, per_language: int = 300, landmarks: int = 240, ridge: float = 0.3, longest: int = 3) -> DataFrame:
     """The rows of docs, with all their columns, whose language is identified with a score of at least `least`.  The same
     model as identify(); rows are decided where they are read, without a shuffle."""
     learn = ~fold(0) & F.col("doc_id").isNotNull()
-    shared = docs.sparkSession.sparkContext.broadcast(fit(sample(docs, learn, per_language, languages, longest), landmarks, ridge, longest))
+    shared = docs.sparkSession.sparkContext.broadcast(learned(docs, learn, per_language, landmarks, ridge, longest))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, best, score in _predicted(batches, shared.value):

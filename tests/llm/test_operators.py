@@ -195,6 +195,20 @@ def test_language(docs, empty):
     assert langid.accepted(empty).count() == 0
 
 
+def test_language_long_texts_and_many_labels(spark):
+    """Large alphabets do not fill up, scores do not fall with length, and no label is left out."""
+    draw = random.Random(4)
+    text = lambda start, size, n: "".join(chr(start + draw.randrange(size)) for _ in range(n))
+    starts = {"big0": (0x4E00, 3000), "big1": (0x5A00, 3000)} | {f"small{k:02d}": (0x6600 + 20 * k, 12) for k in range(68)}
+    rows = [(i * 100 + k, text(*starts[lang], 1500 if lang < "c" else 150), lang) for i, lang in enumerate(starts) for k in range(12)]
+    asked = {10**6 + 10 * n + i: (f"big{i}", n) for n in (5, 300) for i in (0, 1)}
+    rows += [(i, text(*starts[lang], n * 1000), None) for i, (lang, n) in asked.items()]
+    got = {r.doc_id: r for r in langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)).collect()}
+    assert all(got[i].lang_pred == lang for i, (lang, _) in asked.items())
+    assert all(abs(got[10**6 + 50 + i].score - got[10**6 + 3000 + i].score) < 0.05 for i in (0, 1))
+    assert all(got[i].lang_pred == lang for i, _, lang in rows if lang)
+
+
 @pytest.mark.parametrize("crowd", [4096, 1])
 def test_suffix_dedup(spark, docs, empty, crowd):
     want = Counter()
