@@ -9,7 +9,9 @@ regression for each language against the rest gives its score.  Kernel rows are
 up, each with the list of landmarks that have it.
 
 The sample that is learned from is ``per_language`` labelled texts for each language, by smallest hash of doc_id, and every
-language is learned.  The driver gets the n-grams of the landmarks and, from each task, sums of products of kernel rows.
+language is learned.  Beside it the regression learns two kinds of unlike text as no language: each text with its letters
+in random order, and text that shares nothing with any landmark.  So the score of a text of no learned language is near 0,
+however many languages are learned.  The driver gets the n-grams of the landmarks and, from each task, sums of products of kernel rows.
 """
 
 from __future__ import annotations
@@ -28,6 +30,7 @@ from candlewick.llm.common import as_bytes, fold, map_slices, slices, stored, te
 UNKNOWN = "und"
 PIECE = 4096  # characters at most in one piece of a text
 EACH = 4  # landmarks of each language at least
+SHORT = 20  # letters: a text with fewer is judged by its alphabet
 
 
 @functools.cache
@@ -86,13 +89,25 @@ class Model:
         place = np.arange(many.sum()) + np.repeat(first - (np.cumsum(many) - many), many)
         return np.bincount(self.marks[place], minlength=len(self.sizes)) / np.sqrt(len(found) * self.sizes)
 
-    def kernel(self, text: bytes) -> np.ndarray | None:
-        """The mean over the pieces of a text; None if it has no letter."""
+    def kernel(self, text: bytes, shuffled: bool = False) -> np.ndarray | None:
+        """The mean over the pieces of a text, or of the text with the letters of each piece in random order; None if it has
+        no letter."""
         total, n = 0.0, 0
         for points in pieces(text):
+            if shuffled:
+                points = np.concatenate([points[:1], np.random.default_rng(len(points)).permutation(points[1:-1]), points[-1:]])
             total, n = total + self.row(grams(points, self.longest)), n + 1
         return total / n if n else None
 
+    def short(self, text: bytes) -> bool | None:
+        """Whether at least half of the letters of a very short text occur in landmarks; None if the text is not so short."""
+        points = np.empty(0, np.uint64)
+        for x in pieces(text):
+            points = np.append(points, x[x != 32])
+            if len(points) >= SHORT:
+                return None
+        return 2 * sum(bool(np.isin(grams(points[i : i + 1], 1), self.vocabulary)[0]) for i in range(len(points))) >= len(points)
+
     def scores(self, kernel: np.ndarray) -> np.ndarray:
         return kernel @ self.weights + self.bias
 
@@ -123,7 +138,7 @@ def learned(docs: DataFrame, learn: Column, per_language: int, landmarks: int, r
     shared, place, m = docs.sparkSession.sparkContext.broadcast(model), {name: k for k, name in enumerate(names)}, len(marks)
 
     def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """One row a task: the sums of x x', x y', x and y over its texts, x the kernel row and y the target."""
+        """One row a task: the sums of x x', x y', x and y over its texts and their unlike ones, x the kernel row and y the target."""
         side, total = shared.value, np.zeros((m + 1, m + 1 + len(names)))
         for batch in slices(batches, "text"):
             x, y = [], []
@@ -131,6 +146,8 @@ def learned(docs: DataFrame, learn: Column, per_language: int, landmarks: int, r
                 if (row := side.kernel(text)) is not None:
                     x.append(np.append(row, 1.0))
                     y.append(np.where(np.arange(len(names)) == place[lang], 1.0, -1.0))
+                    x += [np.append(side.kernel(text, shuffled=True), 1.0), np.append(np.zeros(m), 1.0)]
+                    y += [np.full(len(names), -1.0)] * 2
             if x:
                 total += np.stack(x).T @ np.hstack([np.stack(x), np.stack(y)])
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["total"])
@@ -191,13 +208,24 @@ def _predicted(batches: Iterator[pa.RecordBatch], model: Model | None) -> Iterat
 
 
 def accepted(docs: DataFrame, least: float = 0.3, per_language: int = 300, landmarks: int = 240, ridge: float = 0.3, longest: int = 3) -> DataFrame:
-    """The rows of docs, with all their columns, whose language is identified with a score of at least `least`.  The same
-    model as identify(); rows are decided where they are read, without a shuffle."""
+    """The rows of docs, with all their columns, that are of a learned language: the score is at least `least`.  The same model
+    as identify(); rows are decided where they are read, without a shuffle.
+
+    The default lies between the scores of labelled and of unlike text on sf0.1: of 1,960 held-out labelled documents those
+    with SHORT letters or more score 0.36 and up; random letters, hex and base64 digits, one letter repeated, shuffled
+    English, Finnish, Cyrillic, Greek and Chinese text score 0.22 at most.  A text of fewer than SHORT letters shows too few n-grams for a score.  It stays if at least half of its letters occur in
+    a landmark, whatever its score: another script goes, noise in a learned alphabet stays."""
     learn = ~fold(0) & F.col("doc_id").isNotNull()
     shared = docs.sparkSession.sparkContext.broadcast(learned(docs, learn, per_language, landmarks, ridge, longest))
 
+    def stays(text: str | None, best: str, score: float) -> bool:
+        if best == UNKNOWN:
+            return False
+        known = shared.value.short(text.encode())
+        return score >= least if known is None else known
+
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, best, score in _predicted(batches, shared.value):
-            yield batch.filter(pa.array([b != UNKNOWN and s >= least for b, s in zip(best, score, strict=True)], pa.bool_()))
+            yield batch.filter(pa.array([*map(stays, batch.column("text").to_pylist(), best, score)], pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema)

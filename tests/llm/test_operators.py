@@ -209,6 +209,71 @@ def test_language_long_texts_and_many_labels(spark):
     assert all(got[i].lang_pred == lang for i, _, lang in rows if lang)
 
 
+def foreign():
+    """(doc_id, text, stays): texts of no learned language, noise, and very short texts."""
+    draw = random.Random(5)
+    noise = lambda letters, n: "".join(draw.choice(letters) for _ in range(n))
+    gone = [
+        " ".join(noise("abcdefghijklmnopqrstuvwxyz", draw.randint(2, 9)) for _ in range(300)), noise("0123456789abcdef", 3000), noise("ABCDEFGHIJKLMabcdefghijklmnopqrstuvwxyz0123456789+/", 3000), "qj" * 1500,
+        "Все люди рождаются свободными и равными в своем достоинстве и правах. " * 5, "Όλοι οι άνθρωποι γεννιούνται ελεύθεροι και ίσοι στην αξιοπρέπεια. " * 5, "人人生而自由在尊严和权利上一律平等" * 5,
+        "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan.", "да нет", "99 人",
+    ]
+    return [(1000 + i, t, False) for i, t in enumerate(gone)] + [(1100, "The river.", True), (1101, "das haus", True)]
+
+
+def language_scores(rows):
+    """doc_id and (language, score) of the language model from Python sets of n-grams; every learned row is a landmark."""
+
+    def pieces(text):
+        text = (text or "").lower()
+        k = -(-len(text) // langid.PIECE)
+        cut = ["".join(c if c.isalpha() else " " for c in text[i * len(text) // k : (i + 1) * len(text) // k]) for i in range(k)]
+        return [re.sub(" +", " ", f" {c} ") for c in cut if c.strip()]
+
+    def grams(s):
+        return frozenset(s[i : i + n] for n in (1, 2, 3) for i in range(len(s) - n + 1))
+
+    def mixed(s):
+        return " " + "".join(chr(c) for c in np.random.default_rng(len(s)).permutation(np.array([ord(c) for c in s[1:-1]]))) + " "
+
+    def kernel(parts):
+        return np.mean([[len(p & m) / math.sqrt(len(p) * len(m)) for m in marks] for p in map(grams, parts)], axis=0)
+
+    known = [(r[2], pieces(r[1])) for r in rows if r[0] is not None and zlib.crc32(str(r[0]).encode()) % 5 and r[2] and pieces(r[1])]
+    marks, names = [grams(p[0]) for _, p in known], sorted({lang for lang, _ in known})
+    x = np.array([kernel(p) for _, p in known] + [kernel([mixed(s) for s in p]) for _, p in known] + [np.zeros(len(marks))] * len(known))
+    y = np.array([[1.0 if lang == n else -1.0 for n in names] for lang, _ in known] + [[-1.0] * len(names)] * (2 * len(known)))
+    values, vectors = np.linalg.eigh(np.array([[len(a & b) / math.sqrt(len(a) * len(b)) for b in marks] for a in marks]))
+    whiten = (vectors / np.sqrt(np.maximum(values, 1e-300)))[:, values > 1e-9 * values[-1]]
+    f = x @ whiten
+    weights = np.linalg.solve((f - f.mean(0)).T @ (f - f.mean(0)) + 0.3 * np.eye(f.shape[1]), (f - f.mean(0)).T @ (y - y.mean(0)))
+    out = {}
+    for r in rows:
+        if pieces(r[1]):
+            v = y.mean(0) + (kernel(pieces(r[1])) @ whiten - f.mean(0)) @ weights
+            out[r[0]] = names[int(v.argmax())], min(max((1 + v.max()) / 2, 0), 1), {c for m in marks for c in m if len(c) == 1}
+    return out
+
+
+def test_language_stage_drops_foreign_text(spark):
+    import corpus_pipeline
+
+    rows = corpus() + [(i, t, None, "s9", None, 7, 0.5, "k", "v") for i, t, _ in foreign()]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    want, score = set(), language_scores(rows)
+    for i, (_, value, alphabet) in score.items():
+        letters = [c for c in next(r[1] for r in rows if r[0] == i).lower() if c.isalpha()]
+        if 2 * sum(c in alphabet for c in letters) >= len(letters) if len(letters) < langid.SHORT else value >= 0.3:
+            want.add(i)
+    for r in langid.identify(docs).collect():
+        assert (r.lang_pred == "und") == (r.doc_id not in score)
+        assert r.doc_id not in score or abs(r.score - score[r.doc_id][1]) < 1e-6
+    kept = {r.doc_id for r in corpus_pipeline.STAGES[0][1](spark, docs, "").collect()}
+    assert kept == want
+    assert {i for i, _, _ in foreign()} & kept == {i for i, _, stays in foreign() if stays}
+    assert set(range(120)) <= kept
+
+
 @pytest.mark.parametrize("crowd", [4096, 1])
 def test_suffix_dedup(spark, docs, empty, crowd):
     want = Counter()
