@@ -12,7 +12,8 @@
    rarest shingles: two sets of similarity t share one of the rarest |x| - ceil(t |x|) + 1 shingles of each.  That is
    exact, and texts that share only what is common to many do not meet.
 
-Two texts at the threshold 0.85 have no equal band among 32 bands of 5 bins with probability 7e-9; closer texts far less.
+Two texts at the threshold 0.80 have no equal band among 40 bands of 5 bins with probability (1 - 0.8^5)^40 = 1.3e-7; closer
+texts far less.  At 0.85, 32 bands miss one with probability 7e-9.
 """
 
 from __future__ import annotations
@@ -138,7 +139,7 @@ def across(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return met.select(F.greatest("x.rep", "y.rep").alias("a"), F.least("x.rep", "y.rep").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, bands: int = 32, rows: int = 5, size: int = 5) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 80, bands: int = 40, rows: int = 5, size: int = 5) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable over links), kept (doc_id = component_id).
 
     Texts are linked if 100 * |intersection| >= percent * |union| of their shingle sets.  A null, empty or blank text has

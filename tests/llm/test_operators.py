@@ -107,6 +107,25 @@ def test_star_misses_are_found(spark):
     assert {r.component_id for r in got.collect()} == {0}
 
 
+def test_pipeline_links_from_080(spark):
+    """The pipeline's stage has no contract of its own and links from 0.80; op5_minhash links from 0.85."""
+    import corpus_pipeline
+
+    base = [f"w{i}" for i in range(400)]
+    rows = []
+    for k, changes in enumerate((0, 8, 9)):  # similarity to the first: 1, 356/436 = 0.817, 351/441 = 0.796
+        text = list(base)
+        for j in range(changes):
+            text[40 * j + 20 + k] = f"v{k}.{j}"
+        rows.append((k, " ".join(text)))
+    sets = [shingle_set(t) for _, t in rows]
+    alike = [len(sets[0] & s) / len(sets[0] | s) for s in sets]
+    assert 0.80 <= alike[1] < 0.85 and alike[2] < 0.80
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in corpus_pipeline.STAGES[2][1](spark, docs, "").collect()} == {0, 2}
+    assert minhash.near_duplicates(docs, percent=85, bands=32).where("kept").count() == 3
+
+
 def test_line_dedup(docs, empty):
     rows = sorted({(d[0] if d[0] is not None else 1 << 62, d[1]) for d in corpus() if d[1] is not None})
     seen, want = [], {}
