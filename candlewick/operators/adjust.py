@@ -172,18 +172,18 @@ def detect_gaps(panel: DataFrame, manual: DataFrame | None = None, suspect: floa
     return df.withColumns(prices | {"adj_volume": F.col("volume") / F.col("factor")}).drop("_share", "_manual", "session", "last_session")
 
 
-def restate(positions: DataFrame, factor: str = "factor") -> DataFrame:
-    """Prices times the factor, quantities by it, rounded half-even."""
-    prices = {c: F.col(c) * F.col(factor) for c in ("avg_entry_price", "stop_loss", "target_1", "target_2") if c in positions.columns}
-    return positions.withColumns(prices | {c: F.rint(F.col(c) / F.col(factor)).cast("long") for c in ("qty_open", "qty_total")})
+def restate(positions: DataFrame, factor: str = "factor", quantity: str = "long") -> DataFrame:
+    """Prices times the factor, quantities by it, rounded half-even.  Quantities can be double where many splits follow."""
+    prices = {c: F.col(c) * F.col(factor) for c in ("avg_entry_price", "entry", "stop_loss", "target_1", "target_2") if c in positions.columns}
+    return positions.withColumns(prices | {c: F.rint(F.try_divide(c, factor)).cast(quantity) for c in ("qty_open", "qty_total")})
 
 
-def restate_for_actions(positions: DataFrame, actions: DataFrame, up_to: Column) -> DataFrame:
+def restate_for_actions(positions: DataFrame, actions: DataFrame, up_to: Column, quantity: str = "long") -> DataFrame:
     """Folds splits and bonuses since the last restatement (or the opening) into positions; last_restated moves only where
     one applied."""
     since = positions.withColumns({"_since": F.coalesce("last_restated", "opened_on"), "_up_to": up_to})
     f = factor_after(since, actions, "_since", "_up_to", "_factor")
-    out = restate(f, "_factor")
+    out = restate(f, "_factor", quantity)
     applied = F.col("_factor") != 1
     return out.withColumns({"last_restated": F.when(applied, F.col("_up_to")).otherwise(F.col("last_restated")), "structural_factor_applied": F.col("structural_factor_applied") * F.col("_factor")}).drop("_since", "_up_to", "_factor")
 

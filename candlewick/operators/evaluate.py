@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from candlewick.functions.calendar import sessions_between
+from candlewick.operators.adjust import restate_for_actions
 from candlewick.operators.indicators import with_volume_divergence
 
 VERDICTS = ("EXIT", "PARTIAL", "REVIEW", "HOLD")
@@ -47,22 +48,26 @@ def decide(df: DataFrame) -> DataFrame:
 
 
 def evaluate(positions: DataFrame, frame: DataFrame, actions: DataFrame, holdings: DataFrame, days: DataFrame, as_of: Column, horizon: int = 5) -> DataFrame:
-    """Verdicts of all open positions in one plan.
+    """Verdicts of all open positions in one plan, restated first for splits and bonuses up to as_of.
 
     positions: position_id, account_id, symbol_id, opened_on, qty_total, qty_open, avg_entry_price, matched, stop_loss, target_1,
-    target_2.  frame: indicator frame.  actions: symbol_id, action_type, ex_date.  holdings: account_id, symbol_id, as_of, quantity."""
-    open_ = positions.where("qty_open > 0").withColumn("as_of", as_of)
+    target_2, and last_restated and structural_factor_applied if they were restated before.  frame: indicator frame.  actions:
+    symbol_id, action_type, ex_date, price_factor.  holdings: account_id, symbol_id, as_of, quantity."""
+    as_opened = positions.where("qty_open > 0")
+    never = {"last_restated": F.lit(None).cast("date"), "structural_factor_applied": F.lit(1.0)}
+    open_ = as_opened.withColumns({c: v for c, v in never.items() if c not in positions.columns})
+    open_ = restate_for_actions(open_, actions, as_of, "double").withColumn("as_of", as_of).withColumnRenamed("structural_factor_applied", "qty_factor")
     bars = with_volume_divergence(frame).withColumn("bar_date", F.to_date("ts")).where(F.col("bar_date") <= as_of)
     last = bars.groupBy("symbol_id").agg(F.max_by(F.struct("close", "low", "supertrend_dir", F.col("volume_divergence").alias("divergence"), "bar_date"), "ts").alias("bar")).select("symbol_id", "bar.*")
     snapshot = holdings.where(F.col("as_of") <= as_of).groupBy("account_id", "symbol_id").agg(F.max_by("quantity", "as_of").alias("broker_qty"))
-    sums = open_.groupBy("account_id", "symbol_id").agg(F.sum("qty_open").alias("qty_sum"))
-    held = open_.select("position_id", "symbol_id", "opened_on").join(actions.where("action_type = 'demerger'").select("symbol_id", "ex_date"), "symbol_id")
+    open_ = open_.withColumn("qty_sum", F.sum("qty_open").over(Window.partitionBy("account_id", "symbol_id")))
+    held = as_opened.select("position_id", "symbol_id", "opened_on").join(actions.where("action_type = 'demerger'").select("symbol_id", "ex_date"), "symbol_id")
     cliffs = held.where((F.col("ex_date") > F.col("opened_on")) & (F.col("ex_date") <= as_of)).select("position_id", F.lit(True).alias("demerger")).distinct()
     soon = sessions_between(actions.select("symbol_id", "ex_date").where(F.col("ex_date") > as_of).withColumn("_now", as_of), "_now", "ex_date", days, "_n")
     soon = soon.where(F.col("_n") <= horizon).groupBy("symbol_id").agg(F.min("ex_date").alias("next_action")).withColumn("upcoming", F.lit(True))
-    df = open_.join(last, "symbol_id", "left").join(snapshot, ["account_id", "symbol_id"], "left").join(sums, ["account_id", "symbol_id"]).join(cliffs, "position_id", "left").join(soon, "symbol_id", "left")
-    df = df.join(chandelier(open_, frame, as_of), "position_id", "left")
-    df = sessions_between(df.withColumn("qty_factor", F.lit(1.0)), "opened_on", "as_of", days, "days_held")
+    df = open_.join(last, "symbol_id", "left").join(snapshot, ["account_id", "symbol_id"], "left").join(cliffs, "position_id", "left").join(soon, "symbol_id", "left")
+    df = df.join(chandelier(as_opened, frame, as_of), "position_id", "left")
+    df = sessions_between(df, "opened_on", "as_of", days, "days_held")
     return decide(df.withColumns({"demerger": F.coalesce("demerger", F.lit(False)), "upcoming": F.coalesce("upcoming", F.lit(False))}))
 
 

@@ -147,8 +147,12 @@ def actions_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return adjust.parse_subjects(views.action_subjects(spark, sf_dir)).select("part_id", "action_type", "value", "price_factor", "is_extraordinary")
 
 
+def _all_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return adjust.parse_subjects(views.action_subjects(spark, sf_dir)).where("action_type is not null")
+
+
 def _actions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return adjust.parse_subjects(views.action_subjects(spark, sf_dir)).where("action_type is not null and part_id % 40 < 8")
+    return _all_actions(spark, sf_dir).where("part_id % 40 < 8")
 
 
 ACTIONS_SQL = f"""SELECT symbol_id, ex_date, part_id % 8 AS k, CASE part_id % 8 WHEN 2 THEN 0.1 WHEN 3 THEN 1.0/(regexp_extract(subject, '(\\d+):', 1)::DOUBLE + 1) END AS f
@@ -231,12 +235,12 @@ def match_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def evaluate_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """E1-E7."""
     f = frame(spark, sf_dir)
-    fills = _near_fills(spark, sf_dir).where("trade_date < date '1997-01-01'")
+    fills = _near_fills(spark, sf_dir).where("trade_date <= date '1997-01-31'")
     found = matching.match(matching.candidates(fills, signals.run(f, ["Confluence"]), calendar.days(_calendar(spark))))
     open_ = matching.apply_matches(ledger.positions(fills), found)
     held = fills.select("account_id", "symbol_id", F.col("trade_date").alias("as_of"), "quantity")
     day = F.lit("1997-01-31").cast("date")
-    done = evaluate.evaluate(open_, f, _actions(spark, sf_dir), held, calendar.days(_calendar(spark)), day)
+    done = evaluate.evaluate(open_, f, _all_actions(spark, sf_dir), held, calendar.days(_calendar(spark)), day)
     return done.select("position_id", "verdict", "reasons", "warnings", views.rounded("pnl_pct", 6).alias("pnl_pct"), "days_held")
 
 

@@ -192,6 +192,24 @@ def test_matching(spark):
     assert (best.strategy, best.sessions, best.confidence, best.reason) == ("S1_ST_Flip", 2, 0.8, "S1_ST_Flip @2026-09-18, fill 1.2% from entry")
 
 
+def test_evaluation_restates(spark):
+    """Positions that a split or bonus met before as_of are judged in today's terms; a fraction of a share is a mismatch."""
+    days = calendar.days(calendar.sessions(spark, "2026-09-01", "2026-10-30"))
+    at = [D(2026, 9, 21) + dt.timedelta(i) for i in range(5)]
+    bars_ = [(s, dt.datetime(d.year, d.month, d.day), 51.0, 49.0, 50.0, 1.0, 1) for s in (1, 2, 3) for d in at]
+    f = spark.createDataFrame(bars_, "symbol_id int, ts timestamp_ntz, high double, low double, close double, atr_10 double, supertrend_dir int")
+    f = f.withColumns({"timeframe": F.lit("1d"), "open": F.col("close"), "volume": F.lit(1000).cast("long")})
+    kind = "position_id int, account_id int, symbol_id int, opened_on date, qty_total long, qty_open long, avg_entry_price double, matched boolean, stop_loss double, target_1 double, target_2 double"
+    p = spark.createDataFrame([(s, 1, s, D(2026, 9, 21), q, q, 100.0, True, 80.0, 120.0, 140.0) for s, q in ((1, 10), (2, 10), (3, 3))], kind)
+    a = spark.createDataFrame([(1, "split", D(2026, 9, 23), 0.5), (3, "bonus", D(2026, 9, 23), 0.4), (2, "split", D(2026, 9, 28), 0.5)], "symbol_id int, action_type string, ex_date date, price_factor double")
+    h = spark.createDataFrame([(1, 1, D(2026, 9, 24), 20)], "account_id int, symbol_id int, as_of date, quantity long")
+    done = {r.position_id: r for r in evaluate.evaluate(p, f, a, h, days, F.lit(D(2026, 9, 25))).collect()}
+    assert (done[1].avg_entry_price, done[1].stop_loss, done[1].target_1, done[1].qty_total, done[1].qty_sum, done[1].qty_factor) == (50.0, 40.0, 60.0, 20, 20, 0.5)
+    assert done[1].pnl_pct == 0 and "STOP_HIT" not in done[1].reasons and "QTY_DIFFERS_FROM_BROKER" not in done[1].warnings
+    assert done[2].avg_entry_price == 100.0 and "STOP_HIT" in done[2].reasons  # the split is still to come
+    assert "QTY_MISMATCH" in done[3].reasons and done[3].qty_total == 8  # 7.5 shares
+
+
 def decided(spark, **change):
     base = {
         "close": 100.0, "low": 99.0, "avg_entry_price": 95.0, "stop_loss": 90.0, "target_1": 110.0, "target_2": 120.0, "trail": 80.0, "supertrend_dir": 1, "qty_total": 10, "qty_factor": 1.0, "matched": True,
