@@ -188,6 +188,41 @@ def total_return_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.select("symbol_id", "ts", views.rounded("adjustment", 8).alias("adjustment"))
 
 
+# The same over every announcement of the table.  A product of dozens of factors is compared as the sum of their logarithms.
+
+ALL_ACTIONS_SQL = f"""SELECT symbol_id, ex_date, part_id % 8 AS k, CASE part_id % 8 WHEN 2 THEN 0.1 WHEN 3 THEN 1.0/(regexp_extract(subject, '(\\d+):', 1)::DOUBLE + 1) END AS f
+  FROM ({views.SUBJECTS_SQL}) WHERE part_id % 8 <> 7"""
+
+
+@register("actions_factor_after_all", f"""WITH a AS ({ALL_ACTIONS_SQL}) SELECT t.trade_id, round_even(coalesce(sum(ln(a.f)), 0.0)*1e6, 0)/1e6 AS log_factor FROM ({views.FILLS_SQL}) t
+  LEFT JOIN a ON a.symbol_id = t.symbol_id AND a.ex_date > t.trade_date AND a.f IS NOT NULL GROUP BY t.trade_id""")
+def factor_all_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A1 over all announcements."""
+    f = adjust.factor_after(views.fills(spark, sf_dir), _all_actions(spark, sf_dir), "trade_date")
+    return f.select("trade_id", views.rounded(F.ln("factor"), 6).alias("log_factor"))
+
+
+@register("actions_volume_factors_all", f"""WITH a AS ({ALL_ACTIONS_SQL}), b AS ({views.daily_bars_sql()}) SELECT b.symbol_id, b.ts, round_even(coalesce(sum(-ln(a.f)), 0.0)*1e6, 0)/1e6 AS log_factor FROM b
+  LEFT JOIN a ON a.symbol_id = b.symbol_id AND a.ex_date > b.ts AND a.f IS NOT NULL GROUP BY 1, 2""")
+def volume_factor_all_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A4 over all announcements."""
+    f = adjust.volume_factors(views.daily_bars(spark, sf_dir), _all_actions(spark, sf_dir), "unadjusted")
+    return f.select("symbol_id", "ts", views.rounded(F.ln("volume_factor"), 6).alias("log_factor"))
+
+
+@register("actions_total_return_all", f"""WITH a AS ({ALL_ACTIONS_SQL}), b AS ({views.daily_bars_sql()}), m AS ({views.SUBJECTS_SQL}),
+  d AS (SELECT part_id, symbol_id, ex_date, CASE WHEN part_id % 8 = 6 THEN regexp_extract(subject, 'Rs (\\d+\\.\\d+)', 1)::DOUBLE WHEN part_id % 8 = 1 THEN 1 + regexp_extract(subject, 'Special Dividend - Rs (\\d+)', 1)::DOUBLE
+    ELSE regexp_extract(subject, 'Rs (\\d+)', 1)::DOUBLE END AS v FROM m WHERE part_id % 8 IN (0, 1, 6)),
+  p AS (SELECT d.part_id, arg_max(b.close, b.ts) AS prior FROM d JOIN b ON b.symbol_id = d.symbol_id AND b.ts < d.ex_date GROUP BY 1),
+  s AS (SELECT d.part_id, coalesce(sum(ln(a.f)), 0.0) AS s FROM d LEFT JOIN a ON a.symbol_id = d.symbol_id AND a.ex_date > d.ex_date AND a.f IS NOT NULL GROUP BY 1),
+  g AS (SELECT symbol_id, ex_date, 1 - v*exp(s)/prior AS f FROM d JOIN p USING (part_id) JOIN s USING (part_id) WHERE prior > 0 AND 1 - v*exp(s)/prior > 0)
+  SELECT b.symbol_id, b.ts, round_even(coalesce(sum(ln(g.f)), 0.0)*1e6, 0)/1e6 AS log_adjustment FROM b LEFT JOIN g ON g.symbol_id = b.symbol_id AND g.ex_date > b.ts GROUP BY 1, 2""")
+def total_return_all_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A3, J6, J11 over all announcements."""
+    f = adjust.total_return(views.daily_bars(spark, sf_dir), _all_actions(spark, sf_dir))
+    return f.select("symbol_id", "ts", views.rounded(F.ln("adjustment"), 6).alias("log_adjustment"))
+
+
 # Ledger and positions
 
 LEDGER_SQL = f"""WITH RECURSIVE t AS ({views.FILLS_SQL}),
