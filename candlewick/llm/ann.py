@@ -1,18 +1,19 @@
 """Approximate nearest neighbours (operator 9): cross-polytope hashing with multiprobe tables and exact reranking.
 
-A table hashes a unit vector with `axes` pseudo-rotations, each three rounds of random signs and a fast Hadamard transform;
-a rotation's code is the signed axis nearest to the rotated vector.  Every vector is in one bucket of each table; a query
-looks in several buckets of each, those whose axes are nearest to it.  What the buckets hold is reranked by exact distance.
+A table hashes a unit vector with a few axes.  An axis is a pseudo-rotation, three rounds of random signs and a fast Hadamard
+transform; its code is the signed axis nearest to the rotated vector.  Every vector is in one bucket of each table; a query
+looks in several buckets of each, those whose axes are nearest to it.
 
-The query set is stated, and goes over the index in blocks of BLOCK queries: a block with its buckets has a fixed size and is
-sent to all tasks; each task looks up its part of the index and returns only the best of each query, so pairs of queries and
-vectors are never rows.
+The index is a table of (bucket, vector number), the probes one of (bucket, query number): candidates are their equi-join,
+each pair once, reranked by exact distance, of which only the best of a query stay.  Tables get more axes as vectors get
+more (see layout), so a bucket holds about as many vectors at any size.
 """
 
 from __future__ import annotations
 
 import functools
-from functools import reduce
+import itertools
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -20,176 +21,196 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from candlewick.llm.bytehash import mix
-from candlewick.llm.common import stored
+from candlewick.llm.common import scratch, stored, wide_hash
 
-BLOCK = 512  # queries that are held at once
-ROWS = 512  # index rows that a task compares at once
+ROWS = 256  # vectors that a task hashes at once
+LOAD = 70  # buckets of a table for each vector, at most
+FLAT = 1 << 22  # components of query vectors that are broadcast at most (32 MB)
+
+
+@functools.cache
+def _hadamard(n: int) -> np.ndarray:
+    h = np.ones((1, 1), np.float32)
+    while len(h) < n:
+        h = np.block([[h, h], [h, -h]])
+    return h
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
-    """Fast Walsh-Hadamard transform of the rows, scaled to keep lengths; the width is a power of 2."""
-    n, half = x.shape[1], 1
+    """Fast Walsh-Hadamard transform of the rows, scaled to keep lengths; the width is a power of 2.  Blocks of 64 are one
+    small matrix product, which is quicker than six passes; the rest is butterflies."""
+    n = x.shape[1]
+    half = min(n, 64)
+    x = (x.reshape(-1, half) @ _hadamard(half)).reshape(x.shape)
     while half < n:
         pairs = x.reshape(len(x), n // (2 * half), 2, half)
         x = np.stack([pairs[:, :, 0] + pairs[:, :, 1], pairs[:, :, 0] - pairs[:, :, 1]], 2).reshape(len(x), n)
         half *= 2
-    return x / np.sqrt(n)
+    return x / np.float32(np.sqrt(n))
 
 
 @functools.cache
 def signs(table: int, axis: int, width: int) -> np.ndarray:
-    return np.random.default_rng((9, table, axis, width)).choice([-1.0, 1.0], (3, width))
+    return np.random.default_rng((9, table, axis, width)).choice([-1.0, 1.0], (3, width)).astype(np.float32)
+
+
+def width_of(dim: int) -> int:
+    return 1 << max(1, dim - 1).bit_length()
+
+
+def layout(n: int, width: int, most: int | None = None) -> tuple[int, ...]:
+    """How many coordinates each axis of a table (`most` axes at most) looks at: all of them, and in the last axis so many that a
+    table has at most LOAD * n buckets."""
+    left, axes = max(LOAD * n, 2), []
+    while left >= 2 and len(axes) != most:
+        axes.append(min(width, 1 << ((left // 2).bit_length() - 1)))
+        left //= 2 * axes[-1]
+        if axes[-1] < width:
+            break
+    return tuple(axes)
+
 
+def units(vectors: np.ndarray) -> np.ndarray:
+    """The vectors at length 1, filled up with zeros to a power of 2."""
+    out = np.zeros((len(vectors), width_of(vectors.shape[1])))
+    out[:, : vectors.shape[1]] = vectors / np.abs(vectors).max(1, keepdims=True)  # no overflow in the norm
+    return (out / np.linalg.norm(out, axis=1, keepdims=True)).astype(np.float32)
 
-def bucket_keys(vectors: np.ndarray, tables: int, axes: int, probes: int) -> np.ndarray:
-    """Keys (rows x tables * probes) of the buckets of each vector, the nearest first; probes=1 gives its own."""
-    dim = vectors.shape[1]
-    width = 1 << max(1, dim - 1).bit_length()
-    unit = np.zeros((len(vectors), width))
-    unit[:, :dim] = vectors / np.abs(vectors).max(1, keepdims=True)  # no overflow in the norm
-    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
-    keys = []
+
+def rotated(unit: np.ndarray, table: int, axis: int, size: int) -> np.ndarray:
+    y = unit
+    for s in signs(table, axis, unit.shape[1]):
+        y = hadamard(y * s)
+    return y[:, :size]
+
+
+def own_buckets(vectors: np.ndarray, tables: int, axes: tuple[int, ...]) -> np.ndarray:
+    """The keys (rows x tables) of the bucket of each vector in each table."""
+    unit, codes = units(vectors), np.zeros((len(vectors), tables), np.int64)
+    every = np.arange(len(vectors))
+    for t in range(tables):
+        for a, size in enumerate(axes):
+            y = rotated(unit, t, a, size)
+            near = np.abs(y).argmax(1)
+            codes[:, t] = codes[:, t] * (2 * size) + near + size * (y[every, near] < 0)
+    return _keys(codes, np.arange(tables), vectors.shape[1], len(axes))
+
+
+def near_buckets(vectors: np.ndarray, tables: int, axes: tuple[int, ...], probes: int) -> np.ndarray:
+    """The keys (rows x tables * probes) of the buckets nearest to each vector, of fewer if a table has no more."""
+    unit, keys = units(vectors), []
     for t in range(tables):
         codes, costs = np.zeros((len(unit), 1), np.int64), np.zeros((len(unit), 1))
-        for a in range(axes):
-            y = unit
-            for s in signs(t, a, width):
-                y = hadamard(y * s)
+        for a, size in enumerate(axes):
+            y = rotated(unit, t, a, size)
             ends = np.concatenate([y, -y], 1)  # signed axes: nearness is the coordinate
-            most = min(probes, ends.shape[1])
-            near = np.argsort(-ends, axis=1, kind="stable")[:, :most]
+            near = np.argsort(-ends, axis=1, kind="stable")[:, :probes]
             value = np.take_along_axis(ends, near, 1)
             cost = (value[:, :1] - value) ** 2
-            codes = (codes[:, :, None] * (2 * width) + near[:, None]).reshape(len(unit), -1)
+            codes = (codes[:, :, None] * (2 * size) + near[:, None]).reshape(len(unit), -1)
             costs = (costs[:, :, None] + cost[:, None]).reshape(len(unit), -1)
             best = np.argsort(costs, axis=1, kind="stable")[:, :probes]
             codes, costs = np.take_along_axis(codes, best, 1), np.take_along_axis(costs, best, 1)
-        keys.append(mix(codes.astype(np.uint64) * np.uint64(65537) + np.uint64(t), dim))
+        keys.append(_keys(codes, np.array([t]), vectors.shape[1], len(axes)))
     return np.concatenate(keys, 1)
 
 
-def indexed(entries: DataFrame, tables: int, axes: int) -> DataFrame:
-    """The entries (vkey, vec, ids, least) with codes: the bucket of each table."""
+def _keys(codes: np.ndarray, table: np.ndarray, dim: int, axes: int) -> np.ndarray:
+    return mix(mix(codes.astype(np.uint64), dim) + table.astype(np.uint64), axes).view(np.int64)
 
-    def run(batches):
-        for whole in batches:
-            for at in range(0, whole.num_rows, ROWS):
-                batch = whole.slice(at, ROWS)
-                rows = batch.column("vec").to_pylist()
-                codes = [None] * len(rows)
-                for some, vectors in by_length(rows):
-                    for i, keys in zip(some, bucket_keys(vectors, tables, axes, 1).view(np.int64), strict=True):
-                        codes[i] = keys
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(codes, pa.list_(pa.int64()))], [*batch.schema.names, "codes"])
-
-    return entries.mapInArrow(run, ", ".join(f"{n} {t}" for n, t in entries.dtypes) + ", codes array<bigint>")
-
-
-def by_length(rows: list[list[float]]) -> list[tuple[list[int], np.ndarray]]:
-    """Places and matrix of the vectors of each length."""
-    places: dict[int, list[int]] = {}
-    for i, r in enumerate(rows):
-        places.setdefault(len(r), []).append(i)
-    return [(some, np.array([rows[i] for i in some], float)) for some in places.values()]
-
-
-def search(index: DataFrame, block: list[tuple[int, list[float]]], k: int, tables: int, axes: int, probes: int | None) -> DataFrame:
-    """qkey, vkey, score, least: of a block of queries (qkey, vector), the best k index rows that each task has among those in a
-    query's buckets; without probes, among all."""
-    asked = []
-    for some, vectors in by_length([v for _, v in block]):
-        keys, owner = np.empty(0, np.uint64), np.empty(0, np.int64)
-        if probes:
-            found = bucket_keys(vectors, tables, axes, probes)
-            order = np.argsort(found.ravel(), kind="stable")
-            keys, owner = found.ravel()[order], np.repeat(np.arange(len(some)), found.shape[1])[order]
-        asked.append((np.array([block[i][0] for i in some]), vectors, keys, owner))
-    shared = index.sparkSession.sparkContext.broadcast({a[1].shape[1]: a for a in asked})
-
-    def met(codes: np.ndarray, keys: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
-        """Whether a query (row) shares a bucket with a vector (column)."""
-        hit = np.zeros((n, len(codes)), bool)
-        flat = codes.view(np.uint64).ravel()
-        low, high = np.searchsorted(keys, flat, "left"), np.searchsorted(keys, flat, "right")
-        size = high - low
-        at = np.repeat(low - np.cumsum(size) + size, size) + np.arange(size.sum())
-        hit[owner[at], np.repeat(np.arange(len(flat)) // codes.shape[1], size)] = True
-        return hit
+
+def bucketed(rows: DataFrame, buckets: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """number, bucket: for each row (number, vec) the keys that `buckets` gives for a matrix of vectors of one length."""
 
     def run(batches):
-        best: dict[int, tuple] = {}
         for whole in batches:
             for at in range(0, whole.num_rows, ROWS):
                 batch = whole.slice(at, ROWS)
-                rows, codes = batch.column("vec").to_pylist(), batch.column("codes").to_pylist()
-                vkeys, least = batch.column("vkey").to_numpy(), batch.column("least").to_numpy()
-                for some, vectors in by_length(rows):
-                    if vectors.shape[1] not in shared.value:
-                        continue
-                    qkeys, queries, keys, owner = shared.value[vectors.shape[1]]
-                    hit = np.ones((len(queries), len(some)), bool) if probes is None else met(np.array([codes[i] for i in some]), keys, owner, len(queries))
-                    for q in np.flatnonzero(hit.any(1)):
-                        own = np.flatnonzero(hit[q])
-                        score = np.sqrt(((vectors[own] - queries[q]) ** 2).sum(1))
-                        here = np.array(some)[own]
-                        new = (score, least[here], vkeys[here])
-                        key = int(qkeys[q])
-                        if key in best:
-                            new = tuple(map(np.concatenate, zip(best[key], new, strict=True)))
-                        top = np.lexsort((new[1], new[0]))[:k]
-                        best[key] = tuple(x[top] for x in new)
-        if best:
-            size = [len(b[0]) for b in best.values()]
-            score, low, vkey = map(np.concatenate, zip(*best.values(), strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(list(best), size)), pa.array(vkey), pa.array(score), pa.array(low)], ["qkey", "vkey", "score", "least"])
-
-    return index.select("vkey", "vec", "least", "codes").mapInArrow(run, "qkey long, vkey long, score double, least long")
-
-
-def searched(index: DataFrame, asked: DataFrame, k: int, tables: int, axes: int, probes: int | None) -> DataFrame:
-    """qkey, vkey, score: the best k rows found for each of asked (qkey, qvec), which pass the driver in blocks."""
-    block, found = [], []
-    for row in asked.orderBy("qkey").toLocalIterator():
-        block.append((row.qkey, row.qvec))
-        if len(block) == BLOCK:
-            found.append(stored(search(index, block, k, tables, axes, probes), "found"))
-            block = []
-    if block or not found:
-        found.append(stored(search(index, block, k, tables, axes, probes), "found"))
-    near = Window.partitionBy("qkey").orderBy("score", "least")
-    every = reduce(DataFrame.union, found).withColumn("nth", F.row_number().over(near))
-    return every.where(F.col("nth") <= k).select("qkey", "vkey", "score")
-
-
-def nearest(rows: DataFrame, k: int = 10, every: int = 100, tables: int = 64, axes: int = 2, probes: int = 64) -> DataFrame:
+                numbers, vectors = batch.column("number").to_numpy(), batch.column("vec").to_pylist()
+                places: dict[int, list[int]] = {}
+                for i, v in enumerate(vectors):
+                    places.setdefault(len(v), []).append(i)
+                for some in places.values():
+                    keys = buckets(np.array([vectors[i] for i in some], float))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(numbers[some], keys.shape[1])), pa.array(keys.ravel())], ["number", "bucket"])
+
+    return rows.select("number", "vec").mapInArrow(run, "number long, bucket long")
+
+
+def distance(a: str, b: str):
+    """Euclidean, in double precision."""
+    return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
+
+
+def searched(entries: DataFrame, queries: DataFrame, k: int, tables: int, axes: int | None, probes: int, total: int, drop: int) -> DataFrame:
+    """query, number, n_ids, score: the best k entries (number, vec, n_ids, least) found for each query (number, vec), with the
+    last `drop` axes left out; the only axis of a table is searched whole."""
+
+    def axes_of(vectors: np.ndarray) -> tuple[int, ...]:
+        full = layout(total, width_of(vectors.shape[1]), axes)
+        return full[: max(1, len(full) - drop)]
+
+    def asked(vectors: np.ndarray) -> np.ndarray:
+        sizes = axes_of(vectors)
+        return near_buckets(vectors, tables, sizes, probes if len(sizes) > 1 else 2 * sizes[0])
+
+    index = bucketed(entries, lambda v: own_buckets(v, tables, axes_of(v)))
+    looked = bucketed(queries, asked).withColumnRenamed("number", "query")
+    pairs = looked.join(index, "bucket").select("query", "number").distinct()
+    vectors = queries.select(F.col("number").alias("query"), F.col("vec").alias("asked"))
+    held = queries.agg(F.coalesce(F.sum(F.size("vec")), F.lit(0))).first()[0]
+    scored = pairs.join(entries, "number").join(F.broadcast(vectors) if held <= FLAT else vectors, "query")
+    scored = scored.select("query", "number", "n_ids", "least", distance("vec", "asked").alias("score"))
+    near = Window.partitionBy("query").orderBy("score", "least")
+    return scored.withColumn("nth", F.row_number().over(near)).where(F.col("nth") <= k).select("query", "number", "n_ids", "score")
+
+
+def nearest(rows: DataFrame, k: int = 10, every: int = 100, tables: int = 128, axes: int | None = None, probes: int = 128) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest rows found for each row whose vec_id is divisible by `every`.
 
-    rows: vec_id, embedding (array of numbers).  Null vec_ids and vectors that are null, empty, zero or hold null or
-    non-finite numbers take no part; exact repeats of a row count once.  Vectors of different lengths are not compared.
-    Equal distances go to the smaller vec_id.  Other columns are ignored.
+    rows: vec_id, embedding (array of numbers).  axes: how many a table has at most (default: as many as the rows ask for).  Null vec_ids and vectors that are null, empty, zero or hold null or
+    non-finite numbers take no part; exact repeats of a row count once.  Rows that share a vec_id with different vectors are
+    searched each, and their answers share the ranks of that vec_id.  Vectors of different lengths are not compared.  Equal
+    distances go to the smaller vec_id.  Other columns are ignored.
+
+    Buckets see directions only: norms that differ much among near directions cost recall (README has figures).
 
     Equal vectors are one entry of the index with their k + 1 smallest ids, the only ones that can be among the nearest of
-    anything.  A query for which the tables hold fewer than k rows is compared with all instead.
+    anything.  A query for which the tables hold fewer than k rows is searched again with one axis less, at last with one
+    axis and all of its buckets, that is among all vectors of its length.
     """
     vec = F.transform(F.col("embedding").cast("array<double>"), lambda x: x + F.lit(0.0))  # -0.0 becomes 0.0
     sound = "vec_id is not null and size(vec) > 0 and forall(vec, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(vec, x -> x <> 0)"
-    good = rows.select(F.col("vec_id").cast("long").alias("vec_id"), vec.alias("vec")).where("vec is not null").where(sound).withColumn("vkey", F.xxhash64("vec"))
-    ids = good.groupBy("vkey", "vec_id").agg(F.first("vec").alias("vec"))
-    # a top-k filter on a window: Spark keeps k + 1 rows a vector in each task before it shuffles
-    first = ids.withColumn("nth", F.row_number().over(Window.partitionBy("vkey").orderBy("vec_id"))).where(F.col("nth") <= k + 1)
-    entries = first.groupBy("vkey").agg(F.first("vec").alias("vec"), F.sort_array(F.collect_list("vec_id")).alias("ids"))
-    entries = stored(entries.withColumn("least", F.col("ids")[0]), "vectors")
-    asking = stored(ids.where(F.col("vec_id") % every == 0).select("vec_id", "vkey", "vec"), "queries")
-    queries = asking.groupBy("vkey").agg(F.first("vec").alias("vec"))
-
-    index = stored(indexed(entries, tables, axes), "index")
-    asked = queries.select(F.col("vkey").alias("qkey"), F.col("vec").alias("qvec"))
-    found = stored(searched(index, asked, k + 1, tables, axes, probes), "nearest")
-    full = found.join(entries.select("vkey", F.size("ids").alias("n")), "vkey").groupBy("qkey").agg(F.sum("n").alias("n")).where(F.col("n") > k)
-    short = stored(asked.join(full, "qkey", "left_anti"), "short")
-    if not short.isEmpty():
-        found = found.join(short, "qkey", "left_anti").union(searched(index, short, k + 1, tables, axes, None))
-    named = found.join(entries.select("vkey", F.explode("ids").alias("vec_id")), "vkey").select("qkey", "vec_id", "score")
-    answers = asking.select(F.col("vec_id").alias("query_id"), F.col("vkey").alias("qkey")).join(named, "qkey").where("query_id <> vec_id")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
-    return answers.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    good = rows.select(F.col("vec_id").cast("long").alias("vec_id"), vec.alias("vec")).where("vec is not null").where(sound).withColumn("vkey", wide_hash("vec"))
+    with scratch(rows.sparkSession) as keep:
+        ids = good.groupBy("vkey", "vec_id").agg(F.first("vec").alias("vec"))
+        # a top-k filter on a window: Spark keeps k + 1 rows a vector in each task before it shuffles
+        first = ids.withColumn("nth", F.row_number().over(Window.partitionBy("vkey").orderBy("vec_id"))).where(F.col("nth") <= k + 1)
+        grouped = first.groupBy("vkey").agg(F.first("vec").alias("vec"), F.sort_array(F.collect_list("vec_id")).alias("ids"))
+        grouped = grouped.withColumns({"number": F.monotonically_increasing_id(), "least": F.col("ids")[0], "n_ids": F.size("ids")})
+        table = stored(grouped, "vectors")
+        entries, total = table.select("number", "vec", "least", "n_ids"), table.count()
+        asking = stored(ids.where(F.col("vec_id") % every == 0).select("vec_id", "vkey").join(table.select("vkey", "number"), "vkey").select(F.col("vec_id").alias("query_id"), F.col("number").alias("query")), "queries")
+        open_ = stored(entries.join(asking.select(F.col("query").alias("number")).distinct(), "number", "left_semi").select("number", "vec"), "asked")
+        found = None
+        for drop in itertools.count():
+            got = stored(searched(entries, open_, k + 1, tables, axes, probes, total, drop), "found")
+            full = got.groupBy("query").agg(F.sum("n_ids").alias("n")).where(F.col("n") > k).select(F.col("query").alias("number"))
+            last = drop >= most_axes(open_, total, axes) - 1
+            done = got if last else got.join(full.withColumnRenamed("number", "query"), "query", "left_semi")
+            found = done if found is None else found.union(done)
+            if last:
+                break
+            open_ = stored(open_.join(full, "number", "left_anti"), "asked")
+            if open_.isEmpty():
+                break
+        named = found.join(table.select("number", F.explode("ids").alias("vec_id")), "number").select("query", "vec_id", "score")
+        answers = asking.join(named, "query").where("query_id <> vec_id")
+        rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
+        return keep(answers.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"), "nearest")
+
+
+def most_axes(queries: DataFrame, total: int, axes: int | None) -> int:
+    """The most axes that a table has for vectors of a length that is asked for: short vectors have the most."""
+    least = queries.agg(F.min(F.size("vec"))).first()[0]
+    return 1 if least is None else len(layout(total, width_of(least), axes))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import re
 import tempfile
 import uuid
@@ -35,15 +36,43 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
+_open: list[list[str]] = []
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
-    """The rows written once as Parquet in the shared folder and read again: cuts the lineage and survives lost executors."""
+    """The rows written once as Parquet in the shared folder and read again: cuts the lineage and survives lost executors.
+
+    Within scratch() the table goes with the block, else at exit."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/candlewick/{label}-{uuid.uuid4().hex}"
+    if _open:
+        _open[-1].append(path)
+    else:
+        atexit.register(_remove, spark, path)
     df.write.parquet(path)
-    atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """A block whose stored tables are removed at its end, whether it succeeds or not.  It yields keep(df, label), which stores a
+    table that outlives the block: what the block returns must come from there."""
+    _open.append([])
+
+    def keep(df: DataFrame, label: str) -> DataFrame:
+        mine = _open.pop()
+        try:
+            return stored(df, label)
+        finally:
+            _open.append(mine)
+
+    try:
+        yield keep
+    finally:
+        for path in _open.pop():
+            _remove(spark, path)
+
+
 def unstore(df: DataFrame) -> None:
     """Removes the files of a table from stored() that no later plan reads."""
     for file in {f.rpartition("/")[0] for f in df.inputFiles()}:
@@ -63,9 +92,32 @@ def small(df: DataFrame, most: int) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+#: A key is hot if more than one in HOT of all rows have it, so there are fewer than HOT hot keys.
+HOT = 10_000
+
+
+def hot_join(rows: DataFrame, side: DataFrame, on: list[str], size: str, total: int, how: str = "inner") -> DataFrame:
+    """rows joined to a stored side with one row a key; `size` is a column of side (dropped) with how many rows have the key, at
+    least, and `total` the number of rows.  Rows of a hot key are dealt by their hash to parts, and its row of side is copied to
+    each, so that a task gets about total / HOT rows of a key at most.  The parts of the fewer than HOT hot keys are broadcast,
+    and the copies are fewer than 2 * HOT."""
+    parts = side.withColumn("_parts", F.greatest(F.lit(1), F.ceil(F.col(size) * HOT / max(total, 1))).cast("int")).drop(size)
+    hot = parts.where("_parts > 1").select(*on, "_parts")
+    dealt = rows.join(F.broadcast(hot), on, "left")
+    part = F.when(F.col("_parts").isNull(), 0).otherwise(F.pmod(F.xxhash64(*rows.columns), "_parts")).cast("int")
+    copies = parts.withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
+    return dealt.withColumn("_part", part).drop("_parts").join(copies, [*on, "_part"], how).drop("_part")
+
+
+def wide_hash(*columns: str) -> Column:
+    """A 128-bit hash as 16 bytes."""
+    half = lambda *c: F.lpad(F.hex(F.xxhash64(*c)), 16, "0")
+    return F.unhex(F.concat(half(*columns), half(F.lit(1), *columns)))
+
+
 def row_key() -> Column:
-    """Stands for a document in joins: equal for repeated rows only, whatever doc_id holds."""
-    return F.xxhash64("doc_id", "text")
+    """Stands for a document in joins: equal for repeated rows only, whatever doc_id holds (128 bits)."""
+    return wide_hash("doc_id", "text")
 
 
 def fold(i: int) -> Column:

@@ -25,27 +25,38 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from candlewick.llm.common import as_bytes, fold, map_slices, slices, stored, texts_of
+from candlewick.llm.common import as_bytes, fold, map_slices, row_key, scratch, slices, small, stored, texts_of
 
 UNKNOWN = "und"
 PIECE = 4096  # characters at most in one piece of a text
 EACH = 4  # landmarks of each language at least
+CHOSEN = 200_000  # keys of the sample that are broadcast at most, some 10 MB
 SHORT = 20  # letters: a text with fewer is judged by its alphabet
 
 
 @functools.cache
 def letters() -> np.ndarray:
-    """For each code point below 2**16, whether it is a letter; above, all count as letters."""
+    """For each code point below 2**16, whether it is a letter."""
     return np.array([chr(c).isalpha() for c in range(1 << 16)])
 
 
+def are_letters(points: np.ndarray) -> np.ndarray:
+    """Whether each code point is a letter; those above 2**16, mostly few, are asked for once each."""
+    out = letters()[np.minimum(points, 0xFFFF).astype(np.intp)]
+    high = np.flatnonzero(points > 0xFFFF)
+    if len(high):
+        distinct, inverse = np.unique(points[high], return_inverse=True)
+        out[high] = np.array([chr(int(c)).isalpha() for c in distinct])[inverse]
+    return out
+
+
 def pieces(text: bytes) -> Iterator[np.ndarray]:
     """The code points of each piece that has a letter: lower case, a blank for each run of other characters, and at both ends."""
     whole = text.decode("utf-8", "replace").lower()
     k = -(-len(whole) // PIECE)
     for i in range(k):
         points = np.frombuffer((" " + whole[i * len(whole) // k : (i + 1) * len(whole) // k] + " ").encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
-        is_letter = letters()[np.minimum(points, 0xFFFF).astype(np.intp)] | (points > 0xFFFF)
+        is_letter = are_letters(points)
         is_letter[[0, -1]] = False
         if is_letter.any():
             yield np.where(is_letter, points, np.uint64(32))[is_letter | np.append(True, is_letter[:-1])]
@@ -113,16 +124,24 @@ class Model:
 
 
 def sample(docs: DataFrame, learn: Column, per_language: int) -> DataFrame:
-    """lang, rank and text (bytes) of the sample, stored: the first texts with a letter of each language."""
-    labelled = docs.where(learn).where("lang is not null and text is not null").where(F.col("text").rlike(r"\p{L}"))
-    by_hash = Window.partitionBy("lang").orderBy("h", "text")
-    # a plain top-k filter on a window: Spark keeps k rows a language in each task before it shuffles
-    few = labelled.select("lang", "doc_id", "text", F.xxhash64("doc_id", F.lit(4)).alias("h")).withColumn("rank", F.row_number().over(by_hash)).where(F.col("rank") <= per_language)
-    return stored(few.select("lang", "rank", F.col("text").cast("binary").alias("text")), "languages")
+    """lang, rank, times and text (bytes) of the sample, stored: the first distinct texts with a letter of each language, and how
+    many rows each stands for.  Rows are chosen by their keys alone; only the texts of chosen ones are moved."""
+    labelled = docs.where(learn).where("lang is not null and text is not null").where(F.col("text").rlike(r"\p{L}")).withColumn("key", row_key())
+    keys = labelled.groupBy("lang", "key").agg(F.first("doc_id").alias("doc_id"), F.count("*").alias("times")).withColumn("h", F.xxhash64("doc_id", F.lit(4)))
+    # a top-k filter on a window: Spark keeps k rows a language in each task before it shuffles
+    first = keys.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h", "key"))).where(F.col("rank") <= per_language)
+    chosen = stored(first.select("lang", "key", "rank", "times"), "language-keys")
+    few = labelled.select("lang", "key", F.col("text").cast("binary").alias("text")).join(small(chosen, CHOSEN), ["lang", "key"]).dropDuplicates(["lang", "key"])
+    return stored(few.select("lang", "rank", "times", "text"), "languages")
 
 
 def learned(docs: DataFrame, learn: Column, per_language: int, landmarks: int, ridge: float, longest: int) -> Model | None:
     """Nyström features from the first landmarks of each language, then ridge regression with targets 1 and -1."""
+    with scratch(docs.sparkSession):
+        return _learned(docs, learn, per_language, landmarks, ridge, longest)
+
+
+def _learned(docs: DataFrame, learn: Column, per_language: int, landmarks: int, ridge: float, longest: int) -> Model | None:
     few = sample(docs, learn, per_language)
     names = sorted(r.lang for r in few.select("lang").distinct().collect())
 
@@ -142,18 +161,20 @@ def learned(docs: DataFrame, learn: Column, per_language: int, landmarks: int, r
         side, total = shared.value, np.zeros((m + 1, m + 1 + len(names)))
         for batch in slices(batches, "text"):
             x, y = [], []
-            for lang, text in zip(batch.column("lang").to_pylist(), texts_of(batch), strict=True):
+            weights: list[int] = []
+            for lang, times, text in zip(batch.column("lang").to_pylist(), batch.column("times").to_pylist(), texts_of(batch), strict=True):
                 if (row := side.kernel(text)) is not None:
                     x.append(np.append(row, 1.0))
                     y.append(np.where(np.arange(len(names)) == place[lang], 1.0, -1.0))
                     x += [np.append(side.kernel(text, shuffled=True), 1.0), np.append(np.zeros(m), 1.0)]
                     y += [np.full(len(names), -1.0)] * 2
+                    weights += [times] * 3
             if x:
-                total += np.stack(x).T @ np.hstack([np.stack(x), np.stack(y)])
+                total += (np.stack(x).T * weights) @ np.hstack([np.stack(x), np.stack(y)])
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["total"])
 
     total = np.zeros((m + 1, m + 1 + len(names)))
-    for r in few.select("lang", "text").mapInArrow(products, "total binary").toLocalIterator():
+    for r in few.select("lang", "times", "text").mapInArrow(products, "total binary").toLocalIterator():
         total += np.frombuffer(bytes(r.total)).reshape(total.shape)
     return solved(model, total, ridge)
 
@@ -180,7 +201,7 @@ def identify(docs: DataFrame, learn: Column | None = None, per_language: int = 3
     """doc_id, held_out, lang_pred, score, a row for each row of docs.
 
     Learns from rows where `learn` holds (default: not held out; held out are those with crc32(doc_id) % 5 = 0), lang is
-    not null and the text has a letter.  score is (1 + the best regression value) / 2 within 0 to 1.  A text that is null
+    not null and the text has a letter; of equal rows one is drawn and weighs as many.  score is (1 + the best regression value) / 2 within 0 to 1.  A text that is null
     or has no letter is `und` with score 0, as is every text if nothing can be learned.  Equal values go to the first
     language by name.  A null doc_id is not held out and not learned from.  Repeated rows each get their row.  Other
     columns are ignored.

@@ -26,6 +26,11 @@ class Vocabulary:
     weights: np.ndarray  # natural log of each piece's probability
     byte0: int  # id of the piece for byte 0
 
+    @functools.cached_property
+    def raw(self) -> list[bytes]:
+        """What each piece writes."""
+        return [bytes([i - self.byte0]) if 0 <= i - self.byte0 < 256 else p.encode() for i, p in enumerate(self.pieces)]
+
     def with_weights(self, weights: np.ndarray) -> Vocabulary:
         return Vocabulary(self.pieces, self.prefixes, weights, self.byte0)
 
@@ -179,7 +184,4 @@ def piece_ids(pieces: np.ndarray, edges: np.ndarray, vocab: Vocabulary) -> tuple
 
 def decode(ids: np.ndarray | list[int], vocab: Vocabulary) -> str:
     """The text of piece ids: bytes joined, the blank mark as a space, without the space set before the text."""
-    out = bytearray()
-    for i in ids:
-        out += bytes([i - vocab.byte0]) if 0 <= i - vocab.byte0 < 256 else vocab.pieces[i].encode()
-    return out.decode("utf-8", "replace").replace(SPACE, " ")[1:]
+    return b"".join(map(vocab.raw.__getitem__, ids)).decode("utf-8", "replace").replace(SPACE, " ")[1:]

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from candlewick.llm.bytehash import grouped
-from candlewick.llm.common import fold, slices, stored
+from candlewick.llm.common import fold, scratch, slices, stored
 from candlewick.llm.lattice import SPACE, Vocabulary, lattices, vocabulary
 from candlewick.llm.wordsums import document_sums, word_counts
 
@@ -87,6 +87,11 @@ def scores(docs: DataFrame, model: str, learn: Column | None = None, held_out: C
     """
     held_out = fold(1) if held_out is None else held_out
     learn = ~held_out if learn is None else learn
+    with scratch(docs.sparkSession) as keep:
+        return keep(_scores(docs, model, learn, held_out), "lm-scores")
+
+
+def _scores(docs: DataFrame, model: str, learn: Column, held_out: Column) -> DataFrame:
     counted = stored(word_counts(docs, words, learn), "words")
     ends = docs.where(learn).count()
     known = counted.agg(F.coalesce(F.sum("n_learned"), F.lit(0)), F.count(F.when(F.col("n_learned") > 0, 1))).first()

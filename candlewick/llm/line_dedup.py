@@ -14,7 +14,8 @@ corpus, in the order of doc_id and line number.
 4. Lines with an equal variant are compared with the earliest of them, and the edit distance is verified.  All lines that agree
    but for one place are within one substitution of each other, so the earliest is enough.
 
-Short lines (below ``least`` characters) are removed only if equal.
+Short lines (below ``least`` characters) are removed only if equal: one edit makes another word or number of them.  least=0
+compares all lines in the same way.
 """
 
 from __future__ import annotations
@@ -22,15 +23,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from candlewick.llm.common import row_key, small, stored
+from candlewick.llm.common import hot_join, row_key, scratch, stored
 
-BLOCK = 256
-FEW = 200_000  # lines of some 100 bytes
+BLOCK, BLOCKS = 256, 256  # characters of a block; beyond so many blocks they grow, so a line costs its length times BLOCKS
+FEW = 2_000_000  # hashes that are broadcast at most (16 MB)
+COUNTS = ("n_lines", "n_equal", "n_near")
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
     """doc_key, at (doc_id, line number), line, h1, h2: the lines with a word."""
-    cut = docs.select("doc_id", row_key().alias("doc_key"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    # keys first: beside the generator they would be computed, and the text copied, for each line
+    keyed = docs.select("doc_id", row_key().alias("doc_key"), F.split("text", "\n").alias("lines"))
+    cut = keyed.select("doc_id", "doc_key", F.posexplode("lines").alias("line_no", "line"))
     cut = cut.where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
     at = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("doc_id"), "doc_key", "line_no")
     return cut.select("doc_key", at.alias("at"), "line", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
@@ -43,7 +47,7 @@ def blocks_of(lines: DataFrame, *carried: str) -> DataFrame:
     roles = lines.withColumn("n", n).withColumn("role", F.explode(F.array(F.lit(0), F.lit(1))))
     # lengths and blocks are those of the shorter line of a pair
     roles = roles.withColumn("short", F.col("n") - F.col("role"))
-    count = F.greatest(F.lit(3), F.ceil(F.col("short") / BLOCK)).cast("int")
+    count = F.least(F.lit(BLOCKS), F.greatest(F.lit(3), F.ceil(F.col("short") / BLOCK))).cast("int")
     rows = roles.withColumn("count", count).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("count") - 1)))
     rows = rows.withColumn("low", F.floor(F.col("short") * F.col("block") / F.col("count")).cast("int"))
     rows = rows.withColumn("high", F.floor(F.col("short") * (F.col("block") + 1) / F.col("count")).cast("int") + F.col("role"))
@@ -63,7 +67,7 @@ def variants_of(blocks: DataFrame) -> DataFrame:
     more = (F.col("role") == 1) | (F.col("place") < 0)
     # a substitution pairs lines that are changed at the same place
     where = F.when(more, F.lit(-1)).otherwise(F.col("place"))
-    return rows.select("h1", "h2", "first", "role", more.alias("more"), F.xxhash64("outside", where, left).alias("variant"))
+    return rows.select("h1", "h2", "first", "role", more.alias("more"), (F.col("low") + F.col("place")).alias("spot"), F.xxhash64("outside", where, left).alias("variant"))
 
 
 def near_lines(docs: DataFrame, places: DataFrame, least: int) -> DataFrame:
@@ -73,45 +77,69 @@ def near_lines(docs: DataFrame, places: DataFrame, least: int) -> DataFrame:
     met = keys.groupBy("outside").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).where("low < high").select("outside")
     asked = stored(keys.join(met, "outside", "left_semi").groupBy("h1", "h2").agg(F.collect_set("outside").alias("open")), "open-lines")
     # only lines that agree with another but for one block go on, with their text
-    some = long_.join(small(asked, FEW), ["h1", "h2"]).groupBy("h1", "h2").agg(F.first("line").alias("line"), F.first("open").alias("open"), F.min("at").alias("first"))
+    hashes = asked.agg(F.coalesce(F.sum(F.size("open") + 2), F.lit(0))).first()[0]
+    some = long_.join(F.broadcast(asked) if hashes <= FEW else asked, ["h1", "h2"]).groupBy("h1", "h2").agg(F.first("line").alias("line"), F.first("open").alias("open"), F.min("at").alias("first"))
     some = stored(some, "near-lines")
     rows = blocks_of(some, "first", "open").where(F.array_contains("open", F.col("outside")))
     variants = variants_of(rows)
     groups = variants.groupBy("more", "variant").agg(
-        F.min(F.when(F.col("role") == 0, F.struct("first", "h1", "h2"))).alias("short"), F.min(F.when(F.col("role") == 1, F.struct("first", "h1", "h2"))).alias("long"),
+        F.min(F.when(F.col("role") == 0, F.struct("first", "h1", "h2", "spot"))).alias("short"), F.min(F.when(F.col("role") == 1, F.struct("first", "h1", "h2", "spot"))).alias("long"),
         F.min("h1").alias("low"), F.max("h1").alias("high"),
     ).where("low < high")
     pairs = variants.join(groups.drop("low", "high"), ["more", "variant"])
     # of a group with one character more and less, each line meets the earliest of the other length
     other = F.when(~F.col("more"), F.col("short")).when(F.col("role") == 0, F.col("long")).otherwise(F.col("short"))
-    pairs = pairs.withColumn("other", other).where("other.first < first").select("h1", "h2", F.col("other.h1").alias("o1"), F.col("other.h2").alias("o2")).distinct()
+    pairs = pairs.withColumn("other", other).where("other.first < first")
+    # the place of the character that differs, or that the longer line has more
+    spot = F.when(F.col("more") & (F.col("role") == 0), F.col("other.spot")).otherwise(F.col("spot"))
+    pairs = pairs.select("h1", "h2", F.col("other.h1").alias("o1"), F.col("other.h2").alias("o2"), spot.alias("spot")).distinct()
     texts = some.select("h1", "h2", "line")
     others = texts.select(F.col("h1").alias("o1"), F.col("h2").alias("o2"), F.col("line").alias("earlier"))
     both = pairs.join(texts, ["h1", "h2"]).join(others, ["o1", "o2"])
-    return both.where(F.levenshtein("line", "earlier", 1).between(0, 1)).select("h1", "h2").distinct()
+    return both.where(one_edit("line", "earlier", F.col("spot"))).select("h1", "h2").distinct()
 
 
-def deduplicated(docs: DataFrame, least: int = 20) -> DataFrame:
+def one_edit(a: str, b: str, spot: Column) -> Column:
+    """Whether two lines are the same but for the character at `spot`: another one, or one more in the longer line.  Found in one
+    pass, where a general edit distance is slow on very long lines."""
+    n, m = F.length(a), F.length(b)
+    without = lambda c, size: F.concat(F.substring(c, F.lit(1), spot), F.substring(c, spot + 2, size))
+    return F.when(n == m, without(a, n) == without(b, m)).when(n == m + 1, without(a, n) == F.col(b)).when(n + 1 == m, F.col(a) == without(b, m)).otherwise(False)
+
+
+def deduplicated(docs: DataFrame, least: int = 20, counts: bool = True) -> DataFrame:
     """All columns of docs with `text` cleaned, and n_lines (with a word), n_equal and n_near (removed); a row for each row.
 
     A null text stays null, an empty one empty; lines without a word stay where they are.  A null doc_id comes last in the
     order.  Rows with equal doc_id and text are one document here: it keeps the lines of its first copy, in each of
-    its rows.  A line that occurs twice in a text stays once.  Very long lines are compared like others.
+    its rows.  A line that occurs twice in a text stays once.  Very long lines are compared like others.  Columns of docs
+    with a name of COUNTS give way to the counts; with counts=False the result has the columns of docs, all of them.
     """
-    places = stored(lines_of(docs).groupBy("h1", "h2").agg(F.min("at").alias("first")), "lines")
-    near = stored(near_lines(docs, places, least), "near")
-    # every line but the earliest of its kind goes, and the earliest too if it is near an earlier one
-    judged = places.join(near.withColumn("near", F.lit(True)), ["h1", "h2"], "left").select("h1", "h2", "first", F.coalesce("near", F.lit(False)).alias("near"))
-    bad = lines_of(docs).select("h1", "h2", "doc_key", "at").join(judged, ["h1", "h2"]).where((F.col("at") != F.col("first")) | F.col("near"))
-    gone = bad.groupBy("doc_key").agg(F.sort_array(F.collect_set("at.line_no")).alias("gone"), F.collect_set(F.when(F.col("near"), F.col("at.line_no"))).alias("gone_near"))
+    with scratch(docs.sparkSession) as keep:
+        gone = keep(_gone(docs, least), "gone")
     whole = docs.select(F.struct(*docs.columns).alias("row"), row_key().alias("doc_key")).join(gone, "doc_key", "left")
     lines = F.split("row.text", "\n")
-    kept = F.filter(lines, lambda line, i: ~F.array_contains("gone", i))
-    text = F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(F.array_join(kept, "\n"))
+    # a lambda's own variable holds the lines, so that the text is cut once and not for each line
+    left = lambda ls: F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), "gone")
+    joined = F.transform(F.array(lines), lambda ls: F.array_join(F.transform(left(ls), lambda i: F.get(ls, i)), "\n"))
+    text = F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(F.get(joined, F.lit(0)))
     n_lines = F.size(F.filter(F.coalesce(lines, F.array().cast("array<string>")), lambda line: line.rlike(r"[^\x20\x09-\x0D]")))
-    n_gone, n_near = F.coalesce(F.size("gone"), F.lit(0)), F.coalesce(F.size("gone_near"), F.lit(0))
-    columns = [text.alias(c) if c == "text" else F.col("row")[c].alias(c) for c in docs.columns]
-    return whole.select(*columns, n_lines.alias("n_lines"), (n_gone - n_near).alias("n_equal"), n_near.alias("n_near"))
+    n_gone, n_near = F.coalesce(F.size("gone"), F.lit(0)), F.coalesce("n_near", F.lit(0))
+    columns = [text.alias(c) if c == "text" else F.col("row")[c].alias(c) for c in docs.columns if not counts or c not in COUNTS]
+    return whole.select(*columns, *([n_lines.alias("n_lines"), (n_gone - n_near).alias("n_equal"), n_near.alias("n_near")] if counts else []))
+
+
+def _gone(docs: DataFrame, least: int) -> DataFrame:
+    """doc_key, gone (numbers of the lines that go), n_near (how many of them are near an earlier line)."""
+    places = stored(lines_of(docs).groupBy("h1", "h2").agg(F.min("at").alias("first"), F.count("*").alias("n")), "lines")
+    near = stored(near_lines(docs, places, least), "near")
+    # every line but the earliest of its kind goes, and the earliest too if it is near an earlier one
+    judged = places.join(near.withColumn("near", F.lit(True)), ["h1", "h2"], "left").select("h1", "h2", "first", "n", F.coalesce("near", F.lit(False)).alias("near"))
+    judged = stored(judged.where("near or n > 1"), "judged")
+    total = places.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    bad = hot_join(lines_of(docs).select("h1", "h2", "doc_key", "at"), judged, ["h1", "h2"], "n", total).where((F.col("at") != F.col("first")) | F.col("near"))
+    # copies of a row give each line again
+    return bad.groupBy("doc_key").agg(F.collect_set("at.line_no").alias("gone"), F.size(F.collect_set(F.when(F.col("near"), F.col("at.line_no")))).alias("n_near"))
 
 
 def text_left() -> Column:

@@ -27,10 +27,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from candlewick.llm.bytehash import batch_word_hashes, mix
-from candlewick.llm.common import as_bytes, map_slices, small, stored, texts_of
+from candlewick.llm.common import as_bytes, hot_join, map_slices, scratch, small, stored, texts_of
 from candlewick.llm.components import components
 
 IDS = 1_000_000  # ids of 8 bytes that are broadcast at most
+SHARE = 1000  # pairs of one hub that a task confirms, about
 MULTIPLIERS = np.random.default_rng(5).integers(1, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
 
 
@@ -108,12 +109,15 @@ def sets_of(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets reach the threshold."""
-    first = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"))
-    second = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
+    """The pairs (a, b) of a stored table whose full shingle sets reach the threshold.  b is the hub where there is one: its set
+    is copied once for each SHARE of its pairs and meets their sets there, so neither a task nor a pair has it many times."""
+    degrees = stored(pairs.groupBy("b").agg(F.count("*").alias("n")).withColumn("salts", F.ceil(F.col("n") / SHARE)), "degrees")
+    total = degrees.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    dealt = hot_join(pairs, degrees, ["b"], "n", total).withColumn("salt", F.pmod(F.xxhash64("a"), "salts")).drop("salts")
+    hubs = degrees.select("b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt")).join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b")
     both = F.size(F.array_intersect("sa", "sb"))
-    linked = pairs.join(second, "b").join(first, "a").where(100 * both >= percent * (F.size("sa") + F.size("sb") - both))
-    return linked.select("a", "b").distinct()
+    met = dealt.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a").join(hubs, ["b", "salt"])
+    return met.where(100 * both >= percent * (F.size("sa") + F.size("sb") - both)).select("a", "b").distinct()
 
 
 def alike(x: str, y: str, percent: int) -> Column:
@@ -147,33 +151,42 @@ def near_duplicates(docs: DataFrame, percent: int = 80, bands: int = 40, rows: i
     rows each get their row, with the same result; rows that share a doc_id are one document, linked through any of its
     texts.  Other columns are ignored.
     """
+    with scratch(docs.sparkSession) as keep:
+        return keep(_near_duplicates(docs, percent, bands, rows, size), "near-duplicates")
+
+
+def _near_duplicates(docs: DataFrame, percent: int, bands: int, rows: int, size: int) -> DataFrame:
     drawn = stored(sketches(docs, bands, rows, size), "sketches")
     named = drawn.where("doc_id is not null and n_shingles > 0")
     # one row for each distinct set
-    sets = named.groupBy("set_hi", "set_lo").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
+    sets = named.groupBy("set_hi", "set_lo").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
     members = sets.select("rep", "n", F.explode("bands").alias("bucket"))
-    full = members.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1")
-    shared = stored(members.join(full, "bucket"), "buckets")
+    full = stored(members.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1").withColumn("size", F.col("m")), "full")
+    total = full.agg(F.coalesce(F.sum("m"), F.lit(0))).first()[0]
+    shared = stored(hot_join(members, full, ["bucket"], "size", total), "buckets")
     crowd = shared.groupBy("rep").agg(F.sum("m").alias("crowd"))
-    hubs = shared.join(crowd, "rep").groupBy("bucket").agg(F.max_by(F.struct("rep", "n"), F.struct("crowd", -F.col("rep"))).alias("hub"))
-    pairs = shared.join(hubs, "bucket").where("rep <> hub.rep").where(alike("n", "hub.n", percent))
-    stars = stored(pairs.select(F.greatest("rep", "hub.rep").alias("a"), F.least("rep", "hub.rep").alias("b")).distinct(), "stars")
+    hubs = shared.join(crowd, "rep").groupBy("bucket").agg(F.max_by(F.struct("rep", "n"), F.struct("crowd", -F.col("rep"))).alias("hub"), F.count("*").alias("size"))
+    pairs = hot_join(shared, stored(hubs, "hubs"), ["bucket"], "size", total).where("rep <> hub.rep").where(alike("n", "hub.n", percent))
+    stars = stored(pairs.select(F.col("rep").alias("a"), F.col("hub.rep").alias("b")).distinct(), "stars")
     ends = stored(stars.select(F.col("a").alias("doc_id")).union(stars.select("b")).distinct(), "ids")
     links = stored(confirmed(stars, sets_of(docs, ends, size), percent), "links")
     # texts of one document, and what the stars found
     groups = stored(components(links), "groups")
 
-    open_ = shared.join(groups, shared.rep == groups.node, "left").select("bucket", "rep", F.coalesce("component", "rep").alias("component"))
-    several = open_.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket")
-    left = stored(open_.join(several, "bucket", "left_semi").select("rep", "component").distinct(), "open")
+    open_ = stored(shared.join(groups, shared.rep == groups.node, "left").select("bucket", "rep", F.coalesce("component", "rep").alias("component")), "placed")
+    several = open_.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")).where("low < high").select("bucket", "size")
+    left = stored(hot_join(open_, stored(several, "several"), ["bucket"], "size", total).select("rep", "component").distinct(), "open")
     rest_sets = sets_of(docs, left.select(F.col("rep").alias("doc_id")), size)
-    rest = stored(across(left, rest_sets, percent).join(stars, ["a", "b"], "left_anti"), "rest")
+    tried = stars.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    rest = stored(across(left, rest_sets, percent).join(tried, ["a", "b"], "left_anti"), "rest")
     more = stored(confirmed(rest, rest_sets, percent), "links")
     last = components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)) if not more.isEmpty() else groups
-    found = sets.select("set_hi", "set_lo", "rep").join(last, F.col("rep") == F.col("node"), "left").select("set_hi", "set_lo", F.coalesce("component", "rep").alias("found"))
-    rows_ = drawn.drop("bands").join(found, ["set_hi", "set_lo"], "left")
-    component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.col("found"))
-    return rows_.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    found = sets.select("set_hi", "set_lo", "rep", "copies").join(last, F.col("rep") == F.col("node"), "left").select("set_hi", "set_lo", "copies", F.coalesce("component", "rep").alias("found"))
+    filled, number = drawn.drop("bands").where("n_shingles > 0"), drawn.count()
+    rows_ = hot_join(filled, stored(found, "classes"), ["set_hi", "set_lo"], "copies", number, "left")
+    placed = rows_.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("found")).alias("component_id"))
+    every = placed.union(drawn.where("n_shingles = 0").select("doc_id", "n_shingles", "doc_id"))
+    return every.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def representatives(docs: DataFrame, **how) -> DataFrame:

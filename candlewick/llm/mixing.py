@@ -4,12 +4,14 @@
   more than twice its size, and what is cut off is shared again by weight.  The result has a closed form: with sources
   in the order of (cap / weight) a first stretch is capped and the others get weight times one common level.
 * Blocks: a source's documents are shuffled by hash and laid end to end; block b holds its words from b * block on.
-* Schedule: each source owns an interval of slots as wide as the blocks it needs.  The golden-ratio sequence maps each slot
-  number to a point, the point to the source whose interval holds it, and the slot's rank within the source to the
+* Schedule: each source owns an interval of slots as wide as the blocks it needs.  The golden-ratio sequence, in whole numbers
+  modulo 2**64 so that it stays even at any length, maps each slot number to a point, the point to the source whose interval holds it, and the slot's rank within the source to the
   next block, starting over at the end.  Intervals are hit evenly, so any stretch of the schedule has the mix's weights.
-  Three points for each block suffice (any gap between n golden-ratio points is below 2/n); the surplus is dropped.
+  Three points for each block suffice (any gap between n golden-ratio points is below 2/n); the surplus is dropped.  That
+  every source got all its blocks is checked before the schedule is used.
 
-Running sums never sort a whole source in one task: rows are cut to cells, cells are summed first.
+Running sums never sort a whole source in one task: rows are cut to cells, cells are summed first.  Only the windows that
+set targets run in one task; they have a row for each source.
 """
 
 from __future__ import annotations
@@ -18,9 +20,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from candlewick.llm.common import as_bytes, map_slices, repeated, stored, texts_of
+from candlewick.llm.common import as_bytes, map_slices, repeated, scratch, stored, texts_of
 
-GOLDEN = 0.6180339887498949
+GOLDEN = 0x9E3779B97F4A7C15  # 2**64 divided by the golden ratio, an odd number
 CELLS = 4096
 
 
@@ -79,7 +81,10 @@ def schedule(goals: DataFrame, block: int) -> DataFrame:
     spark = goals.sparkSession
     wide = max(1, -(-total // 1024))
     grid = goals.withColumn("grid", F.explode(F.sequence(F.floor(F.col("low") / wide), F.floor((F.col("low") + F.col("need") - 1) / wide))))
-    point = F.floor(((F.col("id") * GOLDEN) % 1.0) * total)
+    # products stay below 2**126, which decimals of 38 digits hold
+    golden, whole_turn = (F.lit(str(x)).cast("decimal(20,0)") for x in (GOLDEN, 1 << 64))
+    turn = (F.col("id").cast("decimal(18,0)") * golden) % whole_turn
+    point = F.floor(turn.cast("decimal(20,0)") * F.lit(total).cast("decimal(18,0)") / whole_turn).cast("long")
     slots = spark.range(3 * total).select(F.col("id").alias("slot"), point.alias("point")).withColumn("grid", F.floor(F.col("point") / wide))
     hit = slots.join(grid, "grid").where("point >= low and point < low + need").withColumn("part", F.floor(F.col("slot") / 65536))
     ranked = running(hit.drop("grid"), "nth", "part", ["slot"], F.lit(1), "rank").where("rank < need")
@@ -97,6 +102,11 @@ def mix(docs: DataFrame, block: int = 2048, weights: tuple[int, ...] = (3, 1, 2)
     its target rounded, and no document gives more than `most` times its size.  The shuffle is a hash of doc_id, so
     reruns agree; rows with one doc_id and size are interchangeable.  Other columns are ignored.
     """
+    with scratch(docs.sparkSession) as keep:
+        return keep(_mix(docs, block, weights, percent, most), "mix")
+
+
+def _mix(docs: DataFrame, block: int, weights: tuple[int, ...], percent: int, most: int) -> DataFrame:
     rows = stored(sizes(docs), "sizes")
     goals = stored(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, percent, most), "targets")
     order = F.xxhash64(F.lit(8), F.col("doc_id"))
@@ -108,7 +118,10 @@ def mix(docs: DataFrame, block: int = 2048, weights: tuple[int, ...] = (3, 1, 2)
     low = F.greatest(F.col("start"), F.col("block") * block) - F.col("block") * block
     high = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block) - F.col("block") * block
     # a block is read whole any number of times, and once in part at the schedule's end
-    reads = schedule(goals, block).groupBy("nth", "block", "words").agg(F.count("*").alias("times"))
+    reads = stored(schedule(goals, block).groupBy("nth", "block", "words").agg(F.count("*").alias("times")), "reads")
+    given = reads.groupBy("nth").agg(F.sum(F.col("words") * F.col("times")).alias("given"))
+    if not goals.where("source_size > 0").join(given, "nth", "left").where(F.round("target").cast("long") != F.coalesce("given", F.lit(0))).isEmpty():
+        raise RuntimeError("the schedule does not give every source its words")
     reads = reads.groupBy("nth", "block").agg(F.collect_list(F.struct("words", "times")).alias("reads"))
     joined = pieces.withColumn("low", low).withColumn("high", high).join(reads, ["nth", "block"], "left")
     taken = F.expr("aggregate(coalesce(reads, array()), 0L, (s, r) -> s + r.times * greatest(0L, least(r.words, high) - low))")
@@ -119,8 +132,9 @@ def mix(docs: DataFrame, block: int = 2048, weights: tuple[int, ...] = (3, 1, 2)
 
 def mixed(docs: DataFrame, **how) -> DataFrame:
     """The rows of docs, each as often as the mix takes it: taken / size rounded half up, so 0, 1 or 2 times.  Documents
-    without words go."""
-    of = mix(docs, **how).where("size > 0").select(F.col("doc_id").alias("_id"), F.floor(F.col("taken") / F.col("size") + 0.5).cast("int").alias("_times"))
-    of = of.groupBy("_id").agg(F.max("_times").alias("_times")).where("_times > 0")
-    kept = docs.join(of, docs.doc_id.eqNullSafe(of._id)).drop("_id")
-    return kept.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    without words go.  Columns of docs may have any names."""
+    of = mix(docs, **how).where("size > 0").select(F.col("doc_id").alias("id"), F.floor(F.col("taken") / F.col("size") + 0.5).cast("int").alias("times"))
+    of = of.groupBy("id").agg(F.max("times").alias("times")).where("times > 0")
+    rows = docs.select(F.struct(*docs.columns).alias("row"))
+    kept = rows.join(of, F.col("row.doc_id").eqNullSafe(F.col("id")))
+    return kept.select("row", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("nth")).select(*(F.col("row")[c].alias(c) for c in docs.columns))

@@ -24,7 +24,8 @@ from candlewick.llm.common import as_bytes, map_slices, texts_of
 
 BLANKS = " \t\n\v\f\r"
 SYMBOLS = "#*$%&|<>"
-TERMINAL = ".!?…:;\"'”’»)"
+# Sentence ends of Unicode (Latin, Arabic, Devanagari, CJK, Ethiopic, Khmer, Myanmar), and what closes after them.
+TERMINAL = ".!?…:;\"'”’»)" + "؟۔।॥。！？｡．…：；」』）】።፧፨។៕။"
 SEPARATORS = "|»•·"
 PHRASES = ("all rights reserved", "click here", "cookie policy", "enable javascript", "lorem ipsum", "privacy policy", "sign up for", "subscribe to", "terms of service", "terms of use", "this work is licensed", "use of cookies")
 _any_phrase = re.compile("|".join(map(re.escape, PHRASES)))

@@ -19,7 +19,7 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_sentencepiece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return subword_sampling.sample_encodings(table(spark, sf_dir, "documents"), PIECES)
+    return subword_sampling.sample_encodings(table(spark, sf_dir, "documents"), PIECES, check=True)
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,10 +23,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from candlewick.llm.bytehash import mix, prefix_sums, span_hashes
-from candlewick.llm.common import as_bytes, row_key, slices, texts_of
+from candlewick.llm.common import as_bytes, slices, texts_of
 from candlewick.llm.lattice import SPACE, Lattices, Vocabulary, decode, lattices, piece_ids, vocabulary
 
 SLICE = 1 << 20
@@ -209,13 +210,14 @@ def sample_batch(texts: list[bytes], keys: list[int], vocab: Vocabulary, k: int,
     return out
 
 
-def sample_encodings(docs: DataFrame, model: str, k: int = 2, seed: int = 0) -> DataFrame:
+def sample_encodings(docs: DataFrame, model: str, k: int = 2, seed: int = 0, check: bool = False) -> DataFrame:
     """doc_id, rank (from 1), n_pieces, log_prob, inclusion, ids: up to k distinct segmentations of each row's whole text.
 
     log_prob is the natural log of the segmentation's share of all segmentations.  Fewer than k rows come from a text with
     fewer segmentations.  A null or empty text has one row without pieces, probability and inclusion 1.  A null doc_id is
     kept; repeated rows give equal rows each.  Other columns are ignored.  decoded() gives the text back, except that the
-    blank mark U+2581 comes back as a space, as with the library.
+    blank mark U+2581 comes back as a space, as with the library; with check=True a column round_trip says of each row
+    whether its ids, decoded, are that text.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,10 +228,15 @@ def sample_encodings(docs: DataFrame, model: str, k: int = 2, seed: int = 0) ->
             doc, rank, ids, log_p, score = zip(*flat, strict=True)
             size = [len(x) for x in ids]
             lists = pa.ListArray.from_arrays(np.cumsum([0, *size]), pa.array(np.concatenate(ids).astype(np.int32), pa.int32()))
-            yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(rank, pa.int32()), pa.array(size, pa.int64()), pa.array(log_p, pa.float64()), pa.array(score, pa.float64()), lists.cast(pa.list_(pa.int32()))], names)
-
-    names = ["doc_id", "rank", "n_pieces", "log_prob", "inclusion", "ids"]
-    return as_bytes(docs, row_key().alias("doc_key")).mapInArrow(run, "doc_id long, rank int, n_pieces long, log_prob double, inclusion double, ids array<int>")
+            columns = [pa.array(doc, pa.int64()), pa.array(rank, pa.int32()), pa.array(size, pa.int64()), pa.array(log_p, pa.float64()), pa.array(score, pa.float64()), lists.cast(pa.list_(pa.int32()))]
+            if check:
+                due = [t.decode("utf-8", "replace").replace(SPACE, " ") for t in texts_of(batch)]
+                columns.append(pa.array([decode(row[0].tolist(), vocab) == text for text, rows in zip(due, drawn, strict=True) for row in rows]))
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    names = ["doc_id", "rank", "n_pieces", "log_prob", "inclusion", "ids", *["round_trip"] * check]
+    schema = "doc_id long, rank int, n_pieces long, log_prob double, inclusion double, ids array<int>" + ", round_trip boolean" * check
+    return as_bytes(docs, F.xxhash64("doc_id", "text").alias("doc_key")).mapInArrow(run, schema)
 
 
 def decoded(encodings: DataFrame, model: str) -> DataFrame:

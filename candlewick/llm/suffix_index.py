@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from candlewick.llm.anchors import runs, window_hashes
-from candlewick.llm.common import as_bytes, map_slices, row_key, slices, stored, texts_of, unstore
+from candlewick.llm.common import as_bytes, hot_join, map_slices, row_key, scratch, slices, stored, texts_of, unstore
 
 CROWD = 4096
 
@@ -34,18 +35,18 @@ def suffixes(docs: DataFrame, width: int, gram: int) -> DataFrame:
     """doc_key, gram, region, first, last: the runs of windows of each text (doc_key, text as bytes)."""
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        keys = batch.column("doc_key").to_numpy()
         found = list(runs(texts_of(batch), width, gram))
         if not found:
             return None
         text, first, last, grams, region = (np.concatenate([getattr(r, f) for r in found]) for f in ("text", "first", "last", "gram", "region"))
-        return pa.RecordBatch.from_arrays([pa.array(keys[text]), pa.array(grams.view(np.int64)), pa.array(region.view(np.int64)), pa.array(first.astype(np.int64)), pa.array(last.astype(np.int64))], ["doc_key", "gram", "region", "first", "last"])
+        return pa.RecordBatch.from_arrays([batch.column("doc_key").take(pa.array(text)), pa.array(grams.view(np.int64)), pa.array(region.view(np.int64)), pa.array(first.astype(np.int64)), pa.array(last.astype(np.int64))], ["doc_key", "gram", "region", "first", "last"])
 
-    return map_slices(docs, "text", step, "doc_key long, gram long, region long, first long, last long")
+    return map_slices(docs, "text", step, "doc_key binary, gram long, region long, first long, last long")
 
 
 class SuffixIndex:
-    """Levels of sorted distinct grams; add() merge-scans a batch against them."""
+    """Levels of sorted distinct grams with counts; add() merge-scans a batch against them.  Batches can be added at any time, and
+    the levels stay until close()."""
 
     def __init__(self) -> None:
         self.levels: list[tuple[int, DataFrame]] = []
@@ -68,6 +69,11 @@ class SuffixIndex:
         self.levels.append((order, new))
         return met
 
+    def counts(self) -> DataFrame:
+        """gram, n: how many suffixes of all batches start with each gram."""
+        every = reduce(DataFrame.union, [level for _, level in self.levels])
+        return every if len(self.levels) == 1 else every.groupBy("gram").agg(F.sum("n").alias("n"))
+
     def close(self) -> None:
         for _, level in self.levels:
             unstore(level)
@@ -140,16 +146,16 @@ def spans(docs: DataFrame, width: int = 200, gram: int = 64, batches: int = 4, c
     overlap.  docs: doc_key, text (as bytes)."""
     index, matches = SuffixIndex(), []
     for i in range(batches):
-        batch = docs.where(F.pmod(F.col("doc_key"), F.lit(batches)) == i)
+        batch = docs.where(F.pmod(F.xxhash64("doc_key"), F.lit(batches)) == i)
         matches.append(index.add(suffixes(batch, width, gram).select("gram")))
+    met = stored(index.counts().join(reduce(DataFrame.union, matches).distinct(), "gram", "left_semi"), "met")
+    number = index.counts().agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     index.close()
-    met = matches[0]
-    for more in matches[1:]:
-        met = met.union(more)
-    hits = stored(suffixes(docs, width, gram).join(met.distinct(), "gram", "left_semi"), "hits")
+    hits = stored(hot_join(suffixes(docs, width, gram), met, ["gram"], "n", number), "hits")
     regions = stored(hits.groupBy("gram", "region").agg(F.count("*").alias("n"), F.min(F.struct("doc_key", "first", "last")).alias("at")), "regions")
     open_ = regions.groupBy("gram").agg(F.count("*").alias("regions"), F.min("n").alias("least")).where("regions > 1 and least = 1").drop("least")
-    asked = regions.join(open_, "gram").select("at.*", "gram", "regions", "region", "n")
+    open_ = stored(open_.withColumn("size", F.col("regions")), "open")
+    asked = hot_join(regions, open_, ["gram"], "size", number).select("at.*", "gram", "regions", "region", "n")
     by_text = asked.groupBy("doc_key").agg(F.collect_list(F.struct("first", "last", "gram", "regions", "region", "n")).alias("asked"))
 
     def bodies(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,7 +170,8 @@ def spans(docs: DataFrame, width: int = 200, gram: int = 64, batches: int = 4, c
     verdict = stored(regions.select("gram", "region", "n").join(partly, ["gram", "region"], "left").where("n > 1 or ranges is not null"), "verdicts")
     whole = F.array(F.struct(F.col("first").alias("start"), (F.col("last") + width).alias("end")))
     part = F.transform("ranges", lambda r: F.struct((F.col("first") + r["first"]).alias("start"), (F.col("first") + r["last"] + width).alias("end")))
-    judged = hits.join(verdict, ["gram", "region"]).select("doc_key", F.when(F.col("n") > 1, whole).otherwise(part).alias("spans"))
+    judged = hot_join(hits, verdict.withColumn("size", F.col("n")), ["gram", "region"], "size", number)
+    judged = judged.select("doc_key", F.when(F.col("n") > 1, whole).otherwise(part).alias("spans"))
     return judged.groupBy("doc_key").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 
@@ -187,7 +194,8 @@ def without_repeats(docs: DataFrame, width: int = 200, gram: int = 64, batches:
     kept.  Other columns are ignored.
     """
     texts = as_bytes(docs, row_key().alias("doc_key")).withColumn("text", F.coalesce("text", F.lit(b"")))
-    found = spans(texts.select("doc_key", "text"), width, gram, batches, crowd)
+    with scratch(docs.sparkSession) as keep:
+        found = keep(spans(texts.select("doc_key", "text"), width, gram, batches, crowd), "spans")
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(source, "text"):

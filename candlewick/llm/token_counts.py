@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from candlewick.llm.common import slices, stored
+from candlewick.llm.common import scratch, slices, stored
 from candlewick.llm.wordsums import document_sums, word_counts
 
 
@@ -86,7 +86,8 @@ def token_counts(docs: DataFrame, vocabulary: str, limit: int = 2048) -> DataFra
     def cut(text: bytes) -> list[bytes]:
         return word_bpe(vocabulary).pretokens(text)
 
-    words = word_counts(docs, cut).select("word", "n")
-    counted = stored(words.mapInArrow(count, "word binary, n long, n_tokens long"), "pretokens")
-    sums = document_sums(docs, cut, counted, ["n_tokens"])
-    return sums.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    with scratch(docs.sparkSession) as keep:
+        words = word_counts(docs, cut).select("word", "n")
+        counted = stored(words.mapInArrow(count, "word binary, n long, n_tokens long"), "pretokens")
+        sums = document_sums(docs, cut, counted, ["n_tokens"])
+        return keep(sums.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit")), "token-counts")

@@ -18,6 +18,8 @@ from candlewick.llm.common import as_bytes, map_slices, repeated, row_key, texts
 
 #: Words sent to the tasks with their values: a fixed bound, some 10 MB.
 HOT = 1 << 16
+#: Classes of counts in an octave, and classes in all (counts are below 2**63).
+STEPS, CLASSES = 8, 8 * 63
 Words = Callable[[bytes], list[bytes]]
 
 
@@ -39,17 +41,31 @@ def word_counts(docs: DataFrame, words: Words, learned: F.Column | None = None)
     return parts.groupBy("word").agg(F.sum("n").alias("n"), F.sum("n_learned").alias("n_learned"))
 
 
+def frequent(table: DataFrame, hot: int) -> DataFrame:
+    """The words of table (word, n, ...) that occur most: all from a count on, and at most `hot`.  The count comes from a histogram
+    of at most CLASSES rows, so no task sends more words than are taken."""
+    step = F.floor(F.log2("n") * STEPS).cast("int")
+    sizes = dict(table.where("n > 0").groupBy(step.alias("step")).agg(F.count("*").alias("words")).collect())
+    least, total = CLASSES, 0
+    for at in sorted(sizes, reverse=True):
+        total += sizes[at]
+        if total > hot:
+            break
+        least = at
+    return table.where((F.col("n") > 0) & (step >= least))
+
+
 def document_sums(docs: DataFrame, words: Words, table: DataFrame, values: list[str], hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_words and the sum of each value over the words of the text, a row for each row of docs.
 
     table: word, n, and the values.  A word that the table lacks adds nothing.
     """
     spark = docs.sparkSession
-    top = table.orderBy(F.col("n").desc(), "word").limit(hot).select("word", *values).collect()
+    top = frequent(table, hot).select("word", *values).collect()
     known = spark.sparkContext.broadcast({bytes(r[0]): tuple(r[1:]) for r in top})
     kinds = dict(table.dtypes)
     zero = [0 if kinds[v] == "bigint" else 0.0 for v in values]
-    schema = "doc_key long, doc_id long, n_bytes long, n_words long, head long, word binary, n long, " + ", ".join(f"v{i} {kinds[v]}" for i, v in enumerate(values))
+    schema = "doc_key binary, doc_id long, n_bytes long, n_words long, head long, word binary, n long, " + ", ".join(f"v{i} {kinds[v]}" for i, v in enumerate(values))
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
         look = known.value
@@ -66,7 +82,7 @@ def document_sums(docs: DataFrame, words: Words, table: DataFrame, values: list[
                     for i, v in enumerate(got):
                         sums[i] += n * v
             # the first row has the sums so far; its word is the row's own, so that such rows spread over the join
-            first = (key, doc, len(text), counts.total(), 1, b"\x00row " + key.to_bytes(8, "big", signed=True), 0, *sums)
+            first = (key, doc, len(text), counts.total(), 1, b"\x00row " + key, 0, *sums)
             for column, x in zip(columns, first, strict=True):
                 column.append(x)
             if rare:
@@ -75,7 +91,7 @@ def document_sums(docs: DataFrame, words: Words, table: DataFrame, values: list[
                     column.extend(x)
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, arrow, strict=True)], names)
 
-    arrow = [pa.int64()] * 5 + [pa.binary(), pa.int64()] + [pa.int64() if kinds[v] == "bigint" else pa.float64() for v in values]
+    arrow = [pa.binary()] + [pa.int64()] * 4 + [pa.binary(), pa.int64()] + [pa.int64() if kinds[v] == "bigint" else pa.float64() for v in values]
     names = ["doc_key", "doc_id", "n_bytes", "n_words", "head", "word", "n", *(f"v{i}" for i in range(len(values)))]
     parts = map_slices(as_bytes(docs, row_key().alias("doc_key")), "text", step, schema)
     rows = parts.join(table.select("word", *values), "word", "left")
