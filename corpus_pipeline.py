@@ -16,7 +16,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines seen earlier go; so do documents of which nothing is left."""
-    cleaned = line_dedup.deduplicated(docs).where(line_dedup.text_left())
+    cleaned = line_dedup.deduplicated(docs, counts=False).where(line_dedup.text_left())
     return cleaned.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
@@ -37,7 +37,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language ID", language), ("line dedup", lines), ("near-dedup", near_duplicates), ("mixing", mix), ("encoding", encode)]
 
-#: Learned models and random draws have no SQL; tests hold run() against a brute-force version.
+#: Learned models and random draws have no SQL; tests/llm/test_pipeline.py holds run() against a brute-force version.
 ORACLE_SQL = None
 
 
