@@ -22,6 +22,16 @@ def sessions(spark: SparkSession, first: str, last: str, holidays: tuple[str, ..
     return days.select("session_date", F.row_number().over(Window.orderBy("session_date")).alias("session_no"), (midnight + F.expr(f"INTERVAL {OPEN}")).alias("open_ts"), (midnight + F.expr(f"INTERVAL {CLOSE}")).alias("close_ts"))
 
 
+def from_table(rows: DataFrame) -> DataFrame:
+    """Sessions from an exchange's own list: session_date, and open_ts and close_ts where they are not 09:15 and 15:30.  One task
+    numbers them; a row a day."""
+    midnight = F.col("session_date").cast("timestamp_ntz")
+    have = rows.columns
+    times = {n: F.coalesce(*([F.col(n)] if n in have else []), midnight + F.expr(f"INTERVAL {t}")) for n, t in (("open_ts", OPEN), ("close_ts", CLOSE))}
+    once = rows.dropDuplicates(["session_date"])
+    return once.select("session_date", F.row_number().over(Window.orderBy("session_date")).alias("session_no"), *(v.alias(n) for n, v in times.items()))
+
+
 def days(calendar: DataFrame, slack: int = 31) -> DataFrame:
     """day, session_date and session_no of the latest session on or before it, is_trading_day."""
     span = calendar.agg(F.min("session_date").alias("a"), F.date_add(F.max("session_date"), slack).alias("b"))

@@ -80,7 +80,7 @@ def load_actions(rows: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFram
     dividend = F.col("action_type") == "dividend"
     merged = good.groupBy("symbol_id", "ex", "action_type").agg(
         F.when(F.first(dividend), F.sum("value")).otherwise(F.min_by("value", "nth")).alias("value"), first("ratio_from"), first("ratio_to"), first("price_factor"),
-        F.when(F.first(dividend), F.max("is_extraordinary")).otherwise(F.min_by("is_extraordinary", "nth")).alias("is_extraordinary"), first("affects_share_count"),
+        F.when(F.first(dividend), F.max("is_extraordinary")).otherwise(F.min_by("is_extraordinary", "nth")).alias("is_extraordinary"), first("affects_share_count"), *(first(c) for c in ("record_date", "source") if c in rows.columns),
         F.substring(F.when(F.first(dividend), F.array_join(texts, " + ")).otherwise(F.min_by("subject", "nth")), 1, 512).alias("subject"),
     )
     return merged.withColumnRenamed("ex", "ex_date"), judged.groupBy("disposition").count()
@@ -102,21 +102,32 @@ def factor_after(df: DataFrame, actions: DataFrame, when: str, until: str | None
 
 
 def price_in_stored_terms(fills: DataFrame, actions: DataFrame, until: str) -> DataFrame:
-    """Adds stored_price and stored_quantity of raw fills."""
+    """Adds stored_price, stored_quantity (rounded half-even) and factor of raw fills."""
     f = factor_after(fills, actions, "trade_date", until)
-    return f.withColumn("stored_price", F.col("price") * F.col("factor")).withColumn("stored_quantity", F.col("quantity") / F.col("factor")).drop("factor")
+    return f.withColumn("stored_price", F.col("price") * F.col("factor")).withColumn("stored_quantity", F.rint(F.col("quantity") / F.col("factor")).cast("long"))
 
 
 def dividend_factors(bars: DataFrame, actions: DataFrame) -> DataFrame:
     """A3: symbol_id, ex_date, factor of each dividend: 1 - amount / last close before the ex-date, the amount in today's shares;
     left out where no close precedes, or the factor would not be positive."""
     d = factor_after(actions.where("action_type = 'dividend' and value is not null").select("symbol_id", "ex_date", "value"), actions, "ex_date")
-    prior = d.select("symbol_id", "ex_date").distinct().join(bars.select("symbol_id", F.to_date("ts").alias("_day"), "ts", "close"), "symbol_id").where("_day < ex_date")
-    prior = prior.groupBy("symbol_id", "ex_date").agg(F.max_by("close", "ts").alias("prior"))
+    prior = around(bars, d.select("symbol_id", "ex_date").distinct()).select("symbol_id", "ex_date", "prior")
     out = d.join(prior, ["symbol_id", "ex_date"]).where("prior > 0").withColumn("f", 1 - F.col("value") * F.col("factor") / F.col("prior")).where("f > 0")
     return out.groupBy("symbol_id", "ex_date").agg(F.product("f").alias("f"))
 
 
+def around(bars: DataFrame, dates: DataFrame) -> DataFrame:
+    """Dates (symbol_id, ex_date) with prior, the last close before the date, and ex_open, the first open on or after it.
+    Bars and dates lie in one order of time, so neither meets the other pair by pair."""
+    marks = dates.select("symbol_id", F.col("ex_date").alias("_day"), F.lit(0).alias("_bar"), "ex_date")
+    rows = bars.select("symbol_id", F.to_date("ts").alias("_day"), F.lit(1).alias("_bar"), "ts", "open", "close")
+    order = Window.partitionBy("symbol_id").orderBy("_day", "_bar", "ts")
+    both = rows.unionByName(marks, allowMissingColumns=True)
+    prior = F.last("close", True).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    ahead = F.first("open", True).over(order.rowsBetween(0, Window.unboundedFollowing))
+    return both.withColumns({"prior": prior, "ex_open": ahead}).where("_bar = 0").select("symbol_id", "ex_date", "prior", "ex_open")
+
+
 def _after(bars: DataFrame, factors: DataFrame, name: str) -> DataFrame:
     """The product of f over rows with ex_date after each bar, by a running product from the end."""
     marks = factors.select("symbol_id", F.col("ex_date").alias("_day"), "f", F.lit(0).alias("_bar"))
@@ -137,6 +148,8 @@ def total_return(bars: DataFrame, actions: DataFrame, basis: str = "total_return
 
 def volume_factors(bars: DataFrame, actions: DataFrame, basis: str) -> DataFrame:
     """A4: adds volume_factor, the product of 1 / price_factor with an ex-date after the bar; 1 unless unadjusted."""
+    if basis not in STORED_BASES and basis != "total_return":
+        raise ValueError(f"unknown basis: {basis!r}")
     if basis != "unadjusted":
         return bars.withColumn("volume_factor", F.lit(1.0))
     return _after(bars, structural(actions).withColumn("f", 1 / F.col("price_factor")), "volume_factor")
@@ -220,9 +233,5 @@ def adjustment_basis(rows: DataFrame, tick: float = 0.05) -> DataFrame:
 def demerger_cliffs(bars: DataFrame, actions: DataFrame, least: float = 0.10) -> DataFrame:
     """Demergers whose first open is more than `least` away from the last close before."""
     d = actions.where("action_type = 'demerger'").select("symbol_id", "ex_date").distinct()
-    rows = d.join(bars.withColumn("day", F.to_date("ts")), "symbol_id")
-    at = rows.groupBy("symbol_id", "ex_date").agg(
-        F.max_by(F.when(F.col("day") < F.col("ex_date"), F.col("close")), F.when(F.col("day") < F.col("ex_date"), F.col("ts"))).alias("prev_close"),
-        F.min_by(F.when(F.col("day") >= F.col("ex_date"), F.col("open")), F.when(F.col("day") >= F.col("ex_date"), F.col("ts"))).alias("ex_open"),
-    )
+    at = around(bars, d).withColumnRenamed("prior", "prev_close")
     return at.withColumn("change", F.try_divide("ex_open", "prev_close") - 1).where(F.abs("change") > least)

@@ -50,9 +50,8 @@ def drop_forming(bars: DataFrame, now: Column, timeframe: str) -> DataFrame:
 def resample(bars: DataFrame, hours: int = 4, now: Column | None = None) -> DataFrame:
     """Bars of `hours`, anchored at the session's start; bins that are not over at `now` are left out."""
     binned = bars.withColumn("bin", bin_start("ts", 60 * hours))
-    out = ohlcv(binned, ["symbol", "bin"], "close", "ts", "volume").drop("open", "high", "low")
-    rest = binned.groupBy("symbol", "bin").agg(F.min_by("open", "ts").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"))
-    out = out.join(rest, ["symbol", "bin"]).withColumnRenamed("bin", "ts")
+    sums = (F.min_by("open", "ts").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", "ts").alias("close"), F.sum("volume").cast("long").alias("volume"))
+    out = binned.groupBy("symbol", "bin").agg(*sums).withColumnRenamed("bin", "ts")
     end = F.least(F.col("ts") + F.make_dt_interval(hours=F.lit(hours)), at_minute("ts", F.lit(END)))
     return (out if now is None else out.where(end <= now)).select("symbol", "ts", "open", "high", "low", "close", "volume")
 

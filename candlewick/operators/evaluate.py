@@ -28,23 +28,26 @@ def decide(df: DataFrame) -> DataFrame:
     """Adds stop, pnl_pct, reasons, warnings and verdict to rows with close, low, avg_entry_price, stop_loss, target_1,
     target_2, trail, supertrend_dir, qty_total, qty_factor, matched, demerger, divergence, upcoming, broker_qty, qty_sum,
     days_held, bar_date, as_of."""
-    stop = F.when(F.col("matched") & F.col("stop_loss").isNotNull(), F.col("stop_loss")).otherwise(F.col("trail"))
-    df = df.withColumns({"stop": stop, "pnl_pct": F.try_divide("close", "avg_entry_price") - 1})
     close = F.col("close")
+    known = close.isNotNull()
+    trail = F.when(known, F.col("trail"))
+    stop = F.when(known & F.col("matched") & F.col("stop_loss").isNotNull(), F.col("stop_loss")).otherwise(trail)
+    df = df.withColumns({"stop": stop, "trail": trail, "pnl_pct": F.when(known, F.try_divide("close", "avg_entry_price") - 1).otherwise(0.0)})
+    target = lambda c: F.col("matched") & (F.col(c) != 0) & (close >= F.col(c))
     exact = F.col("qty_total") * F.coalesce("qty_factor", F.lit(1.0))
     hit = {
-        "NO_DATA": close.isNull(), "DEMERGER_CLIFF": F.col("demerger"), "QTY_MISMATCH": F.abs(exact - F.rint(exact)) > 1e-6, "STOP_HIT": close <= F.col("stop"),
-        "SUPERTREND_FLIP": F.col("supertrend_dir") == -1, "TRAIL_HIT": (close <= F.col("trail")) & (F.col("trail") != F.col("stop")), "T2_HIT": close >= F.col("target_2"), "T1_HIT": close >= F.col("target_1"),
+        "NO_DATA": close.isNull(), "DEMERGER_CLIFF": F.col("demerger"), "QTY_MISMATCH": F.abs(exact - F.rint(exact)) > 1e-6, "STOP_HIT": close < F.col("stop"),
+        "SUPERTREND_FLIP": F.col("supertrend_dir") == -1, "TRAIL_HIT": (close < F.col("trail")) & (F.col("trail") != F.col("stop")), "T2_HIT": target("target_2"), "T1_HIT": target("target_1"),
     }
     only = F.when(close.isNull(), F.array(F.lit("NO_DATA")))
     reasons = F.coalesce(only, F.array_compact(F.array(*(F.when(hit[code], code) for code in RULES))))
     verdict = F.coalesce(*(F.when(F.array_contains("reasons", code), v) for code, v in RULES.items()), F.lit("HOLD"))
     more = {
-        "LOW_BREACH": (F.col("low") <= F.col("stop")) & (close > F.col("stop")), "VOLUME_DIVERGENCE": F.col("divergence"), "UPCOMING_ACTION": F.col("upcoming"),
+        "LOW_BREACH": (F.col("low") < F.col("stop")) & (F.col("stop") <= close), "VOLUME_DIVERGENCE": F.col("divergence"), "UPCOMING_ACTION": F.col("upcoming"),
         "QTY_DIFFERS_FROM_BROKER": (F.col("days_held") >= 2) & (F.col("broker_qty") != F.col("qty_sum")), "HORIZON": F.col("days_held") > 30, "STALE_BAR": F.col("bar_date") < F.col("as_of"),
     }
     df = df.withColumn("reasons", reasons).withColumn("verdict", verdict)
-    return df.withColumn("warnings", F.array_compact(F.array(*(F.when(c, code) for code, c in more.items()))))
+    return df.withColumn("warnings", F.when(known, F.array_compact(F.array(*(F.when(c, code) for code, c in more.items())))).otherwise(F.array().cast("array<string>")))
 
 
 def evaluate(positions: DataFrame, frame: DataFrame, actions: DataFrame, holdings: DataFrame, days: DataFrame, as_of: Column, horizon: int = 5) -> DataFrame:
@@ -52,20 +55,24 @@ def evaluate(positions: DataFrame, frame: DataFrame, actions: DataFrame, holding
 
     positions: position_id, account_id, symbol_id, opened_on, qty_total, qty_open, avg_entry_price, matched, stop_loss, target_1,
     target_2, and last_restated and structural_factor_applied if they were restated before.  frame: indicator frame.  actions:
-    symbol_id, action_type, ex_date, price_factor.  holdings: account_id, symbol_id, as_of, quantity."""
+    symbol_id, action_type, ex_date, price_factor.  holdings: account_id, symbol_id (or isin, if positions have it too), as_of, quantity."""
     as_opened = positions.where("qty_open > 0")
     never = {"last_restated": F.lit(None).cast("date"), "structural_factor_applied": F.lit(1.0)}
     open_ = as_opened.withColumns({c: v for c, v in never.items() if c not in positions.columns})
     open_ = restate_for_actions(open_, actions, as_of, "double").withColumn("as_of", as_of).withColumnRenamed("structural_factor_applied", "qty_factor")
     bars = with_volume_divergence(frame).withColumn("bar_date", F.to_date("ts")).where(F.col("bar_date") <= as_of)
     last = bars.groupBy("symbol_id").agg(F.max_by(F.struct("close", "low", "supertrend_dir", F.col("volume_divergence").alias("divergence"), "bar_date"), "ts").alias("bar")).select("symbol_id", "bar.*")
-    snapshot = holdings.where(F.col("as_of") <= as_of).groupBy("account_id", "symbol_id").agg(F.max_by("quantity", "as_of").alias("broker_qty"))
+    what = "isin" if "isin" in holdings.columns and "isin" in positions.columns else "symbol_id"
+    snapshot = holdings.where(F.col("as_of") <= as_of).groupBy("account_id", what).agg(F.max_by("quantity", "as_of").alias("broker_qty"))
     open_ = open_.withColumn("qty_sum", F.sum("qty_open").over(Window.partitionBy("account_id", "symbol_id")))
     held = as_opened.select("position_id", "symbol_id", "opened_on").join(actions.where("action_type = 'demerger'").select("symbol_id", "ex_date"), "symbol_id")
     cliffs = held.where((F.col("ex_date") > F.col("opened_on")) & (F.col("ex_date") <= as_of)).select("position_id", F.lit(True).alias("demerger")).distinct()
-    soon = sessions_between(actions.select("symbol_id", "ex_date").where(F.col("ex_date") > as_of).withColumn("_now", as_of), "_now", "ex_date", days, "_n")
-    soon = soon.where(F.col("_n") <= horizon).groupBy("symbol_id").agg(F.min("ex_date").alias("next_action")).withColumn("upcoming", F.lit(True))
-    df = open_.join(last, "symbol_id", "left").join(snapshot, ["account_id", "symbol_id"], "left").join(cliffs, "position_id", "left").join(soon, "symbol_id", "left")
+    # up to the session that is `horizon` sessions ahead, whatever day of the week an ex-date is
+    now = days.where(F.col("day") == as_of).select((F.col("session_no") + horizon).alias("_no"))
+    until = days.where("is_trading_day").join(F.broadcast(now), F.col("session_no") == F.col("_no")).select("_no", F.col("day").alias("_until"))
+    soon = actions.select("symbol_id", "ex_date").where(F.col("ex_date") > as_of).join(F.broadcast(until), F.col("ex_date") <= F.col("_until"))
+    soon = soon.groupBy("symbol_id").agg(F.min("ex_date").alias("next_action")).withColumn("upcoming", F.lit(True))
+    df = open_.join(last, "symbol_id", "left").join(snapshot, ["account_id", what], "left").join(cliffs, "position_id", "left").join(soon, "symbol_id", "left")
     df = df.join(chandelier(as_opened, frame, as_of), "position_id", "left")
     df = sessions_between(df, "opened_on", "as_of", days, "days_held")
     return decide(df.withColumns({"demerger": F.coalesce("demerger", F.lit(False)), "upcoming": F.coalesce("upcoming", F.lit(False))}))

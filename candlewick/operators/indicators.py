@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from candlewick.operators.recurrence import with_recurrences
 from candlewick.plans.views import SER, daily_bars_sql, rounded
 
+#: The labels of relative volume that stored signals carry.
+LABELS = ("STRONG (>=2x avg)", "CONFIRMED (>=1.5x avg)", "WEAK (<1.5x avg)")
 #: The 21 stored columns.
 STORED = [
     "atr_10", "supertrend_10_3", "supertrend_dir", "macd_12_26", "macd_signal_9", "macd_hist", "ema_50", "ema_200", "adx_14", "bb_upper", "bb_middle",
@@ -78,8 +80,8 @@ def volume_confirmed(rvol: str = "rvol_20", least: float = 1.5) -> Column:
 
 
 def volume_label(rvol: str = "rvol_20") -> Column:
-    """STRONG from 2, CONFIRMED from 1.5, else WEAK."""
-    return F.when(F.col(rvol) >= 2, "STRONG").when(F.col(rvol) >= 1.5, "CONFIRMED").otherwise("WEAK")
+    """Strong from 2, confirmed from 1.5, else weak."""
+    return F.when(F.col(rvol) >= 2, LABELS[0]).when(F.col(rvol) >= 1.5, LABELS[1]).otherwise(LABELS[2])
 
 
 def volume_divergence(n: int = 5) -> Column:

@@ -7,12 +7,21 @@ and effective sales are two series of intervals, and their overlaps are the allo
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from candlewick.operators.adjust import price_in_stored_terms
+
 BOOK = ["account_id", "symbol_id"]
 
 
+def in_stored_terms(fills: DataFrame, actions: DataFrame, as_of: Column) -> DataFrame:
+    """L2: fills with price and quantity in today's shares, by splits and bonuses after the trade and up to as_of; price_raw and
+    structural_factor_applied keep what they were.  The ledger takes these."""
+    terms = price_in_stored_terms(fills.withColumn("_as_of", as_of), actions, "_as_of")
+    return terms.withColumns({"price_raw": F.col("price"), "price": F.col("stored_price"), "quantity": F.col("stored_quantity")}).withColumnRenamed("factor", "structural_factor_applied").drop("_as_of", "stored_price", "stored_quantity")
+
+
 def inventory(fills: DataFrame) -> DataFrame:
     """Adds signed, inventory, effective (what a sale takes), orphan, low and high (the row's interval among purchases or
     effective sales).  Rows without a symbol take no part (see unmapped)."""

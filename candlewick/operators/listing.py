@@ -18,13 +18,14 @@ def series_range(bars: DataFrame, symbol_id: int, timeframe: str, start: Column
     return df.orderBy(F.col("ts").desc()).limit(min(limit, 10_000)).orderBy("ts")
 
 
-def signal_list(signals: DataFrame, symbols: DataFrame, symbol: str | None = None, strategy: str | None = None, since: Column | None = None, limit: int = 5000) -> DataFrame:
+def signal_list(signals: DataFrame, symbols: DataFrame, symbol: str | None = None, strategy: str | None = None, since: Column | None = None, limit: int = 5000, timeframe: str | None = None) -> DataFrame:
     """Signals with their symbol's name, newest first."""
     df = signals.join(F.broadcast(symbols.select("symbol_id", "symbol", "industry")), "symbol_id")
     df = df if symbol is None else df.where(F.col("symbol") == symbol.upper())
     df = df if strategy is None else df.where(F.col("strategy") == strategy)
     df = df if since is None else df.where(F.col("ts") >= since)
-    return df.orderBy(F.col("ts").desc(), "symbol", "strategy").limit(limit)
+    df = df if timeframe is None else df.where(F.col("timeframe") == timeframe)
+    return df.orderBy(F.col("ts").desc(), "symbol", "strategy").limit(min(limit, 5000))
 
 
 def fresh(signals: DataFrame, now: Column, days: int) -> DataFrame:
@@ -32,16 +33,31 @@ def fresh(signals: DataFrame, now: Column, days: int) -> DataFrame:
     return signals.where(F.col("ts") >= now - F.make_dt_interval(days=F.lit(days)))
 
 
-def signal_filter(signals: DataFrame, events: bool, risk: float | None = None, reward: float | None = None, conviction: str | None = None) -> DataFrame:
-    """Events or states, risk at most, reward to risk at least (unknown counts as -1), conviction by its beginning."""
+def signal_filter(signals: DataFrame, events: bool, risk: float | None = None, reward: float | None = None, conviction: str | None = None, strategies: list[str] | None = None, industry: str | None = None, mode: str | None = None) -> DataFrame:
+    """Events or states, risk at most, reward to risk at least (unknown counts as -1), conviction by its beginning;
+    strategies, industry and entry mode where given."""
     is_event = F.col("strategy").isin(*EVENTS)
     df = signals.where(is_event if events else ~is_event)
     ratio = F.coalesce(F.try_divide(F.col("target_1") - F.col("entry"), F.col("entry") - F.col("stop_loss")), F.lit(-1.0))
     df = df if risk is None else df.where(F.col("risk_pct") <= risk)
     df = df if reward is None else df.where(ratio >= reward)
+    df = df if strategies is None else df.where(F.col("strategy").isin(strategies))
+    df = df if industry is None else df.where(F.col("industry") == industry)
+    df = df if mode is None else df.where(F.get_json_object("details", "$.entry_mode") == mode)
     return df if conviction is None else df.where(F.get_json_object("details", "$.conviction").startswith(conviction))
 
 
+def day_series(bars: DataFrame, day: Column) -> DataFrame:
+    """Of one day, each series with its bars in order of time."""
+    rows = bars.where(F.to_date("ts") == day)
+    return rows.groupBy("symbol_id", "timeframe").agg(F.sort_array(F.collect_list(F.struct("ts", "open", "high", "low", "close", "volume"))).alias("bars"))
+
+
+def largest(df: DataFrame, column: str, n: int = 10, *ties: str) -> DataFrame:
+    """The n rows with the largest value."""
+    return df.orderBy(F.col(column).desc_nulls_last(), *ties).limit(n)
+
+
 def last_dates(df: DataFrame, n: int) -> DataFrame:
     """Rows of the last n distinct dates, which are found first (a few values)."""
     dates = df.select(F.to_date("ts").alias("_d")).distinct().orderBy(F.col("_d").desc()).limit(n)

@@ -30,7 +30,7 @@ def match(pairs: DataFrame, gap: float = GAP, back: int = BACK, least: float = L
     df = df.withColumns({"score": 0.5 * (1 - F.col("gap_pct") / gap) + 0.3 * kind + 0.2 * (1 - F.col("sessions") / back), "is_event": kind == 1.0}).where(F.col("score") >= least)
     best = Window.partitionBy("trade_id").orderBy(rounded("score", 9).desc(), F.col("is_event").desc(), F.col("signal_ts").desc(), "strategy")
     df = df.withColumn("_n", F.row_number().over(best)).where("_n = 1")
-    reason = F.format_string("%s @%s, fill %.1f%% from entry", "strategy", F.date_format("signal_ts", "yyyy-MM-dd"), "gap_pct")
+    reason = F.format_string("%s @%s, fill %.1f%% from entry", "strategy", F.date_format("signal_ts", "yyyy-MM-dd"), rounded("gap_pct", 1))
     return df.select("trade_id", "symbol_id", "strategy", "signal_ts", "entry", "stop_loss", "target_1", "target_2", "sessions", "gap_pct", rounded("score", 4).alias("confidence"), reason.alias("reason"))
 
 

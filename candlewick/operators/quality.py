@@ -10,7 +10,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from candlewick.operators.bars import START, minute
+from candlewick.operators.bars import START, minute, resample
+from candlewick.plans.views import rounded
 
 TICK = 0.05 + 1e-9
 PRICES = ("open", "high", "low", "close")
@@ -30,16 +31,30 @@ def worst_difference(df: DataFrame) -> Column:
     return F.coalesce(F.greatest(*(F.abs(F.col(c) - F.col("file_" + c)) for c in PRICES)), F.lit(0.0))
 
 
-def _note(failures: dict[str, Column]) -> Column:
-    return F.substring(F.array_join(F.array_compact(F.array(*(F.when(c, F.lit(n)) for n, c in failures.items()))), ", "), 1, 128)
+# Notes that stored checks carry.
+NOT_IN_FILE, NO_BAR, NO_BARS, PATCHED, NO_FILE, NO_VOLUME = "not in bhavcopy", "no stored fyers bar", "no stored fyers bars", "close patched", "no bhavcopy yet", "bhav volume 0"
+
+
+def _note(failures: list[Column]) -> Column:
+    return F.substring(F.array_join(F.array_compact(F.array(*failures)), "; "), 1, 128)
+
+
+def _signed(value: Column, digits: int, text: str) -> Column:
+    return F.format_string(text, rounded(value, digits))
 
 
 def check_daily(rows: DataFrame) -> DataFrame:
-    """Q1: adds status and note to daily bars with the file's row (file_open..file_close, file_volume, in_file)."""
-    wrong = {c: ~within_tick(F.col(c), F.col("file_" + c)) for c in PRICES} | {"volume": ~F.coalesce(F.col("volume") == F.col("file_volume"), F.lit(False))}
-    bad = reduce(lambda a, b: a | b, wrong.values())
-    note = F.when(~F.col("in_file"), "not in bhavcopy").when(F.col("close").isNull(), "no bar").when(bad, _note(wrong))
-    return rows.withColumns({"status": F.when(note.isNull(), "pass").otherwise("fail"), "note": note})
+    """Q1: adds status, note, the differences (open_diff..close_diff, vol_diff_pct) and bar_count to daily bars with the file's
+    row (file_open..file_close, file_volume, in_file)."""
+    differs = {c: F.col(c) - F.col("file_" + c) for c in PRICES}
+    same = F.coalesce(F.col("volume") == F.col("file_volume"), F.lit(False))
+    wrong = [F.when(~within_tick(F.col(c), F.col("file_" + c)), c) for c in PRICES]
+    wrong.append(F.when(~same, F.format_string("volume %d != %d", F.col("volume").cast("long"), F.col("file_volume").cast("long"))))
+    bad = _note(wrong)
+    note = F.when(~F.col("in_file"), NOT_IN_FILE).when(F.col("close").isNull(), NO_BAR).when(bad != "", bad)
+    both = F.col("in_file") & F.col("close").isNotNull()
+    more = {f"{c}_diff": F.when(both, d) for c, d in differs.items()} | {"vol_diff_pct": F.when(both, volume_pct("volume", "file_volume")), "bar_count": F.when(both, 1)}
+    return rows.withColumns({"status": F.when(note.isNull(), "pass").otherwise("fail"), "note": note} | more)
 
 
 def session_totals(bars: DataFrame) -> DataFrame:
@@ -57,13 +72,18 @@ def check_hourly(totals: DataFrame, expected: int | None = 7) -> DataFrame:
     """Q2, Q3: adds status, note and the close patch to session totals with the file's row (file_open, file_high, file_low,
     file_last, file_volume, in_file).  The close is not gated: a passing day whose close is off is patched."""
     pct = volume_pct("volume", "file_volume")
-    wrong = {c: ~within_tick(F.col(c), F.col("file_" + c)) for c in ("high", "low", "open")}
-    wrong |= {"count": (F.col("n") != expected) if expected else F.lit(False), "volume": ~F.coalesce((pct >= -5 - 1e-9) & (pct <= 2 + 1e-9), F.lit(False))}
-    bad = reduce(lambda a, b: a | b, wrong.values())
-    note = F.when(~F.col("in_file"), "not in bhavcopy").when(F.col("n").isNull(), "no bars").when(bad, _note(wrong))
+    apart = {c: F.col(c) - F.col("file_" + c) for c in ("high", "low", "open")}
+    wrong = [F.when(~within_tick(F.col(c), F.col("file_" + c)), F.concat(F.lit(c + " "), _signed(d, 2, "%+.2f"))) for c, d in apart.items()]
+    if expected:
+        wrong.append(F.when(F.col("n") != expected, F.format_string(f"bars %d!={expected}", "n")))
+    wrong.append(F.when(pct.isNull(), NO_VOLUME).when(~((pct >= -5 - 1e-9) & (pct <= 2 + 1e-9)), F.concat(F.lit("vol "), _signed(pct, 1, "%+.1f%%"))))
+    bad = _note(wrong)
+    note = F.when(~F.col("in_file"), NOT_IN_FILE).when(F.col("n").isNull(), NO_BARS).when(bad != "", bad)
+    both = F.col("in_file") & F.col("n").isNotNull()
+    more = {f"{c}_diff": F.when(both, d) for c, d in apart.items()} | {"close_diff": F.when(both, F.col("close") - F.col("file_last")), "vol_diff_pct": F.when(both, pct)}
     df = totals.withColumn("_note", note)
     patch = F.col("_note").isNull() & F.col("file_last").isNotNull() & ~within_tick(F.col("close"), F.col("file_last"))
-    return df.withColumns({"status": F.when(F.col("_note").isNull(), "pass").otherwise("fail"), "patched": patch, "note": F.when(patch, "close patched").otherwise(F.col("_note"))}).drop("_note")
+    return df.withColumns({"status": F.when(F.col("_note").isNull(), "pass").otherwise("fail"), "patched": patch, "note": F.when(patch, PATCHED).otherwise(F.col("_note"))} | more).drop("_note")
 
 
 def patch_closes(bars: DataFrame, checked: DataFrame) -> DataFrame:
@@ -74,28 +94,47 @@ def patch_closes(bars: DataFrame, checked: DataFrame) -> DataFrame:
     return df.withColumns({"close": new, "high": F.greatest("high", new), "low": F.least("low", new)}).drop("file_last")
 
 
-def targets(active: DataFrame, days: DataFrame, open_rows: DataFrame) -> DataFrame:
-    """Q4: (symbol_id, day, timeframe) to check: active symbols on the days, and rows still open.  days is a handful."""
+def rederived(patched: DataFrame, stored: DataFrame, hours: int = 4) -> DataFrame:
+    """Stored bars of `hours` with those of patched days made again.  patched: all hourly bars of those days."""
+    days = patched.select("symbol", F.to_date("ts").alias("_day")).distinct()
+    kept = stored.withColumn("_day", F.to_date("ts")).join(days, ["symbol", "_day"], "left_anti").drop("_day")
+    return kept.unionByName(resample(patched, hours).select(*kept.columns))
+
+
+def worst_series(rows: DataFrame, n: int = 10) -> DataFrame:
+    """O2: symbols by failed, then by pending rows."""
+    counts = rows.groupBy("symbol").agg(F.count_if(F.col("status") == "fail").alias("fails"), F.count_if(F.col("status") == "pending").alias("pendings"))
+    return counts.orderBy(F.col("fails").desc(), F.col("pendings").desc(), "symbol").limit(n)
+
+
+def targets(active: DataFrame, days: DataFrame, open_rows: DataFrame, newest: Column, cutoff: Column) -> DataFrame:
+    """Q4: (symbol_id, day, timeframe) to check: active symbols on the days (a handful), and rows still open up to the newest day:
+    pending ones, and failed ones from the cutoff on."""
     frames = F.explode(F.array(F.lit("1d"), F.lit("1h"))).alias("timeframe")
     wanted = days.agg(F.collect_set("session_date").alias("_days"))
     grid = active.select("symbol_id").join(F.broadcast(wanted)).select("symbol_id", F.explode("_days").alias("day")).select("symbol_id", "day", frames)
-    return grid.union(open_rows.where("status in ('fail', 'pending')").select("symbol_id", "day", "timeframe")).distinct()
+    return grid.union(open_rows.where((F.col("day") <= newest) & ((F.col("status") == "pending") | ((F.col("status") == "fail") & (F.col("day") >= cutoff)))).select("symbol_id", "day", "timeframe")).distinct()
 
 
 def transitions(new: DataFrame, previous: DataFrame) -> DataFrame:
-    """Q6, Q7: adds resolved, changed and the note that stays: a patched day that passes again keeps its note."""
+    """Q6, Q7: adds resolved, changed and the note that stays: a patched day that passes again keeps its note, and a pass on
+    another series than EQ (a column `series`, if given) says so."""
     p = previous.select("symbol_id", "day", "timeframe", F.col("status").alias("_was"), F.col("note").alias("_said"))
     df = new.join(p, ["symbol_id", "day", "timeframe"], "left")
     resolved = F.coalesce(F.col("_was").isin("pending", "fail") & (F.col("status") == "pass"), F.lit(False))
-    sticky = F.when((F.col("status") == "pass") & F.col("note").isNull() & (F.col("_said") == "close patched"), "close patched").otherwise(F.col("note"))
-    return df.withColumns({"resolved": resolved, "changed": resolved | F.coalesce(F.col("note") == "close patched", F.lit(False)), "note": sticky}).drop("_was", "_said")
+    passed = F.col("status") == "pass"
+    now = F.coalesce(F.col("note") == PATCHED, F.lit(False))
+    sticky = F.when(passed & ~now & (F.col("_said") == PATCHED), PATCHED)
+    if "series" in new.columns:
+        sticky = F.coalesce(sticky, F.when(passed & F.col("note").isNull() & (F.col("series") != "EQ"), F.concat(F.lit("series "), F.col("series"))))
+    return df.withColumns({"resolved": resolved, "changed": resolved | now, "note": F.coalesce(sticky, F.col("note"))}).drop("_was", "_said")
 
 
 def reconcile(targets: DataFrame, daily: DataFrame, hourly: DataFrame, file: DataFrame, published: DataFrame, previous: DataFrame) -> DataFrame:
     """The checks of all targets.  published: the days with a file; targets of other days are pending."""
     f = file.select("symbol_id", "day", *(F.col(c).alias("file_" + c) for c in (*PRICES, "last", "volume")), F.lit(True).alias("in_file"))
     known = targets.join(F.broadcast(published.select("day", F.lit(True).alias("_published"))), "day", "left")
-    pending = known.where("_published is null").select("symbol_id", "day", "timeframe", F.lit("pending").alias("status"), F.lit(None).cast("string").alias("note"))
+    pending = known.where("_published is null").select("symbol_id", "day", "timeframe", F.lit("pending").alias("status"), F.lit(NO_FILE).alias("note"))
     ready = known.where("_published").drop("_published").join(f, ["symbol_id", "day"], "left").withColumn("in_file", F.coalesce("in_file", F.lit(False)))
     one = check_daily(ready.where("timeframe = '1d'").join(daily.select("symbol_id", "day", *PRICES, "volume"), ["symbol_id", "day"], "left"))
     many = check_hourly(ready.where("timeframe = '1h'").join(hourly, ["symbol_id", "day"], "left"))

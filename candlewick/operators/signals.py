@@ -7,6 +7,7 @@ its own fields).  Prices are rounded half-even to 2 digits.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -22,12 +23,38 @@ CONVICTION = ("HIGH ⚡", "STRONG", "MODERATE")
 EVENTS = ("PIPELINE", "S1_ST_Flip", "S2_MACD_Zero", "S3_BB_Squeeze", "TTM_Squeeze")
 
 
-def _signals(df: DataFrame, name: str, stop: Column, first: float, second: float, details: dict[str, Column]) -> DataFrame:
-    """Rows of df as signals; targets are multiples of the unrounded close, the risk is that of the rounded stop."""
+@dataclass(frozen=True)
+class Strategy:
+    """A strategy over bars with the values of numbered(): columns adds what it needs, hit says where it fires, row is the
+    signal (a struct, see _row; null where there is none after all)."""
+
+    columns: Callable[[DataFrame], DataFrame]
+    hit: Callable[[], Column]
+    row: Callable[[], Column]
+
+    def __call__(self, frame: DataFrame) -> DataFrame:
+        return fired(frame, [self])
+
+
+def fired(frame: DataFrame, strategies: list[Strategy]) -> DataFrame:
+    """The signals of the strategies in one pass over the frame: one row a signal."""
+    df = numbered(frame)
+    for s in strategies:
+        df = s.columns(df)
+    found = F.array_compact(F.array(*(F.when(true(s.hit()), s.row()) for s in strategies)))
+    return df.select(*SER, F.explode(found).alias("s")).select(*SER, "s.*")
+
+
+def _row(name: str, stop: Column, first: float, second: float, details: dict[str, Column]) -> Column:
+    """The signal of a bar; targets are multiples of the unrounded close, the risk is that of the rounded stop."""
     stop = rounded(stop, 2)
     risk = rounded((F.col("close") - stop) / F.col("close") * 100, 2)
-    fields = {"entry": rounded("close", 2), "stop_loss": stop, "target_1": rounded(F.col("close") * first, 2), "target_2": rounded(F.col("close") * second, 2), "risk_pct": risk}
-    return df.select(*SER, "ts", F.lit(name).alias("strategy"), *(v.alias(k) for k, v in fields.items()), F.to_json(F.struct(*(v.alias(k) for k, v in details.items()))).alias("details"))
+    return _struct(name, F.col("ts"), {"entry": rounded("close", 2), "stop_loss": stop, "target_1": rounded(F.col("close") * first, 2), "target_2": rounded(F.col("close") * second, 2), "risk_pct": risk}, details)
+
+
+def _struct(name: str, ts: Column, prices: dict[str, Column], details: dict[str, Column]) -> Column:
+    text = F.to_json(F.struct(*(v.alias(k) for k, v in details.items())))
+    return F.struct(ts.alias("ts"), F.lit(name).alias("strategy"), *(v.alias(k) for k, v in prices.items()), text.alias("details"))
 
 
 def numbered(df: DataFrame) -> DataFrame:
@@ -36,27 +63,37 @@ def numbered(df: DataFrame) -> DataFrame:
     return df.withColumns({"i": F.row_number().over(ordered()) - 1, **before})
 
 
-def supertrend_flip(df: DataFrame) -> DataFrame:
-    """The direction turns up on more than average volume."""
-    hit = (F.col("i") >= 1) & (F.col("prev_supertrend_dir") == -1) & (F.col("supertrend_dir") == 1) & (F.col("volume") > F.col("volume_ma_20"))
-    more = {"supertrend": rounded("supertrend_10_3", 2), "vol_ratio": rounded(F.col("volume") / F.col("volume_ma_20"), 2)}
-    return _signals(numbered(df).where(true(hit)), "S1_ST_Flip", F.col("supertrend_10_3") * 0.995, 1.07, 1.12, more)
+def volume_ratio() -> Column:
+    return rounded(F.col("volume") / F.col("volume_ma_20"), 2)
 
 
-def macd_zero(df: DataFrame) -> DataFrame:
-    """MACD crosses zero upwards while the direction is up; stop below the last 10 bars."""
-    df = numbered(df).withColumn("swing_low", F.min("low").over(last_rows(10, 1)))
-    hit = (F.col("i") >= 10) & (F.col("prev_macd_12_26") <= 0) & (F.col("macd_12_26") > 0) & (F.col("supertrend_dir") == 1)
-    return _signals(df.where(true(hit)), "S2_MACD_Zero", F.col("swing_low") * 0.995, 1.07, 1.12, {"macd": rounded("macd_12_26", 4)})
+#: The direction turns up on more than average volume.
+supertrend_flip = Strategy(
+    lambda df: df,
+    lambda: (F.col("i") >= 1) & (F.col("prev_supertrend_dir") == -1) & (F.col("supertrend_dir") == 1) & (F.col("volume") > F.col("volume_ma_20")),
+    lambda: _row("S1_ST_Flip", F.col("supertrend_10_3") * 0.995, 1.07, 1.12, {"supertrend": rounded("supertrend_10_3", 2), "vol_ratio": volume_ratio()}),
+)
 
+#: MACD crosses zero upwards while the direction is up; stop below the last 10 bars.
+macd_zero = Strategy(
+    lambda df: df.withColumn("swing_low", F.min("low").over(last_rows(10, 1))),
+    lambda: (F.col("i") >= 10) & (F.col("prev_macd_12_26") <= 0) & (F.col("macd_12_26") > 0) & (F.col("supertrend_dir") == 1),
+    lambda: _row("S2_MACD_Zero", F.col("swing_low") * 0.995, 1.07, 1.12, {"macd": rounded("macd_12_26", 4)}),
+)
 
-def band_squeeze(df: DataFrame, narrow: float = 0.03, window: int = 10, volume: float = 1.5) -> DataFrame:
-    """A close above the upper band, after narrow bands in the last 10 bars, on high volume."""
-    df = numbered(df).withColumn("was_narrow", F.max(true(F.col("bb_bandwidth") < narrow).cast("int")).over(last_rows(window, 1)) == 1)
+
+def _band_hit(window: int = 10, volume: float = 1.5) -> Column:
     fresh = (F.col("close") > F.col("bb_upper")) & (F.col("prev_close") <= F.col("prev_bb_upper"))
-    hit = (F.col("i") >= window + 1) & F.col("was_narrow") & fresh & (F.col("volume") > volume * F.col("volume_ma_20"))
-    more = {"upper_bb": rounded("bb_upper", 2), "middle_bb": rounded("bb_middle", 2), "bandwidth": rounded("bb_bandwidth", 4), "vol_ratio": rounded(F.col("volume") / F.col("volume_ma_20"), 2)}
-    return _signals(df.where(true(hit)), "S3_BB_Squeeze", F.col("bb_middle"), 1.08, 1.15, more)
+    return (F.col("i") >= window + 1) & F.col("was_narrow") & fresh & (F.col("volume") > volume * F.col("volume_ma_20"))
+
+
+def _band_row() -> Column:
+    more = {"upper_bb": rounded("bb_upper", 2), "middle_bb": rounded("bb_middle", 2), "bandwidth": rounded("bb_bandwidth", 4), "vol_ratio": volume_ratio()}
+    return _row("S3_BB_Squeeze", F.col("bb_middle"), 1.08, 1.15, more)
+
+
+#: A close above the upper band, after bands narrower than 0.03 in the last 10 bars, on high volume.
+band_squeeze = Strategy(lambda df: df.withColumn("was_narrow", F.max(true(F.col("bb_bandwidth") < 0.03).cast("int")).over(last_rows(10, 1)) == 1), _band_hit, _band_row)
 
 
 def reward_to_risk(target: Column, stop: Column) -> Column:
@@ -64,15 +101,20 @@ def reward_to_risk(target: Column, stop: Column) -> Column:
     return F.when(F.col("close") > stop, rounded((target - F.col("close")) / (F.col("close") - stop), 2)).otherwise(0.0)
 
 
-def confluence(df: DataFrame, least: int = 3) -> DataFrame:
-    """A score of trend (a veto), MACD, place within the bands and volume; not within 1 % of the upper band."""
-    df = numbered(df).withColumn("macd_below", F.max(true(F.col("macd_12_26") < 0).cast("int")).over(last_rows(10, 1)) == 1)
+def _confluence_columns(df: DataFrame) -> DataFrame:
+    df = df.withColumn("macd_below", F.max(true(F.col("macd_12_26") < 0).cast("int")).over(last_rows(10, 1)) == 1)
     df = df.withColumns({
         "macd_ok": true((F.col("macd_12_26") > F.col("macd_signal_9")) & (F.col("macd_hist") > 0)), "bb_ok": true(F.col("close") > F.col("bb_middle")),
         "vol_ok": true(F.col("volume") > F.col("volume_ma_20")), "room": (F.col("bb_upper") - F.col("close")) / F.col("close"),
     })
-    df = df.withColumn("score", 1 + F.col("macd_ok").cast("int") + F.col("bb_ok").cast("int") + F.col("vol_ok").cast("int"))
-    near = true(F.col("room") < 0.01)
+    return df.withColumn("score", 1 + F.col("macd_ok").cast("int") + F.col("bb_ok").cast("int") + F.col("vol_ok").cast("int"))
+
+
+def _confluence_hit(least: int = 3) -> Column:
+    return (F.col("i") >= 30) & (F.col("supertrend_dir") == 1) & ~true(F.col("room") < 0.01) & (F.col("score") >= least)
+
+
+def _confluence_row() -> Column:
     high = F.col("macd_ok") & F.coalesce("macd_below", F.lit(False))
     stop, target = rounded(F.col("supertrend_10_3") * 0.99, 2), rounded(F.col("close") * 1.07, 2)
     more = {
@@ -80,21 +122,29 @@ def confluence(df: DataFrame, least: int = 3) -> DataFrame:
         "conviction": F.when(high, CONVICTION[0]).when(F.col("score") == 4, CONVICTION[1]).otherwise(CONVICTION[2]), "supertrend": rounded("supertrend_10_3", 2),
         "breakdown": F.struct(
             F.lit(TREND).alias("supertrend"), F.when(F.col("macd_ok"), MACD_TEXT[0]).otherwise(MACD_TEXT[1]).alias("macd"), high.alias("high_conviction"),
-            F.when(F.col("bb_ok"), BAND_TEXT[0]).otherwise(BAND_TEXT[1]).alias("bb_position"), F.format_string("%.1f%%", F.col("room") * 100).alias("room_to_upper"),
-            F.concat(F.format_string("%.1fx avg ", F.col("volume") / F.col("volume_ma_20")), F.when(F.col("vol_ok"), VOLUME_TEXT[0]).otherwise(VOLUME_TEXT[1])).alias("volume"),
+            F.when(F.col("bb_ok"), BAND_TEXT[0]).otherwise(BAND_TEXT[1]).alias("bb_position"), F.format_string("%.1f%%", rounded(F.col("room") * 100, 1)).alias("room_to_upper"),
+            F.concat(F.format_string("%.1fx avg ", rounded(F.col("volume") / F.col("volume_ma_20"), 1)), F.when(F.col("vol_ok"), VOLUME_TEXT[0]).otherwise(VOLUME_TEXT[1])).alias("volume"),
         ),
     }
-    hit = (F.col("i") >= 30) & (F.col("supertrend_dir") == 1) & ~near & (F.col("score") >= least)
-    return _signals(df.where(true(hit)), "Confluence", F.col("supertrend_10_3") * 0.99, 1.07, 1.12, more)
+    return _row("Confluence", F.col("supertrend_10_3") * 0.99, 1.07, 1.12, more)
+
 
+#: A score of trend (a veto), MACD, place within the bands and volume; not within 1 % of the upper band.
+confluence = Strategy(_confluence_columns, _confluence_hit, _confluence_row)
 
-def ttm_squeeze(df: DataFrame) -> DataFrame:
-    """The squeeze ends with positive, rising momentum while the direction is up."""
-    df = numbered(df).withColumn("squeeze_bars", F.sum(F.col("ttm_squeeze_on").cast("int")).over(last_rows(20, 1)))
-    hit = (F.col("i") >= 1) & F.col("ttm_squeeze_off") & (F.col("ttm_momentum") > 0) & (F.col("ttm_momentum") > F.col("prev_ttm_momentum")) & (F.col("supertrend_dir") == 1)
+
+def _ttm_row() -> Column:
     stop, target = rounded(F.col("kc_middle") * 0.99, 2), rounded(F.col("close") * 1.08, 2)
     more = {"rr_ratio": reward_to_risk(target, stop), "momentum": rounded("ttm_momentum", 4), "kc_mid": rounded("kc_middle", 2), "squeeze_bars": F.col("squeeze_bars")}
-    return _signals(df.where(true(hit)), "TTM_Squeeze", F.col("kc_middle") * 0.99, 1.08, 1.15, more)
+    return _row("TTM_Squeeze", F.col("kc_middle") * 0.99, 1.08, 1.15, more)
+
+
+#: The squeeze ends with positive, rising momentum while the direction is up.
+ttm_squeeze = Strategy(
+    lambda df: df.withColumn("squeeze_bars", F.sum(F.col("ttm_squeeze_on").cast("int")).over(last_rows(20, 1))),
+    lambda: (F.col("i") >= 1) & F.col("ttm_squeeze_off") & (F.col("ttm_momentum") > 0) & (F.col("ttm_momentum") > F.col("prev_ttm_momentum")) & (F.col("supertrend_dir") == 1),
+    _ttm_row,
+)
 
 
 # The ten steps of the breakout pipeline.
@@ -161,40 +211,51 @@ def pipeline_steps(df: DataFrame, adx: float = 25.0, rvol: float = 1.5) -> DataF
     return df.withColumns({"setup": setup, "mode": entry_mode()})
 
 
-def pipeline(df: DataFrame, adx: float = 25.0, rvol: float = 1.5, least: int = 210, window: int = 10) -> DataFrame:
+def breakouts(adx: float = 25.0, rvol: float = 1.5, least: int = 210, window: int = 10) -> Strategy:
     """Strong breakouts enter at once; weak ones at the first valid retest within the next window - 1 bars.  Two breakouts may
     share a retest; both are kept.  Series below `least` bars have no signal."""
-    df = pipeline_steps(df, adx, rvol)
-    size = F.count("*").over(Window.partitionBy(*SER))
-    bar = F.struct("ts", "close", "low_11", "atr_10", "rvol_20")
-    df = df.withColumns({"size": size, "low_11": F.min("low").over(ordered().rowsBetween(-window, 0))}).withColumn("bar", bar)
-    ahead = F.min(F.when(F.col("retest"), F.struct("i", "bar"))).over(ordered().rowsBetween(1, window - 1))
-    df = df.withColumn("next_retest", ahead).where(F.col("setup") & (F.col("size") >= least))
-    now = F.when(F.col("mode") == "IMMEDIATE", F.col("bar")).when(F.col("mode") == "WAIT_RETEST", F.col("next_retest.bar"))
-    df = df.withColumn("at", now).where("at is not null")
-    entry, atr = F.col("at.close"), F.col("at.atr_10")
-    stop = stop_loss(entry, F.col("at.low_11"), atr)
-    rows = {
-        "entry": rounded(entry, 2), "stop_loss": stop, "target_1": rounded(entry + 2 * atr, 2), "target_2": rounded(entry + 3.5 * atr, 2), "risk_pct": rounded((entry - stop) / entry * 100, 2),
-    }
-    more = {
-        "entry_mode": F.when(F.col("mode") == "IMMEDIATE", "IMMEDIATE").otherwise("RETEST"), "atr": rounded(atr, 2), "rvol": rounded("at.rvol_20", 2),
-        "volume_grade": volume_label("at.rvol_20"), "breakout_atr": rounded("breakout_atr", 2),
-    }
-    return df.select(*SER, F.col("at.ts").alias("ts"), F.lit("PIPELINE").alias("strategy"), *(v.alias(k) for k, v in rows.items()), F.to_json(F.struct(*(v.alias(k) for k, v in more.items()))).alias("details"))
+
+    def columns(df: DataFrame) -> DataFrame:
+        df = pipeline_steps(df, adx, rvol)
+        bar = F.struct("ts", "close", "low_11", "atr_10", "rvol_20")
+        df = df.withColumns({"series_size": F.count("*").over(Window.partitionBy(*SER)), "low_11": F.min("low").over(ordered().rowsBetween(-window, 0))}).withColumn("bar", bar)
+        ahead = F.min(F.when(F.col("retest"), F.struct("i", "bar"))).over(ordered().rowsBetween(1, window - 1))
+        df = df.withColumn("next_retest", ahead)
+        return df.withColumn("at", F.when(F.col("mode") == "IMMEDIATE", F.col("bar")).when(F.col("mode") == "WAIT_RETEST", F.col("next_retest.bar")))
+
+    def row() -> Column:
+        entry, atr = F.col("at.close"), F.col("at.atr_10")
+        stop = stop_loss(entry, F.col("at.low_11"), atr)
+        prices = {"entry": rounded(entry, 2), "stop_loss": stop, "target_1": rounded(entry + 2 * atr, 2), "target_2": rounded(entry + 3.5 * atr, 2), "risk_pct": rounded((entry - stop) / entry * 100, 2)}
+        more = {
+            "entry_mode": F.when(F.col("mode") == "IMMEDIATE", "IMMEDIATE").otherwise("RETEST"), "atr": rounded(atr, 2), "rvol": rounded("at.rvol_20", 2),
+            "volume_grade": volume_label("at.rvol_20"), "breakout_atr": rounded("breakout_atr", 2),
+        }
+        return _struct("PIPELINE", F.col("at.ts"), prices, more)
+
+    return Strategy(columns, lambda: F.col("setup") & (F.col("series_size") >= least) & F.col("at").isNotNull(), row)
+
+
+def pipeline(df: DataFrame, adx: float = 25.0, rvol: float = 1.5, least: int = 210, window: int = 10) -> DataFrame:
+    """The signals of breakouts()."""
+    return breakouts(adx, rvol, least, window)(df)
 
 
-#: The registry that callers extend.
+#: The registry that callers extend, by a Strategy or any function from frames to signals.
 STRATEGIES: dict[str, Callable[[DataFrame], DataFrame]] = {
-    "PIPELINE": pipeline, "S1_ST_Flip": supertrend_flip, "S2_MACD_Zero": macd_zero, "S3_BB_Squeeze": band_squeeze, "Confluence": confluence, "TTM_Squeeze": ttm_squeeze,
+    "PIPELINE": breakouts(), "S1_ST_Flip": supertrend_flip, "S2_MACD_Zero": macd_zero, "S3_BB_Squeeze": band_squeeze, "Confluence": confluence, "TTM_Squeeze": ttm_squeeze,
 }
 
 
 def run(frame: DataFrame, strategies: list[str] | None = None, held: DataFrame | None = None) -> DataFrame:
-    """Signals of the strategies over all series but those held back (held: symbol_id, timeframe)."""
+    """Signals of the strategies over all series but those held back (held: symbol_id, timeframe).  All strategies of the
+    registry that are a Strategy share one pass over the frame."""
     if held is not None:
         frame = frame.join(held.select(*SER).distinct(), SER, "left_anti")
-    return reduce(DataFrame.unionByName, [STRATEGIES[s](frame) for s in strategies or STRATEGIES])
+    chosen = [STRATEGIES[s] for s in strategies or STRATEGIES]
+    together = [s for s in chosen if isinstance(s, Strategy)]
+    parts = [fired(frame, together)] if together else []
+    return reduce(DataFrame.unionByName, parts + [s(frame) for s in chosen if not isinstance(s, Strategy)])
 
 
 def regenerated(old: DataFrame, new: DataFrame, attempted: DataFrame) -> DataFrame:

@@ -104,9 +104,13 @@ def resample_gaps(made: DataFrame, stored: DataFrame) -> DataFrame:
     return df.agg(F.count("*").alias("n"), F.count_if(F.col("s_close").isNull()).alias("missing"), F.count_if(differs).alias("wrong"))
 
 
-def orphans(stored: DataFrame, made: DataFrame) -> DataFrame:
-    """Stored bars without any bar below them."""
-    return stored.join(made.select("symbol", "ts"), ["symbol", "ts"], "left_anti")
+def orphans(stored: DataFrame, hourly: DataFrame, hours: int = 4) -> DataFrame:
+    """Stored bars without any hourly bar in [ts, ts + hours), on the session grid or off it.  They meet on whole hours."""
+    hour = lambda c: F.date_trunc("hour", c).cast("timestamp_ntz")
+    spread = stored.select("symbol", "ts").withColumn("_hour", F.explode(F.sequence(hour(F.col("ts")), hour(F.col("ts") + F.make_dt_interval(hours=F.lit(hours))), F.make_dt_interval(hours=F.lit(1)))))
+    below = hourly.select("symbol", F.col("ts").alias("_ts"), hour(F.col("ts")).alias("_hour"))
+    backed = spread.join(below, ["symbol", "_hour"]).where((F.col("_ts") >= F.col("ts")) & (F.col("_ts") < F.col("ts") + F.make_dt_interval(hours=F.lit(hours))))
+    return stored.join(backed.select("symbol", "ts").distinct(), ["symbol", "ts"], "left_anti")
 
 
 def without_hourly(bars: DataFrame) -> DataFrame:

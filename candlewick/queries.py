@@ -240,12 +240,24 @@ def allocation_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.allocations(views.fills(spark, sf_dir)).withColumn("realized_pnl", views.rounded("realized_pnl", 2)).drop("avg_entry_price", "sell_price")
 
 
-@register("ledger_positions", f"""{LEDGER_SQL} SELECT b.account_id, b.symbol_id, b.trade_id AS position_id, b.trade_date AS opened_on, b.quantity AS qty_total, (b.quantity - coalesce(sum(a.qty), 0))::BIGINT AS qty_open,
-  CASE WHEN b.quantity = coalesce(sum(a.qty), 0) THEN 'closed' ELSE 'open' END AS status, CASE WHEN b.quantity = coalesce(sum(a.qty), 0) THEN max(a.trade_date) END AS closed_on
-  FROM t b LEFT JOIN a ON a.position_id = b.trade_id WHERE b.side = 'BUY' GROUP BY 1, 2, 3, 4, 5""")
+def positions_sql(ledger_sql: str, digits: int = 2) -> str:
+    """L4 from the allocations `a` and fills `t` of a ledger's CTEs."""
+    flat = "b.quantity = coalesce(sum(a.qty), 0)"
+    pnl = "coalesce(sum((a.sell_price - a.avg_entry_price)*a.qty), 0)"
+    return f"""{ledger_sql} SELECT b.account_id, b.symbol_id, b.trade_id AS position_id, b.trade_date AS opened_on, b.quantity AS qty_total, (b.quantity - coalesce(sum(a.qty), 0))::BIGINT AS qty_open,
+  CASE WHEN {flat} THEN 'closed' ELSE 'open' END AS status, CASE WHEN {flat} THEN max(a.trade_date) END AS closed_on, round_even(b.price*1e6, 0)/1e6 AS avg_entry_price,
+  round_even({pnl}*1e{digits}, 0)/1e{digits} AS realized_pnl, CASE WHEN {flat} THEN round_even({pnl}/(b.price*b.quantity)*1e6, 0)/1e6 END AS pnl_pct
+  FROM t b LEFT JOIN a ON a.position_id = b.trade_id WHERE b.side = 'BUY' GROUP BY b.account_id, b.symbol_id, b.trade_id, b.trade_date, b.quantity, b.price"""
+
+
+def compared_positions(positions: DataFrame, digits: int = 2) -> DataFrame:
+    return positions.withColumns({"avg_entry_price": views.rounded("avg_entry_price", 6), "realized_pnl": views.rounded("realized_pnl", digits), "pnl_pct": views.rounded("pnl_pct", 6)})
+
+
+@register("ledger_positions", positions_sql(LEDGER_SQL))
 def position_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """L4."""
-    return ledger.positions(views.fills(spark, sf_dir)).drop("avg_entry_price", "realized_pnl", "pnl_pct")
+    """L4, with profits."""
+    return compared_positions(ledger.positions(views.fills(spark, sf_dir)))
 
 
 @register("ledger_orphans", f"{LEDGER_SQL} SELECT trade_id, (quantity - amount)::BIGINT AS orphan FROM c WHERE side = 'SELL' AND quantity > amount")
@@ -254,29 +266,86 @@ def orphan_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.inventory(views.fills(spark, sf_dir)).where("orphan > 0").select("trade_id", "orphan")
 
 
-def _near_fills(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Purchases priced around the symbol's level, so that some lie near a signal."""
-    return views.fills(spark, sf_dir).where("side = 'BUY'").withColumn("price", 95.0 + F.col("trade_id") % 11)
+def near_fills(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fills priced around the symbol's level, so that some lie near a signal."""
+    return views.fills(spark, sf_dir).withColumn("price", 95.0 + F.col("trade_id") % 11)
+
+
+NEAR_SQL = f"SELECT * REPLACE (95.0 + trade_id % 11 AS price) FROM ({views.FILLS_SQL})"
+#: All strategies' signals in one relation; every part brings the indicator frame along.
+EVERY_SIGNAL_SQL = " UNION ALL ".join(f"SELECT * FROM ({signals.oracle(indicators.frame_sql(), n)})" for n in ("S1_ST_Flip", "S2_MACD_Zero", "S3_BB_Squeeze", "Confluence", "TTM_Squeeze")) + f" UNION ALL SELECT * FROM ({signals.pipeline_oracle(indicators.frame_sql(), 25, 1.5)})"
+EVENT_NAMES = "('PIPELINE','S1_ST_Flip','S2_MACD_Zero','S3_BB_Squeeze','TTM_Squeeze')"
 
 
-@register("match_signals")
+def match_sql(fills: str, found: str) -> str:
+    """CTEs that end in `best`: rules of M1 and M2 over pairs of fills and signals."""
+    return f"""{DAYS_SQL}, sig AS MATERIALIZED ({found}), fl AS ({fills}),
+  pairs AS (SELECT fl.trade_id, fl.symbol_id, sig.strategy, sig.ts, sig.entry, sig.stop_loss, sig.target_1, sig.target_2, abs(fl.price - sig.entry)/sig.entry*100 AS gap,
+    greatest(df.session_no - ds.session_no, 0) AS sessions, sig.strategy IN {EVENT_NAMES} AS event
+    FROM fl JOIN sig ON sig.symbol_id = fl.symbol_id AND sig.ts <= fl.trade_date AND sig.ts > fl.trade_date - 40 JOIN days df ON df.day = fl.trade_date JOIN days ds ON ds.day = sig.ts),
+  scored AS (SELECT *, 0.5*(1 - gap/5) + 0.3*(CASE WHEN event THEN 1.0 ELSE 0.5 END) + 0.2*(1 - sessions/5.0) AS score FROM pairs WHERE gap <= 5 AND sessions <= 5),
+  best AS (SELECT *, row_number() OVER (PARTITION BY trade_id ORDER BY round_even(score*1e9, 0) DESC, event DESC, ts DESC, strategy) AS nth FROM scored WHERE score >= 0.5)"""
+
+
+@register("match_signals", f"""{match_sql(f"SELECT * FROM ({NEAR_SQL}) WHERE side = 'BUY'", EVERY_SIGNAL_SQL)} SELECT trade_id, symbol_id, strategy, ts AS signal_ts, entry, stop_loss, target_1, target_2, sessions::INT AS sessions, round_even(gap*1e6, 0)/1e6 AS gap_pct,
+  round_even(score*1e4, 0)/1e4 AS confidence, strategy || ' @' || strftime(ts, '%Y-%m-%d') || ', fill ' || format('{{:.1f}}', round_even(gap*10, 0)/10) || '% from entry' AS reason FROM best WHERE nth = 1""")
 def match_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """M1, M2, J12."""
-    found = signals.run(frame(spark, sf_dir), ["S1_ST_Flip", "S2_MACD_Zero", "Confluence"])
-    return matching.match(matching.candidates(_near_fills(spark, sf_dir), found, calendar.days(_calendar(spark))))
+    """M1, M2, J12 over all strategies."""
+    found = signals.run(frame(spark, sf_dir))
+    fills = near_fills(spark, sf_dir).where("side = 'BUY'")
+    return matching.match(matching.candidates(fills, found, calendar.days(_calendar(spark)))).withColumn("gap_pct", views.rounded("gap_pct", 6))
 
 
-@register("evaluate_positions")
-def evaluate_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """E1-E7."""
+AS_OF = "1997-01-31"
+
+
+def evaluated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The open positions of all fills up to AS_OF, judged on that day."""
     f = frame(spark, sf_dir)
-    fills = _near_fills(spark, sf_dir).where("trade_date <= date '1997-01-31'")
-    found = matching.match(matching.candidates(fills, signals.run(f, ["Confluence"]), calendar.days(_calendar(spark))))
+    fills = near_fills(spark, sf_dir).where(f"trade_date <= date '{AS_OF}'")
+    days = calendar.days(_calendar(spark))
+    found = matching.match(matching.candidates(fills.where("side = 'BUY'"), signals.run(f), days))
     open_ = matching.apply_matches(ledger.positions(fills), found)
-    held = fills.select("account_id", "symbol_id", F.col("trade_date").alias("as_of"), "quantity")
-    day = F.lit("1997-01-31").cast("date")
-    done = evaluate.evaluate(open_, f, _all_actions(spark, sf_dir), held, calendar.days(_calendar(spark)), day)
-    return done.select("position_id", "verdict", "reasons", "warnings", views.rounded("pnl_pct", 6).alias("pnl_pct"), "days_held")
+    held = fills.groupBy("account_id", "symbol_id", F.col("trade_date").alias("as_of")).agg(F.sum("quantity").alias("quantity"))
+    return evaluate.evaluate(open_, f, _all_actions(spark, sf_dir), held, days, F.lit(AS_OF).cast("date"))
+
+
+ACTION_KINDS_SQL = f"""SELECT part_id, symbol_id, ex_date, CASE part_id % 8 WHEN 2 THEN 'split' WHEN 3 THEN 'bonus' WHEN 4 THEN 'rights' WHEN 5 THEN 'demerger' WHEN 7 THEN NULL ELSE 'dividend' END AS kind,
+  CASE part_id % 8 WHEN 2 THEN 0.1 WHEN 3 THEN 1.0/(regexp_extract(subject, '(\\d+):', 1)::DOUBLE + 1) END AS f FROM ({views.SUBJECTS_SQL})"""
+#: The ledger over the near fills up to AS_OF.
+NEAR_LEDGER_SQL = LEDGER_SQL.replace(views.FILLS_SQL, f"SELECT * FROM ({NEAR_SQL}) WHERE trade_date <= DATE '{AS_OF}'")
+EVALUATED_SQL = f"""WITH RECURSIVE m AS MATERIALIZED (SELECT trade_id, strategy, entry, stop_loss, target_1, target_2 FROM ({match_sql(f"SELECT * FROM ({NEAR_SQL}) WHERE side = 'BUY' AND trade_date <= DATE '{AS_OF}'", EVERY_SIGNAL_SQL)} SELECT * FROM best WHERE nth = 1)),
+  cal AS MATERIALIZED (SELECT * FROM ({DAYS_SQL} SELECT day, session_no FROM days)), fr AS MATERIALIZED ({indicators.frame_sql()} SELECT symbol_id, ts, close, low, high, volume, atr_10, supertrend_dir FROM f WHERE ts <= DATE '{AS_OF}'),
+  act AS ({ACTION_KINDS_SQL}), raw AS (SELECT * FROM ({positions_sql(NEAR_LEDGER_SQL, 9)}) WHERE qty_open > 0),
+  pos AS (SELECT r.*, m.strategy IS NOT NULL AS matched, m.stop_loss, m.target_1, m.target_2, coalesce((SELECT product(act.f) FROM act WHERE act.symbol_id = r.symbol_id AND act.f IS NOT NULL AND act.ex_date > r.opened_on AND act.ex_date <= DATE '{AS_OF}'), 1.0) AS factor
+    FROM raw r LEFT JOIN m ON m.trade_id = r.position_id),
+  st AS (SELECT position_id, account_id, symbol_id, opened_on, matched, factor, avg_entry_price*factor AS avg_price, stop_loss*factor AS stop_loss, target_1*factor AS t1, target_2*factor AS t2,
+    round_even(qty_open/factor, 0) AS qty_open, round_even(qty_total/factor, 0) AS qty_total FROM pos),
+  bars AS (SELECT *, row_number() OVER o AS rn, lag(close, 4) OVER o AS c4, 2*volume + lag(volume) OVER o - lag(volume, 3) OVER o - 2*lag(volume, 4) OVER o AS slope FROM fr WINDOW o AS (PARTITION BY symbol_id ORDER BY ts)),
+  lb AS (SELECT symbol_id, arg_max(close, ts) AS close, arg_max(low, ts) AS low, arg_max(supertrend_dir, ts) AS dir, max(ts) AS bar_date, arg_max(coalesce(rn > 5 AND close > c4 AND slope < 0, false), ts) AS div FROM bars GROUP BY 1),
+  tr AS (SELECT position_id, max(l) AS trail FROM (SELECT p.position_id, max(fr.high) OVER (PARTITION BY p.position_id ORDER BY fr.ts) - 2.5*fr.atr_10 AS l FROM st p JOIN fr ON fr.symbol_id = p.symbol_id AND fr.ts >= p.opened_on) GROUP BY 1),
+  hold AS (SELECT account_id, symbol_id, arg_max(q, trade_date) AS broker_qty FROM (SELECT account_id, symbol_id, trade_date, sum(quantity) AS q FROM ({NEAR_SQL}) WHERE trade_date <= DATE '{AS_OF}' GROUP BY 1, 2, 3) GROUP BY 1, 2),
+  today AS (SELECT session_no AS no FROM cal WHERE day = DATE '{AS_OF}'), lim AS (SELECT min(day) AS until FROM cal, today WHERE session_no = no + 5),
+  i AS (SELECT st.*, lb.close, lb.low, lb.dir, lb.bar_date, lb.div, CASE WHEN lb.close IS NOT NULL THEN tr.trail END AS trail, hold.broker_qty, sum(st.qty_open) OVER (PARTITION BY st.account_id, st.symbol_id) AS qty_sum,
+    EXISTS (SELECT 1 FROM act WHERE act.symbol_id = st.symbol_id AND act.kind = 'demerger' AND act.ex_date > st.opened_on AND act.ex_date <= DATE '{AS_OF}') AS demerger,
+    EXISTS (SELECT 1 FROM act, lim WHERE act.symbol_id = st.symbol_id AND act.kind IS NOT NULL AND act.ex_date > DATE '{AS_OF}' AND act.ex_date <= lim.until) AS upcoming,
+    greatest((SELECT no FROM today) - c.session_no, 0) AS days_held
+    FROM st LEFT JOIN lb USING (symbol_id) LEFT JOIN tr USING (position_id) LEFT JOIN hold ON hold.account_id = st.account_id AND hold.symbol_id = st.symbol_id LEFT JOIN cal c ON c.day = st.opened_on),
+  s AS (SELECT *, CASE WHEN close IS NULL THEN NULL WHEN matched AND stop_loss IS NOT NULL THEN stop_loss ELSE trail END AS stop FROM i),
+  w AS (SELECT *, CASE WHEN close IS NULL THEN 'NO_DATA' ELSE concat_ws(',', CASE WHEN demerger THEN 'DEMERGER_CLIFF' END, CASE WHEN abs(qty_total*factor - round_even(qty_total*factor, 0)) > 1e-6 THEN 'QTY_MISMATCH' END,
+      CASE WHEN close < stop THEN 'STOP_HIT' END, CASE WHEN dir = -1 THEN 'SUPERTREND_FLIP' END, CASE WHEN close < trail AND stop <> trail THEN 'TRAIL_HIT' END,
+      CASE WHEN matched AND t2 <> 0 AND close >= t2 THEN 'T2_HIT' END, CASE WHEN matched AND t1 <> 0 AND close >= t1 THEN 'T1_HIT' END) END AS reasons,
+    CASE WHEN close IS NULL THEN '' ELSE concat_ws(',', CASE WHEN low < stop AND stop <= close THEN 'LOW_BREACH' END, CASE WHEN div THEN 'VOLUME_DIVERGENCE' END, CASE WHEN upcoming THEN 'UPCOMING_ACTION' END,
+      CASE WHEN broker_qty <> qty_sum AND days_held >= 2 THEN 'QTY_DIFFERS_FROM_BROKER' END, CASE WHEN days_held > 30 THEN 'HORIZON' END, CASE WHEN bar_date < DATE '{AS_OF}' THEN 'STALE_BAR' END) END AS warnings FROM s)
+  SELECT position_id, reasons, warnings, CASE WHEN reasons LIKE '%NO_DATA%' OR reasons LIKE '%DEMERGER%' OR reasons LIKE '%MISMATCH%' THEN 'REVIEW' WHEN reasons LIKE '%STOP_HIT%' OR reasons LIKE '%FLIP%' OR reasons LIKE '%TRAIL%' OR reasons LIKE '%T2%' THEN 'EXIT'
+    WHEN reasons LIKE '%T1%' THEN 'PARTIAL' ELSE 'HOLD' END AS verdict, round_even(CASE WHEN close IS NULL THEN 0.0 ELSE ln(close/avg_price) END*1e6, 0)/1e6 AS log_return, days_held::INT AS days_held FROM w"""
+
+
+@register("evaluate_positions", EVALUATED_SQL)
+def evaluate_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E1-E7.  The profit is compared as a logarithm, as restated entries can be very small."""
+    texts = {c: F.array_join(c, ",") for c in ("reasons", "warnings")}
+    return evaluated(spark, sf_dir).withColumns(texts).select("position_id", "verdict", "reasons", "warnings", views.rounded(F.ln(1 + F.col("pnl_pct")), 6).alias("log_return"), "days_held")
 
 
 # Quality
@@ -301,12 +370,11 @@ FILE_SQL = f"""SELECT symbol, ts::DATE AS day, arg_min(open, ts) AS open, max(hi
 
 @register("quality_hourly_checks", f"""WITH t AS ({FILE_SQL}), f AS (SELECT symbol, day, open + (CASE WHEN day(day) % 5 = 0 THEN 1 ELSE 0 END) AS fo, high AS fh, low AS fl, close + (CASE WHEN day(day) % 3 = 0 THEN 0.2 ELSE 0 END) AS fc,
   volume + day(day) % 2 AS fv FROM t WHERE day(day) % 7 <> 0),
-  j AS (SELECT t.*, fo, fh, fl, fc, fv, f.symbol IS NOT NULL AS inf FROM t LEFT JOIN f USING (symbol, day)),
-  k AS (SELECT *, NOT coalesce(abs(open-fo) <= 0.05+1e-9, false) AS bo, n <> 7 AS bn, NOT coalesce((volume-fv)*100.0/nullif(fv, 0) BETWEEN -5-1e-9 AND 2+1e-9, false) AS bv FROM j)
-  SELECT symbol, day, CASE WHEN inf AND NOT bo AND NOT bn AND NOT bv THEN 'pass' ELSE 'fail' END AS status,
-  inf AND NOT bo AND NOT bn AND NOT bv AND abs(close-fc) > 0.05+1e-9 AS patched,
-  CASE WHEN NOT inf THEN 'not in bhavcopy' WHEN bo OR bn OR bv THEN concat_ws(', ', CASE WHEN bo THEN 'open' END, CASE WHEN bn THEN 'count' END, CASE WHEN bv THEN 'volume' END)
-  WHEN abs(close-fc) > 0.05+1e-9 THEN 'close patched' END AS note FROM k""")
+  j AS (SELECT t.*, fo, fh, fl, fc, fv, f.symbol IS NOT NULL AS inf, (t.volume-fv)*100.0/nullif(fv, 0) AS pct FROM t LEFT JOIN f USING (symbol, day)),
+  k AS (SELECT *, concat_ws('; ', CASE WHEN NOT abs(open-fo) <= 0.05+1e-9 THEN 'open ' || format('{{:+.2f}}', round_even((open-fo)*100, 0)/100) END, CASE WHEN n <> 7 THEN 'bars ' || n || '!=7' END,
+    CASE WHEN NOT pct BETWEEN -5-1e-9 AND 2+1e-9 THEN 'vol ' || format('{{:+.1f}}%', round_even(pct*10, 0)/10) END) AS bad FROM j)
+  SELECT symbol, day, CASE WHEN inf AND bad = '' THEN 'pass' ELSE 'fail' END AS status, inf AND bad = '' AND abs(close-fc) > 0.05+1e-9 AS patched,
+  CASE WHEN NOT inf THEN 'not in bhavcopy' WHEN bad <> '' THEN bad WHEN abs(close-fc) > 0.05+1e-9 THEN 'close patched' END AS note FROM k""")
 def hourly_check_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Q2, Q3 against a file that differs here and there."""
     totals = quality.session_totals(bars.from_ticks(views.ticks(spark, sf_dir)))

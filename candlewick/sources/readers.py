@@ -34,12 +34,13 @@ def preferred_rows(rows: DataFrame) -> DataFrame:
 
 def panel(spark: SparkSession, path: str, exchange: str) -> DataFrame:
     """Stocks of an exchange's daily files as a panel; text that is no number is null; a file that is not the daily file
-    (its header does not start with TradDt) gives no rows."""
-    raw = spark.read.option("header", True).csv(path)
-    first = raw.columns[0].lstrip("﻿") if raw.columns else ""
-    if first != "TradDt":
+    (no line of it starts with TradDt) gives no rows."""
+    lines = spark.read.text(path).select("value", "_metadata.file_path")
+    good = [r[0] for r in lines.where(F.ltrim(F.regexp_replace("value", "\ufeff", "")).startswith("TradDt,")).select("file_path").distinct().collect()]  # a name for each day
+    if not good:
         return spark.createDataFrame([], ", ".join(f"{n} string" for n in PANEL.values()) + ", exchange string").limit(0)
-    raw = raw.withColumnRenamed(raw.columns[0], first)
+    raw = spark.read.option("header", True).csv(good)
+    raw = raw.withColumnRenamed(raw.columns[0], raw.columns[0].lstrip("\ufeff"))
     numbers = {"open", "high", "low", "close", "last", "prev_close", "turnover"}
     cast = lambda c, n: F.expr(f"try_cast({c} as {'date' if n == 'date' else 'double' if n in numbers else 'bigint' if n in ('volume', 'trades') else 'string'})")
     df = raw.select(*(cast(c, n).alias(n) for c, n in PANEL.items()))
@@ -100,8 +101,8 @@ def tradebook(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     day = any_of("trade_date", "date")
     date = F.coalesce(F.to_date(F.try_to_timestamp(day, F.lit("yyyy-MM-dd"))), F.to_date(F.try_to_timestamp(day, F.lit("dd-MM-yyyy"))))
     df = raw.select(
-        "row", day.alias("day"), date.alias("trade_date"), F.upper(any_of("symbol", "tradingsymbol")).alias("symbol"), F.upper(any_of("side", "trade_type")).alias("side"), any_of("quantity").alias("q"),
-        any_of("price").alias("p"), any_of("isin").alias("isin"), any_of("exchange", default="NSE").alias("exchange"), any_of("segment", default="CASH").alias("segment"),
+        "row", day.alias("day"), date.alias("trade_date"), F.upper(F.coalesce(any_of("symbol", "tradingsymbol"), any_of("isin"))).alias("symbol"), F.upper(any_of("side", "trade_type")).alias("side"), any_of("quantity").alias("q"),
+        any_of("price").alias("p"), F.upper(any_of("isin")).alias("isin"), any_of("exchange", default="NSE").alias("exchange"), any_of("segment", default="CASH").alias("segment"),
         any_of("product", default="CNC").alias("product"), any_of("time", default="15:29").alias("time"), any_of("trade_id").alias("given"),
     )
     df = df.withColumns({"quantity": F.expr("cast(try_cast(q as double) as bigint)"), "price": F.expr("try_cast(p as double)")})

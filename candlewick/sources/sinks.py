@@ -45,6 +45,19 @@ def write_csv_by_exchange(panel: DataFrame, path: str) -> None:
     panel.write.mode("overwrite").option("header", True).partitionBy("exchange").csv(path)
 
 
+def write_latest_csv(panel: DataFrame, path: str) -> None:
+    """All exchanges in one folder, and the rows of the last date of each exchange in another."""
+    panel.write.mode("overwrite").option("header", True).csv(f"{path}/combined")
+    last = panel.groupBy("exchange").agg(F.max("date").alias("date"))
+    panel.join(last, ["exchange", "date"], "left_semi").write.mode("overwrite").option("header", True).csv(f"{path}/latest")
+
+
+def with_isins(symbols: DataFrame, fills: DataFrame) -> DataFrame:
+    """Symbols with the ISIN that their newest fill names, if any."""
+    said = fills.where("isin is not null and symbol_id is not null").groupBy("symbol_id").agg(F.max_by("isin", "trade_ts").alias("_isin"))
+    return symbols.join(said, "symbol_id", "left").withColumn("isin", F.coalesce("_isin", "isin")).drop("_isin")
+
+
 def map_symbols(fills: DataFrame, symbols: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(fills with symbol_id, symbols to create): by ISIN first, then by ticker; what neither knows is to be created."""
     by_isin = symbols.where("isin is not null").groupBy("isin").agg(F.min("symbol_id").alias("_i"))

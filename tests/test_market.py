@@ -67,7 +67,7 @@ def test_trailing_stop_never_falls(spark):
 
 def test_volume_labels(spark):
     rows = spark.createDataFrame([(2.0,), (1.5,), (1.49,), (None,)], "rvol_20 double")
-    assert [r[0] for r in rows.select(indicators.volume_label()).collect()] == ["STRONG", "CONFIRMED", "WEAK", "WEAK"]
+    assert [r[0] for r in rows.select(indicators.volume_label()).collect()] == ["STRONG (>=2x avg)", "CONFIRMED (>=1.5x avg)", "WEAK (<1.5x avg)", "WEAK (<1.5x avg)"]
     assert [r[0] for r in rows.select(indicators.volume_confirmed()).collect()] == [True, True, False, False]
 
 
@@ -230,13 +230,20 @@ def test_verdicts(spark):
     assert decided(spark, qty_factor=0.33)[1] == ["QTY_MISMATCH"]
     assert decided(spark, low=89.0, days_held=31, broker_qty=9, upcoming=True, divergence=True, bar_date=D(2026, 9, 30))[2] == ["LOW_BREACH", "VOLUME_DIVERGENCE", "UPCOMING_ACTION", "QTY_DIFFERS_FROM_BROKER", "HORIZON", "STALE_BAR"]
     assert decided(spark, matched=False, trail=101.0)[1] == ["STOP_HIT"]
+    # a close at a level has not broken it; a low below it is a warning only then
+    assert decided(spark, close=90.0, low=89.0) == ("HOLD", [], ["LOW_BREACH"]) and decided(spark, close=90.0, low=90.0) == ("HOLD", [], [])
+    assert decided(spark, close=80.0, stop_loss=75.0, low=80.0) == ("HOLD", [], []) and decided(spark, close=79.0, stop_loss=75.0, low=79.0)[1] == ["TRAIL_HIT"]
+    assert decided(spark, close=110.0)[:2] == ("PARTIAL", ["T1_HIT"]) and decided(spark, close=120.0)[:2] == ("EXIT", ["T2_HIT", "T1_HIT"])
+    # targets are those of a matched signal, and 0 is none
+    assert decided(spark, matched=False, close=121.0)[1] == [] and decided(spark, close=121.0, target_1=0.0, target_2=None)[1] == []
+    assert decided(spark, close=None, days_held=99, upcoming=True, demerger=True, supertrend_dir=-1) == ("REVIEW", ["NO_DATA"], [])
 
 
 def test_daily_check(spark):
     cols = "close double, open double, high double, low double, volume long, file_open double, file_high double, file_low double, file_close double, file_volume long, in_file boolean"
     rows = [(105.0, 100.0, 110.0, 90.0, 10, 100.0, 110.05, 90.0, 105.0, 10, True), (105.0, 100.0, 110.0, 90.0, 10, 100.0, 110.1, 90.0, 105.0, 11, True), (105.0, 1.0, 1.0, 1.0, 1, None, None, None, None, None, False), (None, None, None, None, None, 1.0, 1.0, 1.0, 1.0, 1, True)]
     got = [(r.status, r.note) for r in quality.check_daily(spark.createDataFrame(rows, cols)).collect()]
-    assert got == [("pass", None), ("fail", "high, volume"), ("fail", "not in bhavcopy"), ("fail", "no bar")]
+    assert got == [("pass", None), ("fail", "high; volume 10 != 11"), ("fail", "not in bhavcopy"), ("fail", "no stored fyers bar")]
 
 
 def test_transitions_and_holds(spark):
