@@ -26,10 +26,14 @@ def register(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
+    from candlewick import more_queries  # noqa: F401  registers the rest
+
     return {name: query for name, (query, _) in REGISTRY.items()}
 
 
 def oracle_sql() -> dict[str, str]:
+    from candlewick import more_queries  # noqa: F401
+
     return {name: sql for name, (_, sql) in REGISTRY.items() if sql}
 
 
