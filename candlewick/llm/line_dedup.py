@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from candlewick.llm.common import hot_join, row_key, scratch, stored
+from candlewick.llm.common import hot_join, row_key, scratch, stored, unstore
 
 BLOCK, BLOCKS = 256, 256  # characters of a block; beyond so many blocks they grow, so a line costs its length times BLOCKS
 FEW = 2_000_000  # hashes that are broadcast at most (16 MB)
@@ -47,7 +47,7 @@ def blocks_of(lines: DataFrame, *carried: str) -> DataFrame:
     roles = lines.withColumn("n", n).withColumn("role", F.explode(F.array(F.lit(0), F.lit(1))))
     # lengths and blocks are those of the shorter line of a pair
     roles = roles.withColumn("short", F.col("n") - F.col("role"))
-    count = F.least(F.lit(BLOCKS), F.greatest(F.lit(3), F.ceil(F.col("short") / BLOCK))).cast("int")
+    count = F.least(F.lit(BLOCKS), F.greatest(F.lit(2), F.ceil(F.col("short") / BLOCK))).cast("int")
     rows = roles.withColumn("count", count).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("count") - 1)))
     rows = rows.withColumn("low", F.floor(F.col("short") * F.col("block") / F.col("count")).cast("int"))
     rows = rows.withColumn("high", F.floor(F.col("short") * (F.col("block") + 1) / F.col("count")).cast("int") + F.col("role"))
@@ -73,12 +73,14 @@ def variants_of(blocks: DataFrame) -> DataFrame:
 def near_lines(docs: DataFrame, places: DataFrame, least: int) -> DataFrame:
     """h1, h2 of the distinct lines that have an earlier line within one edit.  places: h1, h2, first (earliest place)."""
     long_ = lines_of(docs).where(F.length("line") >= least)
-    keys = blocks_of(long_).select("outside", "h1", "h2", "role")
-    met = keys.groupBy("outside").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).where("low < high").select("outside")
-    asked = stored(keys.join(met, "outside", "left_semi").groupBy("h1", "h2").agg(F.collect_set("outside").alias("open")), "open-lines")
+    keys = stored(blocks_of(long_).select("outside", "h1"), "block-keys")
+    met = keys.groupBy("outside").agg(F.min("h1").alias("low"), F.max("h1").alias("high"), F.count("*").alias("n")).where("low < high")
+    met = stored(met.select("outside", "n"), "met-keys")
+    asked = stored(hot_join(keys, met, ["outside"], "n", keys.count()).groupBy("h1").agg(F.collect_set("outside").alias("open")), "open-lines")
+    unstore(keys)
     # only lines that agree with another but for one block go on, with their text
-    hashes = asked.agg(F.coalesce(F.sum(F.size("open") + 2), F.lit(0))).first()[0]
-    some = long_.join(F.broadcast(asked) if hashes <= FEW else asked, ["h1", "h2"]).groupBy("h1", "h2").agg(F.first("line").alias("line"), F.first("open").alias("open"), F.min("at").alias("first"))
+    hashes = asked.agg(F.coalesce(F.sum(F.size("open") + 1), F.lit(0))).first()[0]
+    some = long_.join(F.broadcast(asked) if hashes <= FEW else asked, "h1").groupBy("h1", "h2").agg(F.first("line").alias("line"), F.first("open").alias("open"), F.min("at").alias("first"))
     some = stored(some, "near-lines")
     rows = blocks_of(some, "first", "open").where(F.array_contains("open", F.col("outside")))
     variants = variants_of(rows)
