@@ -96,6 +96,14 @@ def own_buckets(vectors: np.ndarray, tables: int, axes: tuple[int, ...]) -> np.n
     return _keys(codes, np.arange(tables), vectors.shape[1], len(axes))
 
 
+@functools.cache
+def leading(n: int, m: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of places in two ascending lists whose sum can be among the `most` least: (i + 1) * (j + 1) pairs are no larger."""
+    i, j = (x.ravel() for x in np.indices((n, m)))
+    keep = (i + 1) * (j + 1) <= most
+    return i[keep], j[keep]
+
+
 def near_buckets(vectors: np.ndarray, tables: int, axes: tuple[int, ...], probes: int) -> np.ndarray:
     """The keys (rows x tables * probes) of the buckets nearest to each vector, of fewer if a table has no more."""
     unit, keys = units(vectors), []
@@ -107,10 +115,10 @@ def near_buckets(vectors: np.ndarray, tables: int, axes: tuple[int, ...], probes
             near = np.argsort(-ends, axis=1, kind="stable")[:, :probes]
             value = np.take_along_axis(ends, near, 1)
             cost = (value[:, :1] - value) ** 2
-            codes = (codes[:, :, None] * (2 * size) + near[:, None]).reshape(len(unit), -1)
-            costs = (costs[:, :, None] + cost[:, None]).reshape(len(unit), -1)
-            best = np.argsort(costs, axis=1, kind="stable")[:, :probes]
-            codes, costs = np.take_along_axis(codes, best, 1), np.take_along_axis(costs, best, 1)
+            i, j = leading(codes.shape[1], near.shape[1], probes)
+            sums = costs[:, i] + cost[:, j]
+            best = np.argsort(sums, axis=1, kind="stable")[:, :probes]
+            codes, costs = np.take_along_axis(codes[:, i] * (2 * size) + near[:, j], best, 1), np.take_along_axis(sums, best, 1)
         keys.append(_keys(codes, np.array([t]), vectors.shape[1], len(axes)))
     return np.concatenate(keys, 1)
 
@@ -156,7 +164,8 @@ def searched(entries: DataFrame, queries: DataFrame, k: int, tables: int, axes:
 
     index = bucketed(entries, lambda v: own_buckets(v, tables, axes_of(v)))
     looked = bucketed(queries, asked).withColumnRenamed("number", "query")
-    pairs = looked.join(index, "bucket").select("query", "number").distinct()
+    # Spark has no estimate of the probes' size and would broadcast them
+    pairs = looked.hint("merge").join(index, "bucket").select("query", "number").distinct()
     vectors = queries.select(F.col("number").alias("query"), F.col("vec").alias("asked"))
     held = queries.agg(F.coalesce(F.sum(F.size("vec")), F.lit(0))).first()[0]
     scored = pairs.join(entries, "number").join(F.broadcast(vectors) if held <= FLAT else vectors, "query")
