@@ -24,7 +24,7 @@ from candlewick.llm.bytehash import mix
 from candlewick.llm.common import scratch, stored, wide_hash
 
 ROWS = 256  # vectors that a task hashes at once
-LOAD = 70  # buckets of a table for each vector, at most
+LOAD = 40  # buckets of a table for each vector, at most
 FLAT = 1 << 22  # components of query vectors that are broadcast at most (32 MB)
 
 
