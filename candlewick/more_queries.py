@@ -238,10 +238,10 @@ def _book(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("book_by_symbol", f"""{BOOK_SQL} SELECT symbol_id, sum(qty_open)::BIGINT AS qty, round_even(sum(qty_open*avg_entry_price)/sum(qty_open)*1e6, 0)/1e6 AS avg_entry, max(close) AS close,
-  round_even((sum(qty_open)*max(close) - sum(qty_open*avg_entry_price))*100, 0)/100 AS unrealised, min(CASE WHEN position_id % 5 = 0 THEN 'EXIT' ELSE 'HOLD' END) AS verdict FROM p JOIN c USING (symbol_id) WHERE qty_open > 0 GROUP BY 1""")
+  round_even((sum(qty_open)*max(close) - sum(qty_open*avg_entry_price))*1e6, 0)/1e6 AS unrealised, min(CASE WHEN position_id % 5 = 0 THEN 'EXIT' ELSE 'HOLD' END) AS verdict FROM p JOIN c USING (symbol_id) WHERE qty_open > 0 GROUP BY 1""")
 def book_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """G16, G18."""
-    return listing.book(_book(spark, sf_dir).where("qty_open > 0")).withColumns({"avg_entry": views.rounded("avg_entry", 6), "unrealised": views.rounded("unrealised", 2)})
+    return listing.book(_book(spark, sf_dir).where("qty_open > 0")).withColumns({"avg_entry": views.rounded("avg_entry", 6), "unrealised": views.rounded("unrealised", 6)})
 
 
 @register("book_closed_by_strategy", f"""{BOOK_SQL} SELECT CASE WHEN position_id % 2 = 0 THEN 'S1_ST_Flip' ELSE 'Unmatched' END AS strategy, count(*) AS n, count_if(realized_pnl > 0) AS wins, round_even(sum(realized_pnl)*100, 0)/100 AS pnl FROM p WHERE status = 'closed' GROUP BY 1""")
@@ -269,10 +269,10 @@ def stored_terms_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.select("trade_id", "quantity", views.rounded("price", 9).alias("price"), views.rounded("structural_factor_applied", 9).alias("factor"))
 
 
-@register("ledger_positions_stored", positions_sql(STORED_LEDGER_SQL, 3))
+@register("ledger_positions_stored", positions_sql(STORED_LEDGER_SQL, 8))
 def stored_positions_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """L1-L4 over books with splits and bonuses."""
-    return compared_positions(ledger.positions(stored_fills(spark, sf_dir)), 3)
+    return compared_positions(ledger.positions(stored_fills(spark, sf_dir)), 8)
 
 
 @register("ledger_reattributed", f"""{LEDGER_SQL}, one AS (SELECT sell_id, min(position_id) AS position_id, sum(qty) AS qty, count(*) AS n FROM a GROUP BY 1),

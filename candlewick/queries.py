@@ -249,13 +249,13 @@ def positions_sql(ledger_sql: str, digits: int = 2) -> str:
     flat = "b.quantity = coalesce(sum(a.qty), 0)"
     pnl = "coalesce(sum((a.sell_price - a.avg_entry_price)*a.qty), 0)"
     return f"""{ledger_sql} SELECT b.account_id, b.symbol_id, b.trade_id AS position_id, b.trade_date AS opened_on, b.quantity AS qty_total, (b.quantity - coalesce(sum(a.qty), 0))::BIGINT AS qty_open,
-  CASE WHEN {flat} THEN 'closed' ELSE 'open' END AS status, CASE WHEN {flat} THEN max(a.trade_date) END AS closed_on, round_even(b.price*1e6, 0)/1e6 AS avg_entry_price,
+  CASE WHEN {flat} THEN 'closed' ELSE 'open' END AS status, CASE WHEN {flat} THEN max(a.trade_date) END AS closed_on, round_even(b.price*1e9, 0)/1e9 AS avg_entry_price,
   round_even({pnl}*1e{digits}, 0)/1e{digits} AS realized_pnl, CASE WHEN {flat} THEN round_even({pnl}/(b.price*b.quantity)*1e6, 0)/1e6 END AS pnl_pct
   FROM t b LEFT JOIN a ON a.position_id = b.trade_id WHERE b.side = 'BUY' GROUP BY b.account_id, b.symbol_id, b.trade_id, b.trade_date, b.quantity, b.price"""
 
 
 def compared_positions(positions: DataFrame, digits: int = 2) -> DataFrame:
-    return positions.withColumns({"avg_entry_price": views.rounded("avg_entry_price", 6), "realized_pnl": views.rounded("realized_pnl", digits), "pnl_pct": views.rounded("pnl_pct", 6)})
+    return positions.withColumns({"avg_entry_price": views.rounded("avg_entry_price", 9), "realized_pnl": views.rounded("realized_pnl", digits), "pnl_pct": views.rounded("pnl_pct", 6)})
 
 
 @register("ledger_positions", positions_sql(LEDGER_SQL))

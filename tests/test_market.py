@@ -339,3 +339,31 @@ def test_stream_equals_batch(spark, tmp_path):
     got = spark.read.parquet(f"{tmp_path}/out").where("symbol <> 'end'")
     want = bars.from_ticks(ticks)
     assert got.count() == want.count() and got.join(want, ["symbol", "ts", "open", "high", "low", "close", "volume"]).count() == want.count()
+
+
+def test_panel_skips_files_that_are_no_daily_file(spark, tmp_path):
+    head = "TradDt,ISIN,TckrSymb,SctySrs,FinInstrmNm,OpnPric,HghPric,LwPric,ClsPric,LastPric,PrvsClsgPric,TtlTradgVol,TtlTrfVal,TtlNbOfTxsExctd,FinInstrmTp"
+    (tmp_path / "a.csv").write_text("<html><body>not yet</body></html>\n")
+    (tmp_path / "b.csv").write_text("\ufeff" + head + "\n2026-10-01,I1,AAA,EQ,A,1,2,1,2,2,1,10,20,3,STK\n2026-10-01,I2,BBB,GS,B,1,2,1,2,2,1,10,20,3,STK\n")
+    assert [(r.symbol, r.close, str(r.date)) for r in readers.panel(spark, str(tmp_path), "NSE").collect()] == [("AAA", 2.0, "2026-10-01")]
+
+
+def test_independent_slow_averages(spark):
+    """The last bar of the research panel by literal loops."""
+    rng = np.random.default_rng(4)
+    close = 100 + np.cumsum(rng.normal(size=120))
+    high, low = close + rng.random(120), close - rng.random(120)
+    rows = [("NSE", "A", D(2026, 1, 1) + dt.timedelta(i), float(h), float(lo), float(c), 100) for i, (h, lo, c) in enumerate(zip(high, low, close))]
+    last = research.panel_indicators(spark.createDataFrame(rows, "exchange string, symbol string, date date, high double, low double, close double, volume long")).orderBy("date").collect()[-1]
+
+    def slow(x, n, alpha):
+        value = sum(x[:n]) / n
+        for v in x[n:]:
+            value = (1 - alpha) * value + alpha * v
+        return value
+
+    moves = [close[i] - close[i - 1] for i in range(1, 120)]
+    ranges = [max(high[i] - low[i], abs(high[i] - close[i - 1]), abs(low[i] - close[i - 1])) for i in range(1, 120)]
+    up, down = slow([max(m, 0) for m in moves], 14, 1 / 14), slow([max(-m, 0) for m in moves], 14, 1 / 14)
+    assert abs(last.ema20 - slow(list(close), 20, 2 / 21)) < 1e-9 and abs(last.atr14 - slow(ranges, 14, 1 / 14)) < 1e-9
+    assert abs(last.rsi14 - (100 - 100 / (1 + up / down))) < 1e-9
