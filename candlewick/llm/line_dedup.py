@@ -30,12 +30,17 @@ FEW = 2_000_000  # hashes that are broadcast at most (16 MB)
 COUNTS = ("n_lines", "n_equal", "n_near")
 
 
+def has_word(text: Column | str) -> Column:
+    """Whether a text has a character other than blanks: it stops at the first one, where a regular expression decodes all."""
+    return F.ltrim(text, F.lit(" \t\n\v\f\r")) != ""
+
+
 def lines_of(docs: DataFrame) -> DataFrame:
     """doc_key, at (doc_id, line number), line, h1, h2: the lines with a word."""
     # keys first: beside the generator they would be computed, and the text copied, for each line
     keyed = docs.select("doc_id", row_key().alias("doc_key"), F.split("text", "\n").alias("lines"))
     cut = keyed.select("doc_id", "doc_key", F.posexplode("lines").alias("line_no", "line"))
-    cut = cut.where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
+    cut = cut.where(has_word("line"))
     at = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("doc_id"), "doc_key", "line_no")
     return cut.select("doc_key", at.alias("at"), "line", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
 
@@ -125,7 +130,7 @@ def deduplicated(docs: DataFrame, least: int = 20, counts: bool = True) -> DataF
     left = lambda ls: F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), "gone")
     joined = F.transform(F.array(lines), lambda ls: F.array_join(F.transform(left(ls), lambda i: F.get(ls, i)), "\n"))
     text = F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(F.get(joined, F.lit(0)))
-    n_lines = F.size(F.filter(F.coalesce(lines, F.array().cast("array<string>")), lambda line: line.rlike(r"[^\x20\x09-\x0D]")))
+    n_lines = F.size(F.filter(F.coalesce(lines, F.array().cast("array<string>")), has_word))
     n_gone, n_near = F.coalesce(F.size("gone"), F.lit(0)), F.coalesce("n_near", F.lit(0))
     columns = [text.alias(c) if c == "text" else F.col("row")[c].alias(c) for c in docs.columns if not counts or c not in COUNTS]
     return whole.select(*columns, *([n_lines.alias("n_lines"), (n_gone - n_near).alias("n_equal"), n_near.alias("n_near")] if counts else []))
@@ -146,7 +151,7 @@ def _gone(docs: DataFrame, least: int) -> DataFrame:
 
 def text_left() -> Column:
     """Whether a text still has a word."""
-    return F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    return F.coalesce(has_word("text"), F.lit(False))
 
 
 def oracle(least: int = 20) -> str:
