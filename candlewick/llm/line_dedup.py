@@ -72,7 +72,7 @@ def variants_of(blocks: DataFrame) -> DataFrame:
     more = (F.col("role") == 1) | (F.col("place") < 0)
     # a substitution pairs lines that are changed at the same place
     where = F.when(more, F.lit(-1)).otherwise(F.col("place"))
-    return rows.select("h1", "h2", "first", "role", more.alias("more"), (F.col("low") + F.col("place")).alias("spot"), F.xxhash64("outside", where, left).alias("variant"))
+    return rows.select("h1", "h2", "role", more.alias("more"), (F.col("low") + F.col("place")).alias("spot"), F.xxhash64("outside", where, left).alias("variant"))
 
 
 def near_lines(docs: DataFrame, places: DataFrame, least: int) -> DataFrame:
@@ -87,13 +87,13 @@ def near_lines(docs: DataFrame, places: DataFrame, least: int) -> DataFrame:
     hashes = asked.agg(F.coalesce(F.sum(F.size("open") + 1), F.lit(0))).first()[0]
     some = long_.join(F.broadcast(asked) if hashes <= FEW else asked, "h1").groupBy("h1", "h2").agg(F.first("line").alias("line"), F.first("open").alias("open"), F.min("at").alias("first"))
     some = stored(some, "near-lines")
-    rows = blocks_of(some, "first", "open").where(F.array_contains("open", F.col("outside")))
+    rows = blocks_of(some, "open").where(F.array_contains("open", F.col("outside")))
     variants = variants_of(rows)
-    groups = variants.groupBy("more", "variant").agg(
-        F.min(F.when(F.col("role") == 0, F.struct("first", "h1", "h2", "spot"))).alias("short"), F.min(F.when(F.col("role") == 1, F.struct("first", "h1", "h2", "spot"))).alias("long"),
-        F.min("h1").alias("low"), F.max("h1").alias("high"),
-    ).where("low < high")
-    pairs = variants.join(groups.drop("low", "high"), ["more", "variant"])
+    # of plain numbers, which are aggregated by hash; places come to the few variants that two lines share
+    shared = variants.groupBy("more", "variant").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).where("low < high").select("more", "variant")
+    shared = stored(variants.join(shared, ["more", "variant"]).join(some.select("h1", "h2", "first"), ["h1", "h2"]), "shared-variants")
+    earliest = lambda role: F.min(F.when(F.col("role") == role, F.struct("first", "h1", "h2", "spot")))
+    pairs = shared.join(shared.groupBy("more", "variant").agg(earliest(0).alias("short"), earliest(1).alias("long")), ["more", "variant"])
     # of a group with one character more and less, each line meets the earliest of the other length
     other = F.when(~F.col("more"), F.col("short")).when(F.col("role") == 0, F.col("long")).otherwise(F.col("short"))
     pairs = pairs.withColumn("other", other).where("other.first < first")
