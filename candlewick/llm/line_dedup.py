@@ -75,8 +75,8 @@ def variants_of(blocks: DataFrame) -> DataFrame:
     return rows.select("h1", "h2", "role", more.alias("more"), (F.col("low") + F.col("place")).alias("spot"), F.xxhash64("outside", where, left).alias("variant"))
 
 
-def near_lines(docs: DataFrame, places: DataFrame, least: int) -> DataFrame:
-    """h1, h2 of the distinct lines that have an earlier line within one edit.  places: h1, h2, first (earliest place)."""
+def near_lines(docs: DataFrame, least: int) -> DataFrame:
+    """h1, h2 of the distinct lines that have an earlier line within one edit."""
     long_ = lines_of(docs).where(F.length("line") >= least)
     keys = stored(blocks_of(long_).select("outside", "h1"), "block-keys")
     met = keys.groupBy("outside").agg(F.min("h1").alias("low"), F.max("h1").alias("high"), F.count("*").alias("n")).where("low < high")
@@ -138,15 +138,21 @@ def deduplicated(docs: DataFrame, least: int = 20, counts: bool = True) -> DataF
 
 def _gone(docs: DataFrame, least: int) -> DataFrame:
     """doc_key, gone (numbers of the lines that go), n_near (how many of them are near an earlier line)."""
-    places = stored(lines_of(docs).groupBy("h1", "h2").agg(F.min("at").alias("first"), F.count("*").alias("n")), "lines")
-    near = stored(near_lines(docs, places, least), "near")
+    # of plain numbers, aggregated by hash; only the places of repeated and near lines are compared
+    counts = lines_of(docs).groupBy("h1", "h2").agg(F.count("*").alias("n"))
+    repeated = stored(counts.where("n > 1"), "repeated-lines")
+    near = stored(near_lines(docs, least), "near")
+    judged = repeated.join(near.withColumn("near", F.lit(True)), ["h1", "h2"], "full")
+    judged = stored(judged.select("h1", "h2", F.coalesce("n", F.lit(1)).alias("n"), F.coalesce("near", F.lit(False)).alias("near")), "judged")
+    total = judged.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    met = stored(hot_join(lines_of(docs).select("h1", "h2", "at"), judged, ["h1", "h2"], "n", total), "met-lines")
     # every line but the earliest of its kind goes, and the earliest too if it is near an earlier one
-    judged = places.join(near.withColumn("near", F.lit(True)), ["h1", "h2"], "left").select("h1", "h2", "first", "n", F.coalesce("near", F.lit(False)).alias("near"))
-    judged = stored(judged.where("near or n > 1"), "judged")
-    total = places.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    bad = hot_join(lines_of(docs).select("h1", "h2", "doc_key", "at"), judged, ["h1", "h2"], "n", total).where((F.col("at") != F.col("first")) | F.col("near"))
+    first = met.where("not near").groupBy("h1", "h2").agg(F.min("at").alias("at")).select("at", F.lit(False).alias("near"), F.lit(True).alias("stays"))
+    places = met.select("at", "near", F.lit(False).alias("stays")).union(first)
     # copies of a row give each line again
-    return bad.groupBy("doc_key").agg(F.collect_set("at.line_no").alias("gone"), F.size(F.collect_set(F.when(F.col("near"), F.col("at.line_no")))).alias("n_near"))
+    numbers = lambda which: F.collect_set(F.when(which, F.col("at.line_no")))
+    found = places.groupBy(F.col("at.doc_key").alias("doc_key")).agg(numbers(~F.col("stays")).alias("all"), numbers(F.col("stays")).alias("kept"), F.size(numbers(F.col("near"))).alias("n_near"))
+    return found.select("doc_key", F.array_except("all", "kept").alias("gone"), "n_near").where(F.size("gone") > 0)
 
 
 def text_left() -> Column:
