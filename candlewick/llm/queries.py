@@ -7,10 +7,11 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from candlewick.llm import ann, langid, lattice_lm, line_dedup, minhash, mixing, quality, subword_sampling, suffix_index, token_counts
+from candlewick.llm import alignment, ann, clustering, langid, lattice_lm, line_dedup, minhash, mixing, quality, subword_sampling, suffix_index, token_counts, toxicity
 from candlewick.llm.common import table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
@@ -54,10 +55,25 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), WORD_BPE)
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.digest(table(spark, sf_dir, "documents"), BYTE_BPE, PIECES)
+
+
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.clusters(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    of = (op1_line_dedup, op2_sentencepiece_sampling, op3_quality_rules, op4_language_id, op5_minhash, op6_suffix_dedup, op7_lm_scores, op8_mixing, op9_nearest, op10_token_counts)
+    of = (
+        op1_line_dedup, op2_sentencepiece_sampling, op3_quality_rules, op4_language_id, op5_minhash, op6_suffix_dedup, op7_lm_scores, op8_mixing, op9_nearest, op10_token_counts,
+        op11_alignment, op12_toxicity, op13_clusters,
+    )
     return {f.__name__: f for f in of}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": line_dedup.oracle(), "op3_quality_rules": quality.oracle()}
+    return {"op1_line_dedup": line_dedup.oracle(), "op3_quality_rules": quality.oracle(), "op13_clusters": clustering.oracle()}
