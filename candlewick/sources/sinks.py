@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from candlewick.sources import tables
+
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """New rows win over old ones with their key.  One shuffle by the key."""
@@ -33,23 +35,20 @@ def rebuild(old: DataFrame, fresh: DataFrame, required: tuple[str, ...] = ("1d",
 
 
 def write(df: DataFrame, path: str, partitions: tuple[str, ...] = (), form: str = "parquet") -> None:
-    """Overwrites the partitions that df has (all of it, without partitions)."""
-    writer = df.write.mode("overwrite").format(form).option("header", True)
-    if partitions:
-        writer = writer.partitionBy(*partitions).option("partitionOverwriteMode", "dynamic")
-    writer.save(path)
+    """Replaces the partitions that df has (all of it, without partitions); df may be made from the table itself."""
+    tables.replace(df, path, partitions, form)
 
 
 def write_csv_by_exchange(panel: DataFrame, path: str) -> None:
-    """CSV files in a folder for each exchange; Spark's commit puts a folder in place whole."""
-    panel.write.mode("overwrite").option("header", True).partitionBy("exchange").csv(path)
+    """CSV files in a folder for each exchange, written beside the old ones and then put in their place."""
+    tables.replace(panel, path, ("exchange",), "csv")
 
 
 def write_latest_csv(panel: DataFrame, path: str) -> None:
     """All exchanges in one folder, and the rows of the last date of each exchange in another."""
-    panel.write.mode("overwrite").option("header", True).csv(f"{path}/combined")
     last = panel.groupBy("exchange").agg(F.max("date").alias("date"))
-    panel.join(last, ["exchange", "date"], "left_semi").write.mode("overwrite").option("header", True).csv(f"{path}/latest")
+    tables.replace(panel.join(last, ["exchange", "date"], "left_semi"), f"{path}/latest", (), "csv")
+    tables.replace(panel, f"{path}/combined", (), "csv")
 
 
 def with_isins(symbols: DataFrame, fills: DataFrame) -> DataFrame:
