@@ -1,7 +1,7 @@
 """Corporate actions (A1-A17): reading announcements, and price and volume factors.
 
-An action's price_factor multiplies all prices before its ex-date.  Actions are few beside bars; joins are on the symbol
-with a date range, and an action meets the bars of its own symbol only.
+An action's price_factor multiplies all prices before its ex-date.  Days and actions of a symbol are laid in one order of time and
+meet in running products, not pair by pair.
 """
 
 from __future__ import annotations
@@ -90,18 +90,39 @@ def structural(actions: DataFrame) -> DataFrame:
     return actions.where(F.col("action_type").isin(*STRUCTURAL) & F.col("price_factor").isNotNull()).select("symbol_id", "ex_date", "price_factor")
 
 
-def factor_after(df: DataFrame, actions: DataFrame, when: str, until: str | None = None, name: str = "factor") -> DataFrame:
-    """A1, A2: adds the product of price factors of splits and bonuses with an ex-date after `when` (and up to `until`)."""
-    keyed = df.withColumn("_row", F.monotonically_increasing_id())
-    s = structural(actions).select(F.col("symbol_id").alias("_s"), F.col("ex_date").alias("_ex"), "price_factor")
-    meets = (F.col("symbol_id") == F.col("_s")) & (F.col("_ex") > F.col(when))
-    meets = meets & (F.col("_ex") <= F.col(until)) if until else meets
-    keys = ["symbol_id", when, *([until] if until else [])]
-    factors = keyed.select(*keys).distinct().join(s, meets).groupBy(*keys).agg(F.product("price_factor").alias(name))
-    return df.join(factors, keys, "left").withColumn(name, F.coalesce(name, F.lit(1.0)))
-
-
-def price_in_stored_terms(fills: DataFrame, actions: DataFrame, until: str) -> DataFrame:
+def factor_after(df: DataFrame, actions: DataFrame, when: str, until: Column | None = None, name: str = "factor") -> DataFrame:
+    """A1, A2: adds the product of price factors of splits and bonuses with an ex-date after `when` (and up to `until`, the same day
+    for all rows).  The distinct (symbol, day) of df and the actions lie in one order of time, where a running product from the end
+    gives the factor after each day: no pair of a row and an action is made.  The product is that of the factors themselves, so it
+    is exact where one action applies."""
+    s = structural(actions)
+    s = s.where(F.col("ex_date") <= until) if until is not None else s
+    marks = s.select("symbol_id", F.col("ex_date").alias("_day"), F.lit(1).alias("_action"), F.col("price_factor").alias("_f"))
+    days = df.select("symbol_id", F.col(when).alias("_day"), F.lit(0).alias("_action"), F.lit(None).cast("double").alias("_f")).distinct()
+    # of one day the row comes before the action, which is not after it
+    later = Window.partitionBy("symbol_id").orderBy(F.col("_day").desc(), "_action").rowsBetween(Window.unboundedPreceding, 0)
+    factors = days.unionByName(marks).withColumn(name, F.product("_f").over(later)).where(f"_action = 0 and {name} is not null").select("symbol_id", F.col("_day").alias(when), name)
+    return df.join(factors, ["symbol_id", when], "left").withColumn(name, F.coalesce(name, F.lit(1.0)))
+
+
+def factor_between(df: DataFrame, actions: DataFrame, since: str, until: str, name: str = "factor") -> DataFrame:
+    """A2 with both ends in columns: the product of factors with since < ex-date <= until, as the difference of two running sums of
+    logarithms, looked up as of both days.  Without an action in between it is exactly 1, with one exactly its factor; other
+    products are right to about 15 digits."""
+    marks = structural(actions).select("symbol_id", F.col("ex_date").alias("_day"), F.lit(0).alias("_row"), F.col("price_factor").alias("_f"))
+    ends = df.select("symbol_id", F.explode(F.array(since, until)).alias("_day")).distinct()
+    both = marks.unionByName(ends.withColumn("_row", F.lit(1)), allowMissingColumns=True)
+    order = Window.partitionBy("symbol_id").orderBy("_day", "_row")
+    so_far, ahead = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(1, Window.unboundedFollowing)
+    sums = both.withColumns({"_n": F.count("_f").over(so_far), "_log": F.coalesce(F.sum(F.ln("_f")).over(so_far), F.lit(0.0)), "_next": F.first("_f", True).over(ahead)}).where("_row = 1")
+    at = lambda day, mark: sums.select("symbol_id", F.col("_day").alias(day), *(F.col(c).alias(c + mark) for c in ("_n", "_log", "_next")))
+    out = df.join(at(since, "a"), ["symbol_id", since], "left").join(at(until, "b").drop("_nextb"), ["symbol_id", until], "left")
+    some = F.coalesce(F.col("_nb") - F.col("_na"), F.lit(0))
+    factor = F.when(some <= 0, 1.0).when(some == 1, F.col("_nexta")).otherwise(F.exp(F.col("_logb") - F.col("_loga")))
+    return out.withColumn(name, factor).select(*df.columns, name)
+
+
+def price_in_stored_terms(fills: DataFrame, actions: DataFrame, until: Column) -> DataFrame:
     """Adds stored_price, stored_quantity (rounded half-even) and factor of raw fills."""
     f = factor_after(fills, actions, "trade_date", until)
     return f.withColumn("stored_price", F.col("price") * F.col("factor")).withColumn("stored_quantity", F.rint(F.col("quantity") / F.col("factor")).cast("long"))
@@ -195,7 +216,7 @@ def restate_for_actions(positions: DataFrame, actions: DataFrame, up_to: Column,
     """Folds splits and bonuses since the last restatement (or the opening) into positions; last_restated moves only where
     one applied."""
     since = positions.withColumns({"_since": F.coalesce("last_restated", "opened_on"), "_up_to": up_to})
-    f = factor_after(since, actions, "_since", "_up_to", "_factor")
+    f = factor_after(since, actions, "_since", up_to, "_factor")
     out = restate(f, "_factor", quantity)
     applied = F.col("_factor") != 1
     return out.withColumns({"last_restated": F.when(applied, F.col("_up_to")).otherwise(F.col("last_restated")), "structural_factor_applied": F.col("structural_factor_applied") * F.col("_factor")}).drop("_since", "_up_to", "_factor")

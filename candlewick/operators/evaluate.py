@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from candlewick.functions.calendar import sessions_between
+from candlewick.functions.calendar import sessions_between, with_session
 from candlewick.operators.adjust import restate_for_actions
 from candlewick.operators.indicators import with_volume_divergence
 
@@ -18,10 +18,12 @@ def chandelier(positions: DataFrame, frame: DataFrame, as_of: Column, multiple:
     """position_id and the trail at the last bar up to as_of: running maximum, from the first bar on or after
     the opening, of (running high - multiple * ATR), the ATR being that of the whole history."""
     bars = frame.select("symbol_id", F.to_date("ts").alias("day"), "high", "atr_10").where(F.col("day") <= as_of)
-    since = positions.select("position_id", "symbol_id", "opened_on").join(bars, "symbol_id").where("day >= opened_on")
-    so_far = Window.partitionBy("position_id").orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
+    openings = positions.select("symbol_id", "opened_on").distinct()  # positions of one day share their trail
+    since = openings.join(bars, "symbol_id").where("day >= opened_on")
+    so_far = Window.partitionBy("symbol_id", "opened_on").orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
     levels = since.withColumn("_level", F.max("high").over(so_far) - multiple * F.col("atr_10"))
-    return levels.groupBy("position_id").agg(F.max("_level").alias("trail"))
+    trails = levels.groupBy("symbol_id", "opened_on").agg(F.max("_level").alias("trail"))
+    return positions.select("position_id", "symbol_id", "opened_on").join(trails, ["symbol_id", "opened_on"]).select("position_id", "trail")
 
 
 def decide(df: DataFrame) -> DataFrame:
@@ -67,10 +69,10 @@ def evaluate(positions: DataFrame, frame: DataFrame, actions: DataFrame, holding
     open_ = open_.withColumn("qty_sum", F.sum("qty_open").over(Window.partitionBy("account_id", "symbol_id")))
     held = as_opened.select("position_id", "symbol_id", "opened_on").join(actions.where("action_type = 'demerger'").select("symbol_id", "ex_date"), "symbol_id")
     cliffs = held.where((F.col("ex_date") > F.col("opened_on")) & (F.col("ex_date") <= as_of)).select("position_id", F.lit(True).alias("demerger")).distinct()
-    # up to the session that is `horizon` sessions ahead, whatever day of the week an ex-date is
-    now = days.where(F.col("day") == as_of).select((F.col("session_no") + horizon).alias("_no"))
-    until = days.where("is_trading_day").join(F.broadcast(now), F.col("session_no") == F.col("_no")).select("_no", F.col("day").alias("_until"))
-    soon = actions.select("symbol_id", "ex_date").where(F.col("ex_date") > as_of).join(F.broadcast(until), F.col("ex_date") <= F.col("_until"))
+    # up to the session that is `horizon` sessions ahead, whatever day of the week an ex-date is: by session numbers
+    ahead = actions.select("symbol_id", "ex_date").where(F.col("ex_date") > as_of).withColumn("_now", as_of)
+    ahead = with_session(with_session(ahead, "ex_date", days, "_x_"), "_now", days, "_n_")
+    soon = ahead.where(F.col("_x_session_no") + F.when(F.col("_x_is_trading_day"), 0).otherwise(1) <= F.col("_n_session_no") + horizon)
     soon = soon.groupBy("symbol_id").agg(F.min("ex_date").alias("next_action")).withColumn("upcoming", F.lit(True))
     df = open_.join(last, "symbol_id", "left").join(snapshot, ["account_id", what], "left").join(cliffs, "position_id", "left").join(soon, "symbol_id", "left")
     df = df.join(chandelier(as_opened, frame, as_of), "position_id", "left")

@@ -2,7 +2,8 @@
 
 With S the running sum of signed quantities of an (account, symbol), the inventory is S - min(0, running minimum of S): a sale
 never takes it below zero.  What a sale takes is the drop of the inventory; the rest is an orphan.  Laid end to end, purchases
-and effective sales are two series of intervals, and their overlaps are the allocations first in, first out.
+and effective sales are two series of intervals, and their overlaps are the allocations first in, first out.  (operators/book.py
+applies batches of fills to a ledger that is stored.)
 """
 
 from __future__ import annotations
@@ -18,14 +19,14 @@ BOOK = ["account_id", "symbol_id"]
 def in_stored_terms(fills: DataFrame, actions: DataFrame, as_of: Column) -> DataFrame:
     """L2: fills with price and quantity in today's shares, by splits and bonuses after the trade and up to as_of; price_raw and
     structural_factor_applied keep what they were.  The ledger takes these."""
-    terms = price_in_stored_terms(fills.withColumn("_as_of", as_of), actions, "_as_of")
-    return terms.withColumns({"price_raw": F.col("price"), "price": F.col("stored_price"), "quantity": F.col("stored_quantity")}).withColumnRenamed("factor", "structural_factor_applied").drop("_as_of", "stored_price", "stored_quantity")
+    terms = price_in_stored_terms(fills, actions, as_of)
+    return terms.withColumns({"price_raw": F.col("price"), "price": F.col("stored_price"), "quantity": F.col("stored_quantity")}).withColumnRenamed("factor", "structural_factor_applied").drop("stored_price", "stored_quantity")
 
 
-def inventory(fills: DataFrame) -> DataFrame:
+def inventory(fills: DataFrame, by: tuple[str, ...] = ("trade_ts", "trade_id")) -> DataFrame:
     """Adds signed, inventory, effective (what a sale takes), orphan, low and high (the row's interval among purchases or
-    effective sales).  Rows without a symbol take no part (see unmapped)."""
-    order = Window.partitionBy(*BOOK).orderBy("trade_ts", "trade_id")
+    effective sales), in the order of the columns `by`.  Rows without a symbol take no part (see unmapped)."""
+    order = Window.partitionBy(*BOOK).orderBy(*by)
     so_far = order.rowsBetween(Window.unboundedPreceding, 0)
     df = fills.where("symbol_id is not null").withColumn("signed", F.when(F.col("side") == "BUY", F.col("quantity")).otherwise(-F.col("quantity")))
     df = df.withColumn("_s", F.sum("signed").over(so_far))
@@ -33,8 +34,8 @@ def inventory(fills: DataFrame) -> DataFrame:
     sold = F.when(F.col("side") == "SELL", F.coalesce(F.lag("inventory").over(order), F.lit(0)) - F.col("inventory")).otherwise(0)
     df = df.withColumn("effective", sold).withColumn("orphan", F.when(F.col("side") == "SELL", F.col("quantity") - F.col("effective")).otherwise(0))
     amount = F.when(F.col("side") == "BUY", F.col("quantity")).otherwise(F.col("effective"))
-    each = Window.partitionBy(*BOOK, "side").orderBy("trade_ts", "trade_id").rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("high", F.sum(amount).over(each)).withColumn("low", F.col("high") - amount).drop("_s")
+    total = lambda side: F.sum(F.when(F.col("side") == side, amount).otherwise(0)).over(so_far)
+    return df.withColumn("high", F.when(F.col("side") == "BUY", total("BUY")).otherwise(total("SELL"))).withColumn("low", F.col("high") - amount).drop("_s")
 
 
 def unmapped(fills: DataFrame) -> DataFrame:
@@ -42,17 +43,20 @@ def unmapped(fills: DataFrame) -> DataFrame:
     return fills.where("symbol_id is null")
 
 
-def allocations(fills: DataFrame, width: int = 256) -> DataFrame:
-    """L1, L3: account_id, symbol_id, sell_id, position_id (the purchase), qty, avg_entry_price, sell_price, realized_pnl.
-
-    Intervals meet on cells of `width` shares, so a book with many fills is not compared pair by pair."""
-    rows = inventory(fills).where("high > low")
-    cells = rows.withColumn("cell", F.explode(F.sequence(F.floor(F.col("low") / width), F.floor((F.col("high") - 1) / width))))
-    buys = cells.where("side = 'BUY'").select(*BOOK, "cell", F.col("trade_id").alias("position_id"), F.col("low").alias("b0"), F.col("high").alias("b1"), F.col("price").alias("avg_entry_price"))
-    sells = cells.where("side = 'SELL'").select(*BOOK, "cell", F.col("trade_id").alias("sell_id"), F.col("low").alias("s0"), F.col("high").alias("s1"), F.col("price").alias("sell_price"), "trade_date")
-    met = sells.join(buys, [*BOOK, "cell"]).where("s0 < b1 and b0 < s1").dropDuplicates(["sell_id", "position_id"])
-    qty = F.least("s1", "b1") - F.greatest("s0", "b0")
-    return met.select(*BOOK, "sell_id", "position_id", "trade_date", qty.alias("qty"), "avg_entry_price", "sell_price").withColumn("realized_pnl", (F.col("sell_price") - F.col("avg_entry_price")) * F.col("qty"))
+def allocations(fills: DataFrame, by: tuple[str, ...] = ("trade_ts", "trade_id")) -> DataFrame:
+    """L1, L3: account_id, symbol_id, sell_id, position_id (the purchase), qty, avg_entry_price, sell_price, realized_pnl, upto (the
+    end of the overlap, which grows in the order of sales).
+
+    From one end of an interval to the next there is one purchase and one sale.  So each overlap is found in one pass from the
+    highest end down, where both are the last ones met; nothing is joined, and inventory() and this share one shuffle by book."""
+    rows = inventory(fills, by).where("high > low")
+    down = Window.partitionBy(*BOOK).orderBy(F.col("high").desc(), "side")
+    so_far = down.rowsBetween(Window.unboundedPreceding, 0)
+    met = lambda side, *columns: F.last(F.when(F.col("side") == side, F.struct(*columns)), True).over(so_far)
+    parts = rows.select(*BOOK, F.col("high").alias("upto"), (F.col("high") - F.coalesce(F.lead("high").over(down), F.lit(0))).alias("qty"), met("BUY", "trade_id", "price").alias("b"), met("SELL", "trade_id", "price", "trade_date").alias("s"))
+    hit = parts.where("qty > 0 and b is not null and s is not null")
+    named = hit.select(*BOOK, F.col("s.trade_id").alias("sell_id"), F.col("b.trade_id").alias("position_id"), "s.trade_date", "qty", F.col("b.price").alias("avg_entry_price"), F.col("s.price").alias("sell_price"), "upto")
+    return named.withColumn("realized_pnl", (F.col("sell_price") - F.col("avg_entry_price")) * F.col("qty"))
 
 
 def positions(fills: DataFrame, allocated: DataFrame | None = None) -> DataFrame:

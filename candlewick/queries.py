@@ -237,7 +237,7 @@ LEDGER_SQL = f"""WITH RECURSIVE t AS ({views.FILLS_SQL}),
 @register("ledger_allocations", f"{LEDGER_SQL} SELECT account_id, symbol_id, sell_id, position_id, trade_date, qty::BIGINT AS qty, round_even((sell_price - avg_entry_price)*qty*100, 0)/100 AS realized_pnl FROM a")
 def allocation_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """L1-L3."""
-    return ledger.allocations(views.fills(spark, sf_dir)).withColumn("realized_pnl", views.rounded("realized_pnl", 2)).drop("avg_entry_price", "sell_price")
+    return ledger.allocations(views.fills(spark, sf_dir)).withColumn("realized_pnl", views.rounded("realized_pnl", 2)).drop("avg_entry_price", "sell_price", "upto")
 
 
 def positions_sql(ledger_sql: str, digits: int = 2) -> str:
