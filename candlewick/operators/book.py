@@ -12,6 +12,7 @@ sales then take from the older newcomer first; such a group is one book's open l
 from __future__ import annotations
 
 import heapq
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import pandas as pd
@@ -19,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from candlewick.operators.adjust import factor_after, restate_for_actions
-from candlewick.operators.ledger import BOOK, allocations, inventory
+from candlewick.operators.ledger import BOOK, inventory, overlaps
 from candlewick.sources.tables import Store, Version
 
 POSITIONS = (
@@ -73,12 +74,16 @@ def save(store: Store, book: Book, note: dict | None = None, base: Version | Non
     return store.publish({"positions": book.positions, "allocations": book.allocations, "applied": book.applied}, note, base)
 
 
-def apply_fills(book: Book, fills: DataFrame, actions: DataFrame, as_of: Column, batch: int) -> tuple[Book, Report]:
+Keep = Callable[[DataFrame, str], DataFrame]
+
+
+def apply_fills(book: Book, fills: DataFrame, actions: DataFrame, as_of: Column, batch: int, keep: Keep = lambda df, name: df) -> tuple[Book, Report]:
     """L2: the book with the unapplied ones of the fills (trade_id, account_id, symbol_id, side, quantity, price, trade_ts, trade_date).
 
     A fill whose trade_id is applied is passed over, so a batch can be sent again.  Purchases open positions at their price and
     quantity in the shares of as_of; sales take the oldest lots first; a position closes with its realized profit when a sale
-    takes its last share.  A fill without quantity, price or time, or whose factor is no positive number, is an error and stays
+    takes its last share.  keep(df, name) may store what all tables of the book are made from: the fills in stored terms, and
+    what sales took.  A fill without quantity, price or time, or whose factor is no positive number, is an error and stays
     unapplied, as do fills without a symbol; all others go on."""
     open_fills = fills.join(book.applied.select("trade_id"), "trade_id", "left_anti")
     unmapped = open_fills.where("symbol_id is null")
@@ -87,9 +92,10 @@ def apply_fills(book: Book, fills: DataFrame, actions: DataFrame, as_of: Column,
         F.when(F.col("quantity").isNull() | (F.col("quantity") < 0), "no quantity").when(F.col("price").isNull(), "no price").when(F.col("trade_ts").isNull() | F.col("trade_date").isNull(), "no time")
         .when(~F.coalesce(F.col("side").isin("BUY", "SELL"), F.lit(False)), "no side").when(~F.coalesce(F.col("factor") > 0, F.lit(False)), "no factor")
     )
-    judged = terms.withColumn("error", error)
+    judged = keep(terms.withColumn("error", error), "fills")
     good = judged.where("error is null").withColumns({"price_raw": F.col("price"), "price": F.col("price") * F.col("factor"), "quantity": F.rint(F.col("quantity") / F.col("factor")).cast("long")}).drop("error")
-    taken, orphans = _allocate(book.positions, good)
+    moves = keep(_allocate(book.positions, good), "moves")
+    taken, orphans = moves.where("position_id is not null"), moves.where("position_id is null").select(F.col("sell_id").alias("trade_id"), F.col("qty").alias("leftover"))
     positions = _updated(book.positions.unionByName(_opened(good, as_of, batch)), taken)
     first = taken.groupBy(F.col("sell_id").alias("trade_id")).agg(F.min_by("position_id", "upto").alias("position_id"))
     applied = good.select("trade_id", F.lit(batch).alias("batch"), "side").join(first, "trade_id", "left").select("trade_id", "batch", F.when(F.col("side") == "BUY", F.col("trade_id")).otherwise(F.col("position_id")).alias("position_id"))
@@ -107,8 +113,8 @@ def _opened(good: DataFrame, as_of: Column, batch: int) -> DataFrame:
     )
 
 
-def _allocate(positions: DataFrame, good: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(what sales take from lots, with `upto` growing in the order of taking; sales with what is left over)."""
+def _allocate(positions: DataFrame, good: DataFrame) -> DataFrame:
+    """What sales take from lots, with `upto` growing in the order of taking; and what is left of a sale, without a position."""
     lots = positions.where("status = 'open' and qty_open > 0")
     # open lots come before all fills of the batch; first in, first out among themselves
     place = lambda rank, *c: F.struct(F.lit(rank).alias("rank"), *c)
@@ -122,9 +128,9 @@ def _allocate(positions: DataFrame, good: DataFrame) -> tuple[DataFrame, DataFra
     orderly, others = events.where("_late is null").drop("_late"), events.where("_late").drop("_late")
     folded = others.groupBy(*BOOK).applyInPandas(_fold, FOLDED)
     columns = [c.split()[0] for c in FOLDED.split(", ")]
-    taken = allocations(orderly, ("place",)).select(*columns).unionByName(folded.where("position_id is not null"))
-    left = inventory(orderly, ("place",)).where("orphan > 0").select("trade_id", F.col("orphan").alias("leftover"))
-    return taken, left.unionByName(folded.where("position_id is null").select(F.col("sell_id").alias("trade_id"), F.col("qty").alias("leftover")))
+    rows = inventory(orderly, ("place",))
+    left = rows.where("orphan > 0").select(*BOOK, F.col("trade_id").alias("sell_id"), F.lit(None).cast("long").alias("position_id"), "trade_date", F.col("orphan").alias("qty"), F.lit(None).cast("double").alias("avg_entry_price"), F.col("price").alias("sell_price"), F.col("high").alias("upto"))
+    return overlaps(rows).select(*columns).unionByName(left).unionByName(folded)
 
 
 def _fold(rows: pd.DataFrame) -> pd.DataFrame:

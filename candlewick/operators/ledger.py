@@ -49,7 +49,12 @@ def allocations(fills: DataFrame, by: tuple[str, ...] = ("trade_ts", "trade_id")
 
     From one end of an interval to the next there is one purchase and one sale.  So each overlap is found in one pass from the
     highest end down, where both are the last ones met; nothing is joined, and inventory() and this share one shuffle by book."""
-    rows = inventory(fills, by).where("high > low")
+    return overlaps(inventory(fills, by))
+
+
+def overlaps(rows: DataFrame) -> DataFrame:
+    """The allocations, from the rows of inventory()."""
+    rows = rows.where("high > low")
     down = Window.partitionBy(*BOOK).orderBy(F.col("high").desc(), "side")
     so_far = down.rowsBetween(Window.unboundedPreceding, 0)
     met = lambda side, *columns: F.last(F.when(F.col("side") == side, F.struct(*columns)), True).over(so_far)

@@ -108,3 +108,17 @@ SUBJECTS_SQL = """SELECT p_partkey AS part_id, (p_partkey % 100 + 1)::INT AS sym
   WHEN 4 THEN 'Rights 1:' || p_size || ' @ Premium Rs ' || format('{:.2f}', p_retailprice) || '/-' WHEN 5 THEN 'Demerger'
   WHEN 6 THEN 'Distribution - Rs ' || p_size || '.5 Per Unit Consisting Dividend Rs 2 Per Unit Interest Rs 2.28 Per Unit'
   ELSE 'Annual General Meeting' END AS subject FROM part"""
+
+
+def plain_subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """part_id, symbol_id, ex_date, subject: some twenty announcements a symbol at any scale, of all kinds; splits halve, bonuses are one
+    share for four, so products of factors are the same in any order and stay in range."""
+    parts, n = table(spark, sf_dir, "part"), table(spark, sf_dir, "supplier").agg(F.count("*").alias("n"))  # one row
+    kind = F.col("p_partkey") % 8
+    text = F.when(kind == 2, "Face Value Split (Sub-Division) - From Rs 10/- Per Share To Rs 5/- Per Share").when(kind == 3, "Bonus 1:4").when(kind == 4, F.concat(F.lit("Rights 1:"), F.col("p_size").cast("string"), F.lit(" @ Premium Rs 10/-"))).when(kind == 5, "Demerger").when(kind == 7, "Annual General Meeting")
+    dividend = F.concat(F.lit("Dividend - Rs "), F.col("p_size").cast("string"), F.lit(" Per Share"))
+    return parts.crossJoin(F.broadcast(n)).select(F.col("p_partkey").alias("part_id"), (F.col("p_partkey") % F.col("n") + 1).cast("int").alias("symbol_id"), F.date_add(F.lit("1995-01-01").cast("date"), (F.col("p_partkey") * 37 % 1000).cast("int")).alias("ex_date"), F.coalesce(text, dividend).alias("subject"))
+
+
+PLAIN_KINDS_SQL = """SELECT p_partkey AS part_id, (p_partkey % (SELECT count(*) FROM supplier) + 1)::INT AS symbol_id, DATE '1995-01-01' + (p_partkey*37 % 1000)::INT AS ex_date,
+  CASE p_partkey % 8 WHEN 2 THEN 'split' WHEN 3 THEN 'bonus' WHEN 4 THEN 'rights' WHEN 5 THEN 'demerger' WHEN 7 THEN NULL ELSE 'dividend' END AS kind, CASE p_partkey % 8 WHEN 2 THEN 0.5 WHEN 3 THEN 0.8 END::DOUBLE AS f FROM part"""

@@ -11,7 +11,11 @@ removes what no kept version names.
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import json
+import re
+import tempfile
 import time
 import uuid
 from collections.abc import Callable
@@ -170,3 +174,33 @@ def _leaves(files: Files, folder: str, depth: int) -> list[str]:
     if not depth:
         return [""]
     return [f"/{name}{leaf}" for name in files.folders(folder) if "=" in name for leaf in _leaves(files, f"{folder}/{name}", depth - 1)]
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """spark.checkpoint.dir, the folder that driver and executors share; an own one where it is unset and all run in one process."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    made = tempfile.mkdtemp(prefix="candlewick-")
+    spark.conf.set("spark.checkpoint.dir", made)
+    return made
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """The rows written once in the shared folder, until exit, and read again."""
+    store = scratch_store(df.sparkSession)
+    return store.read(name, store.publish({name: df}))
+
+
+def scratch_store(spark: SparkSession) -> Store:
+    """A store in the shared folder that goes at exit."""
+    store = Store(spark, f"{shared_dir(spark)}/candlewick/store-{uuid.uuid4().hex}")
+
+    def remove() -> None:
+        with contextlib.suppress(Exception):  # the JVM may be gone; the folder is the cluster's scratch space
+            store.files.delete(store.root)
+
+    atexit.register(remove)
+    return store
