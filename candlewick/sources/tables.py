@@ -22,6 +22,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 class Conflict(Exception):
@@ -103,6 +104,21 @@ class Store:
             raise KeyError(f"{self.root} has no table {table}")
         return self.spark.read.parquet(f"{self.root}/data/{folders[table]}")
 
+    def read_parts(self, table: str, values: list[str] | None = None, version: Version | None = None) -> DataFrame | None:
+        """The rows of the named parts (default: all) of a table that publish_parts() wrote; None if there are none."""
+        folders = (version or self.version()).folders
+        names = [n for n in folders if n.startswith(f"{table}/")] if values is None else [n for v in values if (n := f"{table}/{v}") in folders]
+        return self.spark.read.parquet(*(f"{self.root}/data/{folders[n]}" for n in names)) if names else None
+
+    def publish_parts(self, table: str, rows: DataFrame, column: str, note: dict | None = None, base: Version | None = None) -> Version:
+        """Replaces the parts of a table that rows have, one for each value of `column` (not null, fit for a folder's name, such as a
+        day); all other parts stay.  One job writes them."""
+        base = base or self.version()
+        unique = uuid.uuid4().hex
+        rows.withColumn("_part", F.col(column).cast("string")).write.partitionBy("_part").parquet(f"{self.root}/data/{unique}/{table}")
+        parts = {n.partition("=")[2]: f"{unique}/{table}/{n}" for n in self.files.folders(f"{self.root}/data/{unique}/{table}")}
+        return self._commit(base, base.folders | {f"{table}/{v}": f for v, f in parts.items()}, note, unique)
+
     def publish(self, tables: dict[str, DataFrame], note: dict | None = None, base: Version | None = None, partitions: dict[str, list[str]] | None = None) -> Version:
         """Writes the tables and makes them current together; tables that are not named stay as they are in `base`, the version
         that the new rows were made from (default: the current one).  Raises Conflict if base is not current any more."""
@@ -112,6 +128,9 @@ class Store:
         for name, rows in tables.items():
             folders[name] = f"{unique}/{name}"
             rows.write.partitionBy(*(partitions or {}).get(name, [])).parquet(f"{self.root}/data/{folders[name]}")
+        return self._commit(base, folders, note, unique)
+
+    def _commit(self, base: Version, folders: dict[str, str], note: dict | None, unique: str) -> Version:
         draft = f"{self.root}/log/draft-{unique}"
         self.files.write(draft, json.dumps({"tables": folders, "note": note or {}, "at": time.time()}))
         if self.version().number != base.number or not self.files.move(draft, self._entry(base.number + 1)):
