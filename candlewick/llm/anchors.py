@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 
-from candlewick.llm.bytehash import PIECE, grouped, prefix_sums, span_hashes
+from candlewick.llm.bytehash import PIECE, grouped, prefix_sums, quick_hashes, span_hashes
 
 
 SMALL = 1 << 16  # texts are joined up to this size, so that the arrays stay in the cache
@@ -56,7 +56,7 @@ def _runs(texts: list[bytes], number: int, shift: int, width: int, gram: int) ->
     sums = prefix_sums(buf)
     at = np.arange(len(buf) - gram + 1)
     low = np.uint64(PIECE - 1)
-    best = (span_hashes(sums, at, at + gram) & ~low) | at.astype(np.uint64)
+    best = (quick_hashes(buf, gram) & ~low) | at.astype(np.uint64)  # only chooses places
     span, have = width - gram + 1, 1
     while have < span:  # sliding minimum over `span` places by doubling
         step = min(have, span - have)

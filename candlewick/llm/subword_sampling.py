@@ -52,7 +52,7 @@ def cut_units(texts: list[bytes]) -> tuple[list[str], np.ndarray, np.ndarray]:
     start = np.flatnonzero(first)
     end = np.append(start[1:], len(buf))
     # sums start over now and then, as powers are kept for a bounded length only
-    hashes = np.concatenate([_hashes(buf, start[a : a + 65536], end[a : a + 65536]) for a in range(0, len(start), 65536)])
+    hashes = np.concatenate([_hashes(buf, start[a : a + 8192], end[a : a + 8192]) for a in range(0, len(start), 8192)])
     _, at, number = np.unique(hashes, return_index=True, return_inverse=True)
     names = [data[i:j].decode("utf-8", "replace").replace(" ", SPACE) for i, j in zip(start[at].tolist(), end[at].tolist(), strict=True)]
     return names, number, np.diff(np.searchsorted(start, np.append(0, ends)))
