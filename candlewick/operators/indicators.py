@@ -57,7 +57,11 @@ def indicator_frame(bars: DataFrame) -> DataFrame:
 
     Undefined values are null.  One shuffle by series: all windows and the grouped map share its partitioning.
     """
-    df = with_recurrences(with_inputs(bars))
+    return finished(with_recurrences(with_inputs(bars)))
+
+
+def finished(df: DataFrame) -> DataFrame:
+    """The frame from bars with their recurrences."""
     mean, spread = rolling(F.avg, "close", 20), rolling(F.stddev_samp, "close", 20)
     df = df.withColumns({"bb_middle": mean, "_spread": spread, "volume_ma_20": rolling(F.avg, "volume", 20)})
     df = df.withColumns({

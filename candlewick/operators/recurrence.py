@@ -40,24 +40,27 @@ def supertrend(high: np.ndarray, low: np.ndarray, close: np.ndarray, atr: np.nda
     return line, direction
 
 
-def with_recurrences(bars: DataFrame, width: float = 3.0) -> DataFrame:
-    """Adds AVERAGES, macd_signal_9, adx_14, momentum, supertrend_10_3 and supertrend_dir to bars that have true_range,
-    plus_dm, minus_dm and range_mid (middle of the 20-bar range)."""
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ts", kind="stable").reset_index(drop=True)
-        for name, (column, alpha) in AVERAGES.items():
-            pdf[name] = smoothed(pdf[column], alpha)
-        pdf["macd_signal_9"] = smoothed(pdf["ema_12"] - pdf["ema_26"], 2 / 10)
-        atr = pdf["atr_14"].where(pdf["atr_14"] != 0)
-        plus, minus = 100 * (pdf["plus_dm_14"] / atr), 100 * (pdf["minus_dm_14"] / atr)
-        both = plus + minus
-        pdf["adx_14"] = smoothed(100 * (plus - minus).abs() / both.where(both != 0), 1 / 14)
-        pdf["momentum"] = smoothed(pdf["close"] - (pdf["range_mid"] + pdf["ema_20"]) / 2, 2 / 21)
-        line, side = supertrend(*(pdf[c].to_numpy(float) for c in ("high", "low", "close", "atr_10")), width)
-        pdf["supertrend_10_3"], pdf["supertrend_dir"] = line, side
-        return pdf
+def recurrences(pdf: pd.DataFrame, width: float = 3.0) -> pd.DataFrame:
+    """One series with AVERAGES, macd_signal_9, adx_14, momentum, supertrend_10_3 and supertrend_dir."""
+    pdf = pdf.sort_values("ts", kind="stable").reset_index(drop=True)
+    for name, (column, alpha) in AVERAGES.items():
+        pdf[name] = smoothed(pdf[column], alpha)
+    pdf["macd_signal_9"] = smoothed(pdf["ema_12"] - pdf["ema_26"], 2 / 10)
+    atr = pdf["atr_14"].where(pdf["atr_14"] != 0)
+    plus, minus = 100 * (pdf["plus_dm_14"] / atr), 100 * (pdf["minus_dm_14"] / atr)
+    both = plus + minus
+    pdf["adx_14"] = smoothed(100 * (plus - minus).abs() / both.where(both != 0), 1 / 14)
+    pdf["momentum"] = smoothed(pdf["close"] - (pdf["range_mid"] + pdf["ema_20"]) / 2, 2 / 21)
+    line, side = supertrend(*(pdf[c].to_numpy(float) for c in ("high", "low", "close", "atr_10")), width)
+    pdf["supertrend_10_3"], pdf["supertrend_dir"] = line, side
+    return pdf
+
 
+def recurrence_schema(bars: DataFrame) -> str:
     added = ", ".join(f"{n} double" for n in [*AVERAGES, "macd_signal_9", "adx_14", "momentum", "supertrend_10_3"])
-    schema = ", ".join(f"{n} {t}" for n, t in bars.dtypes) + f", {added}, supertrend_dir long"
-    return bars.groupBy(*SER).applyInPandas(one, schema)
+    return ", ".join(f"{n} {t}" for n, t in bars.dtypes) + f", {added}, supertrend_dir long"
+
+
+def with_recurrences(bars: DataFrame, width: float = 3.0) -> DataFrame:
+    """recurrences() of all series of bars that have true_range, plus_dm, minus_dm and range_mid (middle of the 20-bar range)."""
+    return bars.groupBy(*SER).applyInPandas(lambda pdf: recurrences(pdf, width), recurrence_schema(bars))
