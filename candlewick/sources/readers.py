@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from candlewick import schemas
+from candlewick.sources.daily_files import by_name
 
 # Series, column names and symbols that results depend on.
 SERIES = ("EQ", "BE", "BZ")
@@ -21,8 +22,11 @@ FALLBACK = ("RELIANCE", "TCS", "HDFCBANK", "INFY", "ICICIBANK", "HINDUNILVR", "I
 
 
 def daily_file(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of the series EQ, BE and BZ of official daily files (one path or a folder of days)."""
-    return spark.read.schema(schemas.DAILY_FILE).option("header", True).csv(path).where(F.col("SctySrs").isin(*SERIES))
+    """Rows of the series EQ, BE and BZ of official daily files (one path or a folder of days, zipped or not), with the columns
+    of schemas.DAILY_FILE found by name; text that is no number or date is null."""
+    kinds = dict(c.split() for c in schemas.DAILY_FILE.split(", "))
+    rows = by_name(spark, path, list(kinds))
+    return rows.select(*(F.expr(f"try_cast({c} as {kind})").alias(c) for c, kind in kinds.items())).where(F.col("SctySrs").isin(*SERIES))
 
 
 def preferred_rows(rows: DataFrame) -> DataFrame:
@@ -33,17 +37,11 @@ def preferred_rows(rows: DataFrame) -> DataFrame:
 
 
 def panel(spark: SparkSession, path: str, exchange: str) -> DataFrame:
-    """Stocks of an exchange's daily files as a panel; text that is no number is null; a file that is not the daily file
-    (no line of it starts with TradDt) gives no rows."""
-    lines = spark.read.text(path).select("value", "_metadata.file_path")
-    good = [r[0] for r in lines.where(F.ltrim(F.regexp_replace("value", "\ufeff", "")).startswith("TradDt,")).select("file_path").distinct().collect()]  # a name for each day
-    if not good:
-        return spark.createDataFrame([], ", ".join(f"{n} string" for n in PANEL.values()) + ", exchange string").limit(0)
-    raw = spark.read.option("header", True).csv(good)
-    raw = raw.withColumnRenamed(raw.columns[0], raw.columns[0].lstrip("\ufeff"))
+    """Stocks of an exchange's daily files (zipped or not, of any order of columns) as a panel; text that is no number is null; a
+    file that is not the daily file gives no rows."""
     numbers = {"open", "high", "low", "close", "last", "prev_close", "turnover"}
     cast = lambda c, n: F.expr(f"try_cast({c} as {'date' if n == 'date' else 'double' if n in numbers else 'bigint' if n in ('volume', 'trades') else 'string'})")
-    df = raw.select(*(cast(c, n).alias(n) for c, n in PANEL.items()))
+    df = by_name(spark, path, list(PANEL)).select(*(cast(c, n).alias(n) for c, n in PANEL.items()))
     return df.where((F.col("kind") == "STK") & F.col("series").isin(*PANEL_SERIES[exchange])).withColumn("exchange", F.lit(exchange))
 
 
