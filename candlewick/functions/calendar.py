@@ -48,7 +48,11 @@ def with_session(df: DataFrame, column: str, days: DataFrame, prefix: str = "")
 
 
 def last_closed_session(df: DataFrame, now: str, days: DataFrame) -> DataFrame:
-    """Adds last_closed, the last session that is over at the wall time in column `now`."""
+    """Adds last_closed, the last session that is over at the wall time in column `now`, which must be a timestamp without a zone:
+    an instant is first to be brought to the exchange's wall time."""
+    kind = dict(df.dtypes)[now]
+    if kind != "timestamp_ntz":
+        raise TypeError(f"{now} must be exchange wall time (timestamp_ntz), not {kind}")
     done = F.when(F.date_format(now, "HH:mm:ss") >= "15:30:00", F.to_date(now)).otherwise(F.date_sub(F.to_date(now), 1))
     return with_session(df.withColumn("_done", done), "_done", days, "_c_").withColumn("last_closed", F.col("_c_session_date")).drop("_done", "_c_session_date", "_c_session_no", "_c_is_trading_day")
 
@@ -77,6 +81,22 @@ def recent_sessions(calendar: DataFrame, now: Column, n: int) -> DataFrame:
     return calendar.where(F.col("close_ts") <= now).orderBy(F.col("session_date").desc()).limit(n).select("session_date")
 
 
+def refetched_for(df: DataFrame, newest: str, days: DataFrame, calendar: DataFrame, overlap: int = 2, name: str = "session_date") -> DataFrame:
+    """C7 for a column of newest sessions: a row for each session to fetch again.  By session numbers and days, so all joins are on
+    equal keys."""
+    before = calendar.select((F.col("session_no") + 1).alias("_no"), F.col("session_date").alias("_before"))
+    at = with_session(df, newest, days, "_s_").join(F.broadcast(before), F.col("_s_session_no") == F.col("_no"), "left")
+    every = at.withColumn("_each", F.explode(F.sequence(F.date_sub(F.coalesce("_before", newest), overlap), F.col(newest))))
+    return with_session(every, "_each", days, "_e_").where("_e_is_trading_day").select(*df.columns, F.col("_each").alias(name))
+
+
+def recent_for(df: DataFrame, now: str, n: int, days: DataFrame, calendar: DataFrame, name: str = "session_date") -> DataFrame:
+    """C8 for a column of wall times: the n most recent finished sessions of each row."""
+    done = last_closed_session(df, now, days).withColumnRenamed("last_closed", "_last")
+    at = with_session(done, "_last", days, "_l_").withColumn("_no", F.explode(F.sequence(F.col("_l_session_no") - (n - 1), F.col("_l_session_no"))))
+    return at.join(F.broadcast(calendar.select(F.col("session_no").alias("_no"), F.col("session_date").alias(name))), "_no").select(*df.columns, name)
+
+
 def weekday_on_or_before(day: Column) -> Column:
     """Saturday and Sunday become the Friday before."""
     return F.date_sub(day, F.greatest(F.weekday(day) - 4, F.lit(0)))

@@ -65,7 +65,7 @@ def evaluate(positions: DataFrame, frame: DataFrame, actions: DataFrame, holding
     bars = with_volume_divergence(frame).withColumn("bar_date", F.to_date("ts")).where(F.col("bar_date") <= as_of)
     last = bars.groupBy("symbol_id").agg(F.max_by(F.struct("close", "low", "supertrend_dir", F.col("volume_divergence").alias("divergence"), "bar_date"), "ts").alias("bar")).select("symbol_id", "bar.*")
     what = "isin" if "isin" in holdings.columns and "isin" in positions.columns else "symbol_id"
-    snapshot = holdings.where(F.col("as_of") <= as_of).groupBy("account_id", what).agg(F.max_by("quantity", "as_of").alias("broker_qty"))
+    snapshot = latest_holdings(holdings, as_of, what)
     open_ = open_.withColumn("qty_sum", F.sum("qty_open").over(Window.partitionBy("account_id", "symbol_id")))
     held = as_opened.select("position_id", "symbol_id", "opened_on").join(actions.where("action_type = 'demerger'").select("symbol_id", "ex_date"), "symbol_id")
     cliffs = held.where((F.col("ex_date") > F.col("opened_on")) & (F.col("ex_date") <= as_of)).select("position_id", F.lit(True).alias("demerger")).distinct()
@@ -80,6 +80,11 @@ def evaluate(positions: DataFrame, frame: DataFrame, actions: DataFrame, holding
     return decide(df.withColumns({"demerger": F.coalesce("demerger", F.lit(False)), "upcoming": F.coalesce("upcoming", F.lit(False))}))
 
 
+def latest_holdings(holdings: DataFrame, as_of: Column, what: str = "symbol_id") -> DataFrame:
+    """What the broker held last, up to as_of, of each account and symbol or ISIN."""
+    return holdings.where(F.col("as_of") <= as_of).groupBy("account_id", what).agg(F.max_by("quantity", "as_of").alias("broker_qty"))
+
+
 def verdict_counts(evaluated: DataFrame) -> DataFrame:
     """Positions by verdict and first reason."""
     return evaluated.groupBy("verdict", F.try_element_at("reasons", F.lit(1)).alias("reason")).agg(F.count("*").alias("n"))

@@ -119,9 +119,9 @@ def upcoming_actions(actions: DataFrame, positions: DataFrame, today: Column, wi
 
 
 def sample(df: DataFrame, key: str, n: int = 15, seed: int = 42, forced: list | None = None) -> DataFrame:
-    """N rows by hash of the key, forced ones first."""
+    """N rows by a hash of seed and key, forced ones first."""
     first = F.when(F.col(key).isin(forced or []), 0).otherwise(1)
-    return df.orderBy(first, F.xxhash64(key, F.lit(seed)), key).limit(n)
+    return df.orderBy(first, F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), key).limit(n)
 
 
 def sorted_nulls_last(df: DataFrame, column: str, descending: bool = False) -> DataFrame:
@@ -186,6 +186,22 @@ def rematch_candidates(signals: DataFrame, symbol_id: int, opened_on: Column, ba
     return signals.where((F.col("symbol_id") == symbol_id) & (F.col("timeframe") == "1d") & (day >= F.date_sub(opened_on, back)) & (day <= opened_on))
 
 
+def rematches(positions: DataFrame, signals: DataFrame, back: int = 14) -> DataFrame:
+    """P16 for many positions: position_id and each daily signal of its symbol in the days before its opening.  A position has
+    back + 1 days, so the join is on symbol and day."""
+    days = positions.select("position_id", "symbol_id", F.explode(F.sequence(F.date_sub("opened_on", back), F.col("opened_on"))).alias("_day"))
+    return days.join(signals.where("timeframe = '1d'").withColumn("_day", F.to_date("ts")), ["symbol_id", "_day"]).drop("_day")
+
+
+def symbol_report(symbol_id: int, bars: DataFrame, signals: DataFrame, positions: DataFrame) -> DataFrame:
+    """One row: what is stored of a symbol."""
+    mine = lambda df: df.where(F.col("symbol_id") == symbol_id)
+    b = mine(bars).agg(F.count("*").alias("bars"), F.min(F.to_date("ts")).alias("first_day"), F.max(F.to_date("ts")).alias("last_day"))
+    s = mine(signals).agg(F.count("*").alias("signals"), F.max(F.to_date("ts")).alias("last_signal"))
+    p = mine(positions).agg(F.count_if(F.col("status") == "open").alias("open_positions"), F.coalesce(F.sum(F.when(F.col("status") == "open", F.col("qty_open"))), F.lit(0)).alias("open_quantity"))
+    return b.crossJoin(s).crossJoin(p)  # one row each
+
+
 def trade_counts(fills: DataFrame) -> DataFrame:
     """Fills by side, and how many have no symbol."""
     return fills.groupBy("side").agg(F.count("*").alias("n"), F.count_if(F.col("symbol_id").isNull()).alias("unmapped"))

@@ -43,3 +43,13 @@ def apply_matches(positions: DataFrame, matches: DataFrame, manual: DataFrame |
         own = manual.select("position_id", *fields[:5], F.lit(1.0).alias("confidence"), F.lit("manual").alias("reason"))
         found = found.join(own, "position_id", "left_anti").unionByName(own)
     return positions.join(found, "position_id", "left").withColumn("matched", F.col("strategy").isNotNull())
+
+
+def manual_matches(requests: DataFrame, positions: DataFrame, signals: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """M3: (matches for apply_matches(), requests without such a signal).  requests: position_id, strategy, ts; the signal is the daily
+    one of the position's symbol with that strategy and time."""
+    named = requests.join(positions.select("position_id", "symbol_id"), "position_id", "left")
+    daily = signals.where("timeframe = '1d'").select("symbol_id", "strategy", "ts", "entry", "stop_loss", "target_1", "target_2").dropDuplicates(["symbol_id", "strategy", "ts"])
+    found = named.join(daily.withColumn("_found", F.lit(True)), ["symbol_id", "strategy", "ts"], "left")
+    matches = found.where("_found").select("position_id", "strategy", "entry", "stop_loss", "target_1", "target_2")
+    return matches, found.where("_found is null").select("position_id", "strategy", "ts")

@@ -26,13 +26,13 @@ def register(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
-    from candlewick import book_queries, more_queries, stream_queries  # noqa: F401  register the rest
+    from candlewick import book_queries, more_queries, run_queries, stream_queries  # noqa: F401  register the rest
 
     return {name: query for name, (query, _) in REGISTRY.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    from candlewick import book_queries, more_queries, stream_queries  # noqa: F401
+    from candlewick import book_queries, more_queries, run_queries, stream_queries  # noqa: F401
 
     return {name: sql for name, (_, sql) in REGISTRY.items() if sql}
 

@@ -47,7 +47,7 @@ def write_csv_by_exchange(panel: DataFrame, path: str) -> None:
 def write_latest_csv(panel: DataFrame, path: str) -> None:
     """All exchanges in one folder, and the rows of the last date of each exchange in another."""
     last = panel.groupBy("exchange").agg(F.max("date").alias("date"))
-    tables.replace(panel.join(last, ["exchange", "date"], "left_semi"), f"{path}/latest", (), "csv")
+    tables.replace(panel.join(last, ["exchange", "date"], "left_semi").select(*panel.columns), f"{path}/latest", (), "csv")
     tables.replace(panel, f"{path}/combined", (), "csv")
 
 
