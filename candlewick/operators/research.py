@@ -5,11 +5,16 @@ Averages here start with the mean of the first n values, and relative volume is
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from candlewick.operators.quantiles import exact_quantile
+from candlewick.sources.tables import kept
+
 
 def series():
     return Window.partitionBy("exchange", "symbol").orderBy("date")
@@ -100,8 +105,9 @@ def size_table(panel: DataFrame, series: list[str]) -> DataFrame:
 
 
 def describe(panel: DataFrame, column: str) -> DataFrame:
-    """Count, mean, min, exact median, max of a column by exchange."""
-    return panel.groupBy("exchange").agg(F.count(column).alias("n"), F.avg(column).alias("mean"), F.min(column).alias("least"), F.percentile(column, 0.5).alias("median"), F.max(column).alias("most"))
+    """Count, mean, min, exact median, max of a column by exchange; the median in a few passes, which are run here."""
+    rest = panel.groupBy("exchange").agg(F.count(column).alias("n"), F.avg(column).alias("mean"), F.min(column).alias("least"), F.max(column).alias("most"))
+    return rest.join(exact_quantile(panel, ["exchange"], column, 0.5, kept, "median"), "exchange")
 
 
 def panel_checks(panel: DataFrame) -> DataFrame:
@@ -110,6 +116,11 @@ def panel_checks(panel: DataFrame) -> DataFrame:
     return keys.groupBy("exchange").agg(F.count_if(F.col("n") > 1).alias("duplicated"), F.countDistinct("date").alias("n_dates"), F.count_if(F.col("low") <= 0).alias("not_positive"), F.bool_and(F.col("n") == 1).alias("sound"))
 
 
+def quantiles(panel: DataFrame, column: str, shares: list[float], keys: list[str]) -> DataFrame:
+    """Keys, share, value: exact quantiles of groups of any size."""
+    return reduce(DataFrame.unionByName, (exact_quantile(panel, keys, column, q, kept, "value").withColumn("share", F.lit(q)) for q in shares))
+
+
 def median_turnover(panel: DataFrame, rows: int = 60, least: int = 40) -> DataFrame:
     """Exact median turnover of each symbol's last rows, for symbols with enough of them."""
     last = Window.partitionBy("exchange", "symbol").orderBy(F.col("date").desc())

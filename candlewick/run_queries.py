@@ -327,6 +327,12 @@ def wave_screen_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return research.screen(research.panel_indicators(_wave_panel(spark, sf_dir)), 1000).select("exchange", "symbol", "date")
 
 
+@register("research_quantiles", f"SELECT exchange, share, round_even(value*1e6, 0)/1e6 AS value FROM (" + " UNION ALL ".join(f"SELECT exchange, {q}::DOUBLE AS share, quantile_cont(turnover, {q}) AS value FROM ({PANEL_SQL}) GROUP BY 1" for q in (0.01, 0.25, 0.5, 0.99)) + ")")
+def quantiles_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact quantiles of an exchange's turnover."""
+    return research.quantiles(_panel(spark, sf_dir), "turnover", [0.01, 0.25, 0.5, 0.99], ["exchange"]).select("exchange", "share", views.rounded("value", 6).alias("value"))
+
+
 # Lists and file sources
 
 
