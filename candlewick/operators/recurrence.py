@@ -41,7 +41,7 @@ def supertrend(high: np.ndarray, low: np.ndarray, close: np.ndarray, atr: np.nda
 
 
 def recurrences(pdf: pd.DataFrame, width: float = 3.0) -> pd.DataFrame:
-    """One series with AVERAGES, macd_signal_9, adx_14, momentum, supertrend_10_3 and supertrend_dir."""
+    """One series with AVERAGES, macd_signal_9, adx_14, momentum, supertrend_10_3, supertrend_dir, ttm_squeeze_on and ttm_squeeze_off."""
     pdf = pdf.sort_values("ts", kind="stable").reset_index(drop=True)
     for name, (column, alpha) in AVERAGES.items():
         pdf[name] = smoothed(pdf[column], alpha)
@@ -53,14 +53,18 @@ def recurrences(pdf: pd.DataFrame, width: float = 3.0) -> pd.DataFrame:
     pdf["momentum"] = smoothed(pdf["close"] - (pdf["range_mid"] + pdf["ema_20"]) / 2, 2 / 21)
     line, side = supertrend(*(pdf[c].to_numpy(float) for c in ("high", "low", "close", "atr_10")), width)
     pdf["supertrend_10_3"], pdf["supertrend_dir"] = line, side
+    band, channel = 2 * pdf["spread"].astype(float), 1.5 * pdf["atr_10"]
+    on = ((pdf["bb_middle"] + band < pdf["ema_20"] + channel) & (pdf["bb_middle"] - band > pdf["ema_20"] - channel)).to_numpy(bool)
+    pdf["ttm_squeeze_on"], pdf["ttm_squeeze_off"] = on, np.append(False, on[:-1]) & ~on
     return pdf
 
 
 def recurrence_schema(bars: DataFrame) -> str:
     added = ", ".join(f"{n} double" for n in [*AVERAGES, "macd_signal_9", "adx_14", "momentum", "supertrend_10_3"])
-    return ", ".join(f"{n} {t}" for n, t in bars.dtypes) + f", {added}, supertrend_dir long"
+    return ", ".join(f"{n} {t}" for n, t in bars.dtypes) + f", {added}, supertrend_dir long, ttm_squeeze_on boolean, ttm_squeeze_off boolean"
 
 
 def with_recurrences(bars: DataFrame, width: float = 3.0) -> DataFrame:
-    """recurrences() of all series of bars that have true_range, plus_dm, minus_dm and range_mid (middle of the 20-bar range)."""
+    """recurrences() of all series of bars that have true_range, plus_dm, minus_dm, range_mid (middle of the 20-bar range), bb_middle
+    and spread (mean and deviation of the last 20 closes)."""
     return bars.groupBy(*SER).applyInPandas(lambda pdf: recurrences(pdf, width), recurrence_schema(bars))

@@ -11,7 +11,7 @@ from candlewick.functions import calendar
 from candlewick.operators import adjust, bars, evaluate, indicators, isolation, ledger, listing, matching, quality, research, signals
 from candlewick.plans import jobs, views
 from candlewick.queries import DAYS_SQL, FILE_SQL, LEDGER_SQL, PANEL_SQL, _calendar, _panel, frame, positions_sql, register
-from candlewick.sources import readers, sinks, tables
+from candlewick.sources import bar_store, readers, sinks, tables
 
 DAILY = views.daily_bars_sql()
 CONFLUENCE_SQL = signals.oracle(indicators.frame_sql(), "Confluence")
@@ -422,6 +422,14 @@ def exchange_csv_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.option("header", True).schema("symbol string, date date, volume long, exchange string").csv(path).groupBy("exchange").agg(F.count("*").alias("n"), F.sum("volume").alias("volume"))
 
 
+@register("bars_bucketed_frame", indicators.oracle())
+def bucketed_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S1, §1.4: indicators of bars that are stored in buckets by symbol, without a shuffle after the store."""
+    name = f"bars_{uuid.uuid4().hex}"
+    table = bar_store.write(views.daily_bars(spark, sf_dir), name, f"{folder(spark)}/bars", 8)
+    return indicators.compared(indicators.indicator_frame(bar_store.series(table, "1d")))
+
+
 @register("sink_published", "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN o_totalprice + 2 WHEN o_orderkey % 2 = 0 THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice FROM orders")
 def published_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A table upserted twice from itself, each time a version of its own."""
