@@ -20,20 +20,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from candlewick.llm.common import as_bytes, map_slices, repeated, scratch, stored, texts_of
+from candlewick.llm.common import as_bytes, hot_join, map_slices, repeated, row_key, scratch, stored, texts_of
 
 GOLDEN = 0x9E3779B97F4A7C15  # 2**64 divided by the golden ratio, an odd number
-CELLS = 4096
 
 
-def sizes(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size (words) for each row."""
+def sizes(docs: DataFrame, key: Column) -> DataFrame:
+    """doc_id, source, key, size (words) for each row."""
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
         n = [len(t.split()) for t in texts_of(batch)]
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("source"), pa.array(n, pa.int64())], ["doc_id", "source", "size"])
+        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "source", "key")), pa.array(n, pa.int64())], ["doc_id", "source", "key", "size"])
 
-    return map_slices(as_bytes(docs, F.col("source").cast("string").alias("source")), "text", step, "doc_id long, source string, size long")
+    return map_slices(as_bytes(docs, F.col("source").cast("string").alias("source"), key.alias("key")), "text", step, "doc_id long, source string, key binary, size long")
 
 
 def targets(totals: DataFrame, weights: tuple[int, ...] = (3, 1, 2), percent: int = 150, most: int = 2) -> DataFrame:
@@ -103,18 +102,20 @@ def mix(docs: DataFrame, block: int = 2048, weights: tuple[int, ...] = (3, 1, 2)
     reruns agree; rows with one doc_id and size are interchangeable.  Other columns are ignored.
     """
     with scratch(docs.sparkSession) as keep:
-        return keep(_mix(docs, block, weights, percent, most), "mix")
+        each = _mix(docs, F.when(F.col("doc_id").isNull(), row_key()), block, weights, percent, most)
+        return keep(repeated(each).select("doc_id", "source", "size", "source_size", "target", "taken"), "mix")
 
 
-def _mix(docs: DataFrame, block: int, weights: tuple[int, ...], percent: int, most: int) -> DataFrame:
-    rows = stored(sizes(docs), "sizes")
+def _mix(docs: DataFrame, key: Column, block: int, weights: tuple[int, ...], percent: int, most: int) -> DataFrame:
+    """taken and how many `copies` have it, for rows of one doc_id, source, size and key.  Rows without a doc_id spread by key."""
+    rows = stored(sizes(docs, key), "sizes")
     goals = stored(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, percent, most), "targets")
-    order = F.xxhash64(F.lit(8), F.col("doc_id"))
+    order = F.when(F.col("doc_id").isNull(), F.xxhash64(F.lit(8), F.col("key"))).otherwise(F.xxhash64(F.lit(8), F.col("doc_id")))
     named = rows.join(goals, rows.source.eqNullSafe(goals.source)).drop(goals.source)
     named = named.withColumn("order", order).withColumn("cell", F.shiftrightunsigned("order", 52))
-    laid = running(named, "nth", "cell", ["order", "doc_id", "size"], F.col("size"), "start")
+    laid = running(named, "nth", "cell", ["order", "doc_id", "size", "key"], F.col("size"), "start")
     number = F.when(F.col("size") == 0, F.array(F.lit(-1).cast("long"))).otherwise(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block)))
-    pieces = laid.select("doc_id", "source", "size", "source_size", "target", "nth", "start", F.posexplode(number).alias("piece", "block"))
+    pieces = laid.select("doc_id", "key", "source", "size", "source_size", "target", "nth", "start", F.posexplode(number).alias("piece", "block"))
     low = F.greatest(F.col("start"), F.col("block") * block) - F.col("block") * block
     high = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block) - F.col("block") * block
     # a block is read whole any number of times, and once in part at the schedule's end
@@ -125,16 +126,23 @@ def _mix(docs: DataFrame, block: int, weights: tuple[int, ...], percent: int, mo
     reads = reads.groupBy("nth", "block").agg(F.collect_list(F.struct("words", "times")).alias("reads"))
     joined = pieces.withColumn("low", low).withColumn("high", high).join(reads, ["nth", "block"], "left")
     taken = F.expr("aggregate(coalesce(reads, array()), 0L, (s, r) -> s + r.times * greatest(0L, least(r.words, high) - low))")
-    each = joined.withColumn("got", F.when(F.col("size") > 0, taken).otherwise(0)).groupBy("doc_id", "source", "size", "source_size", "target", "start")
-    summed = each.agg(F.sum("got").alias("taken"), F.sum((F.col("piece") == 0).cast("int")).alias("copies"))
-    return repeated(summed).select("doc_id", "source", "size", "source_size", "target", "taken")
+    each = joined.withColumn("got", F.when(F.col("size") > 0, taken).otherwise(0)).groupBy("doc_id", "key", "source", "size", "source_size", "target", "start")
+    return each.agg(F.sum("got").alias("taken"), F.sum((F.col("piece") == 0).cast("int")).alias("copies"))
 
 
-def mixed(docs: DataFrame, **how) -> DataFrame:
+def mixed(docs: DataFrame, block: int = 2048, weights: tuple[int, ...] = (3, 1, 2), percent: int = 150, most: int = 2) -> DataFrame:
     """The rows of docs, each as often as the mix takes it: taken / size rounded half up, so 0, 1 or 2 times.  Documents
-    without words go.  Columns of docs may have any names."""
-    of = mix(docs, **how).where("size > 0").select(F.col("doc_id").alias("id"), F.floor(F.col("taken") / F.col("size") + 0.5).cast("int").alias("times"))
-    of = of.groupBy("id").agg(F.max("times").alias("times")).where("times > 0")
-    rows = docs.select(F.struct(*docs.columns).alias("row"))
-    kept = rows.join(of, F.col("row.doc_id").eqNullSafe(F.col("id")))
-    return kept.select("row", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("nth")).select(*(F.col("row")[c].alias(c) for c in docs.columns))
+    without words go.  Rows are told apart by doc_id and text, so rows that share a doc_id come as often as each is taken; rows
+    equal in both are interchangeable, and come as often as they are taken together.  Columns of docs may have any names."""
+    times = F.floor(F.col("taken") / F.col("size") + 0.5) * F.col("copies")
+    with scratch(docs.sparkSession) as keep:
+        each = _mix(docs, row_key(), block, weights, percent, most).where("size > 0")
+        of = each.groupBy("key").agg(F.sum(times).cast("long").alias("total"), F.sum("copies").cast("long").alias("rows"))
+        split = {"all": F.floor(F.col("total") / F.col("rows")).cast("int"), "more": (F.col("total") % F.col("rows")).cast("int")}
+        of = keep(of.where("total > 0").withColumns(split).select("key", "rows", "all", "more"), "times")
+    n = of.agg(F.sum("rows")).first()[0] or 0
+    kept = hot_join(docs.select(F.struct(*docs.columns).alias("row"), row_key().alias("key")), of, ["key"], "rows", n)
+    every = kept.where("all > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("all"))))
+    # equal rows that are taken a number of times they do not divide: the rest are copies of one
+    rest = kept.where("more > 0").dropDuplicates(["key"]).select("row", F.explode(F.sequence(F.lit(1), F.col("more"))))
+    return every.union(rest).select(*(F.col("row")[c].alias(c) for c in docs.columns))
