@@ -17,6 +17,7 @@ however many languages are learned.  The driver gets the n-grams of the landmark
 from __future__ import annotations
 
 import functools
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -62,6 +63,12 @@ def pieces(text: bytes) -> Iterator[np.ndarray]:
             yield np.where(is_letter, points, np.uint64(32))[is_letter | np.append(True, is_letter[:-1])]
 
 
+def drawn_piece(text: bytes) -> np.ndarray | None:
+    """One of the pieces of a text, wherever it lies, drawn by the hash of the text; None if it has no letter."""
+    every = list(pieces(text))
+    return every[zlib.crc32(text) % len(every)] if every else None
+
+
 def grams(points: np.ndarray, longest: int) -> np.ndarray:
     """The distinct n-grams of a piece, as sorted hashes."""
     found, gram = [], np.zeros(len(points), np.uint64)
@@ -136,7 +143,7 @@ def sample(docs: DataFrame, learn: Column, per_language: int) -> DataFrame:
 
 
 def learned(docs: DataFrame, learn: Column, per_language: int, landmarks: int, ridge: float, longest: int) -> Model | None:
-    """Nyström features from the first landmarks of each language, then ridge regression with targets 1 and -1."""
+    """Nyström features from the landmarks (a drawn piece of a chosen text each), then ridge regression with targets 1 and -1."""
     with scratch(docs.sparkSession):
         return _learned(docs, learn, per_language, landmarks, ridge, longest)
 
@@ -146,7 +153,7 @@ def _learned(docs: DataFrame, learn: Column, per_language: int, landmarks: int,
     names = sorted(r.lang for r in few.select("lang").distinct().collect())
 
     def first(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [next((grams(p, longest).tobytes() for p in pieces(t)), None) for t in texts_of(batch)]
+        found = [grams(p, longest).tobytes() if (p := drawn_piece(t)) is not None else None for t in texts_of(batch)]
         return pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("rank"), pa.array(found, pa.binary())], ["lang", "rank", "grams"])
 
     chosen = few.orderBy("rank", "lang").limit(max(landmarks, EACH * len(names)))
@@ -233,7 +240,7 @@ def accepted(docs: DataFrame, least: float = 0.3, per_language: int = 300, landm
     as identify(); rows are decided where they are read, without a shuffle.
 
     The default lies between the scores of labelled and of unlike text on sf0.1: of 1,960 held-out labelled documents those
-    with SHORT letters or more score 0.36 and up; random letters, hex and base64 digits, one letter repeated, shuffled
+    with SHORT letters or more score 0.35 and up; random letters, hex and base64 digits, one letter repeated, shuffled
     English, Finnish, Cyrillic, Greek and Chinese text score 0.22 at most.  A text of fewer than SHORT letters shows too few n-grams for a score.  It stays if at least half of its letters occur in
     a landmark, whatever its score: another script goes, noise in a learned alphabet stays."""
     learn = ~fold(0) & F.col("doc_id").isNotNull()

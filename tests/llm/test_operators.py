@@ -258,8 +258,9 @@ def language_scores(rows):
     def kernel(parts):
         return np.mean([[len(p & m) / math.sqrt(len(p) * len(m)) for m in marks] for p in map(grams, parts)], axis=0)
 
-    known = [(r[2], pieces(r[1])) for r in rows if r[0] is not None and zlib.crc32(str(r[0]).encode()) % 5 and r[2] and pieces(r[1])]
-    marks, names = [grams(p[0]) for _, p in known], sorted({lang for lang, _ in known})
+    learned = [r for r in rows if r[0] is not None and zlib.crc32(str(r[0]).encode()) % 5 and r[2] and pieces(r[1])]
+    known = [(r[2], pieces(r[1])) for r in learned]
+    marks, names = [grams(p[zlib.crc32(r[1].encode()) % len(p)]) for r, (_, p) in zip(learned, known, strict=True)], sorted({lang for lang, _ in known})
     x = np.array([kernel(p) for _, p in known] + [kernel([mixed(s) for s in p]) for _, p in known] + [np.zeros(len(marks))] * len(known))
     y = np.array([[1.0 if lang == n else -1.0 for n in names] for lang, _ in known] + [[-1.0] * len(names)] * (2 * len(known)))
     values, vectors = np.linalg.eigh(np.array([[len(a & b) / math.sqrt(len(a) * len(b)) for b in marks] for a in marks]))
