@@ -68,7 +68,7 @@ def parse_date(text: Column) -> Column:
 def load_actions(rows: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
     """A10: (actions, counters) of a feed (symbol, subject, ex_date as text, nth): rows are dropped for the first reason that
     holds; dividends of one day are summed, of other actions the first stays."""
-    parsed = parse_subjects(rows.withColumn("ex", parse_date(F.col("ex_date"))).join(F.broadcast(known.select("symbol", "symbol_id")), "symbol", "left"))
+    parsed = parse_subjects(rows.withColumn("ex", parse_date(F.col("ex_date"))).join(known.select("symbol", "symbol_id"), "symbol", "left"))
     reason = (
         F.when(classify(F.col("subject")).isNull(), "not_price").when(F.col("symbol_id").isNull(), "unknown_symbol")
         .when(F.col("ex").isNull(), "bad_date").when(F.col("action_type").isNull(), "unparsed").otherwise("loaded")
@@ -185,7 +185,7 @@ def detect_gaps(panel: DataFrame, manual: DataFrame | None = None, suspect: floa
     """
     series = Window.partitionBy("exchange", "symbol").orderBy("date")
     days = panel.select("exchange", "date").distinct().withColumn("session", F.row_number().over(Window.partitionBy("exchange").orderBy("date")))
-    df = panel.join(F.broadcast(days), ["exchange", "date"])
+    df = panel.join(days, ["exchange", "date"])
     df = df.withColumns({"last_close": F.lag("close").over(series), "last_session": F.lag("session").over(series)})
     gap = F.try_divide("close", "last_close")
     usable = F.coalesce((F.col("session") - F.col("last_session") == 1) & (F.col("last_close") > 0) & (F.col("close") > 0), F.lit(False))
@@ -193,10 +193,10 @@ def detect_gaps(panel: DataFrame, manual: DataFrame | None = None, suspect: floa
     df = df.withColumns({"gap": gap, "extreme": usable & F.coalesce((gap < 0.60) | (gap > 1 / 0.60), F.lit(False)) & agrees})
     df = df.withColumn("review", usable & ~F.col("extreme") & F.coalesce((gap < 0.80) | (gap > 1.25), F.lit(False)))
     share = df.groupBy("exchange", "date").agg(F.avg(F.col("extreme").cast("double")).alias("_share"))
-    df = df.join(F.broadcast(share), ["exchange", "date"])
+    df = df.join(share, ["exchange", "date"])
     ratio = F.when(F.col("extreme") & (F.col("_share") <= suspect), F.col("gap")).otherwise(1.0)
     if manual is not None:
-        df = df.join(F.broadcast(manual.withColumnRenamed("ratio", "_manual")), ["exchange", "symbol", "date"], "left")
+        df = df.join(manual.withColumnRenamed("ratio", "_manual"), ["exchange", "symbol", "date"], "left")
         ratio = F.coalesce("_manual", ratio)
     df = df.withColumn("ratio", ratio)
     later = series.rowsBetween(1, Window.unboundedFollowing)

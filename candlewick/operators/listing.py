@@ -20,7 +20,7 @@ def series_range(bars: DataFrame, symbol_id: int, timeframe: str, start: Column
 
 def signal_list(signals: DataFrame, symbols: DataFrame, symbol: str | None = None, strategy: str | None = None, since: Column | None = None, limit: int = 5000, timeframe: str | None = None) -> DataFrame:
     """Signals with their symbol's name, newest first."""
-    df = signals.join(F.broadcast(symbols.select("symbol_id", "symbol", "industry")), "symbol_id")
+    df = signals.join(symbols.select("symbol_id", "symbol", "industry"), "symbol_id")
     df = df if symbol is None else df.where(F.col("symbol") == symbol.upper())
     df = df if strategy is None else df.where(F.col("strategy") == strategy)
     df = df if since is None else df.where(F.col("ts") >= since)
@@ -86,7 +86,7 @@ def with_indicators(bars: DataFrame, frame: DataFrame) -> DataFrame:
 
 def trades(fills: DataFrame, symbols: DataFrame, first: Column | None = None, last: Column | None = None, symbol: str | None = None) -> DataFrame:
     """Fills with the symbol's name if it is known; a symbol filter leaves known ones only."""
-    df = fills.join(F.broadcast(symbols.select("symbol_id", "symbol")), "symbol_id", "left")
+    df = fills.join(symbols.select("symbol_id", "symbol"), "symbol_id", "left")
     df = df if first is None else df.where(F.col("trade_date") >= first)
     df = df if last is None else df.where(F.col("trade_date") <= last)
     return df if symbol is None else df.where(F.col("symbol") == symbol.upper())
@@ -144,7 +144,7 @@ def running_rank(df: DataFrame, keys: list[str], order: Column) -> DataFrame:
 
 def action_list(actions: DataFrame, symbols: DataFrame, symbol: str | None = None, kind: str | None = None, limit: int = 500) -> DataFrame:
     """Actions with their symbol's name (taken as given), the newest ex-date first."""
-    df = actions.join(F.broadcast(symbols.select("symbol_id", "symbol")), "symbol_id")
+    df = actions.join(symbols.select("symbol_id", "symbol"), "symbol_id")
     df = df if symbol is None else df.where(F.col("symbol") == symbol)
     df = df if kind is None else df.where(F.col("action_type") == kind)
     return df.orderBy(F.col("ex_date").desc(), "symbol", "action_type").limit(min(limit, 500))

@@ -135,8 +135,8 @@ def watermark_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def forming_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """B2, half an hour into the last bar."""
     hourly = bars.from_ticks(views.ticks(spark, sf_dir))
-    now = hourly.agg(F.max("ts") + F.expr("INTERVAL 30 MINUTES")).first()[0]
-    return bars.drop_forming(hourly, F.lit(now).cast("timestamp_ntz"), "1h")
+    now = hourly.agg((F.max("ts") + F.expr("INTERVAL 30 MINUTES")).cast("timestamp_ntz").alias("now"))  # one row
+    return bars.drop_forming(hourly.crossJoin(F.broadcast(now)), F.col("now"), "1h").drop("now")
 
 
 # Corporate actions

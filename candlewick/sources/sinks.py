@@ -61,6 +61,6 @@ def map_symbols(fills: DataFrame, symbols: DataFrame) -> tuple[DataFrame, DataFr
     """(fills with symbol_id, symbols to create): by ISIN first, then by ticker; what neither knows is to be created."""
     by_isin = symbols.where("isin is not null").groupBy("isin").agg(F.min("symbol_id").alias("_i"))
     by_name = symbols.select("symbol", F.col("symbol_id").alias("_t"))
-    df = fills.join(F.broadcast(by_isin), "isin", "left").join(F.broadcast(by_name), "symbol", "left").withColumn("symbol_id", F.coalesce("_i", "_t")).drop("_i", "_t")
+    df = fills.join(by_isin, "isin", "left").join(by_name, "symbol", "left").withColumn("symbol_id", F.coalesce("_i", "_t")).drop("_i", "_t")
     new = df.where("symbol_id is null").groupBy("symbol").agg(F.max("isin").alias("isin"))
     return df, new
