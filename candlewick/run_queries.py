@@ -22,7 +22,8 @@ def day(text: str):
 
 
 def folder(spark: SparkSession) -> str:
-    return f"{tables.shared_dir(spark)}/candlewick/files-{uuid.uuid4().hex}"
+    """A folder of its own that goes at exit."""
+    return f"{tables.scratch_store(spark).root}/files"
 
 
 # Reconciliation as a run
