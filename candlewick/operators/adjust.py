@@ -90,19 +90,21 @@ def structural(actions: DataFrame) -> DataFrame:
     return actions.where(F.col("action_type").isin(*STRUCTURAL) & F.col("price_factor").isNotNull()).select("symbol_id", "ex_date", "price_factor")
 
 
-def factor_after(df: DataFrame, actions: DataFrame, when: str, until: Column | None = None, name: str = "factor") -> DataFrame:
+def factor_after(df: DataFrame, actions: DataFrame, when: str, until: Column | None = None, name: str = "factor", log: bool = False) -> DataFrame:
     """A1, A2: adds the product of price factors of splits and bonuses with an ex-date after `when` (and up to `until`, the same day
     for all rows).  The distinct (symbol, day) of df and the actions lie in one order of time, where a running product from the end
     gives the factor after each day: no pair of a row and an action is made.  The product is that of the factors themselves, so it
-    is exact where one action applies."""
+    is exact where one action applies; with `log` the sum of their logarithms is added in its place, which no number of actions takes out
+    of range."""
     s = structural(actions)
     s = s.where(F.col("ex_date") <= until) if until is not None else s
     marks = s.select("symbol_id", F.col("ex_date").alias("_day"), F.lit(1).alias("_action"), F.col("price_factor").alias("_f"))
     days = df.select("symbol_id", F.col(when).alias("_day"), F.lit(0).alias("_action"), F.lit(None).cast("double").alias("_f")).distinct()
     # of one day the row comes before the action, which is not after it
     later = Window.partitionBy("symbol_id").orderBy(F.col("_day").desc(), "_action").rowsBetween(Window.unboundedPreceding, 0)
-    factors = days.unionByName(marks).withColumn(name, F.product("_f").over(later)).where(f"_action = 0 and {name} is not null").select("symbol_id", F.col("_day").alias(when), name)
-    return df.join(factors, ["symbol_id", when], "left").withColumn(name, F.coalesce(name, F.lit(1.0)))
+    so_far, none = (F.sum(F.ln("_f")), 0.0) if log else (F.product("_f"), 1.0)
+    factors = days.unionByName(marks).withColumn(name, so_far.over(later)).where(f"_action = 0 and {name} is not null").select("symbol_id", F.col("_day").alias(when), name)
+    return df.join(factors, ["symbol_id", when], "left").withColumn(name, F.coalesce(name, F.lit(none)))
 
 
 def factor_between(df: DataFrame, actions: DataFrame, since: str, until: str, name: str = "factor") -> DataFrame:
@@ -129,12 +131,12 @@ def price_in_stored_terms(fills: DataFrame, actions: DataFrame, until: Column) -
 
 
 def dividend_factors(bars: DataFrame, actions: DataFrame) -> DataFrame:
-    """A3: symbol_id, ex_date, factor of each dividend: 1 - amount / last close before the ex-date, the amount in today's shares;
+    """A3: symbol_id, ex_date, f, log_f (its logarithm) of the dividends of each day: 1 - amount / last close before the ex-date, the amount in today's shares;
     left out where no close precedes, or the factor would not be positive."""
     d = factor_after(actions.where("action_type = 'dividend' and value is not null").select("symbol_id", "ex_date", "value"), actions, "ex_date")
     prior = around(bars, d.select("symbol_id", "ex_date").distinct()).select("symbol_id", "ex_date", "prior")
     out = d.join(prior, ["symbol_id", "ex_date"]).where("prior > 0").withColumn("f", 1 - F.col("value") * F.col("factor") / F.col("prior")).where("f > 0")
-    return out.groupBy("symbol_id", "ex_date").agg(F.product("f").alias("f"))
+    return out.groupBy("symbol_id", "ex_date").agg(F.product("f").alias("f"), F.sum(F.ln("f")).alias("log_f"))
 
 
 def around(bars: DataFrame, dates: DataFrame) -> DataFrame:
@@ -149,31 +151,34 @@ def around(bars: DataFrame, dates: DataFrame) -> DataFrame:
     return both.withColumns({"prior": prior, "ex_open": ahead}).where("_bar = 0").select("symbol_id", "ex_date", "prior", "ex_open")
 
 
-def _after(bars: DataFrame, factors: DataFrame, name: str) -> DataFrame:
-    """The product of f over rows with ex_date after each bar, by a running product from the end."""
-    marks = factors.select("symbol_id", F.col("ex_date").alias("_day"), "f", F.lit(0).alias("_bar"))
-    rows = bars.withColumn("_day", F.to_date("ts")).withColumns({"f": F.lit(None).cast("double"), "_bar": F.lit(1)})
+def _after(bars: DataFrame, factors: DataFrame, name: str, log: bool) -> DataFrame:
+    """The product of f (or sum of log_f) over rows with ex_date after each bar, by a running product from the end."""
+    marks = factors.select("symbol_id", F.col("ex_date").alias("_day"), F.col("log_f" if log else "f").alias("_f"), F.lit(0).alias("_bar"))
+    rows = bars.withColumn("_day", F.to_date("ts")).withColumns({"_f": F.lit(None).cast("double"), "_bar": F.lit(1)})
     both = rows.unionByName(marks, allowMissingColumns=True)
     later = Window.partitionBy("symbol_id").orderBy(F.col("_day").desc(), F.col("_bar").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn(name, F.coalesce(F.product("f").over(later), F.lit(1.0))).where("_bar = 1").drop("_day", "f", "_bar")
+    so_far, none = (F.sum("_f"), 0.0) if log else (F.product("_f"), 1.0)
+    return both.withColumn(name, F.coalesce(so_far.over(later), F.lit(none))).where("_bar = 1").drop("_day", "_f", "_bar")
 
 
-def total_return(bars: DataFrame, actions: DataFrame, basis: str = "total_return") -> DataFrame:
-    """A3: adds `adjustment`, the product of dividend factors with an ex-date after the bar; 1 for a stored basis."""
+def total_return(bars: DataFrame, actions: DataFrame, basis: str = "total_return", log: bool = False) -> DataFrame:
+    """A3: adds `adjustment`, the product of dividend factors with an ex-date after the bar (1 for a stored basis); with `log` its
+    logarithm, which stays in range where the product of many does not."""
     if basis in STORED_BASES:
-        return bars.withColumn("adjustment", F.lit(1.0))
+        return bars.withColumn("adjustment", F.lit(0.0 if log else 1.0))
     if basis != "total_return":
         raise ValueError(f"unknown basis: {basis!r}")
-    return _after(bars, dividend_factors(bars, actions), "adjustment")
+    return _after(bars, dividend_factors(bars, actions), "adjustment", log)
 
 
-def volume_factors(bars: DataFrame, actions: DataFrame, basis: str) -> DataFrame:
-    """A4: adds volume_factor, the product of 1 / price_factor with an ex-date after the bar; 1 unless unadjusted."""
+def volume_factors(bars: DataFrame, actions: DataFrame, basis: str, log: bool = False) -> DataFrame:
+    """A4: adds volume_factor, the product of 1 / price_factor with an ex-date after the bar (1 unless unadjusted); with `log` its
+    logarithm, which stays in range where the product of many does not."""
     if basis not in STORED_BASES and basis != "total_return":
         raise ValueError(f"unknown basis: {basis!r}")
     if basis != "unadjusted":
-        return bars.withColumn("volume_factor", F.lit(1.0))
-    return _after(bars, structural(actions).withColumn("f", 1 / F.col("price_factor")), "volume_factor")
+        return bars.withColumn("volume_factor", F.lit(0.0 if log else 1.0))
+    return _after(bars, structural(actions).withColumns({"f": 1 / F.col("price_factor"), "log_f": -F.ln("price_factor")}), "volume_factor", log)
 
 
 def detect_gaps(panel: DataFrame, manual: DataFrame | None = None, suspect: float = 0.02) -> DataFrame:

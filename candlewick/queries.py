@@ -198,16 +198,16 @@ ALL_ACTIONS_SQL = f"""SELECT symbol_id, ex_date, part_id % 8 AS k, CASE part_id
   LEFT JOIN a ON a.symbol_id = t.symbol_id AND a.ex_date > t.trade_date AND a.f IS NOT NULL GROUP BY t.trade_id""")
 def factor_all_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A1 over all announcements."""
-    f = adjust.factor_after(views.fills(spark, sf_dir), _all_actions(spark, sf_dir), "trade_date")
-    return f.select("trade_id", views.rounded(F.ln("factor"), 6).alias("log_factor"))
+    f = adjust.factor_after(views.fills(spark, sf_dir), _all_actions(spark, sf_dir), "trade_date", name="log_factor", log=True)
+    return f.select("trade_id", views.rounded("log_factor", 6).alias("log_factor"))
 
 
 @register("actions_volume_factors_all", f"""WITH a AS ({ALL_ACTIONS_SQL}), b AS ({views.daily_bars_sql()}) SELECT b.symbol_id, b.ts, round_even(coalesce(sum(-ln(a.f)), 0.0)*1e6, 0)/1e6 AS log_factor FROM b
   LEFT JOIN a ON a.symbol_id = b.symbol_id AND a.ex_date > b.ts AND a.f IS NOT NULL GROUP BY 1, 2""")
 def volume_factor_all_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A4 over all announcements."""
-    f = adjust.volume_factors(views.daily_bars(spark, sf_dir), _all_actions(spark, sf_dir), "unadjusted")
-    return f.select("symbol_id", "ts", views.rounded(F.ln("volume_factor"), 6).alias("log_factor"))
+    f = adjust.volume_factors(views.daily_bars(spark, sf_dir), _all_actions(spark, sf_dir), "unadjusted", log=True)
+    return f.select("symbol_id", "ts", views.rounded("volume_factor", 6).alias("log_factor"))
 
 
 @register("actions_total_return_all", f"""WITH a AS ({ALL_ACTIONS_SQL}), b AS ({views.daily_bars_sql()}), m AS ({views.SUBJECTS_SQL}),
@@ -219,8 +219,8 @@ def volume_factor_all_query(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT b.symbol_id, b.ts, round_even(coalesce(sum(ln(g.f)), 0.0)*1e6, 0)/1e6 AS log_adjustment FROM b LEFT JOIN g ON g.symbol_id = b.symbol_id AND g.ex_date > b.ts GROUP BY 1, 2""")
 def total_return_all_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A3, J6, J11 over all announcements."""
-    f = adjust.total_return(views.daily_bars(spark, sf_dir), _all_actions(spark, sf_dir))
-    return f.select("symbol_id", "ts", views.rounded(F.ln("adjustment"), 6).alias("log_adjustment"))
+    f = adjust.total_return(views.daily_bars(spark, sf_dir), _all_actions(spark, sf_dir), log=True)
+    return f.select("symbol_id", "ts", views.rounded("adjustment", 6).alias("log_adjustment"))
 
 
 # Ledger and positions
