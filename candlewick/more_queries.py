@@ -317,8 +317,7 @@ def load_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     feed = s.select(F.col("symbol_id").cast("string").alias("symbol"), "subject", written.alias("ex_date"), F.col("part_id").alias("nth"))
     known = views.symbols(spark, sf_dir).select(F.col("symbol_id").cast("string").alias("symbol"), "symbol_id")
     got = adjust.load_actions(feed, known)[0]
-    texts = F.when(F.col("action_type") == "dividend", F.size(F.split("subject", r" \+ "))).otherwise(1).cast("long")
-    return got.select("symbol_id", "ex_date", "action_type", texts.alias("texts"))
+    return got.select("symbol_id", "ex_date", "action_type", F.col("n_texts").alias("texts"))
 
 
 @register("actions_dispositions", f"""WITH n AS (SELECT max(s_suppkey) AS top FROM supplier) SELECT CASE WHEN kind IS NULL THEN 'not_price' WHEN symbol_id > top THEN 'unknown_symbol' WHEN part_id % 11 = 0 THEN 'bad_date' ELSE 'loaded' END AS disposition, count(*) AS n FROM ({ACTION_KINDS_SQL}), n GROUP BY 1""")

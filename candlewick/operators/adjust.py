@@ -67,7 +67,8 @@ def parse_date(text: Column) -> Column:
 
 def load_actions(rows: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
     """A10: (actions, counters) of a feed (symbol, subject, ex_date as text, nth): rows are dropped for the first reason that
-    holds; dividends of one day are summed, of other actions the first stays."""
+    holds; dividends of one day are summed, of other actions the first stays.  n_texts says how many texts an action stands for:
+    the joined subject is cut at 512 characters, as stored."""
     parsed = parse_subjects(rows.withColumn("ex", parse_date(F.col("ex_date"))).join(known.select("symbol", "symbol_id"), "symbol", "left"))
     reason = (
         F.when(classify(F.col("subject")).isNull(), "not_price").when(F.col("symbol_id").isNull(), "unknown_symbol")
@@ -82,6 +83,7 @@ def load_actions(rows: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFram
         F.when(F.first(dividend), F.sum("value")).otherwise(F.min_by("value", "nth")).alias("value"), first("ratio_from"), first("ratio_to"), first("price_factor"),
         F.when(F.first(dividend), F.max("is_extraordinary")).otherwise(F.min_by("is_extraordinary", "nth")).alias("is_extraordinary"), first("affects_share_count"), *(first(c) for c in ("record_date", "source") if c in rows.columns),
         F.substring(F.when(F.first(dividend), F.array_join(texts, " + ")).otherwise(F.min_by("subject", "nth")), 1, 512).alias("subject"),
+        F.when(F.first(dividend), F.count("*")).otherwise(1).alias("n_texts"),
     )
     return merged.withColumnRenamed("ex", "ex_date"), judged.groupBy("disposition").count()
 

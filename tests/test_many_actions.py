@@ -23,3 +23,11 @@ def test_logarithms_of_many_factors_stay_in_range(spark):
     got = {(r.symbol_id, r.ts): r.adjustment for r in adjust.total_return(bars, dividends, log=True).collect()}
     assert math.isclose(got[1, day], 400 * math.log(0.01)) and got[1, D(2026, 3, 1)] == got[2, day] == 0.0
     assert {r.adjustment for r in adjust.total_return(bars, dividends, "unadjusted", log=True).collect()} == {0.0}
+
+
+def test_the_number_of_texts_is_that_of_all_though_the_subject_is_cut(spark):
+    rows = [("AA", "Interim Dividend - Rs 10 Per Share", "2026-01-05", n) for n in range(100)] + [("AA", "Bonus 1:1", "2026-01-05", n) for n in (200, 201)]
+    feed, known = spark.createDataFrame(rows, "symbol string, subject string, ex_date string, nth int"), spark.createDataFrame([("AA", 7)], "symbol string, symbol_id int")
+    got = {r.action_type: r for r in adjust.load_actions(feed, known)[0].collect()}
+    assert (got["dividend"].n_texts, got["dividend"].value, len(got["dividend"].subject)) == (100, 1000.0, 512)
+    assert got["bonus"].n_texts == 1
