@@ -89,9 +89,9 @@ def scan_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("signals_not_held", f"SELECT symbol_id, ts, strategy FROM ({signals.oracle(FRAME, 'Confluence')}) WHERE symbol_id % 4 <> 0")
 def held_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Signals of series that no recent failed check holds back."""
-    f = frame(spark, sf_dir)
-    checks = f.where("symbol_id % 4 = 0").select("symbol_id", day("1996-03-01").alias("day"), "timeframe").distinct().withColumn("status", F.lit("fail"))
-    old = f.select("symbol_id", day("1995-03-01").alias("day"), "timeframe").distinct().withColumn("status", F.lit("fail"))
+    f, b = frame(spark, sf_dir), daily(spark, sf_dir)  # a series has bars where it has indicators: its name costs no frame
+    checks = b.where("symbol_id % 4 = 0").select("symbol_id", day("1996-03-01").alias("day"), "timeframe").distinct().withColumn("status", F.lit("fail"))
+    old = b.select("symbol_id", day("1995-03-01").alias("day"), "timeframe").distinct().withColumn("status", F.lit("fail"))
     held = quality.held(checks.union(old), day("1996-01-01"), day("1996-03-01"))
     return signals.run(f, ["Confluence"], held).select("symbol_id", "ts", "strategy")
 

@@ -65,17 +65,20 @@ def last_dates(df: DataFrame, n: int) -> DataFrame:
 
 
 def confluence_badge(signals: DataFrame) -> DataFrame:
-    """Events with whether a Confluence signal stands on the same symbol and date."""
-    badge = signals.where("strategy = 'Confluence'").select("symbol_id", F.to_date("ts").alias("_d"), F.lit(True).alias("confluence")).distinct()
-    events = signals.where(F.col("strategy").isin(*EVENTS)).withColumn("_d", F.to_date("ts"))
-    return events.join(badge, ["symbol_id", "_d"], "left").withColumn("confluence", F.coalesce("confluence", F.lit(False))).drop("_d")
+    """Events with whether a Confluence signal stands on the same symbol and date; the signals are read once."""
+    here = F.max(F.col("strategy") == "Confluence").over(Window.partitionBy("symbol_id", "_d"))
+    known = F.col("symbol_id").isNotNull() & F.col("_d").isNotNull()
+    badged = signals.withColumn("_d", F.to_date("ts")).withColumn("confluence", known & F.coalesce(here, F.lit(False)))
+    return badged.where(F.col("strategy").isin(*EVENTS)).drop("_d")
 
 
 def session_summary(signals: DataFrame) -> DataFrame:
-    """Rows and distinct symbols by strategy on the latest date, the largest first."""
-    latest = signals.agg(F.max(F.to_date("ts")).alias("_d"))
-    rows = signals.join(F.broadcast(latest), F.to_date("ts") == F.col("_d"))
-    return rows.groupBy("strategy").agg(F.count("*").alias("n"), F.countDistinct("symbol_id").alias("n_symbols")).orderBy(F.col("n").desc(), "strategy")
+    """Rows and distinct symbols by strategy on the latest date, the largest first.  The signals are read once: of each strategy
+    its last day is taken, then of these few rows those of the latest day."""
+    days = signals.groupBy("strategy", F.to_date("ts").alias("_d")).agg(F.count("*").alias("n"), F.countDistinct("symbol_id").alias("n_symbols"))
+    last = days.where("_d is not null").groupBy("strategy").agg(F.max(F.struct("_d", "n", "n_symbols")).alias("s")).select("strategy", "s.*")
+    latest = last.withColumn("_latest", F.max("_d").over(Window.partitionBy(F.lit(0)))).where("_d = _latest")
+    return latest.select("strategy", "n", "n_symbols").orderBy(F.col("n").desc(), "strategy")
 
 
 def with_indicators(bars: DataFrame, frame: DataFrame) -> DataFrame:

@@ -150,7 +150,8 @@ def summary(checks: DataFrame) -> DataFrame:
 def held(checks: DataFrame, cutoff: Column, anchor: Column) -> DataFrame:
     """Q9: (symbol_id, timeframe) that signals are held back for: a failed or pending check from cutoff to anchor; 4h follows 1h."""
     bad = checks.where(F.col("status").isin("fail", "pending") & F.col("day").between(cutoff, anchor)).select("symbol_id", "timeframe").distinct()
-    return bad.union(bad.where("timeframe = '1h'").withColumn("timeframe", F.lit("4h")))
+    with_4h = F.when(F.col("timeframe") == "1h", F.array(F.lit("1h"), F.lit("4h"))).otherwise(F.array("timeframe"))
+    return bad.select("symbol_id", F.explode(with_4h).alias("timeframe"))
 
 
 def invariants(bars: DataFrame) -> DataFrame:
