@@ -271,8 +271,9 @@ def stored_terms_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("ledger_positions_stored", positions_sql(STORED_LEDGER_SQL, 8))
 def stored_positions_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """L1-L4 over books with splits and bonuses."""
-    return compared_positions(ledger.positions(stored_fills(spark, sf_dir)), 8)
+    """L1-L4 over books with splits and bonuses.  A fill whose shares no long can hold moves nothing; running sums are decimals."""
+    fills = stored_fills(spark, sf_dir).withColumn("quantity", F.col("quantity").cast("decimal(20,0)"))
+    return compared_positions(ledger.positions(fills).withColumns({c: F.col(c).cast("long") for c in ("qty_total", "qty_open")}), 8)
 
 
 @register("ledger_reattributed", f"""{LEDGER_SQL}, one AS (SELECT sell_id, min(position_id) AS position_id, sum(qty) AS qty, count(*) AS n FROM a GROUP BY 1),

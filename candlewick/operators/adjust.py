@@ -127,9 +127,15 @@ def factor_between(df: DataFrame, actions: DataFrame, since: str, until: str, na
 
 
 def price_in_stored_terms(fills: DataFrame, actions: DataFrame, until: Column) -> DataFrame:
-    """Adds stored_price, stored_quantity (rounded half-even) and factor of raw fills."""
+    """Adds stored_price, stored_quantity (rounded half-even, see in_shares) and factor of raw fills."""
     f = factor_after(fills, actions, "trade_date", until)
-    return f.withColumn("stored_price", F.col("price") * F.col("factor")).withColumn("stored_quantity", F.rint(F.col("quantity") / F.col("factor")).cast("long"))
+    return f.withColumn("stored_price", F.col("price") * F.col("factor")).withColumn("stored_quantity", in_shares("quantity", "factor"))
+
+
+def in_shares(quantity: str, factor: str, kind: str = "long") -> Column:
+    """quantity / factor, rounded half-even; null where the factor has left the range of a double or the shares that of the type, so
+    that one such row does not end the work on all others."""
+    return F.rint(F.try_divide(quantity, factor)).try_cast(kind)
 
 
 def dividend_factors(bars: DataFrame, actions: DataFrame) -> DataFrame:
@@ -214,9 +220,9 @@ def detect_gaps(panel: DataFrame, manual: DataFrame | None = None, suspect: floa
 
 
 def restate(positions: DataFrame, factor: str = "factor", quantity: str = "long") -> DataFrame:
-    """Prices times the factor, quantities by it, rounded half-even.  Quantities can be double where many splits follow."""
+    """Prices times the factor, quantities by it, rounded half-even, null beyond the type.  Quantities can be double where many splits follow."""
     prices = {c: F.col(c) * F.col(factor) for c in ("avg_entry_price", "entry", "stop_loss", "target_1", "target_2") if c in positions.columns}
-    return positions.withColumns(prices | {c: F.rint(F.try_divide(c, factor)).cast(quantity) for c in ("qty_open", "qty_total")})
+    return positions.withColumns(prices | {c: in_shares(c, factor, quantity) for c in ("qty_open", "qty_total")})
 
 
 def restate_for_actions(positions: DataFrame, actions: DataFrame, up_to: Column, quantity: str = "long") -> DataFrame:

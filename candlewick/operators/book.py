@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candlewick.operators.adjust import factor_after, restate_for_actions
+from candlewick.operators.adjust import factor_after, in_shares, restate_for_actions
 from candlewick.operators.ledger import BOOK, inventory, overlaps
 from candlewick.sources.tables import Store, Version
 
@@ -83,7 +83,7 @@ def apply_fills(book: Book, fills: DataFrame, actions: DataFrame, as_of: Column,
     A fill whose trade_id is applied is passed over, so a batch can be sent again.  Purchases open positions at their price and
     quantity in the shares of as_of; sales take the oldest lots first; a position closes with its realized profit when a sale
     takes its last share.  keep(df, name) may store what all tables of the book are made from: the fills in stored terms, and
-    what sales took.  A fill without quantity, price or time, or whose factor is no positive number, is an error and stays
+    what sales took.  A fill without quantity, price or time, whose factor is no positive number, or whose shares no long can hold, is an error and stays
     unapplied, as do fills without a symbol; all others go on."""
     open_fills = fills.join(book.applied.select("trade_id"), "trade_id", "left_anti")
     unmapped = open_fills.where("symbol_id is null")
@@ -91,9 +91,10 @@ def apply_fills(book: Book, fills: DataFrame, actions: DataFrame, as_of: Column,
     error = (
         F.when(F.col("quantity").isNull() | (F.col("quantity") < 0), "no quantity").when(F.col("price").isNull(), "no price").when(F.col("trade_ts").isNull() | F.col("trade_date").isNull(), "no time")
         .when(~F.coalesce(F.col("side").isin("BUY", "SELL"), F.lit(False)), "no side").when(~F.coalesce(F.col("factor") > 0, F.lit(False)), "no factor")
+        .when(in_shares("quantity", "factor").isNull(), "quantity out of range")
     )
     judged = keep(terms.withColumn("error", error), "fills")
-    good = judged.where("error is null").withColumns({"price_raw": F.col("price"), "price": F.col("price") * F.col("factor"), "quantity": F.rint(F.col("quantity") / F.col("factor")).cast("long")}).drop("error")
+    good = judged.where("error is null").withColumns({"price_raw": F.col("price"), "price": F.col("price") * F.col("factor"), "quantity": in_shares("quantity", "factor")}).drop("error")
     moves = keep(_allocate(book.positions, good), "moves")
     taken, orphans = moves.where("position_id is not null"), moves.where("position_id is null").select(F.col("sell_id").alias("trade_id"), F.col("qty").alias("leftover"))
     positions = _updated(book.positions.unionByName(_opened(good, as_of, batch)), taken)

@@ -25,10 +25,11 @@ def in_stored_terms(fills: DataFrame, actions: DataFrame, as_of: Column) -> Data
 
 def inventory(fills: DataFrame, by: tuple[str, ...] = ("trade_ts", "trade_id")) -> DataFrame:
     """Adds signed, inventory, effective (what a sale takes), orphan, low and high (the row's interval among purchases or
-    effective sales), in the order of the columns `by`.  Rows without a symbol take no part (see unmapped)."""
+    effective sales), in the order of the columns `by`.  Rows without a symbol (see unmapped) or a quantity take no part.  Sums have
+    the type of the quantity, which is a decimal where many splits bring it near the end of a long."""
     order = Window.partitionBy(*BOOK).orderBy(*by)
     so_far = order.rowsBetween(Window.unboundedPreceding, 0)
-    df = fills.where("symbol_id is not null").withColumn("signed", F.when(F.col("side") == "BUY", F.col("quantity")).otherwise(-F.col("quantity")))
+    df = fills.where("symbol_id is not null and quantity is not null").withColumn("signed", F.when(F.col("side") == "BUY", F.col("quantity")).otherwise(-F.col("quantity")))
     df = df.withColumn("_s", F.sum("signed").over(so_far))
     df = df.withColumn("inventory", F.col("_s") - F.least(F.lit(0), F.min("_s").over(so_far)))
     sold = F.when(F.col("side") == "SELL", F.coalesce(F.lag("inventory").over(order), F.lit(0)) - F.col("inventory")).otherwise(0)

@@ -31,3 +31,20 @@ def test_the_number_of_texts_is_that_of_all_though_the_subject_is_cut(spark):
     got = {r.action_type: r for r in adjust.load_actions(feed, known)[0].collect()}
     assert (got["dividend"].n_texts, got["dividend"].value, len(got["dividend"].subject)) == (100, 1000.0, 512)
     assert got["bonus"].n_texts == 1
+
+
+def test_a_quantity_beyond_a_long_does_not_stop_the_others(spark):
+    from candlewick.operators import book, ledger
+
+    actions = spark.createDataFrame([(1, "split", D(2026, 2, 1), 0.1, None)] * 30 + [(2, "split", D(2026, 2, 1), 0.5, None)] * 57 + [(4, "split", D(2026, 2, 1), 0.1, None)] * 400, "symbol_id int, action_type string, ex_date date, price_factor double, value double")
+    rows = [(n, 1, s, side, 40, 10.0, dt.datetime(2026, 1, n), D(2026, 1, n)) for n, s, side in ((1, 1, "BUY"), (2, 2, "BUY"), (3, 2, "BUY"), (4, 3, "BUY"), (5, 3, "SELL"), (6, 1, "SELL"), (7, 4, "BUY"))]
+    rows += [(8, 1, 1, "BUY", 5, 10.0, dt.datetime(2026, 3, 1), D(2026, 3, 1)), (9, 1, 1, "SELL", 2, 11.0, dt.datetime(2026, 3, 2), D(2026, 3, 2))]
+    fills = spark.createDataFrame(rows, "trade_id long, account_id int, symbol_id int, side string, quantity long, price double, trade_ts timestamp_ntz, trade_date date")
+    until = F.lit("2026-04-01").cast("date")
+    stored = ledger.in_stored_terms(fills, actions, until)
+    assert {r.trade_id: r.quantity for r in stored.collect()} == {1: None, 2: 40 * 2**57, 3: 40 * 2**57, 4: 40, 5: 40, 6: None, 7: None, 8: 5, 9: 2}
+    held = ledger.positions(stored.withColumn("quantity", F.col("quantity").cast("decimal(20,0)")))
+    assert {r.position_id: (r.qty_open, r.status) for r in held.collect()} == {1: (None, "open"), 2: (40 * 2**57, "open"), 3: (40 * 2**57, "open"), 4: (0, "closed"), 7: (None, "open"), 8: (3, "open")}
+    after, report = book.apply_fills(book.empty(spark), fills.where("symbol_id <> 2"), actions, until, 0)
+    assert {r.trade_id: r.error for r in report.errors.collect()} == {1: "quantity out of range", 6: "quantity out of range", 7: "no factor"}
+    assert {r.position_id: r.qty_open for r in after.positions.collect()} == {4: 0, 8: 3}
