@@ -134,8 +134,11 @@ def price_in_stored_terms(fills: DataFrame, actions: DataFrame, until: Column) -
 
 def in_shares(quantity: str, factor: str, kind: str = "long") -> Column:
     """quantity / factor, rounded half-even; null where the factor has left the range of a double or the shares that of the type, so
-    that one such row does not end the work on all others."""
-    return F.rint(F.try_divide(quantity, factor)).try_cast(kind)
+    that one such row does not end the work on all others.  Doubles are infinite there, so that checks on them fail."""
+    shares = F.try_divide(quantity, factor)
+    if kind == "double":
+        shares = F.when((F.col(factor) == 0) & (F.col(quantity) > 0), float("inf")).otherwise(shares)
+    return F.rint(shares).try_cast(kind)
 
 
 def dividend_factors(bars: DataFrame, actions: DataFrame) -> DataFrame:

@@ -48,3 +48,15 @@ def test_a_quantity_beyond_a_long_does_not_stop_the_others(spark):
     after, report = book.apply_fills(book.empty(spark), fills.where("symbol_id <> 2"), actions, until, 0)
     assert {r.trade_id: r.error for r in report.errors.collect()} == {1: "quantity out of range", 6: "quantity out of range", 7: "no factor"}
     assert {r.position_id: r.qty_open for r in after.positions.collect()} == {4: 0, 8: 3}
+
+
+def test_a_factor_out_of_range_is_for_review(spark):
+    from candlewick.operators import evaluate
+
+    position = spark.createDataFrame([(1, 1, D(2026, 1, 1), 10, 10, 100.0, None, 1.0)], "position_id long, symbol_id int, opened_on date, qty_open long, qty_total long, avg_entry_price double, last_restated date, structural_factor_applied double")
+    splits = spark.createDataFrame([(1, "split", D(2026, 2, 1), 0.1, None)] * 400, "symbol_id int, action_type string, ex_date date, price_factor double, value double")
+    held = adjust.restate_for_actions(position, splits, F.lit("2026-03-01").cast("date"), "double").withColumnRenamed("structural_factor_applied", "qty_factor")
+    none = {c: F.lit(None).cast("double") for c in ("stop_loss", "target_1", "target_2", "trail")} | {c: F.lit(False) for c in ("matched", "demerger", "divergence", "upcoming")}
+    rows = held.withColumns(none | {"close": F.lit(90.0), "low": F.lit(90.0), "supertrend_dir": F.lit(1), "broker_qty": F.lit(10), "qty_sum": F.col("qty_open"), "days_held": F.lit(5), "bar_date": F.lit(D(2026, 3, 1)), "as_of": F.lit(D(2026, 3, 1))})
+    r = evaluate.decide(rows).first()
+    assert (r.verdict, r.reasons, r.warnings, r.pnl_pct) == ("REVIEW", ["QTY_MISMATCH"], ["QTY_DIFFERS_FROM_BROKER"], math.inf)
