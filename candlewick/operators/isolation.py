@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from candlewick.operators import signals
-from candlewick.operators.indicators import finished, with_inputs
-from candlewick.operators.recurrence import recurrences, recurrence_schema
+from candlewick.operators.indicators import finished
+from candlewick.operators.recurrence import computed, recurrence_schema, sorted_series, whole_series
 from candlewick.plans.views import SER
 
 Keep = Callable[[DataFrame, str], DataFrame]
@@ -53,19 +55,61 @@ def checked(series: pd.DataFrame) -> None:
         raise ValueError("a price is missing or not positive")
 
 
-def indicator_frame(bars: DataFrame, keep: Keep = unkept, check: Callable[[pd.DataFrame], None] = checked) -> tuple[DataFrame, DataFrame]:
-    """(frame, bad_rows): indicators of all series that pass the check and whose recurrences can be computed; the others as
-    symbol_id, timeframe, error."""
-    inputs, dated = with_inputs(bars), dict(bars.dtypes)["ts"] == "date"
+def suspect(table: pa.Table) -> np.ndarray:
+    """Of each row of whole sorted series: whether checked() can raise on its series because of it."""
+    ts, nth = table.column("ts").combine_chunks(), table.column("_nth").to_numpy()
+    when = ts.cast("int32" if pa.types.is_date32(ts.type) else "int64").fill_null(0).to_numpy()
+    prices = [table.column(c).to_numpy() for c in ("open", "high", "low", "close")]
+    again = np.append(False, when[1:] == when[:-1]) & (nth > 1)
+    return again | ts.is_null().to_numpy(zero_copy_only=False) | ~np.logical_and.reduce([p > 0 for p in prices])
+
+
+def fault(work: Callable, series: object) -> str | None:
+    try:
+        work(series)
+    except Exception as e:  # noqa: BLE001  reported, with the others going on
+        return f"{type(e).__name__}: {e}"[:512]
+
+
+def sifted(table: pa.Table, check: Callable[[pd.DataFrame], None]) -> tuple[pa.Table, dict[int, str]]:
+    """(rows of the sound series, computed; the error of each other series by the place of its first row) of whole sorted series."""
+    first = np.flatnonzero(table.column("_nth").to_numpy() == 1)
+    ends, faults, good = np.append(first[1:], table.num_rows), {}, np.ones(table.num_rows, bool)
 
-    def work(series: pd.DataFrame) -> pd.DataFrame:
-        series["ts"] = pd.to_datetime(series["ts"])
-        check(series)
-        out = recurrences(series)
-        return out.assign(ts=out["ts"].dt.date) if dated else out
+    def sift(work: Callable, some: np.ndarray) -> pa.Table:
+        for a, b in zip(first[some].tolist(), ends[some].tolist(), strict=True):
+            if good[a] and (error := fault(work, table.slice(a, b - a))):
+                faults[a], good[a:b] = error, False
+        return table.filter(pa.array(good))
 
-    good, bad = isolated(inputs, SER, work, recurrence_schema(inputs), keep)
-    return finished(good), bad
+    def checked_rows(series: pa.Table) -> None:
+        rows = series.drop_columns("_nth").to_pandas()
+        check(rows.assign(ts=pd.to_datetime(rows["ts"])))
+
+    every = np.ones(len(first), bool)
+    sound = sift(checked_rows, np.logical_or.reduceat(suspect(table), first) if check is checked else every)
+    try:
+        return computed(sound), faults
+    except Exception:  # noqa: BLE001  of one of them: each is tried
+        return computed(sift(computed, every)), faults
+
+
+def indicator_frame(bars: DataFrame, keep: Keep = unkept, check: Callable[[pd.DataFrame], None] = checked) -> tuple[DataFrame, DataFrame]:
+    """(frame, bad_rows): indicators of all series that pass the check and whose recurrences can be computed; the others as
+    symbol_id, timeframe, error.  keep is as in isolated().  Many series are taken at once; one by one only those that may be bad (all,
+    if the check is another one)."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_series(batches):
+            done, faults = sifted(table, check)
+            yield from done.append_column("_error", pa.nulls(done.num_rows, pa.string())).combine_chunks().to_batches()
+            if faults:
+                keys = table.select(SER).take(pa.array(list(faults))).append_column("_error", pa.array(list(faults.values()), pa.string()))
+                columns = [keys.column(f.name) if f.name in keys.column_names else pa.nulls(len(faults), f.type) for f in done.schema] + [keys.column("_error")]
+                yield from pa.Table.from_arrays(columns, [*done.column_names, "_error"]).combine_chunks().to_batches()
+
+    done = keep(sorted_series(bars, SER, "ts").mapInArrow(work, f"{recurrence_schema(bars)}, _error string"), "isolated")
+    return finished(done.where("_error is null").drop("_error")), done.where("_error is not null").select(*SER, F.col("_error").alias("error"))
 
 
 def by_series(name: str, work: Callable[[pd.DataFrame], pd.DataFrame], keep: Keep = unkept) -> Callable[[DataFrame], tuple[DataFrame, DataFrame]]:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from candlewick.functions import calendar
@@ -124,9 +124,10 @@ def symbol_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _broken(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily bars of which every seventh symbol has its first bar twice, and every eleventh a price of 0."""
     b = views.daily_bars(spark, sf_dir)
-    first = b.where("symbol_id % 7 = 3").groupBy("symbol_id", "timeframe").agg(F.min("ts").alias("ts")).join(b, ["symbol_id", "timeframe", "ts"])
+    nth = F.row_number().over(Window.partitionBy("symbol_id", "timeframe").orderBy("ts"))
+    times = F.when((F.col("symbol_id") % 7 == 3) & (nth == 1), 2).otherwise(1)
     zero = F.when((F.col("symbol_id") % 11 == 5) & (F.dayofmonth("ts") == 1), 0.0).otherwise(F.col("low"))
-    return b.unionByName(first.select(*b.columns)).withColumn("low", zero)
+    return b.withColumn("times", times).withColumn("_", F.explode(F.array_repeat(F.lit(0), F.col("times")))).withColumn("low", zero).select(*b.columns)
 
 
 BROKEN_SQL = f"SELECT symbol_id, ts, symbol_id % 7 = 3 AS twice, symbol_id % 11 = 5 AND bool_or(day(ts) = 1) OVER (PARTITION BY symbol_id) AS zero FROM ({DAILY})"
@@ -142,7 +143,7 @@ def isolated_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("signals_bad_rows", f"SELECT symbol_id, '1d' AS timeframe, CASE WHEN bool_or(twice) THEN 'ValueError: 1 times have more than one bar, the first ' || strftime(min(ts), '%Y-%m-%d') || ' 00:00' ELSE 'ValueError: a price is missing or not positive' END AS error FROM ({BROKEN_SQL}) WHERE twice OR zero GROUP BY 1")
 def bad_rows_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The broken series, each with its error."""
-    return isolation.indicator_frame(_broken(spark, sf_dir), tables.kept)[1]
+    return isolation.indicator_frame(_broken(spark, sf_dir))[1]  # one part is read: nothing need be stored
 
 
 @register("positions_bad_rows", f"""SELECT trade_id AS position_id, CASE WHEN trade_id % 13 = 0 THEN 'no opened_on' WHEN trade_id % 17 = 0 THEN 'entry price is not positive' ELSE 'more open than bought' END AS error FROM ({views.FILLS_SQL})

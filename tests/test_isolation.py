@@ -27,6 +27,15 @@ def test_bad_series_are_reported_and_the_others_unchanged(spark):
     assert {r.symbol_id: r.error for r in bad.collect()} == {8: "ValueError: 1 times have more than one bar, the first 2026-01-01 00:00", 9: "ValueError: a price is missing or not positive"}
 
 
+def test_another_check_judges_each_series(spark):
+    def check(series):
+        if series["symbol_id"].iloc[0] == 2:
+            raise LookupError("not this one")
+
+    frame, bad = isolation.indicator_frame(bars_of(spark, bad=False), check=check)
+    assert {r.symbol_id for r in frame.collect()} == {1, 3, 4} and [(r.symbol_id, r.error) for r in bad.collect()] == [(2, "LookupError: not this one")]
+
+
 def test_run_with_own_strategy_that_raises(spark):
     def mine(series: pd.DataFrame) -> pd.DataFrame:
         if series["symbol_id"].iloc[0] == 3:

@@ -17,6 +17,33 @@ def test_the_frame_is_made_once(spark, name):
     assert plan.count("MapInArrow") == 1 and "FlatMapGroups" not in plan
 
 
+def test_looks_back_are_taken_in_the_pass(spark):
+    """Windows of 20 rows cost Spark more than all recurrences; one window is left, which numbers the rows."""
+    plan = queries.queries()["indicators"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("+- Window") == 1 and "stddev" not in plan
+
+
+def test_broken_series_are_sifted_in_the_same_pass(spark):
+    plan = queries.queries()["signals_bad_rows"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "FlatMapGroups" not in plan and plan.count("Relation [") == 1
+
+
+def test_looks_back_of_many_series():
+    rng = np.random.default_rng(2)
+    sizes = [1, 19, 20, 45, 3, 60]
+    each = [pd.DataFrame({"close": (c := 100 + rng.normal(0, 1, n).cumsum()), "high": c + rng.uniform(0, 1, n), "low": c - rng.uniform(0, 1, n), "volume": rng.integers(1, 99, n)}) for n in sizes]
+    each[3].loc[7, "close"] = np.nan
+    got = recurrence.looks_back(pd.concat(each, ignore_index=True), np.concatenate([np.arange(1, n + 1) for n in sizes]))
+    for b in each:
+        prev, up, down = b.close.shift(), b.high.diff().clip(lower=0).fillna(0), (-b.low.diff()).clip(lower=0).fillna(0)
+        b["true_range"] = pd.concat([b.high - b.low, (b.high - prev).abs(), (b.low - prev).abs()], axis=1).max(axis=1)
+        b["plus_dm"], b["minus_dm"] = up.where(up >= down, 0).where(prev.notna()), down.where(down >= up, 0).where(prev.notna())
+        b["range_mid"] = (b.high.rolling(20).max() + b.low.rolling(20).min()) / 2
+        b["bb_middle"], b["spread"], b["volume_ma_20"] = b.close.rolling(20).mean(), b.close.rolling(20).std(), b.volume.rolling(20).mean()
+    want = pd.concat(each, ignore_index=True)
+    pd.testing.assert_frame_equal(got[want.columns], want, rtol=1e-9)
+
+
 def bars(rng, n):
     close = 100 + rng.normal(0, 1, n).cumsum()
     frame = pd.DataFrame({"ts": pd.date_range("2026-01-01", periods=n), "high": close + 1, "low": close - 1, "close": close, "spread": rng.uniform(0, 2, n), "bb_middle": close + 0.1})
