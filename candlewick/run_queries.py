@@ -392,7 +392,7 @@ DAILY_SQL = f"SELECT CASE WHEN symbol_id % 2 = 0 THEN 'NSE' ELSE 'BSE' END AS ex
 @register("source_daily_files", f"{DAILY_SQL}")
 def daily_files_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Official files of two exchanges, whose columns stand in different orders; other series and kinds are left out."""
-    path, b = folder(spark), views.daily_bars(spark, sf_dir)
+    path, b = folder(spark), tables.kept(views.daily_bars(spark, sf_dir), "bars")  # three writers read them
     k = F.col("symbol_id")
     rows = b.select(
         F.col("ts").cast("string").alias("TradDt"), F.concat(F.lit("S"), k.cast("string")).alias("TckrSymb"), F.when(k % 5 == 0, "GS").when(k % 2 == 0, "EQ").otherwise("A").alias("SctySrs"), F.lit("STK").alias("FinInstrmTp"), F.lit("Name, with a comma").alias("FinInstrmNm"),

@@ -54,9 +54,16 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def fields(value: str) -> Column:
-    """The fields of a line of comma-separated values as an array, quotes taken off; null beyond the last."""
-    parsed = F.from_csv(F.col(value), ", ".join(f"c{i} string" for i in range(WIDTH)))
-    return F.array(*(parsed[f"c{i}"] for i in range(WIDTH)))
+    """The fields of a line of comma-separated values as an array, quotes taken off; null beyond the last.
+
+    Two things would make a line dear: a field taken from from_csv() itself is parsed alone, so that the line is parsed WIDTH times (the
+    lambda takes all from one result), and a line of fewer fields raises within from_csv (so it is filled up, where its quotes close)."""
+    line, schema = F.col(value), ", ".join(f"c{i} string" for i in range(WIDTH))
+    bare = F.regexp_replace(line, '"[^"]*"', "")
+    missing = WIDTH - 1 - (F.length(bare) - F.length(F.replace(bare, F.lit(","))))
+    plain = ~F.contains(bare, F.lit('"')) & ~F.contains(line, F.lit("\\"))
+    parsed = F.from_csv(F.when(plain, F.concat(line, F.repeat(F.lit(","), missing))).otherwise(line), schema)
+    return F.transform(F.array(parsed), lambda row: F.array(*(row[f"c{i}"] for i in range(WIDTH))))[0]
 
 
 def by_name(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:

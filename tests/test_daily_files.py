@@ -2,8 +2,10 @@
 
 import zipfile
 
+from pyspark.sql import functions as F
+
 from candlewick import schemas
-from candlewick.sources import readers
+from candlewick.sources import daily_files, readers
 
 HEAD = ["TradDt", "ISIN", "TckrSymb", "SctySrs", "FinInstrmNm", "OpnPric", "HghPric", "LwPric", "ClsPric", "LastPric", "PrvsClsgPric", "TtlTradgVol", "TtlTrfVal", "TtlNbOfTxsExctd", "FinInstrmTp"]
 
@@ -74,3 +76,13 @@ def test_many_lines_leave_in_slices(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(daily_files, "SLICE", 1000)
     out = list(daily_files.unzipped(iter([pa.RecordBatch.from_arrays([pa.array(["p"]), pa.array([(tmp_path / "x.zip").read_bytes()])], ["path", "content"])])))
     assert len(out) > 10 and sum(b.num_rows for b in out) == 501
+
+
+def test_a_line_is_parsed_once_and_as_before(spark):
+    lines = ["a,b", "", "a,,c,", 'x,"one, two",y', '"open,b', 'a,"he said \\"no, no\\"",z', ' a , "b" ,c', '"a""b",c', 'a"b,c', ",".join(map(str, range(70))), ",".join(map(str, range(64))), ",", '""', "\\,a"]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(lines)], "i int, value string")
+    alone = F.from_csv("value", ", ".join(f"c{i} string" for i in range(daily_files.WIDTH)))
+    got = df.select("i", daily_files.fields("value").alias("f"))
+    want = {r.i: list(r.p) for r in df.select("i", alone.alias("p")).collect()}
+    assert {r.i: r.f for r in got.collect()} == want
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("from_csv") == 1
