@@ -5,14 +5,17 @@ Averages here start with the mean of the first n values, and relative volume is
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from candlewick.operators.quantiles import exact_quantile
+from candlewick.operators.recurrence import smoothed, sorted_series, whole_series, with_columns
 from candlewick.sources.tables import kept
 
 
@@ -20,16 +23,19 @@ def series():
     return Window.partitionBy("exchange", "symbol").orderBy("date")
 
 
-def seeded(x: np.ndarray, n: int, alpha: float) -> np.ndarray:
-    """The recurrence with weight alpha, started with the mean of the first n valid values; nothing before."""
-    out = np.full(len(x), np.nan)
-    valid = np.flatnonzero(~np.isnan(x))
-    if len(valid) < n:
-        return out
-    first = valid[0] + n - 1
-    rest = pd.Series(np.concatenate([[x[valid[0] : first + 1].mean()], x[first + 1 :]]))
-    out[first:] = rest.ewm(alpha=alpha, adjust=False).mean().to_numpy()
-    return out
+def seeded(x: np.ndarray, n: int, alpha: float, first: np.ndarray | None = None) -> np.ndarray:
+    """The recurrence with weight alpha, started with the mean of the first n valid values; nothing before.  first: the places where
+    series begin, if there are several."""
+    first = np.array([0]) if first is None else first
+    begun, valid = np.full(len(x), np.nan), ~np.isnan(x)
+    for a, b in zip(first.tolist(), [*first[1:].tolist(), len(x)], strict=True):
+        if valid[a:b].sum() < n:
+            continue
+        begin = a + int(valid[a:b].argmax())
+        begun[begin + n - 1] = x[begin : begin + n].mean()
+        begun[begin + n : b] = x[begin + n : b]
+    series = np.repeat(np.arange(len(first)), np.diff([*first, len(x)]))
+    return smoothed(pd.Series(begun), alpha, series).to_numpy()
 
 
 def panel_indicators(panel: DataFrame) -> DataFrame:
@@ -48,25 +54,27 @@ def panel_indicators(panel: DataFrame) -> DataFrame:
         "_minus": F.when((F.col("_down") > F.col("_up")) & (F.col("_down") > 0), F.col("_down")).when(F.col("_up").isNotNull(), 0.0),
     }).drop("_up", "_down")
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("date").reset_index(drop=True)
-        c = pdf["close"].to_numpy(float)
-        for n in (20, 50, 200):
-            pdf[f"ema{n}"] = seeded(c, n, 2 / (n + 1))
-        change = pdf["_change"].to_numpy(float)
-        gain, loss = seeded(np.maximum(change, 0), 14, 1 / 14), seeded(np.maximum(-change, 0), 14, 1 / 14)
-        atr, plus, minus = (seeded(pdf[k].to_numpy(float), 14, 1 / 14) for k in ("_tr", "_plus", "_minus"))
-        with np.errstate(divide="ignore", invalid="ignore"):
-            rsi = np.where(loss == 0, np.where(gain == 0, np.nan, 100.0), 100 - 100 / (1 + gain / loss))
-            pdf["rsi14"], pdf["atr14"], pdf["plus_di"], pdf["minus_di"] = rsi, atr, 100 * plus / atr, 100 * minus / atr
-            both = pdf["plus_di"] + pdf["minus_di"]
-            dx = (100 * (pdf["plus_di"] - pdf["minus_di"]).abs() / both.where(both != 0)).to_numpy()
-        pdf["adx14"] = seeded(dx, 14, 1 / 14)
-        return pdf.drop(columns=["_change", "_tr", "_plus", "_minus"])
-
-    kept = [(n, t) for n, t in df.dtypes if n[0] != "_"]
     added = ["ema20", "ema50", "ema200", "rsi14", "atr14", "plus_di", "minus_di", "adx14"]
-    out = df.groupBy("exchange", "symbol").applyInPandas(one, ", ".join([f"{n} {t}" for n, t in kept] + [f"{n} double" for n in added]))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_series(batches):
+            first = np.flatnonzero(table.column("_nth").to_numpy() == 1)
+            pdf = table.select(["close", "_change", "_tr", "_plus", "_minus"]).to_pandas()
+            change = pdf["_change"].to_numpy(float)
+            for n in (20, 50, 200):
+                pdf[f"ema{n}"] = seeded(pdf["close"].to_numpy(float), n, 2 / (n + 1), first)
+            gain, loss = seeded(np.maximum(change, 0), 14, 1 / 14, first), seeded(np.maximum(-change, 0), 14, 1 / 14, first)
+            atr, plus, minus = (seeded(pdf[k].to_numpy(float), 14, 1 / 14, first) for k in ("_tr", "_plus", "_minus"))
+            with np.errstate(divide="ignore", invalid="ignore"):
+                rsi = np.where(loss == 0, np.where(gain == 0, np.nan, 100.0), 100 - 100 / (1 + gain / loss))
+                pdf["rsi14"], pdf["atr14"], pdf["plus_di"], pdf["minus_di"] = rsi, atr, 100 * plus / atr, 100 * minus / atr
+                both = pdf["plus_di"] + pdf["minus_di"]
+                dx = (100 * (pdf["plus_di"] - pdf["minus_di"]).abs() / both.where(both != 0)).to_numpy()
+            pdf["adx14"] = seeded(dx, 14, 1 / 14, first)
+            yield from with_columns(table.drop_columns(["_change", "_tr", "_plus", "_minus"]), pdf, added).combine_chunks().to_batches()
+
+    kept = ", ".join([f"{n} {t}" for n, t in df.dtypes if n[0] != "_"] + [f"{n} double" for n in added])
+    out = sorted_series(df, ["exchange", "symbol"], "date").mapInArrow(work, kept)
     return out.withColumn("atr14_pct", F.try_divide("atr14", "close") * 100)
 
 

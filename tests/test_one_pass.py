@@ -6,7 +6,7 @@ import pyarrow as pa
 import pytest
 
 from candlewick import queries
-from candlewick.operators import recurrence
+from candlewick.operators import recurrence, research
 
 SF = "/root/testdata/sf0.001"
 
@@ -44,6 +44,23 @@ def test_looks_back_of_many_series():
     pd.testing.assert_frame_equal(got[want.columns], want, rtol=1e-9)
 
 
+def test_the_panel_takes_many_series_at_once(spark):
+    plan = queries.queries()["research_panel_frame"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "FlatMapGroups" not in plan
+
+
+def test_seeded_of_many_series():
+    rng = np.random.default_rng(3)
+    each = [np.where(rng.uniform(size=n) < 0.1, np.nan, rng.uniform(size=n)) for n in (1, 13, 14, 40, 2, 300)] + [np.full(20, np.nan), np.arange(30.0)]
+    got = research.seeded(np.concatenate(each), 14, 1 / 14, np.cumsum([0, *map(len, each[:-1])]))
+    np.testing.assert_array_equal(got, np.concatenate([research.seeded(x, 14, 1 / 14) for x in each]))
+    x, begin = each[-1], 14
+    want = [np.nan] * 13 + [x[:14].mean()]
+    for v in x[begin:]:
+        want.append(want[-1] * 13 / 14 + v / 14)
+    np.testing.assert_allclose(research.seeded(x, 14, 1 / 14), want)
+
+
 def bars(rng, n):
     close = 100 + rng.normal(0, 1, n).cumsum()
     frame = pd.DataFrame({"ts": pd.date_range("2026-01-01", periods=n), "high": close + 1, "low": close - 1, "close": close, "spread": rng.uniform(0, 2, n), "bb_middle": close + 0.1})
