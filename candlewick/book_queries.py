@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from candlewick.functions import calendar
 from candlewick.operators import adjust, book, evaluate, ledger, matching, signals
 from candlewick.plans import views
-from candlewick.queries import AS_OF, DAYS_SQL, EVALUATED_SQL, EVERY_SIGNAL_SQL, NEAR_SQL, _calendar, frame, indicators, match_sql, near_fills, register
+from candlewick.queries import AS_OF, DAYS_SQL, EVALUATED_SQL, EVERY_SIGNAL_SQL, NEAR_SQL, _calendar, indicators, match_sql, near_fills, register, traded_frame
 from candlewick.sources import tables
 
 
@@ -131,14 +131,15 @@ APPLIED = "1996-08-30"
 
 def restated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fills in raw prices up to APPLIED, matched and kept in stored terms, then restated for what came until AS_OF, and judged."""
-    actions, f = plain_actions(spark, sf_dir), frame(spark, sf_dir)
+    actions = plain_actions(spark, sf_dir)
     near = near_fills(spark, sf_dir).where(F.col("trade_date") <= day(APPLIED))
+    f = traded_frame(spark, sf_dir, near)
     raw = adjust.factor_after(near, actions, "trade_date", day(APPLIED)).withColumn("price", F.col("price") / F.col("factor")).drop("factor")  # as the exchange saw them then
     days = calendar.days(_calendar(spark))
     now, _ = book.apply_fills(book.empty(spark), raw, actions, day(APPLIED), 0, tables.kept)
     stored = ledger.in_stored_terms(raw.where("side = 'BUY'"), actions, day(APPLIED))
     found = matching.match(matching.candidates(stored, signals.run(f), days))
-    open_ = matching.apply_matches(now.positions.where("status = 'open'"), found)
+    open_ = tables.kept(matching.apply_matches(now.positions.where("status = 'open'"), found), "open")  # evaluate() reads them three times
     held = near.groupBy("account_id", "symbol_id", F.col("trade_date").alias("as_of")).agg(F.sum("quantity").alias("quantity"))
     return evaluate.evaluate(open_, f, actions, held, days, day(AS_OF))
 

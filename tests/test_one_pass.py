@@ -17,6 +17,19 @@ def test_the_frame_is_made_once(spark, name):
     assert plan.count("MapInArrow") == 1 and "FlatMapGroups" not in plan
 
 
+@pytest.mark.parametrize("name", ["evaluate_positions", "evaluate_restated"])
+def test_what_is_judged_reads_a_stored_frame(spark, name):
+    """Signals, last bars and trails come from one frame, and the matched positions that all joins read are made once."""
+    plan = queries.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" not in plan and "get_json_object" not in plan and "to_json" not in plan and "S1_ST_Flip" not in plan
+
+
+def test_the_stored_frame_has_the_traded_symbols(spark):
+    fills = queries.near_fills(spark, SF).where("symbol_id < 5")
+    got, want = queries.traded_frame(spark, SF, fills), queries.frame(spark, SF).where("symbol_id in (1, 2, 3, 4)")
+    assert got.columns == want.columns and sorted(got.collect()) == sorted(want.collect()) and got.count()
+
+
 def test_looks_back_are_taken_in_the_pass(spark):
     """Windows of 20 rows cost Spark more than all recurrences; one window is left, which numbers the rows."""
     plan = queries.queries()["indicators"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
