@@ -4,9 +4,11 @@ A table hashes a unit vector with a few axes.  An axis is a pseudo-rotation, thr
 transform; its code is the signed axis nearest to the rotated vector.  Every vector is in one bucket of each table; a query
 looks in several buckets of each, those whose axes are nearest to it.
 
-The index is a table of (bucket, vector number), the probes one of (bucket, query number): candidates are their equi-join,
-each pair once, reranked by exact distance, of which only the best of a query stay.  Tables get more axes as vectors get
-more (see layout), so a bucket holds about as many vectors at any size.
+Vectors that share the bucket of the first table form cells (see in_cells): near copies meet in nearly all tables, and a cell
+stands for its vectors in each bucket of one of them once.  The index is a table of (bucket, cell), the probes one of (bucket,
+query number): their equi-join gives cells, each once a query, whose vectors are all reranked by exact distance, of which only
+the best of a query stay.  Tables get more axes as vectors get more (see layout), so a bucket holds about as many vectors at any
+size.
 """
 
 from __future__ import annotations
@@ -19,11 +21,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from candlewick.llm.bytehash import mix
 from candlewick.llm.common import scratch, stored, wide_hash
 
 ROWS = 256  # vectors that a task hashes at once
+CELL = 128  # vectors of a cell, at most
 LOAD = 40  # buckets of a table for each vector, at most
 FLAT = 1 << 22  # components of query vectors that are broadcast at most (32 MB)
 
@@ -127,8 +131,20 @@ def _keys(codes: np.ndarray, table: np.ndarray, dim: int, axes: int) -> np.ndarr
     return mix(mix(codes.astype(np.uint64), dim) + table.astype(np.uint64), axes).view(np.int64)
 
 
+def each_once(numbers: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of a number and a key of its row, each once."""
+    flat, owner = keys.ravel(), np.repeat(numbers, keys.shape[1])
+    if len(np.unique(numbers)) < len(numbers):
+        order = np.lexsort((flat, owner))
+        flat, owner = flat[order], owner[order]
+        new = np.append(True, (flat[1:] != flat[:-1]) | (owner[1:] != owner[:-1]))
+        flat, owner = flat[new], owner[new]
+    return owner, flat
+
+
 def bucketed(rows: DataFrame, buckets: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
-    """number, bucket: for each row (number, vec) the keys that `buckets` gives for a matrix of vectors of one length."""
+    """number, bucket: for each row (number, vec) the keys that `buckets` gives for a matrix of vectors of one length.  Neighbouring
+    rows of one number give a bucket once."""
 
     def run(batches):
         for whole in batches:
@@ -140,18 +156,39 @@ def bucketed(rows: DataFrame, buckets: Callable[[np.ndarray], np.ndarray]) -> Da
                     places.setdefault(len(v), []).append(i)
                 for some in places.values():
                     keys = buckets(np.array([vectors[i] for i in some], float))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(numbers[some], keys.shape[1])), pa.array(keys.ravel())], ["number", "bucket"])
+                    yield pa.RecordBatch.from_arrays(list(map(pa.array, each_once(numbers[some], keys))), ["number", "bucket"])
 
     return rows.select("number", "vec").mapInArrow(run, "number long, bucket long")
 
 
+def in_cells(rows: DataFrame, axes_of: Callable[[np.ndarray], tuple[int, ...]], most: int = CELL) -> DataFrame:
+    """rows (number, vec, ...) with `cell`: the number of a row with the same length and bucket in the first table, `most` rows a cell
+    at most.  Sorted by cell in each task; store them, as cells depend on how rows are dealt."""
+    columns = rows.columns
+
+    def run(batches):
+        last, cell, left = None, 0, 0
+        for batch in batches:
+            cells = []
+            for bucket, number in zip(batch.column("_first").to_pylist(), batch.column("number").to_pylist(), strict=True):
+                if bucket != last or not left:
+                    last, cell, left = bucket, number, most
+                left -= 1
+                cells.append(cell)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(cells, pa.int64())], [*columns, "cell"])
+
+    first = bucketed(rows, lambda v: own_buckets(v, 1, axes_of(v))).withColumnRenamed("bucket", "_first")
+    dealt = rows.join(first, "number").select(*columns, "_first").repartitionByRange("_first", "number").sortWithinPartitions("_first", "number")
+    return dealt.mapInArrow(run, StructType([*rows.schema, StructField("cell", LongType())]))
+
+
 def distance(a: str, b: str):
     """Euclidean, in double precision."""
     return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
 
 
 def searched(entries: DataFrame, queries: DataFrame, k: int, tables: int, axes: int | None, probes: int, total: int, drop: int) -> DataFrame:
-    """query, number, n_ids, score: the best k entries (number, vec, n_ids, least) found for each query (number, vec), with the
+    """query, number, n_ids, score: the best k entries (number, vec, n_ids, least, cell) found for each query (number, vec), with the
     last `drop` axes left out; the only axis of a table is searched whole."""
 
     def axes_of(vectors: np.ndarray) -> tuple[int, ...]:
@@ -162,13 +199,14 @@ def searched(entries: DataFrame, queries: DataFrame, k: int, tables: int, axes:
         sizes = axes_of(vectors)
         return near_buckets(vectors, tables, sizes, probes if len(sizes) > 1 else 2 * sizes[0])
 
-    index = bucketed(entries, lambda v: own_buckets(v, tables, axes_of(v)))
+    cells = entries.select(F.col("cell").alias("number"), "vec")
+    index = bucketed(cells, lambda v: own_buckets(v, tables, axes_of(v))).withColumnRenamed("number", "cell")
     looked = bucketed(queries, asked).withColumnRenamed("number", "query")
     # Spark has no estimate of the probes' size and would broadcast them
-    pairs = looked.hint("merge").join(index, "bucket").select("query", "number").distinct()
+    pairs = looked.hint("merge").join(index, "bucket").select("query", "cell").distinct()
     vectors = queries.select(F.col("number").alias("query"), F.col("vec").alias("asked"))
     held = queries.agg(F.coalesce(F.sum(F.size("vec")), F.lit(0))).first()[0]
-    scored = pairs.join(entries, "number").join(F.broadcast(vectors) if held <= FLAT else vectors, "query")
+    scored = pairs.join(entries, "cell").join(F.broadcast(vectors) if held <= FLAT else vectors, "query")
     scored = scored.select("query", "number", "n_ids", "least", distance("vec", "asked").alias("score"))
     near = Window.partitionBy("query").orderBy("score", "least")
     return scored.withColumn("nth", F.row_number().over(near)).where(F.col("nth") <= k).select("query", "number", "n_ids", "score")
@@ -198,7 +236,8 @@ def nearest(rows: DataFrame, k: int = 10, every: int = 100, tables: int = 128, a
         grouped = first.groupBy("vkey").agg(F.first("vec").alias("vec"), F.sort_array(F.collect_list("vec_id")).alias("ids"))
         grouped = grouped.withColumns({"number": F.monotonically_increasing_id(), "least": F.col("ids")[0], "n_ids": F.size("ids")})
         table = stored(grouped, "vectors")
-        entries, total = table.select("number", "vec", "least", "n_ids"), table.count()
+        total = table.count()
+        entries = stored(in_cells(table.select("number", "vec", "least", "n_ids"), lambda v: layout(total, width_of(v.shape[1]), axes)), "cells")
         asking = stored(ids.where(F.col("vec_id") % every == 0).select("vec_id", "vkey").join(table.select("vkey", "number"), "vkey").select(F.col("vec_id").alias("query_id"), F.col("number").alias("query")), "queries")
         open_ = stored(entries.join(asking.select(F.col("query").alias("number")).distinct(), "number", "left_semi").select("number", "vec"), "asked")
         found = None
