@@ -11,6 +11,7 @@ import functools
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 import sentencepiece
 
 SPACE = "▁"
@@ -19,10 +20,11 @@ STEP = np.uint64(0x9E3779B97F4A7C15)
 
 @dataclass
 class Vocabulary:
-    """Pieces by length: sorted hashes of all their prefixes, and the piece id of each prefix that is one (else -1)."""
+    """Pieces by length: sorted hashes of all their prefixes, the piece id of each prefix that is one (else -1), and where the hashes
+    that share their first bits begin."""
 
     pieces: list[str]
-    prefixes: list[tuple[np.ndarray, np.ndarray]]
+    prefixes: list[tuple[np.ndarray, np.ndarray, np.ndarray]]
     weights: np.ndarray  # natural log of each piece's probability
     byte0: int  # id of the piece for byte 0
 
@@ -31,6 +33,11 @@ class Vocabulary:
         """What each piece writes."""
         return [bytes([i - self.byte0]) if 0 <= i - self.byte0 < 256 else p.encode() for i, p in enumerate(self.pieces)]
 
+    @functools.cached_property
+    def spaced(self) -> pa.Array:
+        """What each piece writes, with spaces for blank marks."""
+        return pa.array([r.replace(SPACE.encode(), b" ") for r in self.raw], pa.binary())
+
     def with_weights(self, weights: np.ndarray) -> Vocabulary:
         return Vocabulary(self.pieces, self.prefixes, weights, self.byte0)
 
@@ -40,6 +47,24 @@ def _hash(points: np.ndarray, before: np.ndarray | np.uint64) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+def _begins(keys: np.ndarray) -> np.ndarray:
+    """For all values of the first bits, the first of the sorted keys that has them or higher ones; some two values a key."""
+    bits = max(1, len(keys).bit_length() + 1)
+    return np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits))
+
+
+def _find(keys: np.ndarray, begins: np.ndarray, sought: np.ndarray) -> np.ndarray:
+    """Places of the first keys that are not below those sought, the last place at most."""
+    last = len(keys) - 1
+    at = np.minimum(begins[sought >> np.uint64(65 - len(begins).bit_length())], last)
+    going = np.flatnonzero(keys[at] < sought)
+    while len(going):
+        going = going[at[going] < last]
+        at[going] += 1
+        going = going[keys[at[going]] < sought[going]]
+    return at
+
+
 @functools.cache
 def vocabulary(path: str) -> Vocabulary:
     """The pieces of a SentencePiece model.  Its scores fall by one for each piece of the list; a piece's probability is
@@ -69,7 +94,7 @@ def vocabulary(path: str) -> Vocabulary:
     prefixes = []
     for found in by_length:
         keys = np.array(sorted(found), np.uint64)
-        prefixes.append((keys, np.array([found[int(k)] for k in keys], np.int64)))
+        prefixes.append((keys, np.array([found[int(k)] for k in keys], np.int64), _begins(keys)))
     return Vocabulary(pieces, prefixes, weights, byte0)
 
 
@@ -125,17 +150,22 @@ def bytes_of(points: np.ndarray) -> np.ndarray:
 
 def lattices(units: list[str], vocab: Vocabulary) -> Lattices:
     """The lattices of non-empty units."""
-    size = np.array([len(u) for u in units], np.int64)
-    points = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    unit = np.repeat(np.arange(len(units)), size)
+    points = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32)
+    return point_lattices(points, np.array([len(u) for u in units], np.int64), vocab)
+
+
+def point_lattices(points: np.ndarray, size: np.ndarray, vocab: Vocabulary) -> Lattices:
+    """The lattices of non-empty units: their code points, one unit after the other, and how many each has."""
+    points = points.astype(np.uint64)
+    unit = np.repeat(np.arange(len(size)), size)
     left = np.repeat(np.cumsum(size), size) - np.arange(len(points))
-    froms, lengths, ids = [], [], []
+    froms, ids = [], []
     alive, h = np.arange(len(points)), np.zeros(len(points), np.uint64)
-    for n, (keys, found) in enumerate(vocab.prefixes, 1):
+    for n, (keys, found, begins) in enumerate(vocab.prefixes, 1):
         room = left[alive] >= n
         alive, h = alive[room], h[room]
         h = _hash(points[alive + n - 1], h)
-        at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+        at = _find(keys, begins, h)
         same = keys[at] == h
         alive, h, at = alive[same], h[same], at[same]
         if not len(alive):
@@ -143,7 +173,6 @@ def lattices(units: list[str], vocab: Vocabulary) -> Lattices:
         whole = found[at] >= 0
         froms.append(alive[whole])
         ids.append(found[at][whole])
-        lengths.append(np.full(int(whole.sum()), n))
         if n == 1:
             lone = np.ones(len(points), bool)
             lone[froms[0]] = False
@@ -152,16 +181,20 @@ def lattices(units: list[str], vocab: Vocabulary) -> Lattices:
         bare = np.arange(len(points))
     froms.append(bare)
     ids.append(-1 - points[bare].astype(np.int64))
-    lengths.append(np.ones(len(bare), np.int64))
-    place, length, piece = np.concatenate(froms), np.concatenate(lengths), np.concatenate(ids)
-    order = np.argsort(place, kind="stable")
-    place, length, piece = place[order], length[order], piece[order]
+    # a place has one edge of each length at most: edges go to their places' next free slots, the shortest first
+    free = np.cumsum(edges := sum(np.bincount(f, minlength=len(points)) for f in froms)) - edges
+    place = np.repeat(np.arange(len(points)), edges)
+    length, piece = np.empty((2, len(place)), np.int64)
+    for n, (f, i) in enumerate(zip(froms, ids, strict=True), 1):
+        slot = free[f]
+        length[slot], piece[slot] = n if n < len(froms) else 1, i
+        free[f] += 1
     node = place + unit[place]  # each unit has one node more than characters
     weight = np.where(piece >= 0, vocab.weights[np.maximum(piece, 0)], 0.0)
     raw = np.flatnonzero(piece < 0)
     if len(raw):
         weight[raw] = [sum(vocab.weights[vocab.byte0 + b] for b in chr(c).encode("utf-8", "surrogatepass")) for c in -1 - piece[raw]]
-    total = len(points) + len(units)
+    total = len(points) + len(size)
     start = np.cumsum(np.append(0, size[:-1] + 1))
     edge_of = np.append(0, np.cumsum(np.bincount(node, minlength=total)))
     to_end = np.repeat(start + size, size + 1) - np.arange(total)

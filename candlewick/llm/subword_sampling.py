@@ -26,40 +26,54 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from candlewick.llm.bytehash import mix, prefix_sums, span_hashes
+from candlewick.llm.bytehash import mix
 from candlewick.llm.common import as_bytes, slices, texts_of
-from candlewick.llm.lattice import SPACE, Lattices, Vocabulary, decode, lattices, piece_ids, vocabulary
+from candlewick.llm.lattice import SPACE, Lattices, Vocabulary, decode, piece_ids, point_lattices, vocabulary
 
-SLICE = 1 << 20
+SLICE = 1 << 19
+#: Units hashed in one go.
+PART = 1 << 12
+BLANK = ord(SPACE)
 
 
-def cut_units(texts: list[bytes]) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """The distinct units of the texts, the unit numbers of all texts one after the other, and how many each text has.
+def cut_units(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct units of the texts (their code points, one unit after the other, and how many each has), the unit numbers of all
+    texts one after the other, and how many each text has.
 
     A space is set before a text that is not empty.  A unit is a run of spaces with the run of other characters after it, or
-    a line end.
+    a line end.  Spaces are blank marks in the units.
     """
-    marked = [b" " + t.replace(SPACE.encode(), b" ") if t else b"" for t in texts]
-    data = b"".join(marked)
-    if not data:
-        return [], np.empty(0, np.int64), np.zeros(len(texts), np.int64)
-    buf = np.frombuffer(data, np.uint8)
-    ends = np.cumsum([len(m) for m in marked])
-    space, line = buf == 32, buf == 10
+    marked = [" " + t.decode("utf-8", "replace") if t else "" for t in texts]
+    points = np.frombuffer("".join(marked).encode("utf-32-le"), np.uint32).copy()
+    if not len(points):
+        return points, np.empty(0, np.int64), np.empty(0, np.int64), np.zeros(len(texts), np.int64)
+    lengths = np.array([len(m) for m in marked])
+    ends = np.cumsum(lengths)
+    points[points == 32] = BLANK
+    space, line = points == BLANK, points == 10
     first = line.copy()
     first[1:] |= line[:-1] | (space[1:] & ~space[:-1])
-    first[np.append(0, ends[:-1])[np.array([len(m) for m in marked]) > 0]] = True
+    first[(ends - lengths)[lengths > 0]] = True
     start = np.flatnonzero(first)
-    end = np.append(start[1:], len(buf))
-    # sums start over now and then, as powers are kept for a bounded length only
-    hashes = np.concatenate([_hashes(buf, start[a : a + 8192], end[a : a + 8192]) for a in range(0, len(start), 8192)])
-    _, at, number = np.unique(hashes, return_index=True, return_inverse=True)
-    names = [data[i:j].decode("utf-8", "replace").replace(" ", SPACE) for i, j in zip(start[at].tolist(), end[at].tolist(), strict=True)]
-    return names, number, np.diff(np.searchsorted(start, np.append(0, ends)))
+    size = np.diff(np.append(start, len(points)))
+    # in parts, so that the arrays stay in the cache
+    hashes = np.concatenate([_hashes(points, start[a : a + PART], size[a : a + PART]) for a in range(0, len(start), PART)])
+    number = pa.array(hashes).dictionary_encode().indices.to_numpy()
+    at = np.empty(int(number.max()) + 1, np.int64)
+    at[number[::-1]] = np.arange(len(number))[::-1]  # the first of each stays
+    return spans(points, start[at], size[at]), size[at], number, np.diff(np.searchsorted(start, np.append(0, ends)))
 
 
-def _hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    return span_hashes(prefix_sums(buf[start[0] : end[-1]]), start - start[0], end - start[0])
+def spans(values: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """values[start : start + size] of all spans, one after the other."""
+    return values[np.repeat(start - np.cumsum(size) + size, size) + np.arange(size.sum())]
+
+
+def _hashes(points: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Sums of 64-bit hashes of the characters with their places in the unit."""
+    begin, end = start[0], start[-1] + size[-1]
+    place = np.arange(begin, end) - np.repeat(start, size)
+    return np.add.reduceat(mix(points[begin:end].astype(np.uint64) | place.astype(np.uint64) << np.uint64(32)), start - begin)
 
 
 def uniform(keys: np.ndarray, seed: int) -> np.ndarray:
@@ -74,17 +88,21 @@ class Sampler:
         self.lattice = lattice
         mass = lattice.from_end()
         self.log_p = np.minimum(lattice.weight + mass[lattice.target] - mass[lattice.node], 0.0)
-        with np.errstate(divide="ignore"):  # log of what the other edges of the node have together
-            self.log_rest = np.where(self.log_p < -1e-12, np.log(-np.expm1(self.log_p)), -np.inf)
         p = np.exp(self.log_p)
         total = np.cumsum(p)
         first = lattice.edge_of[lattice.node]
         self.cumulative = total - (total - p)[first]
         self.cumulative[lattice.edge_of[1:][np.diff(lattice.edge_of) > 0] - 1] = 2.0  # the last edge takes what is left
 
+    def log_rest(self, edges: np.ndarray) -> np.ndarray:
+        """Log of what the other edges of each edge's node have together."""
+        log_p = self.log_p[edges]
+        with np.errstate(divide="ignore"):
+            return np.where(log_p < -1e-12, np.log(-np.expm1(log_p)), -np.inf)
+
     def paths(self, nodes: np.ndarray, keys: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
         """Edges of a drawn path from each node to its unit's end, one after the other, and the start each belongs to."""
-        edges, owner, active, step = [], [], np.arange(len(nodes)), 0
+        edges, owners, active, step = [], [], np.arange(len(nodes)), 0
         active = active[self.lattice.left[nodes] > 0]
         at = nodes[active]
         while len(active):
@@ -95,15 +113,20 @@ class Sampler:
                 edge[going] += 1
                 going = going[u[going] > self.cumulative[edge[going]]]
             edges.append(edge)
-            owner.append(active)
+            owners.append(active)
             at = self.lattice.target[edge]
             more = self.lattice.left[at] > 0
             active, at, step = active[more], at[more], step + 1
         if not edges:
             return np.empty(0, np.int64), np.empty(0, np.int64)
-        edge, own = np.concatenate(edges), np.concatenate(owner)
-        order = np.argsort(own, kind="stable")
-        return edge[order], own[order]
+        size = np.zeros(len(nodes), np.int64)
+        for step, own in enumerate(owners, 1):
+            size[own] = step
+        begin = np.cumsum(size) - size
+        out = np.empty(size.sum(), np.int64)
+        for step, (edge, own) in enumerate(zip(edges, owners, strict=True)):
+            out[begin[own] + step] = edge
+        return out, np.repeat(np.arange(len(nodes)), size)
 
 
 def truncated(free: float, bound: float) -> float:
@@ -141,7 +164,7 @@ class Search:
         edges = self.found[path][0]
         lattice = sampler.lattice
         node = lattice.node[edges[step]]
-        others = np.setdiff1d(np.arange(lattice.edge_of[node], lattice.edge_of[node + 1]), taken)
+        others = np.array([e for e in range(lattice.edge_of[node], lattice.edge_of[node + 1]) if e not in taken], np.int64)
         mass = np.exp(sampler.log_p[others])
         spot = np.uint64((self.key + 0x9E3779B9 * draw + 31 * step) & 0xFFFFFFFFFFFFFFFF)
         u = uniform(np.array([spot, spot + np.uint64(1)]), self.seed + 104729)
@@ -159,27 +182,28 @@ class Search:
 
 def sample_batch(texts: list[bytes], keys: list[int], vocab: Vocabulary, k: int, seed: int) -> list[list[tuple[np.ndarray, float, float]]]:
     """For each text, up to k (piece ids, log probability, inclusion score), the largest perturbed value first."""
-    names, numbers, counts = cut_units(texts)
-    if not names:
+    points, size, numbers, counts = cut_units(texts)
+    if not len(numbers):
         return [[(np.empty(0, np.int64), 0.0, 1.0)] for _ in texts]
-    sampler = Sampler(lattices(names, vocab))
+    sampler = Sampler(point_lattices(points, size, vocab))
     start = sampler.lattice.start
     wrapped = [key & 0xFFFFFFFFFFFFFFFF for key in keys]
     searches = [Search(o, key, k, seed) for o, key in zip(np.split(numbers, np.cumsum(counts)[:-1]), wrapped, strict=True)]
     gumbel = -np.log(-np.log(uniform(np.array(wrapped, np.uint64), seed + 1)))
     todo = [(i, np.empty(0, np.int64), 0, -1, gumbel[i]) for i, s in enumerate(searches) if len(s.occurrences)]
     for draw in range(k):
-        nodes, marks, counts = [], [], []
+        nodes, places, counts = [], [], []
         for i, _, done, node, _ in todo:
             s = searches[i]
             tail = start[s.occurrences[done + (node >= 0) :]]
             nodes.append(np.append(node, tail) if node >= 0 else tail)
-            place = np.arange(len(s.occurrences) - len(nodes[-1]), len(s.occurrences), dtype=np.uint64)
-            marks.append(mix(place * np.uint64(0xE7037ED1A0B428DB) + np.uint64(s.key), seed + draw))
+            places.append(np.arange(len(s.occurrences) - len(nodes[-1]), len(s.occurrences), dtype=np.uint64))
             counts.append(len(nodes[-1]))
         if not todo:
             break
-        edges, owner = sampler.paths(np.concatenate(nodes), np.concatenate(marks), seed + 31 * draw)
+        own = np.array([searches[i].key for i, *_ in todo], np.uint64)
+        marks = mix(np.concatenate(places) * np.uint64(0xE7037ED1A0B428DB) + np.repeat(own, counts), seed + draw)
+        edges, owner = sampler.paths(np.concatenate(nodes), marks, seed + 31 * draw)
         ends = np.searchsorted(owner, np.cumsum(counts))
         begins = np.append(0, ends[:-1])
         # at every new edge, a Gumbel variable at the mass of all that branches off there
@@ -188,9 +212,8 @@ def sample_batch(texts: list[bytes], keys: list[int], vocab: Vocabulary, k: int,
         known = np.array([sampler.log_p[prefix].sum() for _, prefix, *_ in todo])
         before = total[:-1] + np.repeat(known - total[begins], size)
         place = np.arange(len(edges)) + np.repeat(np.array([len(prefix) for _, prefix, *_ in todo]) - begins, size)
-        own = np.repeat(np.array([searches[i].key for i, *_ in todo], np.uint64), size)
-        u = uniform(place.astype(np.uint64) * np.uint64(0xA0761D6478BD642F) + own, seed + 7919 * (draw + 1))
-        free = before + sampler.log_rest[edges] - np.log(-np.log(u))
+        u = uniform(place.astype(np.uint64) * np.uint64(0xA0761D6478BD642F) + np.repeat(own, size), seed + 7919 * (draw + 1))
+        free = before + sampler.log_rest(edges) - np.log(-np.log(u))
         whole = known + total[ends] - total[begins]
         for n, (i, prefix, _, _, value) in enumerate(todo):
             new = slice(begins[n], ends[n])
@@ -210,6 +233,22 @@ def sample_batch(texts: list[bytes], keys: list[int], vocab: Vocabulary, k: int,
     return out
 
 
+def comes_back(texts: list[bytes], encodings: list[list[np.ndarray]], vocab: Vocabulary) -> list[bool]:
+    """For each encoding of each text, whether its ids, decoded, are the text.  What all ids write is joined in one step; where its
+    bytes are not the text's (as in a text that is not UTF-8), the decoded characters are compared."""
+    each = [ids for rows in encodings for ids in rows]
+    written = vocab.spaced.take(pa.array(np.concatenate(each)))
+    ends = np.frombuffer(written.buffers()[1], np.int32, len(written) + 1)[np.cumsum([0, *map(len, each)])].tolist()
+    data = written.buffers()[2].to_pybytes() if ends[-1] else b""
+    row, out = 0, []
+    for text, rows in zip(texts, encodings, strict=True):
+        due = b" " + text.replace(SPACE.encode(), b" ") if text else b""
+        for ids in rows:
+            out.append(data[ends[row] : ends[row + 1]] == due or decode(ids.tolist(), vocab) == text.decode("utf-8", "replace").replace(SPACE, " "))
+            row += 1
+    return out
+
+
 def sample_encodings(docs: DataFrame, model: str, k: int = 2, seed: int = 0, check: bool = False) -> DataFrame:
     """doc_id, rank (from 1), n_pieces, log_prob, inclusion, ids: up to k distinct segmentations of each row's whole text.
 
@@ -230,8 +269,7 @@ def sample_encodings(docs: DataFrame, model: str, k: int = 2, seed: int = 0, che
             lists = pa.ListArray.from_arrays(np.cumsum([0, *size]), pa.array(np.concatenate(ids).astype(np.int32), pa.int32()))
             columns = [pa.array(doc, pa.int64()), pa.array(rank, pa.int32()), pa.array(size, pa.int64()), pa.array(log_p, pa.float64()), pa.array(score, pa.float64()), lists.cast(pa.list_(pa.int32()))]
             if check:
-                due = [t.decode("utf-8", "replace").replace(SPACE, " ") for t in texts_of(batch)]
-                columns.append(pa.array([decode(row[0].tolist(), vocab) == text for text, rows in zip(due, drawn, strict=True) for row in rows]))
+                columns.append(pa.array(comes_back(texts_of(batch), [[row[0] for row in rows] for rows in drawn], vocab)))
             yield pa.RecordBatch.from_arrays(columns, names)
 
     names = ["doc_id", "rank", "n_pieces", "log_prob", "inclusion", "ids", *["round_trip"] * check]
