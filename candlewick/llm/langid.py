@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from candlewick.llm.common import as_bytes, fold, map_slices, row_key, scratch, slices, small, stored, texts_of
+from candlewick.llm.common import as_bytes, bounded, fold, map_slices, row_key, scratch, slices, small, stored, texts_of
 
 UNKNOWN = "und"
 PIECE = 4096  # characters at most in one piece of a text
@@ -256,4 +256,4 @@ def accepted(docs: DataFrame, least: float = 0.3, per_language: int = 300, landm
         for batch, best, score in _predicted(batches, shared.value):
             yield batch.filter(pa.array([*map(stays, batch.column("text").to_pylist(), best, score)], pa.bool_()))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return bounded(docs).mapInArrow(keep, docs.schema)
